@@ -1 +1,121 @@
-"""Queries (to be filled)."""
+"""Corpus queries over ``documents``.
+
+``lang`` plays the language column and ``source`` the config."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidepool.functions.parallel import spread
+from tidepool.functions.text import checksum32, md5_of_ids
+from tidepool.functions.tokenizer import DEFAULT_TOKENIZER as TOK
+from tidepool.operators import normalise as nz, pack as pk, tokens as tk
+from tidepool.plans.registry import register
+from tidepool.sources.readers import table
+
+EOS = TOK.eos_token_id
+
+
+def docs_encoded(spark, sf_dir, cols=("doc_id",)):
+    d = spread(table(spark, sf_dir, "documents").select(*cols, "text"), "doc_id")
+    return tk.encode_text(d, "text", TOK).drop("text")
+
+
+# ------------------------------------------------------------------ packing
+
+def corpus_pack(spark, sf_dir):
+    enc = docs_encoded(spark, sf_dir)
+    chunks = pk.pack(enc, 128, key="doc_id", group_size=1000, drop_tail=True, eos_id=EOS)
+    return chunks.select("pack_group", "chunk_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                         md5_of_ids("input_ids").alias("ids_md5"),
+                         (F.col("input_ids") == F.col("labels")).cast("int").alias("labels_equal"))
+
+
+def _sql_pack(where: str, L: int, keep_tail: bool) -> str:
+    tail = "" if keep_tail else f"WHERE n = {L}"
+    return f"""
+WITH docs AS (
+  SELECT doc_id, doc_id // 1000 AS g, {TOK.sql_encode('text')} AS ids FROM documents {where}
+),
+eos AS (
+  SELECT doc_id, g, CASE WHEN len(ids) > 0 AND ids[len(ids)] = {EOS} THEN ids
+                         ELSE list_append(ids, {EOS}::BIGINT) END AS ids FROM docs
+),
+tok AS (SELECT doc_id, g, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS p FROM eos),
+pos AS (SELECT g, id, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) - 1 AS gp FROM tok),
+ch AS (SELECT g, gp // {L} AS chunk_id, string_agg(id::VARCHAR, ',' ORDER BY gp) AS s, count(*) AS n
+       FROM pos GROUP BY g, gp // {L})
+SELECT g::BIGINT AS pack_group, chunk_id::BIGINT AS chunk_id, n::BIGINT AS n_tokens, md5(s) AS ids_md5,
+       1 AS labels_equal
+FROM ch {tail}
+"""
+
+
+register("corpus_pack", _sql_pack("", 128, False))(corpus_pack)
+
+
+def corpus_pack_en_keep_tail(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    d = spread(nz.lang_equals(d, "en", lang_col="lang"), "doc_id")
+    enc = tk.encode_text(d, "text", TOK).drop("text", "lang")
+    chunks = pk.pack(enc, 256, key="doc_id", group_size=1000, drop_tail=False, eos_id=EOS)
+    return chunks.select("pack_group", "chunk_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                         md5_of_ids("input_ids").alias("ids_md5"),
+                         (F.col("input_ids") == F.col("labels")).cast("int").alias("labels_equal"))
+
+
+register("corpus_pack_en_keep_tail", _sql_pack("WHERE lang = 'en'", 256, True))(corpus_pack_en_keep_tail)
+
+
+# ------------------------------------------------------- per-config stats
+
+def corpus_config_stats(spark, sf_dir):
+    """S6 + P9 + F4: all configs in one scan; per config (= source) and
+    language: documents, tokens, documents fitting 512 tokens, checksum."""
+    enc = docs_encoded(spark, sf_dir, ("doc_id", "source", "lang"))
+    fits = tk.filter_length(enc, 512).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_fit"))
+    allr = enc.groupBy("source", "lang").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.sum(F.size("input_ids")).cast("bigint").alias("n_tokens"),
+        F.sum(checksum32(F.array_join("input_ids", ","))).cast("bigint").alias("ids_checksum"))
+    return (allr.join(fits, ["source", "lang"], "left")
+            .select("source", "lang", "n_docs", "n_tokens",
+                    F.coalesce("n_fit", F.lit(0)).cast("bigint").alias("n_fit"), "ids_checksum"))
+
+
+register("corpus_config_stats", f"""
+WITH enc AS (SELECT source, lang, {TOK.sql_encode('text')} AS ids FROM documents)
+SELECT source, lang, count(*)::BIGINT AS n_docs, sum(len(ids))::BIGINT AS n_tokens,
+       count(*) FILTER (WHERE len(ids) <= 512)::BIGINT AS n_fit,
+       sum(('0x' || substr(md5(array_to_string(ids, ',')), 1, 8))::BIGINT)::BIGINT AS ids_checksum
+FROM enc GROUP BY source, lang
+""")(corpus_config_stats)
+
+
+# ------------------------------------------------------------------ decode
+
+def corpus_decode(spark, sf_dir):
+    """P12 + P11: decode stand-in ids back to text through a broadcast
+    vocabulary join, skipping special ids (EOS appended first, then stripped)."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    vocab = tk.vocab_table(d, "text", TOK)
+    enc = tk.append_eos(tk.encode_text(d, "text", TOK).drop("text"), EOS)
+    stripped = tk.strip_special(enc, [TOK.pad_token_id, EOS, TOK.bos_token_id], out="clean_ids")
+    dec = tk.decode(stripped, vocab, "doc_id", ids="input_ids",
+                    skip_ids=[TOK.pad_token_id, EOS, TOK.bos_token_id])
+    return dec.select("doc_id", F.md5("decoded").alias("decoded_md5"),
+                      F.size("clean_ids").cast("bigint").alias("n_clean"))
+
+
+register("corpus_decode", f"""
+WITH tok AS (SELECT doc_id, {TOK.sql_tokens('text')} AS toks FROM documents),
+ids AS (SELECT doc_id, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS p FROM tok),
+idt AS (SELECT doc_id, p, token, {TOK.sql_token_id('token')} AS id FROM ids),
+vocab AS (SELECT id, min(token) AS token FROM idt GROUP BY id),
+dec AS (
+  SELECT i.doc_id, string_agg(v.token, ' ' ORDER BY i.p) AS decoded, count(*) AS n
+  FROM idt i JOIN vocab v USING (id) WHERE i.id NOT IN (0, 1, 2) GROUP BY i.doc_id
+)
+SELECT d.doc_id, md5(coalesce(dec.decoded, '')) AS decoded_md5, coalesce(dec.n, 0)::BIGINT AS n_clean
+FROM documents d LEFT JOIN dec USING (doc_id)
+""")(corpus_decode)
