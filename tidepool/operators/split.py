@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tidepool.functions.rand import hash52
 
 BUCKETS = 1 << 16
+SMALL_BUCKET = 100_000
 
 
 @dataclass(frozen=True)
@@ -70,14 +71,18 @@ def rank_cut(df: DataFrame, value: Column, tiebreak: Column, n: int | None = Non
         b = F.expr(f"(_v - ({lo})) div {width}")
         hist = (v.where((F.col("_v") >= lo) & (F.col("_v") <= hi))
                 .groupBy(b.alias("b")).count().collect())
-        counts = sorted((r["b"], r["count"]) for r in hist)
         cum = 0
-        for bucket, cnt in counts:
+        for bucket, cnt in sorted((r["b"], r["count"]) for r in hist):
             if cum + cnt >= need:
                 need -= cum
                 lo, hi = lo + bucket * width, min(hi, lo + (bucket + 1) * width - 1)
                 break
             cum += cnt
+        if lo < hi and cnt <= SMALL_BUCKET:
+            # few rows left in range: one ordered take finds the exact cut row
+            row = (v.where((F.col("_v") >= lo) & (F.col("_v") <= hi))
+                   .orderBy("_v", "_t").offset(need - 1).limit(1).first())
+            return Cut(n, row[0], row[1])
     tied = v.where(F.col("_v") == lo)
     n_tied = tied.count()
     if need >= n_tied:
