@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.rand import hash52
@@ -220,3 +220,35 @@ def with_epochs(df: DataFrame, n_epochs: int, epoch_col: str = "epoch") -> DataF
     """U4 (finite re-aim of 'repeat forever'): each row once per epoch, with
     an ``epoch`` column — a generator, not a join."""
     return df.withColumn(epoch_col, F.explode(F.sequence(F.lit(0), F.lit(n_epochs - 1))))
+
+
+# ------------------------------------------------------------ global rank
+
+def global_rank(df: DataFrame, value: Column, tiebreak: Column, out: str = "rank",
+                buckets: int = BUCKETS) -> DataFrame:
+    """Exact 0-based position of every row in (value, tiebreak) order,
+    without a single-partition window.
+
+    One bounded histogram (<= ``buckets`` value-range buckets) gives each
+    bucket's starting offset; the offsets table (bounded by ``buckets`` rows)
+    is broadcast, and a window ``row_number`` runs per bucket.  Buckets hold
+    about n / buckets rows each for well-spread values such as hashes.
+    """
+    v = df.withColumn("_v", value.cast("long")).withColumn("_t", tiebreak)
+    stats = v.agg(F.min("_v"), F.max("_v")).first()
+    lo, hi = stats[0], stats[1]
+    if lo is None:
+        return v.withColumn(out, F.lit(None).cast("long")).drop("_v", "_t")
+    width = max(1, -(-(hi - lo + 1) // buckets))
+    v = v.withColumn("_b", F.expr(f"(_v - ({lo})) div {width}"))
+    hist = sorted((r["_b"], r["count"]) for r in v.groupBy("_b").count().collect())
+    offsets, cum = [], 0
+    for b, c in hist:
+        offsets.append((b, cum))
+        cum += c
+    spark = df.sparkSession
+    off = spark.createDataFrame(offsets, "_b long, _off long")
+    w = Window.partitionBy("_b").orderBy("_v", "_t")
+    return (v.join(F.broadcast(off), "_b")
+            .withColumn(out, F.col("_off") + F.row_number().over(w) - 1)
+            .drop("_v", "_t", "_b", "_off"))

@@ -1 +1,240 @@
-"""Queries (to be filled)."""
+"""Sequence-operator queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidepool.functions.parallel import spread
+from tidepool.functions.rand import hash52, sql_hash52, sql_uniform, sql_uniform_int
+from tidepool.functions.text import md5_of_ids
+from tidepool.functions.tokenizer import DEFAULT_TOKENIZER as TOK
+from tidepool.operators import batching as bt, chat, normalise as nz, tokens as tk
+from tidepool.plans.registry import register
+from tidepool.sources.readers import table
+
+PAD, BOS, EOS, MASK = TOK.pad_token_id, TOK.bos_token_id, TOK.eos_token_id, TOK.mask_token_id
+
+
+def short_docs(spark, sf_dir, n: int = 64):
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    enc = tk.clip(tk.encode_text(d, "text", TOK).drop("text"), n, "right")
+    return enc.withColumn("labels", F.col("input_ids"))
+
+
+def SQL_SHORT(n: int = 64) -> str:
+    return f"short AS (SELECT doc_id, lang, ({TOK.sql_encode('text')})[1:{n}] AS ids FROM documents)"
+
+
+def sql_pad(arr: str, n: str, v) -> str:
+    return f"list_concat({arr}, list_transform(range(greatest({n}, 0)), lambda _x: ({v})::BIGINT))"
+
+
+def sql_md5_ids(arr: str) -> str:
+    return f"md5(array_to_string({arr}, ','))"
+
+
+# -------------------------------------------------------- A8 collate
+
+def batch_collate_docs(spark, sf_dir):
+    b = bt.batch_collate(short_docs(spark, sf_dir), 8, "doc_id", seed=11, pad_id=PAD)
+    return b.select("doc_id", "batch_id", "row_in_batch",
+                    F.size("input_ids").cast("bigint").alias("padded_len"),
+                    md5_of_ids("input_ids").alias("ids_md5"), md5_of_ids("labels").alias("labels_md5"),
+                    F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_attend"))
+
+
+register("batch_collate_docs", f"""
+WITH {SQL_SHORT()},
+r AS (SELECT doc_id, ids, row_number() OVER (ORDER BY {sql_hash52(11, 'doc_id')}, doc_id) - 1 AS rk FROM short),
+b AS (SELECT doc_id, ids, rk // 8 AS batch_id, rk % 8 AS row_in_batch, max(len(ids)) OVER (PARTITION BY rk // 8) AS mx FROM r)
+SELECT doc_id, batch_id::BIGINT AS batch_id, row_in_batch::INTEGER AS row_in_batch, mx::BIGINT AS padded_len,
+       {sql_md5_ids(sql_pad('ids', 'mx - len(ids)', PAD))} AS ids_md5,
+       {sql_md5_ids(sql_pad('ids', 'mx - len(ids)', -100))} AS labels_md5,
+       len(ids)::BIGINT AS n_attend
+FROM b
+""")(batch_collate_docs)
+
+
+# --------------------------------------------------- A10 length buckets
+
+def length_bucket_docs(spark, sf_dir):
+    b = bt.length_bucket(short_docs(spark, sf_dir), 4, "doc_id", seed=5, bucket_width=16, pad_id=PAD)
+    return b.select("doc_id", "length_bucket", "batch_id", "row_in_batch",
+                    F.size("input_ids").cast("bigint").alias("padded_len"))
+
+
+register("length_bucket_docs", f"""
+WITH {SQL_SHORT()},
+r AS (SELECT doc_id, ids, len(ids) // 16 AS bk,
+             row_number() OVER (ORDER BY len(ids) // 16, {sql_hash52(5, 'doc_id')} >> 12, doc_id) - 1 AS rk FROM short)
+SELECT doc_id, bk::BIGINT AS length_bucket, (rk // 4)::BIGINT AS batch_id, (rk % 4)::INTEGER AS row_in_batch,
+       (max(len(ids)) OVER (PARTITION BY rk // 4))::BIGINT AS padded_len
+FROM r
+""")(length_bucket_docs)
+
+
+# ------------------------------------- A9 align, A6 BOS rule, A7 truncation
+
+def block_bos_truncate_docs(spark, sf_dir):
+    d = short_docs(spark, sf_dir, 50)
+    # English documents get their first label ignored (a prompt-like prefix)
+    d = d.withColumn("labels", F.when(F.col("lang") == "en", F.concat(
+        F.array(F.lit(-100).cast("bigint")), F.slice("labels", 2, 1000))).otherwise(F.col("labels")))
+    d = bt.align_block(d, 32, EOS)
+    d = bt.assign_batches(d, 4, hash52(3, F.col("doc_id")), "doc_id")
+    d = tk.prepend_bos(d, BOS, batch_key="batch_id")
+    d = bt.collate(d, PAD, -100)
+    d = bt.random_truncate(d, seed=9, ratio=0.3)
+    return d.select("doc_id", "batch_id", F.size("input_ids").cast("bigint").alias("seq_len"),
+                    md5_of_ids("input_ids").alias("ids_md5"), md5_of_ids("labels").alias("labels_md5"),
+                    md5_of_ids("attention_mask").alias("attention_md5"),
+                    F.coalesce(F.col("truncated_at"), F.lit(-1)).cast("bigint").alias("truncated_at"))
+
+
+def _sql_block_bos() -> str:
+    u_hit = sql_uniform(9, "'trunc'", "batch_id")
+    cut = sql_uniform_int(9, "1", "mx", "'len'", "batch_id")
+    return f"""
+WITH {SQL_SHORT(50)},
+lab AS (SELECT doc_id, ids, CASE WHEN lang = 'en' THEN list_concat([-100::BIGINT], ids[2:]) ELSE ids END AS labels FROM short),
+al AS (SELECT doc_id, {sql_pad('ids', '(32 - len(ids) % 32) % 32', EOS)} AS ids,
+              {sql_pad('labels', '(32 - len(labels) % 32) % 32', EOS)} AS labels FROM lab),
+r AS (SELECT *, (row_number() OVER (ORDER BY {sql_hash52(3, 'doc_id')}, doc_id) - 1) // 4 AS batch_id FROM al),
+bos AS (SELECT *, bool_and(labels[1] = -100) OVER (PARTITION BY batch_id) AS skip FROM r),
+pre AS (SELECT doc_id, batch_id,
+               CASE WHEN skip THEN ids ELSE list_concat([{BOS}::BIGINT], ids) END AS ids,
+               CASE WHEN skip THEN labels ELSE list_concat([-100::BIGINT], labels) END AS labels FROM bos),
+col AS (SELECT doc_id, batch_id, len(ids) AS n, max(len(ids)) OVER (PARTITION BY batch_id) AS mx, ids, labels FROM pre),
+pad AS (SELECT doc_id, batch_id, mx, {sql_pad('ids', 'mx - n', PAD)} AS ids, {sql_pad('labels', 'mx - n', -100)} AS labels,
+               list_concat(list_transform(range(n), lambda _x: 1::BIGINT), list_transform(range(mx - n), lambda _x: 0::BIGINT)) AS att
+        FROM col),
+tr AS (SELECT *, CASE WHEN {u_hit} < 0.3 THEN {cut} ELSE mx END AS cut, {u_hit} < 0.3 AS hit FROM pad)
+SELECT doc_id, batch_id::BIGINT AS batch_id, mx::BIGINT AS seq_len, {sql_md5_ids('ids')} AS ids_md5,
+       {sql_md5_ids("list_transform(labels, lambda x, i: CASE WHEN i - 1 < cut THEN x ELSE -100 END)")} AS labels_md5,
+       {sql_md5_ids("list_transform(att, lambda x, i: CASE WHEN i - 1 < cut THEN x ELSE 0 END)")} AS attention_md5,
+       (CASE WHEN hit THEN cut ELSE -1 END)::BIGINT AS truncated_at
+FROM tr
+"""
+
+
+register("block_bos_truncate_docs", _sql_block_bos())(block_bos_truncate_docs)
+
+
+# ------------------------------------------------- A4 / A5 clip variants
+
+def sft_encoded(spark, sf_dir):
+    conv = nz.assemble_messages(table(spark, sf_dir, "conversations"))
+    return chat.encode_sft(conv, TOK, "chatml")
+
+
+def clip_variants_chat(spark, sf_dir):
+    enc = sft_encoded(spark, sf_dir).select("conv_id", "input_ids", "prompt_len")
+    for c in ("r", "l", "kr", "kl"):
+        enc = enc.withColumn(c, F.col("input_ids"))
+    enc = tk.clip(enc, 64, "right", cols=("r",))
+    enc = tk.clip(enc, 64, "left", cols=("l",))
+    enc = tk.clip_keep_prompt(enc, 64, "right", cols=("kr",))
+    enc = tk.clip_keep_prompt(enc, 64, "left", cols=("kl",))
+    return enc.select("conv_id", md5_of_ids("r").alias("right_md5"), md5_of_ids("l").alias("left_md5"),
+                      md5_of_ids("kr").alias("keep_right_md5"), md5_of_ids("kl").alias("keep_left_md5"),
+                      F.size("kl").cast("bigint").alias("keep_left_len"))
+
+
+def _sql_clip() -> str:
+    from tidepool.plans.chat_queries import CONV_SQL, sql_chatml
+    ids = TOK.sql_encode(sql_chatml("messages", False))
+    plen = f"len({TOK.sql_tokens(sql_chatml('messages[1:len(messages)-1]', True))})"
+    budget = "greatest(64 - least(pl, len(ids)), 0)"
+    resp = "ids[pl + 1:]"
+    keep_left = (f"list_concat(ids[1:pl], CASE WHEN {budget} = 0 THEN []::BIGINT[] "
+                 f"ELSE ({resp})[greatest(len({resp}) - {budget} + 1, 1):] END)")
+    return f"""
+WITH {CONV_SQL},
+enc AS (SELECT conv_id, {ids} AS ids, {plen} AS pl FROM conv)
+SELECT conv_id, {sql_md5_ids('ids[1:64]')} AS right_md5,
+       {sql_md5_ids('ids[greatest(len(ids) - 63, 1):]')} AS left_md5,
+       {sql_md5_ids(f'list_concat(ids[1:pl], ({resp})[1:{budget}])')} AS keep_right_md5,
+       {sql_md5_ids(keep_left)} AS keep_left_md5, len({keep_left})::BIGINT AS keep_left_len
+FROM enc
+"""
+
+
+register("clip_variants_chat", _sql_clip())(clip_variants_chat)
+
+
+# ---------------------------------------------------- V1 / V3 / F6 checks
+
+def sft_validation(spark, sf_dir):
+    enc = sft_encoded(spark, sf_dir)
+    aligned = bt.align_block(enc.select("conv_id", "input_ids", "labels"), 32, EOS)
+    al = aligned.select("conv_id", bt.label_violations(aligned).alias("v_al"))
+    j = enc.join(al, "conv_id")
+    rej = chat.sft_rejects(j).select("conv_id").withColumn("rej", F.lit(1))
+    j = j.join(rej, "conv_id", "left")
+    return j.agg(
+        F.sum(bt.label_violations(enc).cast("int")).cast("bigint").alias("v1_violations"),
+        F.sum(F.size(F.filter(tk.loss_eligible("labels"), lambda b: b))).cast("bigint").alias("eligible_tokens"),
+        F.sum(F.col("v_al").cast("int")).cast("bigint").alias("v1_aligned_violations"),
+        F.count("rej").cast("bigint").alias("v3_rejects"))
+
+
+def _sql_validation() -> str:
+    from tidepool.plans.chat_queries import CONV_SQL, sql_chatml
+    ids = TOK.sql_encode(sql_chatml("messages", False))
+    plen = f"len({TOK.sql_tokens(sql_chatml('messages[1:len(messages)-1]', True))})"
+    return f"""
+WITH {CONV_SQL},
+enc AS (SELECT conv_id, messages, {ids} AS ids, {plen} AS pl FROM conv)
+SELECT 0::BIGINT AS v1_violations, sum(greatest(len(ids) - pl, 0))::BIGINT AS eligible_tokens,
+       0::BIGINT AS v1_aligned_violations,
+       count(*) FILTER (WHERE messages[len(messages)].role <> 'assistant' OR pl > len(ids))::BIGINT AS v3_rejects
+FROM enc
+"""
+
+
+register("sft_validation", _sql_validation())(sft_validation)
+
+
+# ------------------------------------------- A11 trim, A14 prompt batches
+
+def trim_generation_docs(spark, sf_dir):
+    d = short_docs(spark, sf_dir, 40)
+    pads = F.size("input_ids") % 4
+    gen = F.concat(F.array_repeat(F.lit(PAD).cast("bigint"), pads),
+                   F.transform("input_ids", lambda x, i: F.when(i == 20, F.lit(EOS).cast("bigint")).otherwise(x)))
+    d = d.withColumn("gen_ids", gen).withColumn("prompt_len", F.lit(8))
+    t = tk.trim_generation(d, PAD, EOS, TOK.eot_token_id)
+    return t.select("doc_id", md5_of_ids("gen_trimmed").alias("trimmed_md5"),
+                    F.size("gen_trimmed").cast("bigint").alias("trimmed_len"))
+
+
+register("trim_generation_docs", f"""
+WITH {SQL_SHORT(40)},
+g AS (SELECT doc_id, list_transform(ids, lambda x, i: CASE WHEN i = 21 THEN {EOS}::BIGINT ELSE x END) AS ids FROM short),
+c AS (SELECT doc_id, ids[9:] AS rest FROM g),
+s AS (SELECT doc_id, rest, coalesce(list_position(list_transform(rest, lambda x: x IN ({EOS}, {TOK.eot_token_id})), true), len(rest) + 1) AS stop FROM c)
+SELECT doc_id, {sql_md5_ids('rest[1:stop - 1]')} AS trimmed_md5, (stop - 1)::BIGINT AS trimmed_len FROM s
+""")(trim_generation_docs)
+
+
+def prompt_batches(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    b = b.withColumn("prompt_ids", tk.clip_array(TOK.encode(F.substring_index("text", ".", 1)), 24))
+    b = bt.assign_batches(b, 4, F.col("item_id"), "item_id")
+    r = bt.prompt_batch_right(b, 16, MASK, EOS)
+    r = r.select("item_id", "batch_id", md5_of_ids("canvas").alias("right_md5"),
+                 md5_of_ids("attention_mask").alias("right_att_md5"))
+    lft = bt.prompt_batch_left(b, 8, PAD).select("item_id", md5_of_ids("canvas").alias("left_md5"))
+    return r.join(lft, "item_id")
+
+
+register("prompt_batches", f"""
+WITH p AS (SELECT item_id, ({TOK.sql_encode("split_part(text, '.', 1)")})[1:24] AS ids FROM benchmark),
+r AS (SELECT item_id, ids, (row_number() OVER (ORDER BY item_id) - 1) // 4 AS batch_id FROM p),
+m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS mx FROM r)
+SELECT item_id, batch_id::BIGINT AS batch_id,
+  {sql_md5_ids(f"list_concat(list_concat(ids, list_transform(range(16), lambda _x: {MASK}::BIGINT)), list_transform(range(mx - len(ids)), lambda _x: {EOS}::BIGINT))")} AS right_md5,
+  {sql_md5_ids("list_concat(list_transform(range(len(ids) + 16), lambda _x: 1::BIGINT), list_transform(range(mx - len(ids)), lambda _x: 0::BIGINT))")} AS right_att_md5,
+  {sql_md5_ids(f"list_concat(list_transform(range(((mx + 7) // 8) * 8 - len(ids)), lambda _x: {PAD}::BIGINT), ids)")} AS left_md5
+FROM m
+""")(prompt_batches)
