@@ -1 +1,312 @@
-"""Queries (to be filled)."""
+"""Noise / corruption queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidepool.functions.rand import sql_uniform, sql_uniform_int
+from tidepool.functions.schedules import (alpha, kappa, loss_weight, sql_reverse_transfer)
+from tidepool.functions.text import md5_of_ids
+from tidepool.functions.tokenizer import DEFAULT_TOKENIZER as TOK
+from tidepool.operators import noise as nz
+from tidepool.plans.registry import register
+from tidepool.plans.sequence_queries import SQL_SHORT, short_docs, sql_md5_ids
+from tidepool.sources.readers import table
+
+MASK = TOK.mask_token_id
+HALF_PI = 1.5707963267948966
+
+
+def noised_base(spark, sf_dir):
+    """Short documents whose first 8 labels are -100 (a prompt-like prefix)."""
+    d = short_docs(spark, sf_dir, 64)
+    d = d.withColumn("labels", F.transform("input_ids", lambda x, i: F.when(i < 8, F.lit(-100).cast("bigint"))
+                                           .otherwise(x)))
+    return nz.mask_prob(nz.draw_time(d, "doc_id", seed=1), "linear")
+
+
+SQL_BASE = f"""{SQL_SHORT(64)},
+base AS (
+  SELECT doc_id, ids, list_transform(ids, lambda x, i: CASE WHEN i <= 8 THEN -100 ELSE x END) AS labels,
+         0.001::DOUBLE + 0.999::DOUBLE * {sql_uniform(1, "'t'", 'doc_id')} AS t
+  FROM short
+),
+pm AS (SELECT *, 1.0::DOUBLE - (1.0::DOUBLE - t) AS p FROM base)"""
+
+
+def _sql_u(tag: str, pos: str) -> str:
+    return sql_uniform(2, f"'{tag}'", "doc_id", pos)
+
+
+def _n_true(col):
+    return F.size(F.filter(col, lambda b: b)).cast("bigint")
+
+
+# --------------------------------------------------- N1, N2, N5 random
+
+def noise_random_docs(spark, sf_dir):
+    d = nz.apply_mask(noised_base(spark, sf_dir), MASK, "random", seed=2)
+    return d.select("doc_id", F.round("t", 9).alias("t"), _n_true(F.col("masked")).alias("n_masked"),
+                    md5_of_ids("noised_input_ids").alias("noised_md5"))
+
+
+register("noise_random_docs", f"""
+WITH {SQL_BASE},
+m AS (SELECT doc_id, t, ids,
+             list_transform(ids, lambda x, i: {_sql_u('m', 'i - 1')} < p AND labels[i] <> -100) AS masked FROM pm)
+SELECT doc_id, round(t, 9) AS t, len(list_filter(masked, lambda b: b))::BIGINT AS n_masked,
+       {sql_md5_ids(f"list_transform(ids, lambda x, i: CASE WHEN masked[i] THEN {MASK} ELSE x END)")} AS noised_md5
+FROM m
+""")(noise_random_docs)
+
+
+# ------------------------------------------------ N6, N7, N8 strategies
+
+def noise_strategies_docs(spark, sf_dir):
+    d = noised_base(spark, sf_dir)
+    ids, lab, p = F.col("input_ids"), F.col("labels"), F.col("p_mask")
+    pre = nz.prefix_safe_flags(2, "doc_id", p, lab, ids)
+    suf = nz.suffix_flags(2, "doc_id", p, lab, ids)
+    blk = nz.block_flags(2, "doc_id", lab, ids)
+    return d.select("doc_id", _n_true(pre).alias("n_prefix"), _n_true(suf).alias("n_suffix"),
+                    _n_true(blk).alias("n_block"),
+                    F.md5(F.array_join(F.transform(suf, lambda b: b.cast("int")), "")).alias("suffix_md5"),
+                    F.md5(F.array_join(F.transform(blk, lambda b: b.cast("int")), "")).alias("block_md5"))
+
+
+def _sql_strategies() -> str:
+    spans = []
+    for j in range(3):
+        size = sql_uniform_int(2, "10", "50", f"'bsize{j}'", "doc_id")
+        spans.append((f"s{j}", f"z{j}", size))
+    span_cols = ", ".join(
+        f"{size} AS {z}" for (_, z, size) in spans)
+    starts = ", ".join(
+        f"{sql_uniform_int(2, '0', f'greatest(len(ids) - {z}, 0)', f''''bstart{j}' ''', 'doc_id')} AS {s}"
+        for j, (s, z, _) in enumerate(spans))
+    in_span = " OR ".join(f"(i - 1 >= {s} AND i - 1 < {s} + {z})" for (s, z, _) in spans)
+    rnd = f"({_sql_u('m', 'i - 1')} < p AND labels[i] <> -100)"
+    cut = f"floor(len(ids) * ({sql_uniform(2, chr(39) + 'suffix' + chr(39), 'doc_id')} * 0.3))::INTEGER"
+    return f"""
+WITH {SQL_BASE},
+sz AS (SELECT *, {span_cols}, {cut} AS cut FROM pm),
+st AS (SELECT *, {starts} FROM sz),
+f AS (
+  SELECT doc_id,
+    list_transform(ids, lambda x, i: i - 1 >= len(ids) // 2 AND {rnd}) AS pre,
+    list_transform(ids, lambda x, i: (cut > 0 AND i - 1 >= len(ids) - cut) OR {rnd}) AS suf,
+    list_transform(ids, lambda x, i: ({in_span}) AND labels[i] <> -100) AS blk
+  FROM st
+)
+SELECT doc_id, len(list_filter(pre, lambda b: b))::BIGINT AS n_prefix,
+       len(list_filter(suf, lambda b: b))::BIGINT AS n_suffix, len(list_filter(blk, lambda b: b))::BIGINT AS n_block,
+       md5(array_to_string(list_transform(suf, lambda b: b::INTEGER), '')) AS suffix_md5,
+       md5(array_to_string(list_transform(blk, lambda b: b::INTEGER), '')) AS block_md5
+FROM f
+"""
+
+
+register("noise_strategies_docs", _sql_strategies())(noise_strategies_docs)
+
+
+# ------------------------------------------------- N9, N10 curriculum
+
+def noise_curriculum_docs(spark, sf_dir):
+    d = noised_base(spark, sf_dir).withColumn("step", F.col("doc_id") * 10)
+    probs = nz.curriculum(F.col("step"), 10000)
+    d = d.withColumn("strategy", nz.draw_strategy(F.col("step"), 10000, seed=4))
+    d = nz.apply_mask(d, MASK, F.col("strategy"), seed=2)
+    return d.select("doc_id", "step", "strategy",
+                    F.round(probs["random"], 9).alias("p_random"), F.round(probs["block_masking"], 9).alias("p_block"),
+                    _n_true(F.col("masked")).alias("n_masked"), md5_of_ids("noised_input_ids").alias("noised_md5"))
+
+
+def _sql_curriculum() -> str:
+    prog = "least(1.0::DOUBLE, step::DOUBLE / 10000.0)"
+    raw = [f"greatest(0.1::DOUBLE, 1.0 - {prog})", f"least(0.3::DOUBLE, {prog} * 0.4)",
+           f"least(0.2::DOUBLE, {prog} * 0.3)", f"least(0.4::DOUBLE, {prog} * 0.5)"]
+    u = sql_uniform(4, "'strategy'", "step")
+    spans = [(f"s{j}", f"z{j}", sql_uniform_int(2, "10", "50", f"'bsize{j}'", "doc_id")) for j in range(3)]
+    span_cols = ", ".join(f"{size} AS {z}" for (_, z, size) in spans)
+    starts = ", ".join(f"{sql_uniform_int(2, '0', f'greatest(len(ids) - {z}, 0)', chr(39) + f'bstart{j}' + chr(39), 'doc_id')} AS {s}"
+                       for j, (s, z, _) in enumerate(spans))
+    in_span = " OR ".join(f"(i - 1 >= {s} AND i - 1 < {s} + {z})" for (s, z, _) in spans)
+    rnd = f"({_sql_u('m', 'i - 1')} < p AND labels[i] <> -100)"
+    cut = f"floor(len(ids) * ({sql_uniform(2, chr(39) + 'suffix' + chr(39), 'doc_id')} * 0.3))::INTEGER"
+    return f"""
+WITH {SQL_BASE},
+s AS (SELECT *, doc_id * 10 AS step FROM pm),
+r AS (SELECT *, {raw[0]} AS r0, {raw[1]} AS r1, {raw[2]} AS r2, {raw[3]} AS r3 FROM s),
+pr AS (SELECT *, r0 / (r0 + r1 + r2 + r3) AS q0, r1 / (r0 + r1 + r2 + r3) AS q1,
+              r2 / (r0 + r1 + r2 + r3) AS q2, r3 / (r0 + r1 + r2 + r3) AS q3, {u} AS u FROM r),
+ch AS (SELECT *, CASE WHEN u < q0 THEN 'random' WHEN u < q0 + q1 THEN 'unmaskable_prefix'
+                      WHEN u < q0 + q1 + q2 THEN 'truncated_suffix' ELSE 'block_masking' END AS strategy,
+              {span_cols}, {cut} AS cut FROM pr),
+st AS (SELECT *, {starts} FROM ch),
+f AS (
+  SELECT *, CASE
+    WHEN strategy = 'unmaskable_prefix' THEN list_transform(ids, lambda x, i: i - 1 >= len(ids) // 2 AND {rnd})
+    WHEN strategy = 'truncated_suffix' THEN list_transform(ids, lambda x, i: (cut > 0 AND i - 1 >= len(ids) - cut) OR {rnd})
+    WHEN strategy = 'block_masking' THEN list_transform(ids, lambda x, i: ({in_span}) AND labels[i] <> -100)
+    ELSE list_transform(ids, lambda x, i: {rnd}) END AS masked
+  FROM st
+)
+SELECT doc_id, step, strategy, round(q0, 9) AS p_random, round(q3, 9) AS p_block,
+       len(list_filter(masked, lambda b: b))::BIGINT AS n_masked,
+       {sql_md5_ids(f"list_transform(ids, lambda x, i: CASE WHEN masked[i] THEN {MASK} ELSE x END)")} AS noised_md5
+FROM f
+"""
+
+
+register("noise_curriculum_docs", _sql_curriculum())(noise_curriculum_docs)
+
+
+# ------------------------------------------------ N2, N3, N4 schedules
+
+def schedule_values_docs(spark, sf_dir):
+    d = nz.draw_time(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", seed=1)
+    t = F.col("t")
+    cols = {
+        "alpha_linear": alpha(t, "linear"), "alpha_cosine": alpha(t, "cosine"),
+        "kappa_cubic": kappa(t, "cubic"), "kappa_cosine": kappa(t, "cosine"), "kappa_linear": kappa(t, "linear"),
+        "w_alpha_linear": loss_weight(t, "linear", "alpha"), "w_alpha_cosine": loss_weight(t, "cosine", "alpha"),
+        "w_kappa_cubic": loss_weight(t, "cubic", "kappa"), "w_uniform": loss_weight(t, "uniform"),
+    }
+    return d.select("doc_id", *[F.round(c, 6).alias(n) for n, c in cols.items()])
+
+
+register("schedule_values_docs", f"""
+WITH b AS (SELECT doc_id, 0.001::DOUBLE + 0.999::DOUBLE * {sql_uniform(1, "'t'", 'doc_id')} AS t FROM documents)
+SELECT doc_id,
+  round(1.0 - t, 6) AS alpha_linear,
+  round(1.0 - cos({HALF_PI} * (1.0 - t)), 6) AS alpha_cosine,
+  round(2 * t * t * t - 3 * t * t + 2 * t, 6) AS kappa_cubic,
+  round(1.0 - cos({HALF_PI} * t), 6) AS kappa_cosine,
+  round(t, 6) AS kappa_linear,
+  round(1.0 / ((1.0 - (1.0 - t)) + 1e-6), 6) AS w_alpha_linear,
+  round(({HALF_PI} * sin({HALF_PI} * (1.0 - t))) / ((1.0 - (1.0 - cos({HALF_PI} * (1.0 - t)))) + 1e-6), 6) AS w_alpha_cosine,
+  round((6 * t * t - 6 * t + 2) / ((1.0 - (2 * t * t * t - 3 * t * t + 2 * t)) + 1e-6), 6) AS w_kappa_cubic,
+  1.0::DOUBLE AS w_uniform
+FROM b
+""")(schedule_values_docs)
+
+
+# ------------------------------------------------------ N11 Monte-Carlo
+
+def bench_requests(spark, sf_dir):
+    """Likelihood requests from ``benchmark``: context = text before the
+    first '.', continuation = the rest; target length = continuation
+    token count."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    cont = F.expr("substring(text, length(substring_index(text, '.', 1)) + 1)")
+    return (b.withColumn("context", F.substring_index("text", ".", 1)).withColumn("continuation", cont)
+            .withColumn("target_len", TOK.count(F.col("continuation"))))
+
+
+def mc_perturb_bench(spark, sf_dir):
+    r = bench_requests(spark, sf_dir).where(F.col("target_len") > 0)
+    m = nz.mc_perturb(r, "item_id", "target_len", mc_num=16, batch=8, seed=6)
+    return m.select("item_id", "loop", F.col("copy").cast("bigint").alias("copy"), "n_masked",
+                    F.round("p", 9).alias("p"),
+                    F.md5(F.array_join(F.transform("target_mask", lambda b: b.cast("int")), "")).alias("mask_md5"))
+
+
+def _sql_mc() -> str:
+    k = sql_uniform_int(6, "1", "L", "'k'", "item_id", "loop")
+    draw = sql_uniform(6, "'pos'", "item_id", "loop", "copy", "q")
+    return f"""
+WITH r AS (
+  SELECT item_id, len({TOK.sql_tokens("substr(text, length(split_part(text, '.', 1)) + 1)")}) AS L FROM benchmark
+),
+l AS (SELECT item_id, L, loop FROM r, range(2) t(loop) WHERE L > 0),
+k AS (SELECT *, {k} AS k FROM l),
+c AS (SELECT item_id, L, loop, copy, ((round_even(k + copy * (L / 8.0), 0)::BIGINT - 1) % L) + 1 AS x
+      FROM k, range(8) t(copy)),
+d AS (SELECT *, list_transform(range(L), lambda q: {draw}) AS dr FROM c)
+SELECT item_id, loop::BIGINT AS loop, copy::BIGINT AS copy, x::BIGINT AS n_masked, round(x / L, 9) AS p,
+       md5(array_to_string(list_transform(dr, lambda v: (v <= list_sort(dr)[x])::INTEGER), '')) AS mask_md5
+FROM d
+"""
+
+
+register("mc_perturb_bench", _sql_mc())(mc_perturb_bench)
+
+
+# ------------------------------------------------- N12 reveal plan
+
+def reveal_plan_docs(spark, sf_dir):
+    d = short_docs(spark, sf_dir, 1024).select("doc_id", F.size("input_ids").alias("n"))
+    return d.select("doc_id", F.col("n").cast("bigint").alias("n"),
+                    F.array_join(nz.reveal_plan(F.col("n"), 32, "linear"), ",").alias("plan_linear"),
+                    F.array_join(nz.reveal_plan(F.col("n"), 16, "cosine"), ",").alias("plan_cosine"))
+
+
+def _sql_plan(steps: str, kind: str, base: str, keys: str) -> str:
+    """Recursive CTE body: plan rows (keys..., j, rem, x) for n masked tokens."""
+    ratio = sql_reverse_transfer(f"(({steps}) - 1 - (p.j + 1))::DOUBLE / ({steps})",
+                                 f"(({steps}) - (p.j + 1))::DOUBLE / ({steps})", kind)
+    x = f"least(round_even(p.rem::DOUBLE * {ratio}, 0)::BIGINT, p.rem)"
+    kcols = ", ".join(f"p.{k}" for k in keys.split(", "))
+    return f"""
+  SELECT {keys}, {steps} AS S, -1 AS j, n::BIGINT AS rem, 0::BIGINT AS x FROM {base}
+  UNION ALL
+  SELECT {kcols}, p.S, p.j + 1, p.rem - {x}, {x} FROM p WHERE p.rem > 0 AND p.j + 1 < p.S"""
+
+
+def _sql_reveal_docs() -> str:
+    lin = _sql_plan("32", "linear", "b", "doc_id")
+    cos = _sql_plan("16", "cosine", "b", "doc_id").replace("FROM p WHERE", "FROM p2 p WHERE")
+    return f"""
+WITH RECURSIVE {SQL_SHORT(1024)},
+b AS (SELECT doc_id, len(ids) AS n FROM short),
+p AS ({lin}),
+p2 AS ({cos}),
+q1 AS (SELECT doc_id, coalesce(string_agg(x::VARCHAR, ',' ORDER BY j) FILTER (WHERE x > 0), '') AS s FROM p GROUP BY doc_id),
+q2 AS (SELECT doc_id, coalesce(string_agg(x::VARCHAR, ',' ORDER BY j) FILTER (WHERE x > 0), '') AS s FROM p2 GROUP BY doc_id)
+SELECT b.doc_id, b.n::BIGINT AS n, q1.s AS plan_linear, q2.s AS plan_cosine
+FROM b JOIN q1 USING (doc_id) JOIN q2 USING (doc_id)
+"""
+
+
+register("reveal_plan_docs", _sql_reveal_docs())(reveal_plan_docs)
+
+
+# -------------------------------------------- N13 stochastic (rows-only)
+
+def reveal_plan_stochastic_docs(spark, sf_dir):
+    d = short_docs(spark, sf_dir, 256).select("doc_id", F.size("input_ids").alias("n"))
+    plan = nz.reveal_plan(F.col("n"), 16, "linear", stochastic=True, seed=8, key=F.col("doc_id"))
+    return d.select("doc_id", F.col("n").cast("bigint").alias("n"), F.array_join(plan, ",").alias("plan"),
+                    F.aggregate(plan, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("revealed"))
+
+
+register("reveal_plan_stochastic_docs")(reveal_plan_stochastic_docs)
+
+
+# ------------------------------------------------ N14 inference cost
+
+def inference_cost_bench(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    b = b.withColumn("new_tokens", F.greatest(TOK.count(F.col("text")), F.lit(1)))
+    sch = nz.block_schedule(F.col("new_tokens"), 32, 64, "linear", cfg=True)
+    return b.select("item_id", F.col("new_tokens").cast("bigint").alias("new_tokens"),
+                    F.size(sch).cast("bigint").alias("n_blocks"),
+                    F.aggregate(sch, F.lit(0).cast("bigint"), lambda a, s: a + s["passes"]).alias("passes"))
+
+
+register("inference_cost_bench", f"""
+WITH RECURSIVE r AS (SELECT item_id, greatest(len({TOK.sql_tokens('text')}), 1) AS nt FROM benchmark),
+blk AS (SELECT item_id, nt, ceil(nt / 32.0)::BIGINT AS nb, blk FROM r, range(ceil(nt / 32.0)::BIGINT) t(blk)),
+b AS (SELECT item_id, blk, ceil(64.0 / nb)::BIGINT AS spb, least(32, nt - blk * 32) AS n FROM blk),
+p AS (
+  SELECT item_id, blk, spb AS S, -1 AS j, n::BIGINT AS rem, 0::BIGINT AS x FROM b
+  UNION ALL
+  SELECT p.item_id, p.blk, p.S, p.j + 1,
+         p.rem - least(round_even(p.rem::DOUBLE * {sql_reverse_transfer('((p.S) - 1 - (p.j + 1))::DOUBLE / (p.S)', '((p.S) - (p.j + 1))::DOUBLE / (p.S)', 'linear')}, 0)::BIGINT, p.rem),
+         least(round_even(p.rem::DOUBLE * {sql_reverse_transfer('((p.S) - 1 - (p.j + 1))::DOUBLE / (p.S)', '((p.S) - (p.j + 1))::DOUBLE / (p.S)', 'linear')}, 0)::BIGINT, p.rem)
+  FROM p WHERE p.rem > 0 AND p.j + 1 < p.S
+)
+SELECT r.item_id, r.nt::BIGINT AS new_tokens, ceil(r.nt / 32.0)::BIGINT AS n_blocks,
+       (2 * count(*) FILTER (WHERE p.x > 0))::BIGINT AS passes
+FROM r JOIN p USING (item_id) GROUP BY r.item_id, r.nt
+""")(inference_cost_bench)
