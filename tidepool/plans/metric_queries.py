@@ -1 +1,260 @@
-"""Queries (to be filled)."""
+"""Metric queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidepool.functions.rand import hash52, sql_hash52, sql_uniform
+from tidepool.functions.schedules import loss_weight, reverse_transfer
+from tidepool.functions.tokenizer import DEFAULT_TOKENIZER as TOK
+from tidepool.operators import batching as bt, noise as nz, scoring as sc, split as sp
+from tidepool.plans.chat_queries import sql_split
+from tidepool.plans.noise_queries import MASK, SQL_BASE, _sql_u, noised_base
+from tidepool.plans.registry import register
+from tidepool.plans.sequence_queries import SQL_SHORT, short_docs, sql_md5_ids
+from tidepool.sources.readers import table
+
+
+def scored_rows(spark, sf_dir):
+    d = nz.apply_mask(noised_base(spark, sf_dir), MASK, "random", seed=2)
+    d = d.withColumn("token_nll", sc.pseudo_token_nll(12, F.col("doc_id"), F.size("input_ids")))
+    d = d.withColumn("loss_weight", loss_weight(F.col("t"), "linear", "alpha"))
+    return sc.weighted_token_values(d)
+
+
+SQL_SCORED = f"""{SQL_BASE},
+m AS (SELECT doc_id, t, ids, labels,
+             list_transform(ids, lambda x, i: {_sql_u('m', 'i - 1')} < p AND labels[i] <> -100) AS masked FROM pm),
+sc AS (
+  SELECT doc_id,
+    coalesce(list_sum(list_transform(range(len(ids)), lambda i: CASE WHEN masked[i + 1]
+        THEN -ln(1.0 - {sql_uniform(12, "'nll'", 'doc_id', 'i')}) ELSE 0.0 END)), 0.0)
+      * (1.0 / ((1.0 - (1.0 - t)) + 1e-6)) AS row_value,
+    len(list_filter(labels, lambda y: y <> -100))::BIGINT AS row_eligible
+  FROM m
+)"""
+
+
+# --------------------------------------------------------- G1, G2
+
+def loss_metrics_split(spark, sf_dir):
+    d = scored_rows(spark, sf_dir)
+    d = sp.split_exact(d, "doc_id", 0.05, seed=42)
+    d = d.withColumn("split", F.when(F.col("split") == "test", "eval").otherwise("train"))
+    r = sc.nll_by_split(d)
+    return r.select("split", F.round("nll", 6).alias("nll"), F.round("ppl", 6).alias("ppl"), "n_eligible")
+
+
+register("loss_metrics_split", f"""
+WITH {SQL_SCORED},
+s AS (SELECT *, CASE WHEN {sql_split('doc_id')} = 'test' THEN 'eval' ELSE 'train' END AS split FROM sc)
+SELECT split, round(sum(row_value) / sum(row_eligible), 6) AS nll,
+       round(exp(sum(row_value) / sum(row_eligible)), 6) AS ppl, sum(row_eligible)::BIGINT AS n_eligible
+FROM s GROUP BY split
+""")(loss_metrics_split)
+
+
+# ----------------------------------------------------------- G3
+
+def loss_norm_batches(spark, sf_dir):
+    d = bt.assign_batches(scored_rows(spark, sf_dir), 8, hash52(13, F.col("doc_id")), "doc_id")
+    r = sc.normalise_loss(d)
+    return r.select("batch_id", *[F.round(c, 6).alias(c) for c in ("loss_token", "loss_sequence", "loss_batch")],
+                    F.col("batch_rows").cast("bigint").alias("batch_rows"))
+
+
+register("loss_norm_batches", f"""
+WITH {SQL_SCORED},
+b AS (SELECT *, (row_number() OVER (ORDER BY {sql_hash52(13, 'doc_id')}, doc_id) - 1) // 8 AS batch_id FROM sc)
+SELECT batch_id::BIGINT AS batch_id,
+       round(sum(row_value) / greatest(sum(row_eligible), 1), 6) AS loss_token,
+       round(sum(row_value / greatest(row_eligible, 1)) / count(*), 6) AS loss_sequence,
+       round(sum(row_value) / count(*), 6) AS loss_batch, count(*)::BIGINT AS batch_rows
+FROM b GROUP BY batch_id
+""")(loss_norm_batches)
+
+
+# ----------------------------------------------------- G4 + W2 on the run log
+
+def metrics_interval_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    mark = F.col("event_type") == "signup"
+    split = F.when(F.col("event_type") == "error", F.lit("eval")).otherwise(F.lit("train"))
+    r = sc.metrics_by_interval(e, "user_id", ["ts", "event_id"], mark, split, F.col("value"), F.lit(1.0),
+                               "loss", F.to_date("ts"))
+    return r.select("user_id", F.col("eval_interval").cast("bigint").alias("eval_interval"), "split", "key",
+                    F.round("value", 6).alias("value"))
+
+
+register("metrics_interval_events", """
+WITH r AS (
+  SELECT *, count(*) FILTER (WHERE event_type = 'signup')
+            OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS eval_interval,
+         CASE WHEN event_type = 'error' THEN 'eval' ELSE 'train' END AS split
+  FROM events
+)
+SELECT user_id, eval_interval::BIGINT AS eval_interval, split,
+       CASE WHEN split = 'train' THEN 'loss' ELSE split || '_loss' END AS key, round(avg(value), 6) AS value
+FROM r WHERE event_type <> 'signup' GROUP BY user_id, eval_interval, split
+""")(metrics_interval_events)
+
+
+# ----------------------------------------------------------------- W1
+
+def throughput_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    e = e.withColumn("t_sec", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    start = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp")) / 1e6
+    r = sc.throughput(e, "user_id", "event_id", "t_sec", start, F.lit(8 * 4 * 2), F.to_date("ts"))
+    return r.select("user_id", "event_id", F.round("steps_per_sec", 6).alias("steps_per_sec"),
+                    F.round("samples_per_sec", 6).alias("samples_per_sec"))
+
+
+register("throughput_events", """
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t FROM events WHERE event_id <> 0),
+l AS (SELECT *, coalesce(lag(t) OVER w, epoch_us(TIMESTAMP '2024-01-01 00:00:00') / 1e6) AS pt,
+             coalesce(lag(event_id) OVER w, 0) AS ps
+      FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
+SELECT user_id, event_id, round((event_id - ps)::DOUBLE / (t - pt), 6) AS steps_per_sec,
+       round((event_id - ps)::DOUBLE / (t - pt) * 64, 6) AS samples_per_sec
+FROM l WHERE t - pt > 0 AND event_id - ps > 0
+""")(throughput_events)
+
+
+# -------------------------------------------------------- G5 + G7
+
+def mc_loglik_bench(spark, sf_dir):
+    from tidepool.plans.noise_queries import bench_requests
+    r = bench_requests(spark, sf_dir).where(F.col("target_len") > 0)
+    m = nz.mc_perturb(r, "item_id", "target_len", mc_num=16, batch=8, seed=6)
+    nll = sc.pseudo_token_nll(14, F.col("item_id"), F.col("target_len"))
+    m = m.withColumn("copy_value", F.aggregate(
+        F.zip_with(nll, F.col("target_mask"), lambda v, k: F.when(k, v).otherwise(F.lit(0.0))),
+        F.lit(0.0), lambda a, v: a + v) / F.col("p"))
+    ll = sc.mc_loglikelihood(m, batch=8)
+    tgt = r.select("item_id", TOK.encode(F.col("continuation")).alias("tgt"))
+    pred = F.transform("tgt", lambda x, i: F.when(
+        sc.uniform(15, F.lit("pred"), F.col("item_id"), i) < 0.05, x + 1).otherwise(x))
+    g = tgt.select("item_id", sc.exact_match(F.col("tgt"), pred, enabled=True).cast("int").alias("is_greedy"))
+    return ll.join(g, "item_id").select("item_id", F.round("loglikelihood", 6).alias("loglikelihood"),
+                                        F.col("n_loops").cast("bigint").alias("n_loops"), "is_greedy")
+
+
+def _sql_mc_ll() -> str:
+    from tidepool.functions.rand import sql_uniform_int
+    k = sql_uniform_int(6, "1", "L", "'k'", "item_id", "loop")
+    draw = sql_uniform(6, "'pos'", "item_id", "loop", "copy", "q")
+    cont = "substr(text, length(split_part(text, '.', 1)) + 1)"
+    nll = f"-ln(1.0 - {sql_uniform(14, chr(39) + 'nll' + chr(39), 'item_id', 'q')})"
+    pred_diff = f"{sql_uniform(15, chr(39) + 'pred' + chr(39), 'item_id', 'q')} < 0.05"
+    return f"""
+WITH r AS (SELECT item_id, len({TOK.sql_tokens(cont)}) AS L FROM benchmark),
+l AS (SELECT item_id, L, loop FROM r, range(2) t(loop) WHERE L > 0),
+k AS (SELECT *, {k} AS k FROM l),
+c AS (SELECT item_id, L, loop, copy, ((round_even(k + copy * (L / 8.0), 0)::BIGINT - 1) % L) + 1 AS x
+      FROM k, range(8) t(copy)),
+d AS (SELECT *, list_transform(range(L), lambda q: {draw}) AS dr FROM c),
+v AS (SELECT item_id, loop, coalesce(list_sum(list_transform(range(L), lambda q:
+         CASE WHEN dr[q + 1] <= list_sort(dr)[x] THEN {nll} ELSE 0.0 END)), 0.0) / (x / L) AS cv FROM d),
+pl AS (SELECT item_id, loop, sum(cv) / 8.0 AS lv FROM v GROUP BY item_id, loop),
+ll AS (SELECT item_id, -avg(lv) AS loglikelihood, count(*) AS n_loops FROM pl GROUP BY item_id),
+g AS (SELECT item_id, CASE WHEN len(list_filter(range(len(ids)), lambda q: {pred_diff})) = 0 THEN 1 ELSE 0 END AS is_greedy
+      FROM (SELECT item_id, {TOK.sql_encode(cont)} AS ids FROM benchmark))
+SELECT item_id, round(loglikelihood, 6) AS loglikelihood, n_loops::BIGINT AS n_loops, is_greedy::INTEGER AS is_greedy
+FROM ll JOIN g USING (item_id)
+"""
+
+
+register("mc_loglik_bench", _sql_mc_ll())(mc_loglik_bench)
+
+
+# ---------------------------------------------------------------- G8
+
+def mask_progress_docs(spark, sf_dir):
+    d = short_docs(spark, sf_dir, 1024).select("doc_id", F.size("input_ids").alias("n"))
+    plan = nz.reveal_plan(F.col("n"), 32, "linear")
+    d = d.select("doc_id", sc.mask_progress(plan, F.col("n")).alias("hist"))
+    return d.select("doc_id", F.explode("hist").alias("h")).select(
+        "doc_id", F.col("h.step").cast("bigint").alias("step"), F.col("h.remaining").cast("bigint").alias("remaining"),
+        F.col("h.pct").cast("bigint").alias("pct"))
+
+
+def _sql_progress() -> str:
+    from tidepool.plans.noise_queries import _sql_plan
+    return f"""
+WITH RECURSIVE {SQL_SHORT(1024)},
+b AS (SELECT doc_id, len(ids) AS n FROM short),
+p AS ({_sql_plan('32', 'linear', 'b', 'doc_id')}),
+s AS (SELECT doc_id, rem, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS step,
+             count(*) OVER (PARTITION BY doc_id) AS total FROM p WHERE x > 0)
+SELECT doc_id, step::BIGINT AS step, rem::BIGINT AS remaining,
+       floor(100 * step / greatest(total, 1))::BIGINT AS pct FROM s
+"""
+
+
+register("mask_progress_docs", _sql_progress())(mask_progress_docs)
+
+
+# ---------------------------------------------------------------- G9
+
+THE_ID_SQL = TOK.sql_token_id("'the'")
+
+
+def finished_blocks_docs(spark, sf_dir):
+    d = short_docs(spark, sf_dir, 64).select("doc_id", "input_ids")
+    eos = spark.range(1).select(TOK.token_id(F.lit("the")).alias("e")).first()["e"]
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("input_ids") / 16.0).cast("int") - 1, F.lit(-1))),
+                         lambda b: F.slice("input_ids", b * 16 + 1, 16))
+    d = d.withColumn("fb", sc.finished_block(blocks, int(eos)))
+    d = bt.assign_batches(d, 4, hash52(16, F.col("doc_id")), "doc_id")
+    w = Window.partitionBy("batch_id")
+    all_done = F.count(F.when(F.col("fb").isNull(), 1)).over(w) == 0
+    return d.select("doc_id", "batch_id", F.coalesce("fb", F.lit(-1)).cast("bigint").alias("finished_block"),
+                    F.coalesce(F.when(all_done, F.max("fb").over(w)), F.lit(-1)).cast("bigint").alias("batch_stop_block"))
+
+
+register("finished_blocks_docs", f"""
+WITH {SQL_SHORT(64)},
+f AS (SELECT doc_id, list_position(list_transform(range((len(ids) + 15) // 16),
+          lambda b: list_contains(ids[b * 16 + 1: b * 16 + 16], {THE_ID_SQL})), true) - 1 AS fb FROM short),
+b AS (SELECT *, (row_number() OVER (ORDER BY {sql_hash52(16, 'doc_id')}, doc_id) - 1) // 4 AS batch_id FROM f)
+SELECT doc_id, batch_id::BIGINT AS batch_id, coalesce(fb, -1)::BIGINT AS finished_block,
+       coalesce(CASE WHEN count(*) FILTER (WHERE fb IS NULL) OVER (PARTITION BY batch_id) = 0
+                     THEN max(fb) OVER (PARTITION BY batch_id) END, -1)::BIGINT AS batch_stop_block
+FROM b
+""")(finished_blocks_docs)
+
+
+# ---------------------------------------------------------------- L7
+
+def topk_positions_docs(spark, sf_dir):
+    d = nz.apply_mask(noised_base(spark, sf_dir), MASK, "random", seed=2)
+    n_masked = F.size(F.filter("masked", lambda b: b)).cast("bigint")
+    # k = tokens revealed by the first of 8 linear steps
+    r0 = reverse_transfer(F.lit(7 / 8), F.lit(1.0), "linear")
+    k = F.least(F.rint(n_masked.cast("double") * r0).cast("bigint"), n_masked)
+    conf = F.transform("input_ids", lambda x, i: sc.uniform(17, F.lit("conf"), F.col("doc_id"), i))
+    pos = sc.topk_positions(conf, F.col("masked"), k)
+    return d.select("doc_id", F.size(pos).cast("bigint").alias("k_used"),
+                    F.md5(F.array_join(pos, ",")).alias("positions_md5"))
+
+
+def _sql_topk() -> str:
+    from tidepool.functions.schedules import sql_reverse_transfer
+    r0 = sql_reverse_transfer("7.0::DOUBLE / 8", "8.0::DOUBLE / 8", "linear")
+    conf = sql_uniform(17, "'conf'", "doc_id", "i - 1")
+    return f"""
+WITH {SQL_BASE},
+m AS (SELECT doc_id, ids, list_transform(ids, lambda x, i: {_sql_u('m', 'i - 1')} < p AND labels[i] <> -100) AS masked FROM pm),
+k AS (SELECT *, len(list_filter(masked, lambda b: b)) AS nm FROM m),
+kk AS (SELECT *, least(round_even(nm::DOUBLE * {r0}, 0)::BIGINT, nm) AS k FROM k),
+c AS (SELECT doc_id, k, list_filter(list_transform(ids, lambda x, i: CASE WHEN masked[i] THEN {{'nc': -{conf}, 'pos': i - 1}} END),
+                                    lambda v: v IS NOT NULL) AS cand FROM kk)
+SELECT doc_id, least(k, len(cand))::BIGINT AS k_used,
+       md5(array_to_string(list_transform(list_sort(cand)[1:least(k, len(cand))], lambda s: s.pos), ',')) AS positions_md5
+FROM c
+"""
+
+
+register("topk_positions_docs", _sql_topk())(topk_positions_docs)
