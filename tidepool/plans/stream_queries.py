@@ -1 +1,160 @@
-"""Queries (to be filled)."""
+"""Streaming queries (S4, L4, L5, U3, T1–T4).  Each stream runs over all
+available input (``availableNow``) into a sink under the shared checkpoint
+folder; the registered query returns the sink read back as a batch frame,
+so it can be compared with the batch computation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidepool.functions.rand import hash52, sql_hash52
+from tidepool.functions.text import md5_of_ids
+from tidepool.functions.tokenizer import DEFAULT_TOKENIZER as TOK
+from tidepool.operators import tokens as tk
+from tidepool.plans.registry import register
+from tidepool.session import scratch_path
+from tidepool.sources.readers import table
+from tidepool.streaming import streams as st
+
+EOS = TOK.eos_token_id
+
+
+def _doc_parts(spark, sf_dir, n_parts=4):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    base = scratch_path(spark, "doc-parts")
+    st.write_parts(docs, base, n_parts, "doc_id")
+    return f"{base}/*/*.parquet", docs.schema
+
+
+# ------------------------------------------------------- S4 + T1 + T3
+
+def stream_filter_clip_docs(spark, sf_dir):
+    path, schema = _doc_parts(spark, sf_dir)
+    s = st.stream_corpus(spark, [path], schema, max_files_per_trigger=1)
+    s = tk.encode_text(s, "text", TOK).drop("text")
+    s = tk.clip(tk.filter_length(s, 512), 128, "right")
+    out, ck = scratch_path(spark, "t1-out"), scratch_path(spark, "t1-ck")
+    st.run_to_parquet(s.select("doc_id", "input_ids"), out, ck)
+    r = spark.read.parquet(out)
+    return r.select("doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"), md5_of_ids("input_ids").alias("ids_md5"))
+
+
+register("stream_filter_clip_docs", f"""
+WITH e AS (SELECT doc_id, {TOK.sql_encode('text')} AS ids FROM documents)
+SELECT doc_id, len(ids[1:128])::BIGINT AS n_tokens, md5(array_to_string(ids[1:128], ',')) AS ids_md5
+FROM e WHERE len(ids) <= 512
+""")(stream_filter_clip_docs)
+
+
+# ------------------------------------------------ T2 exact (keyed state)
+
+def stream_pack_stateful_docs(spark, sf_dir):
+    path, schema = _doc_parts(spark, sf_dir)
+    s = st.stream_corpus(spark, [path], schema, max_files_per_trigger=1)
+    s = tk.encode_text(s, "text", TOK).withColumn("lane", F.pmod(hash52(21, F.col("doc_id")), F.lit(2)))
+    chunks = st.pack_stateful(s, 128, "lane", eos_id=EOS)
+    out, ck = scratch_path(spark, "t2-out"), scratch_path(spark, "t2-ck")
+    st.run_to_parquet(chunks, out, ck)
+    r = spark.read.parquet(out)
+    return r.select("lane", "chunk_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                    md5_of_ids("input_ids").alias("ids_md5"))
+
+
+def _sql_lane_pack(group: str, L: int) -> str:
+    return f"""
+WITH docs AS (SELECT doc_id, {group} AS g, {TOK.sql_encode('text')} AS ids FROM documents),
+eos AS (SELECT doc_id, g, CASE WHEN len(ids) > 0 AND ids[len(ids)] = {EOS} THEN ids
+                              ELSE list_append(ids, {EOS}::BIGINT) END AS ids FROM docs),
+tok AS (SELECT doc_id, g, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS p FROM eos),
+pos AS (SELECT g, id, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) - 1 AS gp FROM tok),
+ch AS (SELECT g, gp // {L} AS chunk_id, string_agg(id::VARCHAR, ',' ORDER BY gp) AS s, count(*) AS n
+       FROM pos GROUP BY g, gp // {L})"""
+
+
+register("stream_pack_stateful_docs", _sql_lane_pack(f"{sql_hash52(21, 'doc_id')} % 2", 128) + """
+SELECT g::BIGINT AS lane, chunk_id::BIGINT AS chunk_id, n::BIGINT AS n_tokens, md5(s) AS ids_md5
+FROM ch WHERE n = 128
+""")(stream_pack_stateful_docs)
+
+
+# ----------------------------------------- T2 reference shape (per batch)
+
+def stream_pack_per_batch_docs(spark, sf_dir):
+    path, schema = _doc_parts(spark, sf_dir)
+    s = st.stream_corpus(spark, [path], schema, max_files_per_trigger=1)
+    s = tk.encode_text(s, "text", TOK).select("doc_id", "input_ids")
+    out, ck = scratch_path(spark, "t2b-out"), scratch_path(spark, "t2b-ck")
+    st.pack_per_batch(s, out, ck, 128, eos_id=EOS)
+    r = spark.read.parquet(out)
+    return r.select(F.col("batch_id").cast("bigint").alias("batch_id"), "chunk_id",
+                    F.size("input_ids").cast("bigint").alias("n_tokens"), md5_of_ids("input_ids").alias("ids_md5"))
+
+
+register("stream_pack_per_batch_docs", _sql_lane_pack(
+    "(doc_id - (SELECT min(doc_id) FROM documents)) // "
+    "(((SELECT max(doc_id) - min(doc_id) + 1 FROM documents) + 3) // 4)", 128) + """
+SELECT g::BIGINT AS batch_id, chunk_id::BIGINT AS chunk_id, n::BIGINT AS n_tokens, md5(s) AS ids_md5
+FROM ch WHERE n = 128
+""")(stream_pack_per_batch_docs)
+
+
+# ------------------------------------------------ L4 on a stream, U3
+
+def stream_splits_docs(spark, sf_dir):
+    path, schema = _doc_parts(spark, sf_dir)
+    bench = table(spark, sf_dir, "benchmark")
+    bpath = scratch_path(spark, "bench-part")
+    bench.select(F.col("item_id").alias("doc_id"), F.lit("bench").alias("lang"), "text").coalesce(1) \
+        .write.parquet(bpath)
+    # Two sources in one stream; the first part's rows are tagged
+    s = st.stream_corpus(spark, [path, bpath], schema, max_files_per_trigger=1)
+    s = s.where(F.col("source_rank") == 0).select("doc_id", "lang")
+    out, ck = scratch_path(spark, "l4-out"), scratch_path(spark, "l4-ck")
+    st.derive_splits_stream(s, out, ck, n_train=300, n_test=50, order_in_batch="doc_id")
+    return spark.read.parquet(out).select("doc_id", "lang", "split", F.col("position").cast("bigint"))
+
+
+register("stream_splits_docs", """
+WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents)
+SELECT doc_id, lang, CASE WHEN position < 50 THEN 'test' ELSE 'train' END AS split, position::BIGINT AS position
+FROM r WHERE position < 350
+""")(stream_splits_docs)
+
+
+# ------------------------------------------------------------- L5 take
+
+def stream_take_docs(spark, sf_dir):
+    path, schema = _doc_parts(spark, sf_dir)
+    s = st.stream_take(st.stream_corpus(spark, [path], schema), 100).select("doc_id", "lang")
+    out, ck = scratch_path(spark, "l5-out"), scratch_path(spark, "l5-ck")
+    st.run_to_parquet(s, out, ck)
+    return spark.read.parquet(out)
+
+
+register("stream_take_docs")(stream_take_docs)
+
+
+# ----------------------------------------------------- T4 running metrics
+
+def stream_running_metrics(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    base = scratch_path(spark, "events-parts")
+    st.write_parts(ev.select("event_id", "user_id", "event_type", "value"), base, 4, "event_id")
+    s = spark.readStream.schema("event_id long, user_id long, event_type string, value double") \
+        .option("maxFilesPerTrigger", 1).parquet(f"{base}/*/*.parquet")
+    s = s.withColumn("split", F.when(F.col("event_type") == "error", "eval").otherwise("train")) \
+        .withColumn("w", F.lit(1.0))
+    agg = st.running_metrics(s, "user_id", "split", "value", "w")
+    name = "running_metrics_" + scratch_path(spark, "q").rsplit("-", 1)[-1]
+    q = (agg.writeStream.format("memory").queryName(name).outputMode("complete")
+         .option("checkpointLocation", scratch_path(spark, "t4-ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    r = spark.table(name)
+    return r.select("user_id", "split", F.round("mean", 6).alias("mean"), F.col("weight").cast("bigint").alias("weight"))
+
+
+register("stream_running_metrics", """
+SELECT user_id, CASE WHEN event_type = 'error' THEN 'eval' ELSE 'train' END AS split,
+       round(avg(value), 6) AS mean, count(*)::BIGINT AS weight
+FROM events GROUP BY 1, 2
+""")(stream_running_metrics)
