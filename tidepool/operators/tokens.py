@@ -181,7 +181,7 @@ def cut_at_stops(df: DataFrame, text: str = "text", stops: str | list = "until",
     arr = F.col(stops) if isinstance(stops, str) else F.array(*[F.lit(s) for s in stops])
     cut = F.aggregate(arr, F.col(text),
                       lambda acc, s: F.when((s.isNull()) | (s == ""), acc)
-                      .otherwise(F.substring_index(acc, s, 1)))
+                      .otherwise(F.call_function("substring_index", acc, s, F.lit(1))))
     return df.withColumn(out, cut)
 
 
@@ -193,7 +193,7 @@ def split_pair(df: DataFrame, context: str = "context", continuation: str = "con
     ws = F.regexp_extract(F.col(context), TRAILING_SPACE_PATTERN, 1)
     ctx = py_rstrip(F.col(context))
     cont = F.concat(ws, F.col(continuation))
-    df = df.withColumn(context, ctx).withColumn(continuation, cont)
+    df = df.withColumns({context: ctx, continuation: cont})   # both from the input row
     whole = tokenizer.encode(F.concat(F.col(context), F.col(continuation)))
     ctx_ids = tokenizer.encode(F.col(context))
     df = df.withColumn("whole_ids", whole).withColumn("context_ids", ctx_ids)

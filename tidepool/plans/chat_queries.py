@@ -79,3 +79,96 @@ FROM kept GROUP BY split
 """
 
 register("chat_sft_summary", CHAT_SFT_SUMMARY_SQL)(chat_sft_summary)
+
+
+# ------------------------------------------------- P7 header / bracket
+
+def chat_render_templates(spark, sf_dir):
+    conv = nz.assemble_messages(table(spark, sf_dir, "conversations"))
+    m = F.col("messages")
+    return conv.select(
+        "conv_id",
+        F.md5(chat.render(m, "chatml", True)).alias("chatml_md5"),
+        F.md5(chat.render(m, "header", True)).alias("header_md5"),
+        F.md5(chat.render(m, "bracket", True)).alias("bracket_md5"),
+        F.length(chat.render(m, "bracket", False)).cast("bigint").alias("bracket_chars"))
+
+
+def _sql_strip(x: str) -> str:
+    from tidepool.functions.text import PY_SPACE_CLASS
+    return f"regexp_replace({x}, '\\A{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+\\z', '', 'g')"
+
+
+def _sql_templates() -> str:
+    nl = "chr(10)"
+    header = (f"array_to_string(list_transform(messages, lambda m, i: CASE WHEN i = 1 THEN '<|startoftext|>' ELSE '' END "
+              f"|| '<|start_header_id|>' || m.role || '<|end_header_id|>' || {nl} || {nl} || {_sql_strip('m.content')} "
+              f"|| '<|eot_id|>'), '') || CASE WHEN len(messages) = 0 OR messages[len(messages)].role <> 'assistant' "
+              f"THEN '<|start_header_id|>assistant<|end_header_id|>' || {nl} || {nl} ELSE '' END")
+    one = (f"CASE WHEN m.role = 'user' THEN '[Question]' || {nl} || {_sql_strip('m.content')} || {nl} || '[/Question]' || {nl} || {nl} "
+           f"WHEN m.role = 'assistant' THEN '[Answer]' || {nl} || {_sql_strip('m.content')} || {nl} || '[/Answer]' || {nl} || {nl} "
+           f"ELSE '' END")
+    return f"""
+WITH {CONV_SQL},
+l AS (SELECT conv_id, messages, coalesce(messages[1].role = 'system', false) AS sys,
+             CASE WHEN coalesce(messages[1].role = 'system', false) THEN messages[2:] ELSE messages END AS loop FROM conv),
+b AS (SELECT conv_id, messages,
+             CASE WHEN sys THEN '[SYS]' || {nl} || {_sql_strip('messages[1].content')} || {nl} || '[/SYS]' || {nl} || {nl} ELSE '' END
+             || array_to_string(list_transform(loop, lambda m: {one}), '') AS body,
+             (len(loop) = 0 OR loop[len(loop)].role <> 'assistant') AS need FROM l)
+SELECT conv_id, md5({sql_chatml('messages', True)}) AS chatml_md5, md5({header}) AS header_md5,
+       md5(body || CASE WHEN need THEN '[Answer]' || {nl} ELSE '' END) AS bracket_md5,
+       length(body)::BIGINT AS bracket_chars
+FROM b
+"""
+
+
+register("chat_render_templates", _sql_templates())(chat_render_templates)
+
+
+# ------------------------------------------------------ P4 / F1 first exchange
+
+def first_exchange_chat(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    flat = nz.first_exchange_turns(turns)
+    nested = nz.first_exchange(nz.assemble_messages(turns), keep=("conv_id",))
+    agree = nested.where("valid").select("conv_id", F.col("prompt").alias("np"), F.col("response").alias("nr"))
+    j = flat.join(agree, "conv_id", "left")
+    return j.select("conv_id", F.md5("prompt").alias("prompt_md5"), F.md5("response").alias("response_md5"),
+                    ((F.col("np") == F.col("prompt")) & (F.col("nr") == F.col("response"))).cast("int").alias("nested_agrees"))
+
+
+register("first_exchange_chat", f"""
+WITH u AS (SELECT conv_id, min(turn) AS ut FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id),
+a AS (SELECT c.conv_id, min(c.turn) AS at FROM conversations c JOIN u USING (conv_id)
+      WHERE c.role = 'assistant' AND c.text IS NOT NULL AND c.turn > u.ut GROUP BY c.conv_id),
+x AS (SELECT u.conv_id, {_sql_strip('cu.text')} AS prompt, {_sql_strip('ca.text')} AS response
+      FROM u JOIN a USING (conv_id)
+      JOIN conversations cu ON cu.conv_id = u.conv_id AND cu.turn = u.ut
+      JOIN conversations ca ON ca.conv_id = a.conv_id AND ca.turn = a.at)
+SELECT conv_id, md5(prompt) AS prompt_md5, md5(response) AS response_md5, 1 AS nested_agrees
+FROM x WHERE prompt <> '' AND response <> ''
+""")(first_exchange_chat)
+
+
+# ----------------------------------------------------------- P3 reasoning
+
+def reasoning_messages_chat(spark, sf_dir):
+    rows = nz.reasoning_rows(table(spark, sf_dir, "conversations"))
+    msgs = nz.norm_reasoning(rows, keep=("conv_id",))
+    m = F.col("messages")
+    return msgs.select("conv_id", F.md5(F.concat(
+        F.lit("user\x01"), m[0]["content"], F.lit("\x02assistant\x01"), m[1]["content"],
+        F.lit("\x01"), m[1]["reasoning_content"])).alias("messages_md5"))
+
+
+register("reasoning_messages_chat", """
+WITH r AS (
+  SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS question,
+         list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS tr,
+         arg_max(text, turn) FILTER (WHERE role = 'assistant') AS attempt
+  FROM conversations GROUP BY conv_id
+)
+SELECT conv_id, md5('user' || chr(1) || question || chr(2) || 'assistant' || chr(1) || attempt || chr(1) || tr[1]) AS messages_md5
+FROM r WHERE len(tr) > 0
+""")(reasoning_messages_chat)

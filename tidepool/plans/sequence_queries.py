@@ -238,3 +238,33 @@ SELECT item_id, batch_id::BIGINT AS batch_id,
   {sql_md5_ids(f"list_concat(list_transform(range(((mx + 7) // 8) * 8 - len(ids)), lambda _x: {PAD}::BIGINT), ids)")} AS left_md5
 FROM m
 """)(prompt_batches)
+
+
+# ------------------------------------------- A12 stops, A13 pair split, V2
+
+def eval_requests_bench(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    ctx = F.regexp_extract("text", r"^[^.]*\.[ ]*", 0)
+    b = b.withColumn("context", ctx).withColumn("continuation", F.expr("substring(text, length(context) + 1)"))
+    b = tk.split_pair(b, "context", "continuation", TOK)
+    rej = bt.length_rejects(b, 64).select("item_id", F.lit(1).alias("rejected"))
+    b = tk.cut_at_stops(b, "continuation", [".", ",", ""], out="cut")
+    return (b.join(rej, "item_id", "left")
+            .select("item_id", F.md5("context").alias("context_md5"), F.md5("continuation").alias("continuation_md5"),
+                    F.size("context_ids").cast("bigint").alias("n_ctx"),
+                    F.size("continuation_ids").cast("bigint").alias("n_cont"),
+                    F.coalesce("rejected", F.lit(0)).alias("rejected"), F.md5("cut").alias("cut_md5")))
+
+
+register("eval_requests_bench", f"""
+WITH b AS (SELECT item_id, text, regexp_extract(text, '^[^.]*\\.[ ]*', 0) AS raw_ctx FROM benchmark),
+p AS (SELECT item_id, regexp_replace(raw_ctx, '[ ]+$', '') AS context,
+             regexp_extract(raw_ctx, '([ ]*)$', 1) || substr(text, length(raw_ctx) + 1) AS continuation FROM b),
+e AS (SELECT *, len({TOK.sql_tokens('context')}) AS n_ctx,
+             len({TOK.sql_tokens('context || continuation')}) AS n_all FROM p)
+SELECT item_id, md5(context) AS context_md5, md5(continuation) AS continuation_md5, n_ctx::BIGINT AS n_ctx,
+       greatest(n_all - n_ctx, 0)::BIGINT AS n_cont,
+       CASE WHEN n_ctx + greatest(n_all - n_ctx, 0) > 64 THEN 1 ELSE 0 END AS rejected,
+       md5(split_part(split_part(continuation, '.', 1), ',', 1)) AS cut_md5
+FROM e
+""")(eval_requests_bench)
