@@ -73,14 +73,13 @@ def corpus_config_stats(spark, sf_dir):
     """S6 + P9 + F4: all configs in one scan; per config (= source) and
     language: documents, tokens, documents fitting 512 tokens, checksum."""
     enc = docs_encoded(spark, sf_dir, ("doc_id", "source", "lang"))
-    fits = tk.filter_length(enc, 512).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_fit"))
-    allr = enc.groupBy("source", "lang").agg(
+    # one pass: the F4 length predicate is counted inside the same aggregation
+    fits = F.col("input_ids").isNotNull() & (F.size("input_ids") <= 512)
+    return enc.groupBy("source", "lang").agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.sum(F.size("input_ids")).cast("bigint").alias("n_tokens"),
+        F.count(F.when(fits, 1)).cast("bigint").alias("n_fit"),
         F.sum(checksum32(F.array_join("input_ids", ","))).cast("bigint").alias("ids_checksum"))
-    return (allr.join(fits, ["source", "lang"], "left")
-            .select("source", "lang", "n_docs", "n_tokens",
-                    F.coalesce("n_fit", F.lit(0)).cast("bigint").alias("n_fit"), "ids_checksum"))
 
 
 register("corpus_config_stats", f"""
