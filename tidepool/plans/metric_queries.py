@@ -104,8 +104,11 @@ FROM r WHERE event_type <> 'signup' GROUP BY user_id, eval_interval, split
 
 def throughput_events(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    e = e.withColumn("t_sec", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    start = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp")) / 1e6
+    # seconds since the epoch of a wall-clock (NTZ) timestamp: no session time zone involved
+    e = e.withColumn("t_sec", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
+                                     "CAST(ts AS TIMESTAMP_NTZ))") / 1e6)
+    start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
+                   "TIMESTAMP_NTZ'2024-01-01 00:00:00')") / 1e6
     r = sc.throughput(e, "user_id", "event_id", "t_sec", start, F.lit(8 * 4 * 2), F.to_date("ts"))
     return r.select("user_id", "event_id", F.round("steps_per_sec", 6).alias("steps_per_sec"),
                     F.round("samples_per_sec", 6).alias("samples_per_sec"))
