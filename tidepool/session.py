@@ -45,13 +45,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only when it is unset (tests, local runs) do we choose a local folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    if not current:
+        current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not current:
+        current = _LOCAL_FALLBACK.get(id(spark))
     if not current:
         current = tempfile.mkdtemp(prefix="tidepool-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        _LOCAL_FALLBACK[id(spark)] = current
+        try:
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # noqa: BLE001 - some deployments treat it as a core conf
+            pass
+        spark.sparkContext.setCheckpointDir(current)
     return current
 
 
+_LOCAL_FALLBACK: dict = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
