@@ -15,6 +15,13 @@ from tidepool.session import scratch_path
 from tidepool.sources import readers as rd
 
 
+def hour_bucket():
+    """Run-log window bucket: whole hours since the epoch of the wall-clock
+    time (pure NTZ arithmetic, monotonic in ts, independent of the session
+    time zone)."""
+    return F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+
+
 # ------------------------------------------- S7 write, S5/S1 read back
 
 def prepared_roundtrip_docs(spark, sf_dir):
@@ -86,7 +93,7 @@ def run_log_append(spark, sf_dir):
     mark = F.col("event_type") == "signup"
     split = F.when(F.col("event_type") == "error", F.lit("eval")).otherwise(F.lit("train"))
     m = sc.metrics_by_interval(e, "user_id", ["ts", "event_id"], mark, split, F.col("value"), F.lit(1.0),
-                               "loss", F.to_date("ts")).withColumnRenamed("user_id", "run")
+                               "loss", hour_bucket()).withColumnRenamed("user_id", "run")
     path = scratch_path(spark, "runlog")
     rd.append_run_log(m.where(F.col("split") == "eval"), path)
     rd.append_run_log(m.where(F.col("split") == "train"), path)

@@ -16,6 +16,13 @@ from tidepool.plans.sequence_queries import SQL_SHORT, short_docs, sql_md5_ids
 from tidepool.sources.readers import table
 
 
+def hour_bucket():
+    """Run-log window bucket: whole hours since the epoch of the wall-clock
+    time (pure NTZ arithmetic, monotonic in ts, independent of the session
+    time zone)."""
+    return F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+
+
 def scored_rows(spark, sf_dir):
     d = nz.apply_mask(noised_base(spark, sf_dir), MASK, "random", seed=2)
     d = d.withColumn("token_nll", sc.pseudo_token_nll(12, F.col("doc_id"), F.size("input_ids")))
@@ -82,7 +89,7 @@ def metrics_interval_events(spark, sf_dir):
     mark = F.col("event_type") == "signup"
     split = F.when(F.col("event_type") == "error", F.lit("eval")).otherwise(F.lit("train"))
     r = sc.metrics_by_interval(e, "user_id", ["ts", "event_id"], mark, split, F.col("value"), F.lit(1.0),
-                               "loss", F.to_date("ts"))
+                               "loss", hour_bucket())
     return r.select("user_id", F.col("eval_interval").cast("bigint").alias("eval_interval"), "split", "key",
                     F.round("value", 6).alias("value"))
 
@@ -109,7 +116,7 @@ def throughput_events(spark, sf_dir):
                                      "CAST(ts AS TIMESTAMP_NTZ))") / 1e6)
     start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
                    "TIMESTAMP_NTZ'2024-01-01 00:00:00')") / 1e6
-    r = sc.throughput(e, "user_id", "event_id", "t_sec", start, F.lit(8 * 4 * 2), F.to_date("ts"))
+    r = sc.throughput(e, "user_id", "event_id", "t_sec", start, F.lit(8 * 4 * 2), hour_bucket())
     return r.select("user_id", "event_id", F.round("steps_per_sec", 6).alias("steps_per_sec"),
                     F.round("samples_per_sec", 6).alias("samples_per_sec"))
 
