@@ -215,17 +215,19 @@ def vocab_table(df: DataFrame, text: str = "text", tokenizer=DEFAULT_TOKENIZER)
 
 
 def decode(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids",
-           skip_ids=(), out: str = "decoded") -> DataFrame:
+           skip_ids=(), out: str = "decoded", keep: tuple = ()) -> DataFrame:
     """Ids -> text (space-joined tokens) by a broadcast join against the
     vocabulary table (size bounded by the vocabulary), optionally skipping
-    special ids.  Unknown ids decode to ``<unk:ID>``."""
-    ex = df.select(key, F.posexplode(ids).alias("pos", "id"))
-    if skip_ids:
-        ex = ex.where(~F.col("id").isin(*[int(i) for i in skip_ids]))
+    special ids.  Unknown ids decode to ``<unk:ID>``.  One shuffle (the
+    regrouping by ``key``); rows with no kept id decode to ''.  ``keep``
+    columns are carried through the regrouping."""
+    ex = df.select(key, *keep, F.posexplode_outer(ids).alias("pos", "id"))
     j = ex.join(F.broadcast(vocab), "id", "left")
     tok = F.coalesce(F.col("token"), F.concat(F.lit("<unk:"), F.col("id").cast("string"), F.lit(">")))
-    agg = (j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", tok.alias("t")))).alias("_p")))
-    res = agg.select(key, F.array_join(F.transform("_p", lambda s: s["t"]), " ").alias(out))
-    # rows whose ids were all skipped (or empty) decode to ''
-    return (df.join(res, key, "left")
-            .withColumn(out, F.coalesce(F.col(out), F.lit(""))))
+    kept = F.col("id").isNotNull()
+    if skip_ids:
+        kept = kept & ~F.col("id").isin(*[int(i) for i in skip_ids])
+    entry = F.when(kept, F.struct("pos", tok.alias("t")))
+    agg = j.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_p"),
+                             *[F.first(c).alias(c) for c in keep])
+    return agg.select(key, *keep, F.array_join(F.transform("_p", lambda s: s["t"]), " ").alias(out))

@@ -100,10 +100,10 @@ def corpus_decode(spark, sf_dir):
     vocab = tk.vocab_table(d, "text", TOK)
     enc = tk.append_eos(tk.encode_text(d, "text", TOK).drop("text"), EOS)
     stripped = tk.strip_special(enc, [TOK.pad_token_id, EOS, TOK.bos_token_id], out="clean_ids")
+    stripped = stripped.withColumn("n_clean", F.size("clean_ids").cast("bigint"))
     dec = tk.decode(stripped, vocab, "doc_id", ids="input_ids",
-                    skip_ids=[TOK.pad_token_id, EOS, TOK.bos_token_id])
-    return dec.select("doc_id", F.md5("decoded").alias("decoded_md5"),
-                      F.size("clean_ids").cast("bigint").alias("n_clean"))
+                    skip_ids=[TOK.pad_token_id, EOS, TOK.bos_token_id], keep=("n_clean",))
+    return dec.select("doc_id", F.md5("decoded").alias("decoded_md5"), "n_clean")
 
 
 register("corpus_decode", f"""
