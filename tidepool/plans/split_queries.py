@@ -168,7 +168,7 @@ UNION ALL SELECT 'train', doc_id, lang, md5(text) FROM documents WHERE source =
 
 # ---------------------------------------------- P5 rename splits, U1
 
-def ultrachat_style_splits(spark, sf_dir):
+def renamed_splits_concat(spark, sf_dir):
     """P5 + U1: a source with train_sft/test_sft/other splits is renamed to
     train/test (others dropped), then concatenated with a second part."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -182,7 +182,7 @@ def ultrachat_style_splits(spark, sf_dir):
     return both.groupBy("part", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("key_sum"))
 
 
-register("ultrachat_style_splits", """
+register("renamed_splits_concat", """
 WITH r AS (
   SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN 'test'
                       WHEN source IN ('src2', 'src3') THEN NULL ELSE 'train' END AS split
@@ -191,4 +191,4 @@ WITH r AS (
 u AS (SELECT 'documents' AS part, split, doc_id FROM r WHERE split IS NOT NULL
       UNION ALL SELECT 'benchmark', 'train', item_id FROM benchmark)
 SELECT part, split, count(*)::BIGINT AS n, sum(doc_id)::BIGINT AS key_sum FROM u GROUP BY part, split
-""")(ultrachat_style_splits)
+""")(renamed_splits_concat)
