@@ -121,3 +121,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+from tidepool.llm import join_queries  # noqa: E402,F401 - registers the other queries
