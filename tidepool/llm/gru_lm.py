@@ -1,8 +1,8 @@
 """Scores of a gated recurrent language model with class-factored output.
 
 Training counts every word (and one end for each text) over all documents of
-the training fold.  The ``HEAD`` most frequent words are broadcast; all others
-are the tail, whose counts stay in a Spark table that is joined by word.
+the training fold.  The most frequent words, at most ``HEAD``, are broadcast; all
+others are the tail, whose counts stay in a Spark table that is joined by word.
 
 Words fall into classes: the end, the tail, and for the head a number of
 topics, each cut into bands of equal frequency mass.  Topics come from the
@@ -67,6 +67,21 @@ def count_words(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
 
 
+def most_frequent(counts: DataFrame, head: int) -> tuple[list[bytes], list[int]]:
+    """The words of at least the least frequency that at most ``head`` words
+    reach (frequencies are cut at eighths of powers of 2, so that the driver
+    sees a few hundred counts, and then those words; nothing is sorted)."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    left, least = head, None
+    for r in sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r.s):
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r.s
+    rows = counts.where(step >= least).collect() if least is not None else []
+    rows = sorted(rows, key=lambda r: (-r.c, r.word))
+    return [bytes(r.word) for r in rows], [r.c for r in rows]
+
+
 class Vocabulary:
     """The head: index, counts and class of each of its words."""
 
@@ -355,8 +370,7 @@ def learn(train: DataFrame, head: int = HEAD, rounds: int = ROUNDS):
     sc = train.sparkSession.sparkContext
     counts = saved(count_words(train), "counts")
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).collect()
-    words, c = [bytes(r.word) for r in top], [r.c for r in top]
+    words, c = most_frequent(counts, head)
     vocab = Vocabulary(words, c, total or 0, distinct)
     vocab = Vocabulary(words, c, total or 0, distinct, topics_of(vocab, shared_texts(train, vocab)))
     broad, weights = sc.broadcast(vocab), first_weights(vocab)
