@@ -61,6 +61,20 @@ FROM documents, range(2) t(e)
 """)(shuffle_epochs)
 
 
+def shuffle_positions_docs(spark, sf_dir):
+    """The place of every document in each epoch's order."""
+    d = sp.with_epochs(table(spark, sf_dir, "documents").select("doc_id"), 2)
+    d = sp.shuffle(d, "doc_id", seed=7, epoch=F.col("epoch"))
+    ranked = [sp.global_rank(d.where(F.col("epoch") == e), F.col("shuffle_key"), F.col("doc_id"), "position") for e in (0, 1)]
+    return ranked[0].unionByName(ranked[1]).select("doc_id", "epoch", "position")
+
+
+register("shuffle_positions_docs", f"""
+SELECT doc_id, e::INTEGER AS epoch, row_number() OVER (PARTITION BY e ORDER BY {sql_hash52(7, 'e', 'doc_id')}, doc_id) - 1 AS position
+FROM documents, range(2) t(e)
+""")(shuffle_positions_docs)
+
+
 # -------------------------------------------------- S2 chat mixture
 
 def _instructions(spark, root, opts):
@@ -141,7 +155,7 @@ SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c
 
 def _documents(spark, root, opts):
     d = table(spark, root, "documents").select("doc_id", "source", "lang", "text")
-    cfg = opts.pop("config", None)
+    cfg = opts.pop("name", None)
     if cfg is not None:
         d = d.where(F.col("source") == cfg)         # config = partition-like column, pushed down
     lang = opts.pop("lang", None)

@@ -1,74 +1,100 @@
-"""Mixture loading (S2 chat mixtures, S3 plain corpora).
+"""Mixture loading (S2 chat mixtures, S3 plain corpora, S5 through a spec).
 
-A spec names sources; each source resolves through a registry of
-``needle -> loader(spark, root, options) -> DataFrame``.  Every loader
-returns a DataFrame with a ``split`` column (P13 makes a lone dataset
-``train``).  Per-split limits follow the reference:
+A spec names sources; each resolves through a registry of
+``key -> loader(spark, root, options) -> DataFrame``.  A loader takes the
+options that it knows out of the mapping; what it leaves there is an error,
+as is a limit that is not a row count.  Every loader returns a DataFrame with
+a ``split`` column (P13 makes a lone dataset ``train``).  Limits by split:
 
-* multi-split source: cut each named split to its first n rows (L2);
-* one-split source with limits: every requested split is cut from the same
+* of a source with several splits, each named split is cut to its first n
+  rows (L2);
+* of a source with one split, every requested split is cut from the same
   rows, so they overlap (L3).
 
-Parts are merged split-wise by one ``unionByName`` (U2).
+Sources are merged split-wise by one ``unionByName`` (U2).
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.operators import normalise as nz
 from tidepool.operators import split as sp
-from tidepool.sources.spec import matches, parse_part, split_parts
+from tidepool.sources.readers import read_prepared
+from tidepool.sources.spec import Source, SpecError, find_loader, parse
+
+BASE_FOLDER = "TIDEPOOL_DATA"
 
 
-def _limits(opts: dict) -> dict:
-    return {k: v for k, v in opts.items() if isinstance(v, int)}
+def resolve(spark: SparkSession, name: str, base: str | None = None) -> str:
+    """The place of a source: ``name`` under the base folder (an argument, or
+    the folder named in ``TIDEPOOL_DATA``) if it is relative and there is
+    such a path, else ``name`` itself.  Asks Spark's file system."""
+    base = base or os.environ.get(BASE_FOLDER)
+    if not base or name.startswith("/") or "://" in name:
+        return name
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path.toString() if files.exists(path) else name
 
 
-def apply_limits(df: DataFrame, limits: dict, order_by: str) -> DataFrame:
+def apply_limits(df: DataFrame, limits: dict[str, int], order_by: str) -> DataFrame:
     if not limits:
         return df
-    splits = [r[0] for r in df.select("split").distinct().collect()]
-    if len(splits) == 1:
+    low, high = df.agg(F.min("split"), F.max("split")).first()
+    if low == high:
         return sp.derive_splits_overlapping(df.drop("split"), limits, order_by)
     return sp.limit_split(df, limits, order_by)
 
 
-def load_mixture(spark: SparkSession, spec: str, registry: dict, root: str,
-                 key: str = "key") -> DataFrame:
-    """Load, normalise, limit and merge every part of ``spec``."""
-    parts = split_parts(spec)
-    if not parts:
-        raise ValueError("Empty dataset spec.")
-    frames = []
-    for raw in parts:
-        name, opts = parse_part(raw)
-        if name is None:
-            raise ValueError(f"no dataset name in {raw!r}")
-        loader = next((fn for needle, fn in registry.items() if matches(name, needle)), None)
-        if loader is None:
-            raise ValueError(f"no loader for {name!r}")
-        df = nz.ensure_split(loader(spark, root, dict(opts)))
-        df = apply_limits(df, _limits(opts), key).withColumn("source", F.lit(name))
-        frames.append(df)
-    return sp.merge_splits(frames)
+def load_source(spark: SparkSession, source: Source, registry: dict, root: str) -> DataFrame:
+    """One source without its limits; options that its loader leaves raise."""
+    options = dict(source.options)
+    df = find_loader(source.name, registry)(spark, root, options)
+    for key, value in options.items():
+        raise SpecError(f"source {source.name!r} takes no option {key!r} (value {value!r}; a limit is a whole number)")
+    return nz.ensure_split(df)
 
 
-def load_corpus(spark: SparkSession, spec: str, registry: dict, root: str,
-                key: str = "key") -> DataFrame:
-    """S3: plain-text corpus mixture (batch).  ``name`` is always taken as a
-    config option; an empty spec is an error; no shuffle on this path."""
-    parts = split_parts(spec)
-    if not parts:
-        raise ValueError("Empty dataset_args for load_corpus.")
+def _merged(spark, spec: str, key: str, load) -> DataFrame:
+    sources = parse(spec)
+    if not sources:
+        raise SpecError("the dataset spec names no source")
     frames = []
-    for raw in parts:
-        name, opts = parse_part(raw)
-        config = opts.pop("name", None)
-        loader = next((fn for needle, fn in registry.items() if matches(name or "", needle)), None)
-        if loader is None:
-            raise ValueError(f"no loader for {name!r}")
-        df = nz.ensure_split(loader(spark, root, dict(opts, config=config)))
-        frames.append(apply_limits(df, _limits(opts), key).withColumn("source", F.lit(name)))
+    for s in sources:
+        if s.name is None:
+            raise SpecError(f"a source without a name in {spec!r}")
+        frames.append(apply_limits(load(s), s.limits, key).withColumn("source", F.lit(s.name)))
     return sp.merge_splits(frames)
+
+
+def load_mixture(spark: SparkSession, spec: str, registry: dict, root: str, key: str = "key") -> DataFrame:
+    """Load, normalise, limit and merge the sources of ``spec``.  An
+    option ``name`` is the loader's sub-config."""
+    return _merged(spark, spec, key, lambda s: load_source(spark, s, registry, root))
+
+
+def load_corpus(spark: SparkSession, spec: str, registry: dict, root: str, key: str = "key") -> DataFrame:
+    """S3: plain-text sources; the same rules, and no shuffle on this path."""
+    return load_mixture(spark, spec, registry, root, key)
+
+
+def load_prepared(spark: SparkSession, spec: str, base: str | None = None, key: str = "key") -> DataFrame:
+    """S5 through a spec: each source is the folder of a prepared dataset,
+    read without normalisers; ``name`` picks a config, limits apply."""
+    def load(s: Source) -> DataFrame:
+        options = dict(s.options)
+        df = read_prepared(spark, resolve(spark, s.name, base))
+        config = options.pop("name", None)
+        if config is not None:
+            if "config" not in df.columns:
+                raise SpecError(f"{s.name!r} has no configs")
+            df = df.where(F.col("config") == config)
+        for option in options:
+            raise SpecError(f"prepared source {s.name!r} takes no option {option!r}")
+        return nz.ensure_split(df)
+
+    return _merged(spark, spec, key, load)

@@ -7,15 +7,8 @@ parquet scan.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-TABLES = ("region nation customer supplier part orders lineitem events documents "
-          "embeddings pages benchmark labels conversations").split()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table (parquet)."""
@@ -62,10 +55,11 @@ def write_prepared(df: DataFrame, path: str, params: dict | None = None,
     """Write prepared data partitioned by split (and config when present)."""
     out = prepared_path(path, params)
     parts = [c for c in ("split", "config") if c in df.columns]
-    w = df.write.mode(mode)
     if parts:
-        w = w.partitionBy(*parts)
-    w.parquet(out)
+        # rows of a partition meet before the write; AQE splits what is large
+        df.hint("rebalance", *(F.col(c) for c in parts)).write.mode(mode).partitionBy(*parts).parquet(out)
+    else:
+        df.write.mode(mode).parquet(out)
     return out
 
 
@@ -74,43 +68,49 @@ def read_prepared(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-# Schema of one evaluation results file: results -> task -> metric -> value
-RESULTS_SCHEMA = T.StructType([
-    T.StructField("results", T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))),
-])
-
-
 def read_results(spark: SparkSession, pattern: str) -> DataFrame:
-    """Every ``*/results.json`` under a run folder -> long table
-    (path, task, metric, value).  Whole files are read with ``wholetext``."""
+    """Every ``*/results.json`` under a run folder as a long table
+    ``(path, task, metric, text, value)``.
+
+    Metric values are read as text, since files hold names and ``"N/A"`` beside
+    the numbers; ``value`` is null for what is not a number.  A task without
+    metrics keeps one row with a null metric; a file that cannot be read keeps
+    one row with a null task, so nothing is lost silently."""
     raw = spark.read.option("wholetext", True).text(pattern).withColumn("path", F.input_file_name())
-    parsed = raw.select("path", F.from_json("value", RESULTS_SCHEMA)["results"].alias("r"))
-    tasks = parsed.select("path", F.explode("r").alias("task", "metrics"))
-    return tasks.select("path", "task", F.explode("metrics").alias("metric", "value"))
+    results = F.from_json("value", "results map<string, map<string, string>>")["results"]
+    tasks = raw.select("path", F.explode_outer(results).alias("task", "metrics"))
+    metrics = tasks.select("path", "task", F.explode_outer("metrics").alias("metric", "text"))
+    return metrics.withColumn("value", F.col("text").try_cast("double"))
+
+
+def unreadable_results(results: DataFrame) -> DataFrame:
+    """The files among ``read_results`` that hold no task."""
+    return results.where("task is null").select("path")
 
 
 def write_results(df: DataFrame, base: str, run_col: str = "run", task_col: str = "task",
                   metric_col: str = "metric", value_col: str = "value") -> str:
-    """Write one ``results.json`` per run sub-folder from a long metric table.
-
-    The JSON text is built by Spark (``to_json``) and written with the text
-    sink, one file per run folder; nothing passes through the driver.
-    """
-    per_task = (df.groupBy(run_col, task_col)
-                .agg(F.map_from_entries(F.collect_list(F.struct(metric_col, value_col))).alias("m")))
+    """Write ``<run>/results.json`` for each run of a long metric table; a
+    task whose metric is null gets an empty map, and values may be numbers or
+    text.  The JSON text is built and written by Spark, one file a run; only
+    the files' names pass through the driver."""
+    entry = F.when(F.col(metric_col).isNotNull(), F.struct(F.col(metric_col), F.col(value_col)))
+    per_task = df.groupBy(run_col, task_col).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
     per_run = (per_task.groupBy(run_col)
                .agg(F.map_from_entries(F.collect_list(F.struct(task_col, "m"))).alias("results")))
-    out = per_run.select(F.col(run_col).cast("string").alias(run_col),
-                         F.to_json(F.struct("results")).alias("value"))
-    out.repartition(run_col).write.mode("overwrite").partitionBy(run_col).text(base)
+    out = per_run.select(F.col(run_col).cast("string").alias("run"), F.to_json(F.struct("results")).alias("value"))
+    out.repartition("run").write.mode("overwrite").partitionBy("run").text(base)
+    spark = df.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/run=*/part-*")):
+        files.rename(part.getPath(), spark._jvm.org.apache.hadoop.fs.Path(part.getPath().getParent(), "results.json"))
     return base
 
 
-def append_run_log(df: DataFrame, path: str, run_col: str = "run") -> None:
+def append_run_log(df: DataFrame, path: str, key: str = "key") -> None:
     """Append metric rows (or prompt/generation rows) to a log table
-    partitioned by run."""
-    df.write.mode("append").partitionBy(run_col).parquet(path)
-
-
-def to_json_lines(rows) -> str:
-    return "\n".join(json.dumps(r) for r in rows)
+    partitioned by ``key``, of which there are few (metric names, kinds of
+    log), not by run; rows are brought together by it before the write, so
+    each append adds one file a key and not one a task."""
+    df.repartition(key).write.mode("append").partitionBy(key).parquet(path)
