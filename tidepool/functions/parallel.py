@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Session setting: the number of partitions to deal rows over before CPU-heavy
+#: work.  Unset (the default): rows stay in the splits of the scan, which at
+#: scale are many; set it where a table is one small file.
+SPREAD = "spark.tidepool.spread"
 
-def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Hash-repartition ``df`` on ``key`` only when it has fewer partitions
-    than the cluster's default parallelism (e.g. one small file = one task).
 
-    On a large input the scan already yields thousands of splits and this is
-    a no-op, so no extra shuffle is paid at scale.  Hash partitioning on a
-    key keeps retries deterministic.
-    """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` over as many partitions as the session asks
+    for, or as it is."""
+    n = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(n), key) if n else df

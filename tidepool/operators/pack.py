@@ -1,19 +1,19 @@
 """Packing token sequences into fixed-length chunks (A2, A3).
 
-The reference concatenates every sequence of a map batch (1,000 rows per
-worker shard) and cuts it into ``seq_length`` chunks, losing a tail per
-batch.  Here the batch is an explicit ``pack_group`` (default: the document
-key divided by ``group_size``, so a group is bounded in documents whatever the
-data's skew) and the plan never explodes tokens:
+The reference concatenates the sequences of a map batch of 1,000 rows and cuts
+the result into ``seq_length`` chunks, losing a tail per batch.  Here the batch
+is an explicit ``pack_group``: the exact position of the row in key order
+divided by ``group_size``, so a group holds that many rows whatever the keys
+look like (dense, strided, hashed; rows with a null key come last).  Tokens are
+never exploded:
 
-1. window prefix sum of ``size(ids)`` inside the group, ordered by key
-   -> every document's [start, end) token offsets;
-2. each document emits one slice per chunk it overlaps
-   (``explode(sequence(first_chunk, last_chunk))``);
-3. slices meet per (group, chunk) and are concatenated in document order.
+1. a window prefix sum of ``size(ids)`` inside the group, ordered by key, gives
+   every sequence's [start, end) token offsets;
+2. each sequence is cut into one slice for each chunk that it overlaps, and the
+   slices are exploded, so no row carries the whole sequence more than once;
+3. slices meet per (group, chunk) and are concatenated in key order.
 
-Both steps shuffle on ``pack_group`` only once (the aggregation reuses the
-window's hash partitioning).  Each document's tokens move once.
+The aggregation reuses the window's partitioning.
 """
 
 from __future__ import annotations
@@ -21,10 +21,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.operators.split import global_rank
+from tidepool.operators.tokens import append_eos
+
 
 def assign_pack_group(df: DataFrame, key: str, group_size: int = 1000,
                       out: str = "pack_group") -> DataFrame:
-    return df.withColumn(out, F.floor(F.col(key) / F.lit(group_size)).cast("bigint"))
+    """Number the groups of ``group_size`` rows in the order of ``key``
+    (integral).  Best done before tokens are made, on the narrower rows."""
+    ranked = global_rank(df, F.col(key), F.col(key), "_rank")
+    return ranked.withColumn(out, F.floor(F.col("_rank") / F.lit(group_size)).cast("bigint")).drop("_rank")
 
 
 def pack(df: DataFrame, seq_length: int, key: str = "doc_id", ids: str = "input_ids",
@@ -34,34 +40,29 @@ def pack(df: DataFrame, seq_length: int, key: str = "doc_id", ids: str = "input_
 
     ``eos_id`` appends EOS to every sequence unless it already ends with it
     (the reference's ``insert_eos``).  ``drop_tail`` drops the incomplete last
-    chunk of every group; otherwise it is kept short.
+    chunk of every group; otherwise it is kept short.  A null sequence counts
+    as an empty one.
     """
-    L = int(seq_length)
+    size = int(seq_length)
     if group_col not in df.columns:
         df = assign_pack_group(df, key, group_size, group_col)
-    seq = F.col(ids)
+    df = df.select(group_col, key, F.coalesce(F.col(ids), F.array().cast("array<bigint>")).alias("_ids"))
     if eos_id is not None:
-        if not eos_id:
-            raise ValueError("eos id must be a non-zero id")
-        ends = (F.size(seq) > 0) & (F.element_at(seq, F.greatest(F.size(seq), F.lit(1))) == F.lit(eos_id))
-        seq = F.when(ends, seq).otherwise(F.concat(seq, F.array(F.lit(eos_id).cast("bigint"))))
-    base = df.select(group_col, key, seq.alias("_ids")).withColumn("_n", F.size("_ids").cast("bigint"))
-    w = (Window.partitionBy(group_col).orderBy(key)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    off = (base.where(F.col("_n") > 0)
-           .withColumn("_end", F.sum("_n").over(w))
+        df = append_eos(df, eos_id, "_ids")
+    w = Window.partitionBy(group_col).orderBy(F.col(key).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    off = (df.withColumn("_n", F.size("_ids").cast("bigint")).withColumn("_end", F.sum("_n").over(w))
            .withColumn("_start", F.col("_end") - F.col("_n")))
-    c0 = F.floor(F.col("_start") / L).cast("bigint")
-    c1 = F.floor((F.col("_end") - 1) / L).cast("bigint")
-    pieces = off.withColumn("chunk_id", F.explode(F.sequence(c0, c1)))
-    lo = F.greatest(F.col("_start"), F.col("chunk_id") * L)
-    hi = F.least(F.col("_end"), (F.col("chunk_id") + 1) * L)
-    pieces = pieces.select(group_col, "chunk_id", key,
-                           F.slice("_ids", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias("_p"))
-    chunks = (pieces.groupBy(group_col, "chunk_id")
-              .agg(F.array_sort(F.collect_list(F.struct(key, "_p"))).alias("_s"))
-              .select(group_col, "chunk_id",
-                      F.flatten(F.transform("_s", lambda s: s["_p"])).alias("input_ids")))
+    first, last = F.floor(F.col("_start") / size).cast("bigint"), F.floor((F.col("_end") - 1) / size).cast("bigint")
+
+    def piece(c):
+        lo, hi = F.greatest(F.col("_start"), c * size), F.least(F.col("_end"), (c + 1) * size)
+        return F.struct(c.alias("chunk_id"), F.slice("_ids", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias("p"))
+
+    cut = F.when(F.col("_n") > 0, F.transform(F.sequence(first, F.greatest(first, last)), piece))
+    pieces = (off.select(group_col, key, "_start", F.explode(cut).alias("c"))
+              .select(group_col, F.col("c.chunk_id").alias("chunk_id"), F.struct("_start", F.col("c.p").alias("p")).alias("s")))
+    chunks = (pieces.groupBy(group_col, "chunk_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+              .select(group_col, "chunk_id", F.flatten(F.col("s.p")).alias("input_ids")))
     if drop_tail:
-        chunks = chunks.where(F.size("input_ids") == L)
+        chunks = chunks.where(F.size("input_ids") == size)
     return chunks.withColumn("labels", F.col("input_ids"))

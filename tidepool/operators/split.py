@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from tidepool.functions.rand import hash52
 
 BUCKETS = 1 << 16
-SMALL_BUCKET = 100_000
 
 
 @dataclass(frozen=True)
@@ -36,59 +35,69 @@ class Cut:
     value_cut: int | None       # None: no row selected
     tiebreak_cut: object = None
     everything: bool = False    # n >= row count
+    nulls: bool = False         # every value, and null values up to the tiebreak
 
     def predicate(self, value: Column, tiebreak: Column) -> Column:
         if self.everything:
             return F.lit(True)
+        if self.nulls:
+            return value.isNotNull() if self.tiebreak_cut is None else value.isNotNull() | (tiebreak <= F.lit(self.tiebreak_cut))
         if self.value_cut is None:
             return F.lit(False)
         v = F.lit(self.value_cut)
-        if self.tiebreak_cut is None:
-            return value <= v
-        return (value < v) | ((value == v) & (tiebreak <= F.lit(self.tiebreak_cut)))
+        within = value <= v if self.tiebreak_cut is None else (value < v) | ((value == v) & (tiebreak <= F.lit(self.tiebreak_cut)))
+        return F.coalesce(within, F.lit(False))
+
+
+def _nth(v: DataFrame, col: str, lo: int, hi: int, need: int) -> tuple[int, int]:
+    """``(x, rest)``: the ``need``-th smallest value of an integral column
+    within [lo, hi], and its place among equal values."""
+    while lo < hi:
+        width = -(-(hi - lo + 1) // BUCKETS)      # ceil division
+        hist = (v.where((F.col(col) >= lo) & (F.col(col) <= hi))
+                .groupBy(F.expr(f"({col} - ({lo})) div {width}").alias("b")).count().collect())
+        for bucket, n in sorted((r["b"], r["count"]) for r in hist):
+            if need <= n:
+                break
+            need -= n
+        lo, hi = lo + bucket * width, min(hi, lo + (bucket + 1) * width - 1)
+    return lo, need
 
 
 def rank_cut(df: DataFrame, value: Column, tiebreak: Column, n: int | None = None,
              frac: float | None = None) -> Cut:
-    """Find the cut for the first ``n`` rows ordered by (value, tiebreak).
+    """Find the cut for the first ``n`` rows ordered by (value, tiebreak),
+    null values last.
 
     ``value`` must be integral.  Cost: one aggregation for bounds plus one
-    bounded histogram per refinement pass plus (only on ties) one ordered
-    take inside the single tied value.
+    bounded histogram per refinement pass.  Rows tied at the cut value are
+    resolved in the same way by an integral tiebreak (by the order of its
+    values otherwise).
     """
     v = df.select(value.cast("long").alias("_v"), tiebreak.alias("_t"))
-    stats = v.agg(F.min("_v"), F.max("_v"), F.count(F.lit(1))).first()
-    lo, hi, total = stats[0], stats[1], stats[2]
+    lo, hi, some, total = v.agg(F.min("_v"), F.max("_v"), F.count("_v"), F.count(F.lit(1))).first()
     if frac is not None:
         n = math.ceil(frac * total)
     if n <= 0:
         return Cut(n, None)
     if total == 0 or n >= total:
         return Cut(n, None, everything=total > 0 and n >= total)
-    need = n
-    while lo < hi:
-        width = -(-(hi - lo + 1) // BUCKETS)      # ceil division
-        b = F.expr(f"(_v - ({lo})) div {width}")
-        hist = (v.where((F.col("_v") >= lo) & (F.col("_v") <= hi))
-                .groupBy(b.alias("b")).count().collect())
-        cum = 0
-        for bucket, cnt in sorted((r["b"], r["count"]) for r in hist):
-            if cum + cnt >= need:
-                need -= cum
-                lo, hi = lo + bucket * width, min(hi, lo + (bucket + 1) * width - 1)
-                break
-            cum += cnt
-        if lo < hi and cnt <= SMALL_BUCKET:
-            # few rows left in range: one ordered take finds the exact cut row
-            row = (v.where((F.col("_v") >= lo) & (F.col("_v") <= hi))
-                   .orderBy("_v", "_t").offset(need - 1).limit(1).first())
-            return Cut(n, row[0], row[1])
-    tied = v.where(F.col("_v") == lo)
-    n_tied = tied.count()
-    if need >= n_tied:
-        return Cut(n, lo, None)
-    row = tied.select("_t").orderBy("_t").offset(need - 1).limit(1).first()
-    return Cut(n, lo, row[0])
+    if n > some:
+        return Cut(n, None, _tie(v.where("_v is null"), n - some), nulls=True)
+    cut, need = _nth(v, "_v", lo, hi, n)
+    tied = v.where(F.col("_v") == cut)
+    return Cut(n, cut, _tie(tied, need))
+
+
+def _tie(tied: DataFrame, need: int):
+    """The ``need``-th smallest tiebreak; None if all rows are needed."""
+    kind = tied.schema["_t"].dataType.typeName()
+    if need >= tied.count():
+        return None
+    if kind in ("byte", "short", "integer", "long"):
+        t = tied.select(F.col("_t").cast("long").alias("_t"))
+        return _nth(t, "_t", *t.agg(F.min("_t"), F.max("_t")).first(), need)[0]
+    return tied.select("_t").orderBy("_t").offset(need - 1).limit(1).first()[0]
 
 
 def first_n(df: DataFrame, n: int, order_by: str) -> DataFrame:
@@ -115,15 +124,18 @@ def split_exact(df: DataFrame, key: str, test_size: float = 0.05, seed: int = 42
 
 
 def limit_split(df: DataFrame, limits: dict, order_by: str, split_col: str = "split") -> DataFrame:
-    """L2: first-n per split (by ``order_by``); splits not named pass through;
-    limits naming absent splits are ignored; bigger n is harmless."""
-    present = [r[0] for r in df.select(split_col).distinct().collect()]
-    parts = []
-    for s in present:
-        part = df.where(F.col(split_col) == s)
-        n = limits.get(s)
-        parts.append(first_n(part, int(n), order_by) if n is not None else part)
-    return _union_all(parts, df)
+    """L2: first-n per split (by ``order_by``); splits that are not named and
+    rows without a split stay whole; limits naming absent splits do nothing;
+    bigger n is harmless.  One filter over the rows as they lie."""
+    keep = ~F.coalesce(F.col(split_col).isin(list(limits)), F.lit(False))
+    key = F.col(order_by)
+    for name, n in limits.items():
+        if n is None:
+            keep = keep | F.coalesce(F.col(split_col) == name, F.lit(False))
+            continue
+        cut = rank_cut(df.where(F.col(split_col) == name), key, key, int(n))
+        keep = keep | F.coalesce((F.col(split_col) == name) & cut.predicate(key.cast("long"), key), F.lit(False))
+    return df.where(keep)
 
 
 def derive_splits_overlapping(df: DataFrame, limits: dict, order_by: str,
@@ -136,7 +148,7 @@ def derive_splits_overlapping(df: DataFrame, limits: dict, order_by: str,
         if n is None:
             continue
         if not isinstance(n, int):
-            raise ValueError(f"limit for split {name!r} must be an integer, got {n!r}")
+            raise ValueError(f"split {name!r}: a row count is needed, not {n!r}")
         parts.append(first_n(df, n, order_by).withColumn(split_col, F.lit(name)))
     if not parts:
         return df.withColumn(split_col, F.lit("train"))
@@ -163,14 +175,14 @@ def derive_splits_disjoint(df: DataFrame, n_train: int | None, n_test: int | Non
 def derive_splits_named(df: DataFrame, n_train: int | None, n_test: int | None,
                         order_by: str, split_col: str = "split") -> DataFrame:
     """L4 for multi-split sources: the named split must exist (error)."""
-    present = {r[0] for r in df.select(split_col).distinct().collect()}
     out = []
     for name, n in (("train", n_train), ("test", n_test)):
         if n is None:
             continue
-        if name not in present:
-            raise ValueError(f"missing {name!r} split for {name} limit.")
-        out.append(first_n(df.where(F.col(split_col) == name), n, order_by))
+        part = df.where(F.col(split_col) == name)
+        if part.isEmpty():
+            raise ValueError(f"the source has no {name!r} split to limit")
+        out.append(first_n(part, n, order_by))
     return _union_all(out, df)
 
 
@@ -224,31 +236,82 @@ def with_epochs(df: DataFrame, n_epochs: int, epoch_col: str = "epoch") -> DataF
 
 # ------------------------------------------------------------ global rank
 
+#: A bucket of more rows than this is cut again before rows are numbered.
+HEAVY = 10_000
+
+
 def global_rank(df: DataFrame, value: Column, tiebreak: Column, out: str = "rank",
-                buckets: int = BUCKETS) -> DataFrame:
+                buckets: int = BUCKETS, heavy: int = HEAVY) -> DataFrame:
     """Exact 0-based position of every row in (value, tiebreak) order,
     without a single-partition window.
 
-    One bounded histogram (<= ``buckets`` value-range buckets) gives each
-    bucket's starting offset; the offsets table (bounded by ``buckets`` rows)
-    is broadcast, and a window ``row_number`` runs per bucket.  Buckets hold
-    about n / buckets rows each for well-spread values such as hashes.
+    Value ranges are counted in at most ``buckets`` buckets a pass.  A bucket
+    of more than ``heavy`` rows (and eight times the mean) becomes a range of
+    its own in the next pass, so an outlier or a dense region does not end in
+    one task; rows with one same value are cut by their tiebreak.  Each pass
+    broadcasts a table bounded by ``buckets``; the window numbers the rows of
+    one final bucket.  ``value`` must be integral; null values come last.
     """
+    kind = df.select(tiebreak.alias("t")).schema["t"].dataType.typeName()
+    order = tiebreak.cast("long") if kind in ("byte", "short", "integer", "long") else F.xxhash64(tiebreak)
+    exact = kind in ("byte", "short", "integer", "long")
     v = df.withColumn("_v", value.cast("long")).withColumn("_t", tiebreak)
-    stats = v.agg(F.min("_v"), F.max("_v")).first()
-    lo, hi = stats[0], stats[1]
-    if lo is None:
+    lo, hi, total = v.agg(F.min("_v"), F.max("_v"), F.count(F.lit(1))).first()
+    if not total:
         return v.withColumn(out, F.lit(None).cast("long")).drop("_v", "_t")
-    width = max(1, -(-(hi - lo + 1) // buckets))
-    v = v.withColumn("_b", F.expr(f"(_v - ({lo})) div {width}"))
-    hist = sorted((r["_b"], r["count"]) for r in v.groupBy("_b").count().collect())
-    offsets, cum = [], 0
-    for b, c in hist:
-        offsets.append((b, cum))
-        cum += c
-    spark = df.sparkSession
-    off = spark.createDataFrame(offsets, "_b long, _off long")
-    w = Window.partitionBy("_b").orderBy("_v", "_t")
-    return (v.join(F.broadcast(off), "_b")
+    lo, hi = (0, 0) if lo is None else (lo, hi)
+    # null values form a range of their own behind all others
+    v = v.withColumn("_g", F.when(F.col("_v").isNull(), 1).otherwise(0).cast("long")).withColumn("_o", order)
+    open_groups = {0: (lo, hi, "_v"), 1: None}
+    limit = max(heavy, 8 * total // buckets)
+    spark, ids = df.sparkSession, 2
+    # order of groups: a path of bucket numbers
+    path = {0: (0,), 1: (1,)}
+    counts = {r["_g"]: r["count"] for r in v.groupBy("_g").count().collect()}
+    final = {}
+    if counts.get(1, 0) > limit and exact:
+        a, b = v.where("_g = 1").agg(F.min("_o"), F.max("_o")).first()
+        open_groups[1] = (a, b, "_o") if a is not None and a < b else None
+    for g in (0, 1):
+        if g in counts and (open_groups[g] is None or counts[g] <= limit):
+            final[g] = counts[g]
+            open_groups[g] = None
+    live = {g: r for g, r in open_groups.items() if r is not None and g in counts}
+    while live:
+        share = max(2, buckets // len(live))
+        table = [(g, a, max(1, -(-(b - a + 1) // share)), c == "_v") for g, (a, b, c) in live.items()]
+        at = spark.createDataFrame(table, "_g long, _lo long, _w long, _byv boolean")
+        v = (v.join(F.broadcast(at), "_g", "left")
+             .withColumn("_b", F.expr("CASE WHEN _w IS NOT NULL THEN ((CASE WHEN _byv THEN _v ELSE _o END) - _lo) DIV _w END")))
+        hist = (v.where("_b is not null").groupBy("_g", "_b")
+                .agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("o1"), F.max("_o").alias("o2")).collect())
+        width = {g: w for g, _, w, _ in table}
+        moves, nxt = [], {}
+        for r in hist:
+            g, b, n = r["_g"], r["_b"], r["n"]
+            a, _, col = live[g]
+            path[ids] = (*path[g], b)
+            moves.append((g, b, ids))
+            first = a + b * width[g]
+            if n <= limit:
+                final[ids] = n
+            elif width[g] > 1:
+                nxt[ids] = (first, min(live[g][1], first + width[g] - 1), col)
+            elif col == "_v" and exact and r["o1"] is not None and r["o1"] < r["o2"]:
+                nxt[ids] = (r["o1"], r["o2"], "_o")
+            else:
+                final[ids] = n
+            ids += 1
+        move = spark.createDataFrame(moves, "_g long, _b long, _to long")
+        v = (v.join(F.broadcast(move), ["_g", "_b"], "left").withColumn("_g", F.coalesce("_to", "_g"))
+             .drop("_lo", "_w", "_byv", "_b", "_to"))
+        live = nxt
+    rows, before = [], 0
+    for g in sorted(final, key=path.__getitem__):
+        rows.append((g, before))
+        before += final[g]
+    off = spark.createDataFrame(rows, "_g long, _off long")
+    w = Window.partitionBy("_g").orderBy(F.col("_v").asc_nulls_last(), "_t")
+    return (v.join(F.broadcast(off), "_g")
             .withColumn(out, F.col("_off") + F.row_number().over(w) - 1)
-            .drop("_v", "_t", "_b", "_off"))
+            .drop("_v", "_t", "_g", "_o", "_off"))

@@ -30,6 +30,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.tidepool.spread", cpus)  # test tables are one small file each
         .config("spark.driver.memory", os.environ.get("TIDEPOOL_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
@@ -41,26 +42,23 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator and points at shared storage.
-    Only when it is unset (tests, local runs) do we choose a local folder.
+    On a cluster it is set by whoever runs it and lies in shared storage;
+    without it this raises, since a folder of the driver's machine would not be
+    seen by the executors.  Only in local mode (tests) is one made.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        current = _LOCAL_FALLBACK.get(id(spark))
+    current = spark.conf.get("spark.checkpoint.dir", None) or _CHOSEN.get(spark.sparkContext.applicationId)
     if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="tidepool-ckpt-")
-        _LOCAL_FALLBACK[id(spark)] = current
-        try:
-            spark.conf.set("spark.checkpoint.dir", current)
-        except Exception:  # noqa: BLE001 - some deployments treat it as a core conf
-            pass
+    if _CHOSEN.get(spark.sparkContext.applicationId) != current:
+        _CHOSEN[spark.sparkContext.applicationId] = current
         spark.sparkContext.setCheckpointDir(current)
     return current
 
 
-_LOCAL_FALLBACK: dict = {}
+#: the folder in use, by Spark application
+_CHOSEN: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
