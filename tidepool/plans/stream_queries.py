@@ -1,7 +1,7 @@
-"""Streaming queries (S4, L4, L5, U3, T1–T4).  Each stream runs over all
-available input (``availableNow``) into a sink under the shared checkpoint
-folder; the registered query returns the sink read back as a batch frame,
-so it can be compared with the batch computation."""
+"""Streaming queries (S4, L4, L5, U3, T1–T4).  Each stream reads the table
+where it lies, runs over all available input (``availableNow``) into a sink
+under the shared checkpoint folder, and the registered query returns the sink
+read back, so that it can be compared with the batch computation."""
 
 from __future__ import annotations
 
@@ -19,19 +19,33 @@ from tidepool.streaming import streams as st
 EOS = TOK.eos_token_id
 
 
-def _doc_parts(spark, sf_dir, n_parts=4):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    base = scratch_path(spark, "doc-parts")
-    st.write_parts(docs, base, n_parts, "doc_id")
-    return f"{base}/*/*.parquet", docs.schema
+def _documents(spark, root, options):
+    t = table(spark, root, "documents")
+    lang = options.pop("lang", None)
+
+    def select(df):
+        df = df if lang is None else df.where(F.col("lang") == lang)
+        return df.select("doc_id", "lang", "text")
+
+    return st.StreamTable(f"{root.rstrip('/')}/documents.parquet", t.schema, select)
+
+
+def _benchmark(spark, root, options):
+    return st.StreamTable(f"{root.rstrip('/')}/benchmark.parquet", table(spark, root, "benchmark").schema,
+                          lambda df: df.select(F.col("item_id").alias("doc_id"), F.lit("bench").alias("lang"), "text"))
+
+
+STREAMS = {"documents": _documents, "benchmark": _benchmark}
+
+
+def _docs(spark, sf_dir):
+    return st.stream_corpus(spark, "local/documents", STREAMS, sf_dir)[0]
 
 
 # ------------------------------------------------------- S4 + T1 + T3
 
 def stream_filter_clip_docs(spark, sf_dir):
-    path, schema = _doc_parts(spark, sf_dir)
-    s = st.stream_corpus(spark, [path], schema, max_files_per_trigger=1)
-    s = tk.encode_text(s, "text", TOK).drop("text")
+    s = tk.encode_text(_docs(spark, sf_dir), "text", TOK).drop("text")
     s = tk.clip(tk.filter_length(s, 512), 128, "right")
     out, ck = scratch_path(spark, "t1-out"), scratch_path(spark, "t1-ck")
     st.run_to_parquet(s.select("doc_id", "input_ids"), out, ck)
@@ -46,18 +60,19 @@ FROM e WHERE len(ids) <= 512
 """)(stream_filter_clip_docs)
 
 
-# ------------------------------------------------ T2 exact (keyed state)
+# ------------------------------------------------ T2 exact (carried lanes)
+
+#: A lane of the query holds this many documents' ids in a row.
+LANE_DOCS = 500
+
 
 def stream_pack_stateful_docs(spark, sf_dir):
-    path, schema = _doc_parts(spark, sf_dir)
-    s = st.stream_corpus(spark, [path], schema, max_files_per_trigger=1)
-    s = tk.encode_text(s, "text", TOK).withColumn("lane", F.pmod(hash52(21, F.col("doc_id")), F.lit(2)))
-    chunks = st.pack_stateful(s, 128, "lane", eos_id=EOS)
+    s = tk.encode_text(_docs(spark, sf_dir), "text", TOK)
+    s = s.withColumn("lane", F.floor(F.col("doc_id") / LANE_DOCS).cast("long"))
     out, ck = scratch_path(spark, "t2-out"), scratch_path(spark, "t2-ck")
-    st.run_to_parquet(chunks, out, ck)
-    r = spark.read.parquet(out)
-    return r.select("lane", "chunk_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
-                    md5_of_ids("input_ids").alias("ids_md5"))
+    st.pack_lanes(s, out, ck, 128, eos_id=EOS)
+    return st.read_lanes(spark, out).select("lane", "chunk_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                                            md5_of_ids("input_ids").alias("ids_md5"))
 
 
 def _sql_lane_pack(group: str, L: int) -> str:
@@ -71,7 +86,7 @@ ch AS (SELECT g, gp // {L} AS chunk_id, string_agg(id::VARCHAR, ',' ORDER BY gp)
        FROM pos GROUP BY g, gp // {L})"""
 
 
-register("stream_pack_stateful_docs", _sql_lane_pack(f"{sql_hash52(21, 'doc_id')} % 2", 128) + """
+register("stream_pack_stateful_docs", _sql_lane_pack(f"doc_id // {LANE_DOCS}", 128) + """
 SELECT g::BIGINT AS lane, chunk_id::BIGINT AS chunk_id, n::BIGINT AS n_tokens, md5(s) AS ids_md5
 FROM ch WHERE n = 128
 """)(stream_pack_stateful_docs)
@@ -80,20 +95,15 @@ FROM ch WHERE n = 128
 # ----------------------------------------- T2 reference shape (per batch)
 
 def stream_pack_per_batch_docs(spark, sf_dir):
-    path, schema = _doc_parts(spark, sf_dir)
-    s = st.stream_corpus(spark, [path], schema, max_files_per_trigger=1)
-    s = tk.encode_text(s, "text", TOK).select("doc_id", "input_ids")
+    s = tk.encode_text(_docs(spark, sf_dir), "text", TOK).select("doc_id", "input_ids")
     out, ck = scratch_path(spark, "t2b-out"), scratch_path(spark, "t2b-ck")
     st.pack_per_batch(s, out, ck, 128, eos_id=EOS)
     r = spark.read.parquet(out)
-    return r.select(F.col("batch_id").cast("bigint").alias("batch_id"), "chunk_id",
-                    F.size("input_ids").cast("bigint").alias("n_tokens"), md5_of_ids("input_ids").alias("ids_md5"))
+    return r.select("pack_group", "chunk_id", F.size("input_ids").cast("bigint").alias("n_tokens"), md5_of_ids("input_ids").alias("ids_md5"))
 
 
-register("stream_pack_per_batch_docs", _sql_lane_pack(
-    "(doc_id - (SELECT min(doc_id) FROM documents)) // "
-    "(((SELECT max(doc_id) - min(doc_id) + 1 FROM documents) + 3) // 4)", 128) + """
-SELECT g::BIGINT AS batch_id, chunk_id::BIGINT AS chunk_id, n::BIGINT AS n_tokens, md5(s) AS ids_md5
+register("stream_pack_per_batch_docs", _sql_lane_pack("(row_number() OVER (ORDER BY doc_id) - 1) // 1000", 128) + """
+SELECT g::BIGINT AS pack_group, chunk_id::BIGINT AS chunk_id, n::BIGINT AS n_tokens, md5(s) AS ids_md5
 FROM ch WHERE n = 128
 """)(stream_pack_per_batch_docs)
 
@@ -101,56 +111,53 @@ FROM ch WHERE n = 128
 # ------------------------------------------------ L4 on a stream, U3
 
 def stream_splits_docs(spark, sf_dir):
-    path, schema = _doc_parts(spark, sf_dir)
-    bench = table(spark, sf_dir, "benchmark")
-    bpath = scratch_path(spark, "bench-part")
-    bench.select(F.col("item_id").alias("doc_id"), F.lit("bench").alias("lang"), "text").coalesce(1) \
-        .write.parquet(bpath)
-    # Two sources in one stream; the first part's rows are tagged
-    s = st.stream_corpus(spark, [path, bpath], schema, max_files_per_trigger=1)
-    s = s.where(F.col("source_rank") == 0).select("doc_id", "lang")
+    """Two sources of one spec in one stream; the first has limits."""
+    s, sources = st.stream_corpus(spark, "local/documents[train:300,test:50] + local/benchmark", STREAMS, sf_dir)
     out, ck = scratch_path(spark, "l4-out"), scratch_path(spark, "l4-ck")
-    st.derive_splits_stream(s, out, ck, n_train=300, n_test=50, order_in_batch="doc_id")
-    return spark.read.parquet(out).select("doc_id", "lang", "split", F.col("position").cast("bigint"))
+    st.split_stream(s.select("source_rank", "doc_id", "lang"), sources, out, ck, order_in_batch="doc_id")
+    return spark.read.parquet(out).select("source_rank", "doc_id", "lang", "split", F.col("position").cast("bigint"))
 
 
 register("stream_splits_docs", """
 WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents)
-SELECT doc_id, lang, CASE WHEN position < 50 THEN 'test' ELSE 'train' END AS split, position::BIGINT AS position
+SELECT 0 AS source_rank, doc_id, lang, CASE WHEN position < 50 THEN 'test' ELSE 'train' END AS split, position::BIGINT AS position
 FROM r WHERE position < 350
+UNION ALL
+SELECT 1, item_id, 'bench', 'train', (row_number() OVER (ORDER BY item_id) - 1)::BIGINT FROM benchmark
 """)(stream_splits_docs)
 
 
 # ------------------------------------------------------------- L5 take
 
 def stream_take_docs(spark, sf_dir):
-    path, schema = _doc_parts(spark, sf_dir)
-    s = st.stream_take(st.stream_corpus(spark, [path], schema), 100).select("doc_id", "lang")
+    """Which rows a stream gives first is not fixed, so the query shows how
+    many were taken, how many are different and how many belong to the table."""
+    s = st.stream_take(_docs(spark, sf_dir), 100).select("doc_id", "lang")
     out, ck = scratch_path(spark, "l5-out"), scratch_path(spark, "l5-ck")
     st.run_to_parquet(s, out, ck)
-    return spark.read.parquet(out)
+    taken = spark.read.parquet(out)
+    whole = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(1).alias("here"))
+    return taken.join(whole, ["doc_id", "lang"], "left").agg(
+        F.count(F.lit(1)).alias("n_taken"), F.count_distinct("doc_id").alias("n_distinct"), F.count("here").alias("n_of_table"))
 
 
-register("stream_take_docs")(stream_take_docs)
+register("stream_take_docs", """
+SELECT least(count(*), 100)::BIGINT AS n_taken, least(count(*), 100)::BIGINT AS n_distinct, least(count(*), 100)::BIGINT AS n_of_table
+FROM documents
+""")(stream_take_docs)
 
 
 # ----------------------------------------------------- T4 running metrics
 
 def stream_running_metrics(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    base = scratch_path(spark, "events-parts")
-    st.write_parts(ev.select("event_id", "user_id", "event_type", "value"), base, 4, "event_id")
-    s = spark.readStream.schema("event_id long, user_id long, event_type string, value double") \
-        .option("maxFilesPerTrigger", 1).parquet(f"{base}/*/*.parquet")
-    s = s.withColumn("split", F.when(F.col("event_type") == "error", "eval").otherwise("train")) \
-        .withColumn("w", F.lit(1.0))
-    agg = st.running_metrics(s, "user_id", "split", "value", "w")
-    name = "running_metrics_" + scratch_path(spark, "q").rsplit("-", 1)[-1]
-    q = (agg.writeStream.format("memory").queryName(name).outputMode("complete")
-         .option("checkpointLocation", scratch_path(spark, "t4-ck")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    r = spark.table(name)
-    return r.select("user_id", "split", F.round("mean", 6).alias("mean"), F.col("weight").cast("bigint").alias("weight"))
+    ev = st.StreamTable(f"{sf_dir.rstrip('/')}/events.parquet", table(spark, sf_dir, "events").schema,
+                        lambda df: df.select("event_id", "user_id", "event_type", "value"))
+    s = st.read_stream(spark, ev)
+    s = s.withColumn("split", F.when(F.col("event_type") == "error", "eval").otherwise("train")).withColumn("w", F.lit(1.0))
+    out = scratch_path(spark, "t4-out")
+    st.write_updates(st.running_metrics(s, "user_id", "split", "value", "w"), out, scratch_path(spark, "t4-ck"))
+    return st.latest(spark, out, ["user_id", "split"]).select(
+        "user_id", "split", F.round("mean", 6).alias("mean"), F.col("weight").cast("bigint").alias("weight"))
 
 
 register("stream_running_metrics", """

@@ -1,47 +1,81 @@
 """Structured Streaming versions of the corpus path.
 
-* ``stream_corpus`` — file-source streams with a declared schema (no row
-  probe, T3), one per part, combined by streaming ``union`` (U3).
+* ``stream_corpus`` — one file stream per source of a spec, read where the
+  table lies, with a declared schema (no row probe, T3), combined by streaming
+  ``union`` (U3).  How many files a trigger takes is the caller's choice.
 * ``stream_take`` — streaming ``limit`` (L5).
 * T1 — the batch operators (F4, F5, A4 …) are plain ``select``/``where`` and
   apply unchanged to streaming DataFrames.
-* ``pack_per_batch`` — T2 in the reference's shape: ``foreachBatch`` packs
-  every micro-batch on its own (tail lost per micro-batch); writes are
-  idempotent per batch id.
-* ``pack_stateful`` — T2 exact: ``applyInPandasWithState`` keyed by lane
-  keeps the leftover ids of each lane between micro-batches, so chunk
-  borders do not depend on batch boundaries.
-* ``derive_splits_stream`` — L4 on a stream: positions are assigned in
-  ``foreachBatch`` with a counter persisted next to the checkpoint.
-* ``running_metrics`` — T4: streaming aggregation of the weighted means.
+* ``pack_per_batch`` — T2 in the reference's shape: every micro-batch is packed
+  on its own, in groups of rows (tails are lost per group).
+* ``pack_lanes`` — T2 exact: each lane's leftover ids are carried from one
+  micro-batch to the next in a small table, so chunk borders do not depend on
+  batch boundaries.
+* ``split_stream`` — L4 on a stream: positions by source, carried likewise.
+* ``running_metrics`` / ``write_updates`` — T4: streaming aggregation of the
+  weighted means; each micro-batch writes the keys that changed.
+
+Writes of ``foreachBatch`` are named by the batch id and overwrite, so a batch
+that is run again after a failure replaces its own output.
 """
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from tidepool.operators import pack as pk
-
-
-def stream_corpus(spark: SparkSession, paths: list[str], schema, max_files_per_trigger: int = 1) -> DataFrame:
-    """S4 + U3: one file stream per part, unioned; ``source_rank`` records
-    the part (Spark does not keep order across parts)."""
-    parts = []
-    for rank, p in enumerate(paths):
-        s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-             .parquet(p).withColumn("source_rank", F.lit(rank)))
-        parts.append(s)
-    out = parts[0]
-    for s in parts[1:]:
-        out = out.union(s)
-    return out
+from tidepool.operators.split import global_rank
+from tidepool.sources.spec import Source, SpecError, find_loader, parse
+
+
+@dataclass
+class StreamTable:
+    """What a stream loader gives: where the files lie, their schema, and
+    what is selected from them."""
+
+    path: str
+    schema: StructType
+    select: Callable[[DataFrame], DataFrame] = lambda df: df
+
+
+def read_stream(spark: SparkSession, table: StreamTable, files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(table.schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    folder, _, name = table.path.rstrip("/").rpartition("/")
+    if not _is_folder(spark, table.path):  # a table of one file: its folder, that name only
+        return table.select(reader.option("pathGlobFilter", name).parquet(folder))
+    return table.select(reader.parquet(table.path))
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+def stream_corpus(spark: SparkSession, spec: str, registry: dict, root: str,
+                  files_per_trigger: int | None = None) -> tuple[DataFrame, list[Source]]:
+    """S4 + U3: the sources of ``spec`` as one stream with a ``source_rank``
+    column (Spark keeps no order across sources), and the sources, whose
+    limits ``split_stream`` applies.  Loaders take their options from the
+    mapping and return a ``StreamTable``; what they leave is an error."""
+    sources = parse(spec)
+    if not sources:
+        raise SpecError("the dataset spec names no source")
+    out = None
+    for rank, s in enumerate(sources):
+        options = dict(s.options)
+        table = find_loader(s.name, registry)(spark, root, options)
+        for key in options:
+            raise SpecError(f"stream source {s.name!r} takes no option {key!r}")
+        part = read_stream(spark, table, files_per_trigger).withColumn("source_rank", F.lit(rank))
+        out = part if out is None else out.union(part)
+    return out, sources
 
 
 def stream_take(df: DataFrame, n: int) -> DataFrame:
@@ -56,89 +90,109 @@ def run_to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append
     q.awaitTermination()
 
 
+def run_batches(df: DataFrame, each, checkpoint: str, mode: str = "append") -> None:
+    """Drive a stream over everything available now through ``foreachBatch``."""
+    q = (df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+         .outputMode(mode).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def _carried(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    """The table that the batch before left (empty before the first)."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch={batch_id - 1}")
+
+
 def pack_per_batch(df: DataFrame, out: str, checkpoint: str, seq_length: int, key: str = "doc_id",
-                   eos_id: int | None = None) -> None:
-    """T2, reference shape: every micro-batch is packed on its own (its
-    incomplete tail is dropped); output partitioned by batch id and
-    overwritten per batch, so a retried batch replaces its own output."""
+                   eos_id: int | None = None, group_size: int = 1000) -> None:
+    """T2, reference shape: every micro-batch is packed on its own, in groups
+    of ``group_size`` rows in key order, whose incomplete tails are dropped."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        chunks = pk.pack(batch.withColumn("pack_group", F.lit(batch_id).cast("bigint")), seq_length,
-                         key=key, eos_id=eos_id)
-        (chunks.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
+        (pk.pack(batch, seq_length, key=key, eos_id=eos_id, group_size=group_size)
+         .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
 
-    q = (df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    run_batches(df, each, checkpoint)
 
 
-CHUNK_SCHEMA = "lane long, chunk_id long, input_ids array<long>"
-STATE_SCHEMA = "carry array<long>, next_chunk long"
-
-
-def _pack_lane(seq_length: int, eos_id: int | None):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lane = int(key[0])
-        if state.exists:
-            carry, nxt = state.get
-            carry = [int(x) for x in carry]
-        else:
-            carry, nxt = [], 0
-        frames = [p for p in pdfs]
-        rows = pd.concat(frames).sort_values("doc_id") if frames else pd.DataFrame(columns=["doc_id", "input_ids"])
-        out_ids, out_chunk = [], []
-        for ids in rows["input_ids"]:
-            seq = [int(x) for x in ids]
-            if eos_id is not None and (not seq or seq[-1] != eos_id):
-                seq.append(eos_id)
-            carry.extend(seq)
-            while len(carry) >= seq_length:
-                out_ids.append(carry[:seq_length])
-                out_chunk.append(nxt)
-                carry = carry[seq_length:]
-                nxt += 1
-        state.update((carry, int(nxt)))
-        yield pd.DataFrame({"lane": [lane] * len(out_ids), "chunk_id": out_chunk, "input_ids": out_ids})
-    return fn
-
-
-def pack_stateful(df: DataFrame, seq_length: int, lane_col: str = "lane", eos_id: int | None = None) -> DataFrame:
-    """T2 exact: keyed state per lane carries the leftover ids; every
-    complete chunk is emitted once.  Within a micro-batch a lane's rows are
-    taken in ``doc_id`` order.  A lane's carry is at most ``seq_length - 1``
-    ids, so state stays small whatever the stream length."""
-    return (df.select(lane_col, "doc_id", "input_ids").groupBy(lane_col)
-            .applyInPandasWithState(_pack_lane(seq_length, eos_id), CHUNK_SCHEMA, STATE_SCHEMA,
-                                    "append", GroupStateTimeout.NoTimeout))
-
-
-def derive_splits_stream(df: DataFrame, out: str, checkpoint: str, n_train: int, n_test: int,
-                         order_in_batch: str) -> None:
-    """L4 on a stream (offset/sort are not allowed on streams): the first
-    ``n_test`` rows of the stream are ``test``, the next ``n_train`` are
-    ``train``.  Positions come from a counter stored beside the checkpoint
-    and advanced per batch id, so a replayed batch gets the same positions."""
-    counter_dir = checkpoint.rstrip("/") + "_positions"
+CARRY = "lane long, next_chunk long, input_ids array<long>"
+
+
+def pack_lanes(df: DataFrame, out: str, checkpoint: str, seq_length: int, lane: str = "lane", key: str = "doc_id",
+               ids: str = "input_ids", eos_id: int | None = None) -> None:
+    """T2 exact: chunks ``(lane, chunk_id, input_ids, labels)``.  A lane's rows
+    of a micro-batch follow the ids that the lane has left over, in key order;
+    fewer than ``seq_length`` ids are carried on.  The number of lanes, and so
+    of tasks, is the caller's: any number of keys in ``lane`` will do."""
+    carry = checkpoint.rstrip("/") + "_carry"
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        before = _carried(batch.sparkSession, carry, batch_id, CARRY)
+        if eos_id is not None:
+            from tidepool.operators.tokens import append_eos
+            batch = append_eos(batch, eos_id, ids)
+        rows = batch.select(F.col(lane).cast("long").alias("lane"), F.col(key).cast("long").alias("_key"), F.lit(1).alias("_late"), F.col(ids).alias("input_ids"))
+        rows = rows.union(before.select("lane", F.lit(None).cast("long"), F.lit(0), "input_ids"))
+        # carried ids come first in their lane: the order key is a struct
+        rows = rows.select("lane", F.struct("_late", "_key").alias("_at"), "input_ids")
+        chunks = pk.pack(rows, seq_length, key="_at", group_col="lane", drop_tail=False)
+        chunks = chunks.join(before.select("lane", "next_chunk"), "lane", "left")
+        chunks = chunks.withColumn("chunk_id", F.col("chunk_id") + F.coalesce("next_chunk", F.lit(0)))
+        path = f"{out}/batch_id={batch_id}"
+        chunks.select("lane", "chunk_id", "input_ids", "labels").write.mode("overwrite").parquet(path + "/all")
+        made = batch.sparkSession.read.parquet(path + "/all")
+        full = F.size("input_ids") == seq_length
+        made.where(full).write.mode("overwrite").parquet(path + "/full")
+        state = made.groupBy("lane").agg(
+            F.max(F.when(full, F.col("chunk_id"))).alias("last"), F.min("chunk_id").alias("low"),
+            F.first(F.when(~full, F.col("input_ids")), ignorenulls=True).alias("input_ids"))
+        state = state.select("lane", F.coalesce(F.col("last") + 1, F.col("low")).alias("next_chunk"),
+                             F.coalesce("input_ids", F.array().cast("array<long>")).alias("input_ids"))
+        quiet = before.join(state.select("lane"), "lane", "left_anti")
+        state.union(quiet).write.mode("overwrite").parquet(f"{carry}/batch={batch_id}")
+
+    run_batches(df, each, checkpoint)
+
+
+def read_lanes(spark: SparkSession, out: str) -> DataFrame:
+    """The complete chunks that ``pack_lanes`` wrote."""
+    return spark.read.parquet(f"{out}/batch_id=*/full")
+
+
+COUNTS = "source_rank int, n long"
+
+
+def split_stream(df: DataFrame, sources: list[Source], out: str, checkpoint: str, order_in_batch: str) -> None:
+    """L4 on a stream (offset and sort are not allowed on streams): of each
+    source, the first ``test`` rows are ``test`` and the next ``train`` rows
+    ``train``; without limits all its rows are ``train``.  A source's rows are
+    counted on from batch to batch; the counts are one row a source."""
+    counts = checkpoint.rstrip("/") + "_counts"
+    for s in sources:
+        for name in s.limits.keys() - {"train", "test"}:
+            raise SpecError(f"stream source {s.name!r}: only train and test can be limited, not {name!r}")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        start = 0
-        if batch_id > 0:
-            prev = spark.read.json(f"{counter_dir}/batch={batch_id - 1}").first()
-            start = prev["end"]
-        n = batch.count()
-        from tidepool.operators.split import global_rank
-        ranked = global_rank(batch, F.col(order_in_batch), F.col(order_in_batch), out="_pos")
-        pos = F.col("_pos") + F.lit(start)
-        res = (ranked.where(pos < n_train + n_test)
-               .withColumn("split", F.when(pos < n_test, "test").otherwise("train"))
-               .withColumn("position", pos).drop("_pos"))
+        before = {r.source_rank: r.n for r in _carried(spark, counts, batch_id, COUNTS).collect()}
+        now = {r["source_rank"]: r["count"] for r in batch.groupBy("source_rank").count().collect()}
+        parts = []
+        for rank, s in enumerate(sources):
+            rows = batch.where(F.col("source_rank") == rank)
+            rows = global_rank(rows, F.col(order_in_batch), F.col(order_in_batch), out="position")
+            rows = rows.withColumn("position", F.col("position") + F.lit(before.get(rank, 0)))
+            test, train = s.limits.get("test", 0), s.limits.get("train")
+            if s.limits:
+                rows = rows.where(F.col("position") < test + (train or 0))
+            parts.append(rows.withColumn("split", F.when(F.col("position") < test, "test").otherwise("train")))
+        res = parts[0]
+        for p in parts[1:]:
+            res = res.unionByName(p)
         res.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        spark.createDataFrame([(start + n,)], "end long").write.mode("overwrite").json(
-            f"{counter_dir}/batch={batch_id}")
+        total = [(k, before.get(k, 0) + now.get(k, 0)) for k in range(len(sources))]
+        spark.createDataFrame(total, COUNTS).write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
 
-    q = (df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    run_batches(df, each, checkpoint)
 
 
 def running_metrics(df: DataFrame, run: str, split: str, value: str, weight: str) -> DataFrame:
@@ -149,23 +203,16 @@ def running_metrics(df: DataFrame, run: str, split: str, value: str, weight: str
                  F.sum(weight).alias("weight")))
 
 
-def write_parts(df: DataFrame, base: str, n_parts: int, order_col: str) -> list[str]:
-    """Lay a table out as ``n_parts`` files with increasing ``order_col``
-    ranges, written one after another so their modification times give the
-    file stream a deterministic order.  Every row is written."""
-    bounds = df.agg(F.min(order_col), F.max(order_col)).first()
-    lo, hi = bounds[0], bounds[1]
-    width = -(-(hi - lo + 1) // n_parts)
-    paths = []
-    for k in range(n_parts):
-        p = f"{base}/part{k:04d}"
-        (df.where((F.col(order_col) >= lo + k * width) & (F.col(order_col) < lo + (k + 1) * width))
-         .coalesce(1).write.mode("overwrite").parquet(p))
-        paths.append(p)
-    return paths
-
-
-def dump_json(path: str, obj) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as fh:
-        json.dump(obj, fh)
+def write_updates(agg: DataFrame, out: str, checkpoint: str) -> None:
+    """Write the keys that each micro-batch changed, in update mode."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    run_batches(agg, each, checkpoint, "update")
+
+
+def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The last written row of each key."""
+    rows = spark.read.parquet(out)
+    last = F.max_by(F.struct(*(c for c in rows.columns if c not in (*keys, "batch_id"))), "batch_id").alias("_r")
+    return rows.groupBy(*keys).agg(last).select(*keys, "_r.*")
