@@ -47,7 +47,7 @@ SPECIAL_PATTERN = r"(<\|[a-z_]+\|>)"
 @dataclass(frozen=True)
 class SpecialIds:
     """Special-token configuration with the reference's fallbacks:
-    pad <- eos, eos <- pad, bos <- pad, mask always present, eot by family."""
+    pad <- eos, eos <- pad, bos <- pad, mask added if missing, eot by family."""
 
     pad: int | None = None
     eos: int | None = None
@@ -55,13 +55,16 @@ class SpecialIds:
     mask: int | None = None
     eot: int | None = None
 
-    def resolved(self) -> "SpecialIds":
+    def resolved(self, vocab_size: int | None = None) -> "SpecialIds":
+        """All ids.  A missing mask id becomes a new token behind a vocabulary
+        of ``vocab_size`` ids; without that size it cannot be known."""
+        if self.mask is None and vocab_size is None:
+            raise ValueError("no mask id: name one, or the vocabulary's size to add a mask token behind it")
         pad = self.pad if self.pad is not None else self.eos
         eos = self.eos if self.eos is not None else pad
-        bos = self.bos if self.bos is not None else pad
-        mask = self.mask if self.mask is not None else STANDIN_SPECIALS["<|mask|>"]
-        eot = self.eot if self.eot is not None else eos
-        return SpecialIds(pad=pad, eos=eos, bos=bos, mask=mask, eot=eot)
+        return SpecialIds(pad=pad, eos=eos, bos=self.bos if self.bos is not None else pad,
+                          mask=self.mask if self.mask is not None else vocab_size,
+                          eot=self.eot if self.eot is not None else eos)
 
 
 @dataclass
@@ -132,7 +135,8 @@ class FileTokenizer:
         with open(path, encoding="utf-8") as fh:
             self._json = fh.read()
         self.add_special_tokens = add_special_tokens
-        sp = (specials or SpecialIds()).resolved()
+        from tokenizers import Tokenizer
+        sp = (specials or SpecialIds()).resolved(Tokenizer.from_str(self._json).get_vocab_size())
         self.pad_token_id, self.eos_token_id = sp.pad, sp.eos
         self.bos_token_id, self.mask_token_id, self.eot_token_id = sp.bos, sp.mask, sp.eot
 

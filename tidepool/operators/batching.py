@@ -127,13 +127,21 @@ def prompt_batch_left(df: DataFrame, block_size: int, pad_id: int, batch_key: st
 # ------------------------------------------------------------- validation
 
 def label_violations(df: DataFrame, ids: str = "input_ids", labels: str = "labels") -> Column:
-    """V1 predicate: some position has label != -100 and id != label."""
+    """V1 predicate: ids and labels differ in length, or at some position the
+    label is not -100 and not the id.  Never null: a missing value is a
+    violation."""
     pairs = F.arrays_zip(F.col(ids).alias("x"), F.col(labels).alias("y"))
-    return F.exists(pairs, lambda p: (p["y"] != F.lit(IGNORE)) & (p["y"] != p["x"]))
+    wrong = F.exists(pairs, lambda p: ~p["y"].eqNullSafe(F.lit(IGNORE)) & ~p["y"].eqNullSafe(p["x"]))
+    return F.coalesce((F.size(ids) != F.size(labels)) | wrong, F.lit(True))
+
+
+def too_long(max_length: int, context: str = "context_ids", continuation: str = "continuation_ids") -> Column:
+    """V2 predicate: context and continuation together exceed ``max_length``."""
+    return F.size(context) + F.size(continuation) > max_length
 
 
 def length_rejects(df: DataFrame, max_length: int, context: str = "context_ids",
                    continuation: str = "continuation_ids") -> DataFrame:
-    """V2: requests whose context + continuation exceed ``max_length``."""
-    total = F.size(context) + F.size(continuation)
-    return df.where(total > max_length).withColumn("total_len", total)
+    """V2: the requests that are too long, with their length."""
+    return (df.where(too_long(max_length, context, continuation))
+            .withColumn("total_len", F.size(context) + F.size(continuation)))

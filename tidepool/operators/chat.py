@@ -70,7 +70,13 @@ def render(msgs: Column, template: str = "chatml", add_generation_prompt=False)
         fn = TEMPLATES[template.lower()]
     except KeyError:
         raise ValueError(f"unknown template {template!r}; available: {sorted(TEMPLATES)}") from None
-    return fn(msgs, add_generation_prompt)
+    return F.when(~incomplete(msgs), fn(msgs, add_generation_prompt))
+
+
+def incomplete(msgs: Column) -> Column:
+    """Some message has no role or no content; such a conversation renders to
+    null as a whole (it is not rendered without the message) and is a reject."""
+    return F.coalesce(F.exists(msgs, lambda m: m.isNull() | m["role"].isNull() | m["content"].isNull()), F.lit(True))
 
 
 def render_chat(df: DataFrame, template: str = "chatml", add_generation_prompt: bool = False,
@@ -107,10 +113,16 @@ def encode_sft(df: DataFrame, tokenizer=DEFAULT_TOKENIZER, template: str = "chat
             .withColumn("labels", mask_prefix(F.col("input_ids"), F.col("prompt_len"))))
 
 
+def sft_reject_reason(df: DataFrame, messages: str = "messages") -> Column:
+    """V3 as a column: why a row is unfit, null if it is fit."""
+    last = F.coalesce(F.get(F.col(messages), F.size(messages) - 1)["role"], F.lit(""))
+    return (F.when(incomplete(F.col(messages)), F.lit("message_without_content"))
+            .when(F.col("prompt_len") > F.size("input_ids"), F.lit("prompt_longer_than_render"))
+            .when(last != "assistant", F.lit("last_role_not_assistant")))
+
+
 def sft_rejects(df: DataFrame, messages: str = "messages") -> DataFrame:
-    """V3: rows whose last role is not assistant or whose prompt is longer
-    than the full render (where the reference's label slice would extend)."""
-    bad_role = F.coalesce(_last_role(F.col(messages)) != "assistant", F.lit(True))
-    too_long = F.col("prompt_len") > F.size("input_ids")
-    return df.where(bad_role | too_long).withColumn(
-        "reason", F.when(too_long, F.lit("prompt_longer_than_render")).otherwise(F.lit("last_role_not_assistant")))
+    """V3: rows with a message that lacks role or content, whose last role is
+    not assistant, or whose prompt is longer than the full render (where the
+    reference's label slice would extend), with the reason."""
+    return df.withColumn("reason", sft_reject_reason(df, messages)).where("reason is not null")

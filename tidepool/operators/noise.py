@@ -140,16 +140,18 @@ def mc_counts(k: Column, L: Column, b: int) -> Column:
                        lambda i: F.pmod(F.rint(k + i * (L / F.lit(float(b)))).cast("bigint") - 1, L) + 1)
 
 
-def mc_perturb(df: DataFrame, key: str, target_len: str, mc_num: int, batch: int, seed: int) -> DataFrame:
+def mc_perturb(df: DataFrame, key: str, target_len: str, mc_num: int, batch: int, seed: int,
+               parts: int | None = None) -> DataFrame:
     """``max(1, mc_num // batch)`` loops × ``batch`` copies per request;
     per loop ``k ~ U{1..L}``; copy i masks ``x_i`` of the L target positions
     uniformly without replacement (the x_i positions with the smallest
-    draws); ``p = x / L``.  Rows grow ×loops×batch, so requests are spread
-    over partitions before the explode."""
+    draws); ``p = x / L``.  Rows grow ×loops×batch: the loops are
+    dealt over ``parts`` partitions (default: the cluster's parallelism; an
+    explicit number, which AQE leaves alone) before the copies are made."""
     loops = max(1, mc_num // batch)
     L = F.col(target_len)
-    rows = (df.repartition(key)
-            .withColumn("loop", F.explode(F.sequence(F.lit(0), F.lit(loops - 1))))
+    rows = (df.withColumn("loop", F.explode(F.sequence(F.lit(0), F.lit(loops - 1))))
+            .repartition(parts or df.sparkSession.sparkContext.defaultParallelism, key, "loop")
             .withColumn("_k", uniform_int(seed, F.lit(1), L, F.lit("k"), F.col(key), F.col("loop")))
             .withColumn("_x", mc_counts(F.col("_k"), L, batch))
             .select("*", F.posexplode("_x").alias("copy", "n_masked"))

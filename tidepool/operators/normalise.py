@@ -99,7 +99,7 @@ def norm_reasoning(df: DataFrame, keep: tuple = (), with_rejects: bool = False):
     )
     good = df.where(ok).select(*keep, msgs.alias("messages"))
     if with_rejects:
-        return good, df.where(~ok | F.col("thinking_trajectories").isNull())
+        return good, df.where(~F.coalesce(ok, F.lit(False)))
     return good
 
 

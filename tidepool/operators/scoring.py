@@ -3,8 +3,8 @@
 
 Hot keys: a run (or any partition key) may hold a large share of the rows.
 Running counts and lags therefore use a two-level plan — a window inside
-(key, time bucket) plus a small per-bucket table carried across buckets —
-instead of one window over the whole key.  Per-sequence work (top-k, token
+(key, time bucket), buckets being bounded in rows, plus a small per-bucket
+table carried across buckets — instead of one window over the whole key.  Per-sequence work (top-k, token
 sums) stays inside the row as array expressions.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.rand import uniform
+from tidepool.operators.split import global_rank
 
 IGNORE = -100
 
@@ -30,12 +31,17 @@ def pseudo_token_nll(seed, key: Column, n: Column) -> Column:
 
 def weighted_token_values(df: DataFrame, nll: str = "token_nll", weight: str = "loss_weight",
                           masked: str = "masked", labels: str = "labels") -> DataFrame:
-    """Per row: sum of masked & weighted NLL (value) and count of eligible
-    positions (weight), the two quantities every G-metric needs."""
-    vals = F.zip_with(F.col(nll), F.col(masked), lambda v, m: F.when(m, v).otherwise(F.lit(0.0)))
-    row_value = F.aggregate(vals, F.lit(0.0), lambda a, v: a + v) * F.col(weight)
-    row_elig = F.size(F.filter(F.col(labels), lambda y: y != F.lit(IGNORE)))
-    return df.withColumn("row_value", row_value).withColumn("row_eligible", row_elig.cast("bigint"))
+    """Per row, the quantities that the G-metrics need: ``row_value``, the
+    weighted NLL of all masked positions (the loss, G3); ``row_nll``, that of
+    the masked positions with a label (the metric, G1); ``row_eligible``, the
+    number of positions with a label.  Suffix and curriculum masks also cover
+    positions without one, so the two sums differ."""
+    at = F.transform(F.arrays_zip(F.col(nll).alias("v"), F.col(masked).alias("m"), F.col(labels).alias("y")), lambda p: F.struct(
+        F.when(p["m"], p["v"]).otherwise(F.lit(0.0)).alias("v"), (p["y"] != F.lit(IGNORE)).alias("e")))
+    df = df.withColumn("_at", at)
+    total = lambda only: F.aggregate("_at", F.lit(0.0), lambda a, p: a + (F.when(p["e"], p["v"]).otherwise(F.lit(0.0)) if only else p["v"]))
+    return (df.withColumn("row_value", total(False) * F.col(weight)).withColumn("row_nll", total(True) * F.col(weight))
+            .withColumn("row_eligible", F.size(F.filter("_at", lambda p: p["e"])).cast("bigint")).drop("_at"))
 
 
 def nll_by_split(df: DataFrame, split: str = "split") -> DataFrame:
@@ -43,7 +49,7 @@ def nll_by_split(df: DataFrame, split: str = "split") -> DataFrame:
     tokens, masked or not) and perplexity = exp(mean NLL).  Partial + final
     aggregation; no group is collected."""
     return (df.groupBy(split)
-            .agg(F.sum("row_value").alias("_v"), F.sum("row_eligible").alias("n_eligible"))
+            .agg(F.sum("row_nll").alias("_v"), F.sum("row_eligible").alias("n_eligible"))
             .select(split, (F.col("_v") / F.col("n_eligible")).alias("nll"),
                     F.exp(F.col("_v") / F.col("n_eligible")).alias("ppl"), "n_eligible"))
 
@@ -61,6 +67,15 @@ def normalise_loss(df: DataFrame, batch: str = "batch_id") -> DataFrame:
 
 # ------------------------------------------------ hot-key-safe windows
 
+def time_buckets(df: DataFrame, time: Column, tiebreak: str, rows: int = 100_000, out: str = "bucket") -> DataFrame:
+    """Adds a bucket number that grows with ``time`` (integral, for example
+    microseconds): the exact position of the row in the whole log divided by
+    ``rows``.  A (run, bucket) then holds at most that many rows, also where
+    one run logs most of them within a moment."""
+    ranked = global_rank(df, time, F.col(tiebreak), out="_at")
+    return ranked.withColumn(out, F.floor(F.col("_at") / rows).cast("long")).drop("_at")
+
+
 def running_count(df: DataFrame, key: str, order: list[str], flag: Column, bucket: Column,
                   out: str = "running", inclusive: bool = False) -> DataFrame:
     """Running count of ``flag`` per ``key`` in ``order``, computed as
@@ -74,11 +89,18 @@ def running_count(df: DataFrame, key: str, order: list[str], flag: Column, bucke
     per = d.groupBy(key, "_bk").agg(F.sum("_f").alias("_cnt"))
     carry = per.withColumn("_before", F.coalesce(F.sum("_cnt").over(
         Window.partitionBy(key).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (d.join(carry.select(key, "_bk", "_before"), [key, "_bk"])
+    return (_same_bucket(d, carry, key, "_before")
             .withColumn(out, F.col("_before") + F.col("_in"))
             .drop("_bk", "_f", "_in", "_before"))
 
 
+def _same_bucket(d: DataFrame, carried: DataFrame, key: str, col: str) -> DataFrame:
+    """``d`` with the carried value of its (key, bucket); a null key or
+    bucket is a key like others."""
+    c = carried.select(F.col(key).alias("_key"), F.col("_bk").alias("_cbk"), col)
+    return d.join(c, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bk").eqNullSafe(F.col("_cbk"))).drop("_key", "_cbk")
+
+
 def bucketed_lag(df: DataFrame, key: str, order: list[str], cols: list[str], bucket: Column,
                  prefix: str = "prev_") -> DataFrame:
     """``lag(col)`` over (key ORDER BY order) without a whole-key window:
@@ -91,7 +113,7 @@ def bucketed_lag(df: DataFrame, key: str, order: list[str], cols: list[str], buc
     d = d.withColumn("_first", F.row_number().over(w) == 1)
     last = d.groupBy(key, "_bk").agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
     lastp = last.withColumn("_plast", F.lag("_last").over(Window.partitionBy(key).orderBy("_bk")))
-    d = d.join(lastp.select(key, "_bk", "_plast"), [key, "_bk"])
+    d = _same_bucket(d, lastp, key, "_plast")
     for c in cols:
         d = d.withColumn(prefix + c, F.when(F.col("_first"), F.col("_plast")[c]).otherwise(F.col(prefix + c)))
     return d.drop("_bk", "_first", "_plast")

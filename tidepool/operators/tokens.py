@@ -214,20 +214,57 @@ def vocab_table(df: DataFrame, text: str = "text", tokenizer=DEFAULT_TOKENIZER)
             .agg(F.min("token").alias("token")))
 
 
-def decode(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids",
-           skip_ids=(), out: str = "decoded", keep: tuple = ()) -> DataFrame:
-    """Ids -> text (space-joined tokens) by a broadcast join against the
-    vocabulary table (size bounded by the vocabulary), optionally skipping
-    special ids.  Unknown ids decode to ``<unk:ID>``.  One shuffle (the
-    regrouping by ``key``); rows with no kept id decode to ''.  ``keep``
-    columns are carried through the regrouping."""
-    ex = df.select(key, *keep, F.posexplode_outer(ids).alias("pos", "id"))
-    j = ex.join(F.broadcast(vocab), "id", "left")
-    tok = F.coalesce(F.col("token"), F.concat(F.lit("<unk:"), F.col("id").cast("string"), F.lit(">")))
-    kept = F.col("id").isNotNull()
-    if skip_ids:
-        kept = kept & ~F.col("id").isin(*[int(i) for i in skip_ids])
-    entry = F.when(kept, F.struct("pos", tok.alias("t")))
-    agg = j.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_p"),
-                             *[F.first(c).alias(c) for c in keep])
-    return agg.select(key, *keep, F.array_join(F.transform("_p", lambda s: s["t"]), " ").alias(out))
+#: A vocabulary of at most this many bytes is sent to the tasks whole.
+VOCAB_BYTES = 64 << 20
+
+
+def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", skip_ids=(), out: str = "decoded") -> DataFrame:
+    """Ids -> text (tokens joined by a space), skipping special ids;
+    unknown ids decode to ``<unk:ID>``, no ids to an empty text.
+
+    The vocabulary's size is measured.  Within ``VOCAB_BYTES`` it is broadcast
+    once as two Arrow arrays and every batch is decoded by array look-ups: no
+    row per token and no shuffle.  Beyond that it is joined by id."""
+    need = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 8), F.lit(0))).first()[0]
+    if need > VOCAB_BYTES:
+        return _decode_joined(df, vocab, ids, skip_ids, out)
+    known = df.sparkSession.sparkContext.broadcast(sorted((r["id"], r["token"]) for r in vocab.collect()))
+    skip, columns = [int(i) for i in skip_ids], df.columns
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        keys = np.array([i for i, _ in known.value], np.int64)
+        tokens = pa.array([t for _, t in known.value], pa.string())
+        for b in batches:
+            lists = b.column(columns.index(ids))
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            keep = ~np.isin(flat, skip)
+            flat, row = flat[keep], row[keep]
+            at = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
+            found = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
+            text = pc.take(tokens, pa.array(np.where(found, at, 0), mask=~found)) if len(keys) else pa.nulls(len(flat), pa.string())
+            if not found.all():
+                text = pc.fill_null(text, "") if not len(flat) else pc.if_else(
+                    pa.array(found), text, pa.array([f"<unk:{i}>" for i in flat.tolist()]))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(n))))).astype(np.int32)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), text), " ")
+            yield pa.RecordBatch.from_arrays([*b.columns, joined], names=[*columns, out])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{fields}, `{out}` string")
+
+
+def _decode_joined(df: DataFrame, vocab: DataFrame, ids: str, skip_ids, out: str) -> DataFrame:
+    """The same by a join on the distinct ids of each row, for a vocabulary
+    that is too large to send."""
+    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    pairs = keyed.select("_row", F.explode(F.array_distinct(ids)).alias("id")).join(vocab, "id")
+    maps = pairs.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("id", "token"))).alias("_m"))
+    kept = F.filter(ids, lambda i: ~i.isin(*[int(x) for x in skip_ids])) if skip_ids else F.col(ids)
+    token = lambda i: F.coalesce(F.try_element_at("_m", i), F.concat(F.lit("<unk:"), i.cast("string"), F.lit(">")))
+    return (keyed.join(maps, "_row", "left").withColumn(out, F.coalesce(F.array_join(F.transform(kept, token), " "), F.lit("")))
+            .drop("_row", "_m"))

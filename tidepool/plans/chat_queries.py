@@ -154,12 +154,14 @@ FROM x WHERE prompt <> '' AND response <> ''
 # ----------------------------------------------------------- P3 reasoning
 
 def reasoning_messages_chat(spark, sf_dir):
-    rows = nz.reasoning_rows(table(spark, sf_dir, "conversations"))
-    msgs = nz.norm_reasoning(rows, keep=("conv_id",))
+    """Rows without a trace are reported, not lost."""
+    turns = table(spark, sf_dir, "conversations").where((F.col("conv_id") % 9 != 0) | (F.col("role") != "assistant"))
+    msgs, rejects = nz.norm_reasoning(nz.reasoning_rows(turns), keep=("conv_id",), with_rejects=True)
     m = F.col("messages")
-    return msgs.select("conv_id", F.md5(F.concat(
+    good = msgs.select("conv_id", F.md5(F.concat(
         F.lit("user\x01"), m[0]["content"], F.lit("\x02assistant\x01"), m[1]["content"],
-        F.lit("\x01"), m[1]["reasoning_content"])).alias("messages_md5"))
+        F.lit("\x01"), m[1]["reasoning_content"])).alias("messages_md5"), F.lit(0).alias("rejected"))
+    return good.unionByName(rejects.select("conv_id", F.lit(None).cast("string").alias("messages_md5"), F.lit(1).alias("rejected")))
 
 
 register("reasoning_messages_chat", """
@@ -167,8 +169,9 @@ WITH r AS (
   SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS question,
          list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS tr,
          arg_max(text, turn) FILTER (WHERE role = 'assistant') AS attempt
-  FROM conversations GROUP BY conv_id
+  FROM conversations WHERE conv_id % 9 <> 0 OR role <> 'assistant' GROUP BY conv_id
 )
-SELECT conv_id, md5('user' || chr(1) || question || chr(2) || 'assistant' || chr(1) || attempt || chr(1) || tr[1]) AS messages_md5
-FROM r WHERE len(tr) > 0
+SELECT conv_id, CASE WHEN len(tr) > 0 THEN md5('user' || chr(1) || question || chr(2) || 'assistant' || chr(1) || attempt || chr(1) || tr[1]) END AS messages_md5,
+  CASE WHEN len(tr) > 0 THEN 0 ELSE 1 END AS rejected
+FROM r
 """)(reasoning_messages_chat)

@@ -23,9 +23,15 @@ def docs_encoded(spark, sf_dir, cols=("doc_id",)):
 
 # ------------------------------------------------------------------ packing
 
+def grouped_docs(docs):
+    """Documents with the group of 1,000 rows that they are packed in, one
+    group a partition; tokens are made after that."""
+    return tk.encode_text(pk.assign_pack_group(docs, "doc_id", 1000).repartition("pack_group"), "text", TOK)
+
+
 def corpus_pack(spark, sf_dir):
-    enc = docs_encoded(spark, sf_dir)
-    chunks = pk.pack(enc, 128, key="doc_id", group_size=1000, drop_tail=True, eos_id=EOS)
+    enc = grouped_docs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    chunks = pk.pack(enc, 128, key="doc_id", drop_tail=True, eos_id=EOS)
     return chunks.select("pack_group", "chunk_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
                          md5_of_ids("input_ids").alias("ids_md5"),
                          (F.col("input_ids") == F.col("labels")).cast("int").alias("labels_equal"))
@@ -35,7 +41,7 @@ def _sql_pack(where: str, L: int, keep_tail: bool) -> str:
     tail = "" if keep_tail else f"WHERE n = {L}"
     return f"""
 WITH docs AS (
-  SELECT doc_id, doc_id // 1000 AS g, {TOK.sql_encode('text')} AS ids FROM documents {where}
+  SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS g, {TOK.sql_encode('text')} AS ids FROM documents {where}
 ),
 eos AS (
   SELECT doc_id, g, CASE WHEN len(ids) > 0 AND ids[len(ids)] = {EOS} THEN ids
@@ -56,9 +62,8 @@ register("corpus_pack", _sql_pack("", 128, False))(corpus_pack)
 
 def corpus_pack_en_keep_tail(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    d = spread(nz.lang_equals(d, "en", lang_col="lang"), "doc_id")
-    enc = tk.encode_text(d, "text", TOK).drop("text", "lang")
-    chunks = pk.pack(enc, 256, key="doc_id", group_size=1000, drop_tail=False, eos_id=EOS)
+    enc = grouped_docs(nz.lang_equals(d, "en", lang_col="lang").drop("lang"))
+    chunks = pk.pack(enc, 256, key="doc_id", drop_tail=False, eos_id=EOS)
     return chunks.select("pack_group", "chunk_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
                          md5_of_ids("input_ids").alias("ids_md5"),
                          (F.col("input_ids") == F.col("labels")).cast("int").alias("labels_equal"))
@@ -94,15 +99,14 @@ FROM enc GROUP BY source, lang
 # ------------------------------------------------------------------ decode
 
 def corpus_decode(spark, sf_dir):
-    """P12 + P11: decode stand-in ids back to text through a broadcast
-    vocabulary join, skipping special ids (EOS appended first, then stripped)."""
+    """P12 + P11: decode stand-in ids back to text through the measured and
+    broadcast vocabulary, skipping special ids (EOS appended, then stripped)."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     vocab = tk.vocab_table(d, "text", TOK)
     enc = tk.append_eos(tk.encode_text(d, "text", TOK).drop("text"), EOS)
     stripped = tk.strip_special(enc, [TOK.pad_token_id, EOS, TOK.bos_token_id], out="clean_ids")
     stripped = stripped.withColumn("n_clean", F.size("clean_ids").cast("bigint"))
-    dec = tk.decode(stripped, vocab, "doc_id", ids="input_ids",
-                    skip_ids=[TOK.pad_token_id, EOS, TOK.bos_token_id], keep=("n_clean",))
+    dec = tk.decode(stripped.select("doc_id", "n_clean", "input_ids"), vocab, skip_ids=[TOK.pad_token_id, EOS, TOK.bos_token_id])
     return dec.select("doc_id", F.md5("decoded").alias("decoded_md5"), "n_clean")
 
 

@@ -10,18 +10,12 @@ from tidepool.functions.text import md5_of_ids
 from tidepool.functions.tokenizer import DEFAULT_TOKENIZER as TOK
 from tidepool.operators import normalise as nz, scoring as sc, split as sp, tokens as tk
 from tidepool.plans.chat_queries import sql_split
+from tidepool.plans.metric_queries import run_log
 from tidepool.plans.registry import register
 from tidepool.session import scratch_path
 from tidepool.sources import readers as rd
 
 
-def hour_bucket():
-    """Run-log window bucket: whole hours since the epoch of the wall-clock
-    time (pure NTZ arithmetic, monotonic in ts, independent of the session
-    time zone)."""
-    return F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
-
-
 # ------------------------------------------- S7 write, S5/S1 read back
 
 def prepared_roundtrip_docs(spark, sf_dir):
@@ -45,58 +39,81 @@ FROM s WHERE (source = 'src3' AND split = 'train') OR split = 'test'
 """)(prepared_roundtrip_docs)
 
 
+# --------------------------------- S6 all configs or one, F3 by config
+
+def configs_roundtrip_docs(spark, sf_dir):
+    """Documents written in three configs, whose language column differs;
+    read back as all configs in one scan with the language filter, and as
+    one named config."""
+    names = F.array(*(F.lit(c) for c in sorted(nz.LANG_COLUMN_CONFIGS)))
+    d = rd.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    d = d.withColumn("config", F.get(names, (F.col("doc_id") % 3).cast("int")))
+    qa = F.col("config") == "synthetic_qa"
+    d = d.withColumn("program_lang", F.when(qa, F.col("lang"))).withColumn("lang", F.when(~qa, F.col("lang")))
+    path = rd.write_prepared(d, scratch_path(spark, "configs"))
+    every = rd.read_all_configs(spark, path, normaliser=lambda df: nz.lang_equals(df, "en"))
+    one = rd.read_all_configs(spark, path, config="synthetic_qa")
+    both = every.withColumn("part", F.lit("en of all")).unionByName(one.withColumn("part", F.lit("synthetic_qa")))
+    return both.groupBy("part", "config").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("key_sum"),
+                                              F.sum(F.length("text")).alias("n_chars"))
+
+
+register("configs_roundtrip_docs", """
+WITH d AS (SELECT doc_id, lang, text, (['algorithmic_corpus', 'synthetic_code_snippet', 'synthetic_qa'])[doc_id % 3 + 1] AS config FROM documents),
+u AS (SELECT 'en of all' AS part, * FROM d WHERE lang = 'en' UNION ALL SELECT 'synthetic_qa', * FROM d WHERE config = 'synthetic_qa')
+SELECT part, config, count(*)::BIGINT AS n, sum(doc_id)::BIGINT AS key_sum, sum(length(text))::BIGINT AS n_chars FROM u GROUP BY part, config
+""")(configs_roundtrip_docs)
+
+
 # --------------------------------------- S8 results files + G6 summary
 
 def _task_metrics(spark, sf_dir):
+    """Metrics of two runs with five tasks: names and "N/A" beside numbers, a
+    real score of 0.0, a task with only text and one without any metric."""
     b = rd.table(spark, sf_dir, "benchmark").select("item_id")
     b = (b.withColumn("run", F.concat(F.lit("run"), (F.col("item_id") % 2).cast("string")))
-          .withColumn("task", F.concat(F.lit("task_"), (F.col("item_id") % 4).cast("string")))
+          .withColumn("task", F.concat(F.lit("task_"), (F.floor(F.col("item_id") / 2) % 5).cast("string")))
           .withColumn("hit", (uniform(31, F.lit("acc"), F.col("item_id")) < 0.5).cast("double")))
     per = b.groupBy("run", "task").agg(F.avg("hit").alias("acc"))
-    # task_3 reports a real 0.0 accuracy (truthy fall-through case); task_2 reports only exact match
-    return per.select("run", "task", F.explode(F.array(
-        F.when(F.col("task") != "task_2", F.struct(F.lit("acc,none").alias("metric"),
-                                                   F.when(F.col("task") == "task_3", F.lit(0.0))
-                                                   .otherwise(F.col("acc")).alias("value"))),
-        F.when(F.col("task").isin("task_2", "task_3"), F.struct(F.lit("em,none").alias("metric"),
-                                                                (F.col("acc") / 2).alias("value"))),
-        F.when(F.col("task") == "task_1", F.struct(F.lit("other,none").alias("metric"), F.lit(1.0).alias("value"))),
-    )).alias("m")).where(F.col("m").isNotNull()).select("run", "task", "m.metric", "m.value")
+    at = lambda *tasks: F.col("task").isin(*(f"task_{t}" for t in tasks))
+    one = lambda cond, name, value: F.when(cond, F.struct(F.lit(name).alias("metric"), value.cast("string").alias("value")))
+    metrics = F.array(one(at(0, 1, 2, 3), "alias", F.col("task")), one(at(0, 1), "acc,none", F.col("acc")), one(at(3), "acc,none", F.lit(0.0)),
+                      one(at(2), "acc,none", F.lit("N/A")), one(at(3), "em,none", F.col("acc") / 2), one(at(1), "acc_stderr,none", F.lit("N/A")))
+    return per.select("run", "task", F.explode_outer(F.filter(metrics, lambda m: m.isNotNull())).alias("m")).select("run", "task", "m.metric", "m.value")
 
 
 def results_summary(spark, sf_dir):
     base = scratch_path(spark, "results")
     rd.write_results(_task_metrics(spark, sf_dir), base)
-    res = rd.read_results(spark, f"{base}/*/*")
-    summ = sc.score_summary(res, compat=True)
-    return summ.select(F.regexp_extract("path", r"run=([^/]+)", 1).alias("run"), "task",
-                       F.round("score_value", 6).alias("score"),
-                       (F.col("score") == "N/A").cast("int").alias("is_na"))
+    res = rd.read_results(spark, f"{base}/*/results.json")
+    run = F.regexp_extract("path", r"run=([^/]+)", 1).alias("run")
+    strict, truthy = (sc.score_summary(res, compat=c) for c in (False, True))
+    return (strict.select("path", "task", F.round("score_value", 6).alias("score"), (F.col("score") == "N/A").cast("int").alias("is_na"))
+            .join(truthy.select("path", "task", F.round("score_value", 6).alias("score_truthy")), ["path", "task"])
+            .select(run, "task", "score", "score_truthy", "is_na"))
 
 
 register("results_summary", f"""
-WITH b AS (SELECT item_id, 'run' || (item_id % 2) AS run, 'task_' || (item_id % 4) AS task,
+WITH b AS (SELECT item_id, 'run' || (item_id % 2) AS run, 'task_' || ((item_id // 2) % 5) AS task,
                   ({sql_uniform(31, "'acc'", 'item_id')} < 0.5)::INTEGER::DOUBLE AS hit FROM benchmark),
 p AS (SELECT run, task, avg(hit) AS acc FROM b GROUP BY run, task),
-m AS (SELECT run, task,
-             CASE WHEN task = 'task_2' THEN NULL WHEN task = 'task_3' THEN 0.0 ELSE acc END AS a,
-             CASE WHEN task IN ('task_2', 'task_3') THEN acc / 2 END AS e FROM p),
-s AS (SELECT run, task, coalesce(nullif(a, 0), nullif(e, 0)) AS v FROM m)
-SELECT run, task, round(v, 6) AS score, (v IS NULL)::INTEGER AS is_na FROM s
+m AS (SELECT run, task, CASE WHEN task IN ('task_0', 'task_1') THEN acc WHEN task = 'task_3' THEN 0.0 END AS a,
+             CASE WHEN task = 'task_3' THEN acc / 2 END AS e FROM p)
+SELECT run, task, round(coalesce(a, e), 6) AS score, round(coalesce(nullif(a, 0), nullif(e, 0)), 6) AS score_truthy,
+       (coalesce(a, e) IS NULL)::INTEGER AS is_na FROM m
 """)(results_summary)
 
 
 # ------------------------------------------------------------ S9 run log
 
 def run_log_append(spark, sf_dir):
-    e = rd.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e = run_log(spark, sf_dir)
     mark = F.col("event_type") == "signup"
     split = F.when(F.col("event_type") == "error", F.lit("eval")).otherwise(F.lit("train"))
     m = sc.metrics_by_interval(e, "user_id", ["ts", "event_id"], mark, split, F.col("value"), F.lit(1.0),
-                               "loss", hour_bucket()).withColumnRenamed("user_id", "run")
+                               "loss", F.col("bucket")).withColumnRenamed("user_id", "run")
     path = scratch_path(spark, "runlog")
-    rd.append_run_log(m.where(F.col("split") == "eval"), path)
-    rd.append_run_log(m.where(F.col("split") == "train"), path)
+    rd.append_run_log(m, path)
     back = spark.read.parquet(path)
     return back.groupBy(F.col("run").cast("bigint").alias("run")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("value"), 6).alias("value_sum"))

@@ -12,19 +12,22 @@ from tidepool.operators import batching as bt, noise as nz, scoring as sc, split
 from tidepool.plans.chat_queries import sql_split
 from tidepool.plans.noise_queries import MASK, SQL_BASE, _sql_u, noised_base
 from tidepool.plans.registry import register
-from tidepool.plans.sequence_queries import SQL_SHORT, short_docs, sql_md5_ids
+from tidepool.plans.sequence_queries import SQL_DOCS, encoded_docs, sql_md5_ids
 from tidepool.sources.readers import table
 
 
-def hour_bucket():
-    """Run-log window bucket: whole hours since the epoch of the wall-clock
-    time (pure NTZ arithmetic, monotonic in ts, independent of the session
-    time zone)."""
-    return F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+#: Microseconds of a wall-clock (NTZ) time: no session time zone involved.
+MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"
 
 
-def scored_rows(spark, sf_dir):
-    d = nz.apply_mask(noised_base(spark, sf_dir), MASK, "random", seed=2)
+def run_log(spark, sf_dir):
+    """The events with a time bucket of bounded rows."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return sc.time_buckets(e, F.expr(MICROS), "event_id")
+
+
+def scored_rows(spark, sf_dir, strategy="random"):
+    d = nz.apply_mask(noised_base(spark, sf_dir), MASK, strategy, seed=2)
     d = d.withColumn("token_nll", sc.pseudo_token_nll(12, F.col("doc_id"), F.size("input_ids")))
     d = d.withColumn("loss_weight", loss_weight(F.col("t"), "linear", "alpha"))
     return sc.weighted_token_values(d)
@@ -62,6 +65,24 @@ FROM s GROUP BY split
 """)(loss_metrics_split)
 
 
+def loss_metrics_suffix(spark, sf_dir):
+    """G1, G2 under suffix masks, which also cover positions without a label:
+    those count in the loss (G3) and not in the metric."""
+    r = sc.nll_by_split(scored_rows(spark, sf_dir, "truncated_suffix").withColumn("split", F.col("lang")))
+    return r.select("split", F.round("nll", 6).alias("nll"), F.round("ppl", 6).alias("ppl"), "n_eligible")
+
+
+register("loss_metrics_suffix", f"""
+WITH {SQL_BASE.replace("SELECT doc_id, ids, list_transform(ids", "SELECT doc_id, lang, ids, list_transform(ids")},
+c AS (SELECT *, floor(len(ids) * ({sql_uniform(2, "'suffix'", 'doc_id')} * 0.3))::INTEGER AS cut FROM pm),
+m AS (SELECT *, list_transform(ids, lambda x, i: (cut > 0 AND i - 1 >= len(ids) - cut) OR ({_sql_u('m', 'i - 1')} < p AND labels[i] <> -100)) AS masked FROM c),
+s AS (SELECT lang AS split, len(list_filter(labels, lambda y: y <> -100)) AS n,
+        coalesce(list_sum(list_transform(range(len(ids)), lambda i: CASE WHEN masked[i + 1] AND labels[i + 1] <> -100
+          THEN -ln(1.0 - {sql_uniform(12, "'nll'", 'doc_id', 'i')}) ELSE 0.0 END)), 0.0) * (1.0 / ((1.0 - (1.0 - t)) + 1e-6)) AS v FROM m)
+SELECT split, round(sum(v) / sum(n), 6) AS nll, round(exp(sum(v) / sum(n)), 6) AS ppl, sum(n)::BIGINT AS n_eligible FROM s GROUP BY split
+""")(loss_metrics_suffix)
+
+
 # ----------------------------------------------------------- G3
 
 def loss_norm_batches(spark, sf_dir):
@@ -85,11 +106,11 @@ FROM b GROUP BY batch_id
 # ----------------------------------------------------- G4 + W2 on the run log
 
 def metrics_interval_events(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e = run_log(spark, sf_dir)
     mark = F.col("event_type") == "signup"
     split = F.when(F.col("event_type") == "error", F.lit("eval")).otherwise(F.lit("train"))
     r = sc.metrics_by_interval(e, "user_id", ["ts", "event_id"], mark, split, F.col("value"), F.lit(1.0),
-                               "loss", hour_bucket())
+                               "loss", F.col("bucket"))
     return r.select("user_id", F.col("eval_interval").cast("bigint").alias("eval_interval"), "split", "key",
                     F.round("value", 6).alias("value"))
 
@@ -110,13 +131,10 @@ FROM r WHERE event_type <> 'signup' GROUP BY user_id, eval_interval, split
 # ----------------------------------------------------------------- W1
 
 def throughput_events(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    # seconds since the epoch of a wall-clock (NTZ) timestamp: no session time zone involved
-    e = e.withColumn("t_sec", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
-                                     "CAST(ts AS TIMESTAMP_NTZ))") / 1e6)
+    e = run_log(spark, sf_dir).withColumn("t_sec", F.expr(MICROS) / 1e6)
     start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
                    "TIMESTAMP_NTZ'2024-01-01 00:00:00')") / 1e6
-    r = sc.throughput(e, "user_id", "event_id", "t_sec", start, F.lit(8 * 4 * 2), hour_bucket())
+    r = sc.throughput(e, "user_id", "event_id", "t_sec", start, F.lit(8 * 4 * 2), F.col("bucket"))
     return r.select("user_id", "event_id", F.round("steps_per_sec", 6).alias("steps_per_sec"),
                     F.round("samples_per_sec", 6).alias("samples_per_sec"))
 
@@ -137,7 +155,7 @@ FROM l WHERE t - pt > 0 AND event_id - ps > 0
 def mc_loglik_bench(spark, sf_dir):
     from tidepool.plans.noise_queries import bench_requests
     r = bench_requests(spark, sf_dir).where(F.col("target_len") > 0)
-    m = nz.mc_perturb(r, "item_id", "target_len", mc_num=16, batch=8, seed=6)
+    m = nz.mc_perturb(r, "item_id", "target_len", mc_num=128, batch=8, seed=6)
     nll = sc.pseudo_token_nll(14, F.col("item_id"), F.col("target_len"))
     m = m.withColumn("copy_value", F.aggregate(
         F.zip_with(nll, F.col("target_mask"), lambda v, k: F.when(k, v).otherwise(F.lit(0.0))),
@@ -160,7 +178,7 @@ def _sql_mc_ll() -> str:
     pred_diff = f"{sql_uniform(15, chr(39) + 'pred' + chr(39), 'item_id', 'q')} < 0.05"
     return f"""
 WITH r AS (SELECT item_id, len({TOK.sql_tokens(cont)}) AS L FROM benchmark),
-l AS (SELECT item_id, L, loop FROM r, range(2) t(loop) WHERE L > 0),
+l AS (SELECT item_id, L, loop FROM r, range(16) t(loop) WHERE L > 0),
 k AS (SELECT *, {k} AS k FROM l),
 c AS (SELECT item_id, L, loop, copy, ((round_even(k + copy * (L / 8.0), 0)::BIGINT - 1) % L) + 1 AS x
       FROM k, range(8) t(copy)),
@@ -179,40 +197,13 @@ FROM ll JOIN g USING (item_id)
 register("mc_loglik_bench", _sql_mc_ll())(mc_loglik_bench)
 
 
-# ---------------------------------------------------------------- G8
-
-def mask_progress_docs(spark, sf_dir):
-    d = short_docs(spark, sf_dir, 1024).select("doc_id", F.size("input_ids").alias("n"))
-    plan = nz.reveal_plan(F.col("n"), 32, "linear")
-    d = d.select("doc_id", sc.mask_progress(plan, F.col("n")).alias("hist"))
-    return d.select("doc_id", F.explode("hist").alias("h")).select(
-        "doc_id", F.col("h.step").cast("bigint").alias("step"), F.col("h.remaining").cast("bigint").alias("remaining"),
-        F.col("h.pct").cast("bigint").alias("pct"))
-
-
-def _sql_progress() -> str:
-    from tidepool.plans.noise_queries import _sql_plan
-    return f"""
-WITH RECURSIVE {SQL_SHORT(1024)},
-b AS (SELECT doc_id, len(ids) AS n FROM short),
-p AS ({_sql_plan('32', 'linear', 'b', 'doc_id')}),
-s AS (SELECT doc_id, rem, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS step,
-             count(*) OVER (PARTITION BY doc_id) AS total FROM p WHERE x > 0)
-SELECT doc_id, step::BIGINT AS step, rem::BIGINT AS remaining,
-       floor(100 * step / greatest(total, 1))::BIGINT AS pct FROM s
-"""
-
-
-register("mask_progress_docs", _sql_progress())(mask_progress_docs)
-
-
 # ---------------------------------------------------------------- G9
 
 THE_ID_SQL = TOK.sql_token_id("'the'")
 
 
 def finished_blocks_docs(spark, sf_dir):
-    d = short_docs(spark, sf_dir, 64).select("doc_id", "input_ids")
+    d = encoded_docs(spark, sf_dir).select("doc_id", "input_ids")
     eos = spark.range(1).select(TOK.token_id(F.lit("the")).alias("e")).first()["e"]
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("input_ids") / 16.0).cast("int") - 1, F.lit(-1))),
                          lambda b: F.slice("input_ids", b * 16 + 1, 16))
@@ -225,9 +216,9 @@ def finished_blocks_docs(spark, sf_dir):
 
 
 register("finished_blocks_docs", f"""
-WITH {SQL_SHORT(64)},
+WITH {SQL_DOCS},
 f AS (SELECT doc_id, list_position(list_transform(range((len(ids) + 15) // 16),
-          lambda b: list_contains(ids[b * 16 + 1: b * 16 + 16], {THE_ID_SQL})), true) - 1 AS fb FROM short),
+          lambda b: list_contains(ids[b * 16 + 1: b * 16 + 16], {THE_ID_SQL})), true) - 1 AS fb FROM enc),
 b AS (SELECT *, (row_number() OVER (ORDER BY {sql_hash52(16, 'doc_id')}, doc_id) - 1) // 4 AS batch_id FROM f)
 SELECT doc_id, batch_id::BIGINT AS batch_id, coalesce(fb, -1)::BIGINT AS finished_block,
        coalesce(CASE WHEN count(*) FILTER (WHERE fb IS NULL) OVER (PARTITION BY batch_id) = 0

@@ -1,16 +1,16 @@
-"""Noise / corruption queries."""
+"""Noise / corruption queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tidepool.functions.rand import sql_uniform, sql_uniform_int
-from tidepool.functions.schedules import (alpha, kappa, loss_weight, sql_reverse_transfer)
+from tidepool.functions.schedules import alpha, kappa, loss_weight
 from tidepool.functions.text import md5_of_ids
 from tidepool.functions.tokenizer import DEFAULT_TOKENIZER as TOK
 from tidepool.operators import noise as nz
 from tidepool.plans.registry import register
-from tidepool.plans.sequence_queries import SQL_SHORT, short_docs, sql_md5_ids
+from tidepool.plans.sequence_queries import SQL_DOCS, encoded_docs, sql_md5_ids
 from tidepool.sources.readers import table
 
 MASK = TOK.mask_token_id
@@ -18,18 +18,18 @@ HALF_PI = 1.5707963267948966
 
 
 def noised_base(spark, sf_dir):
-    """Short documents whose first 8 labels are -100 (a prompt-like prefix)."""
-    d = short_docs(spark, sf_dir, 64)
+    """Documents whose first 8 labels are -100 (a prompt-like prefix)."""
+    d = encoded_docs(spark, sf_dir)
     d = d.withColumn("labels", F.transform("input_ids", lambda x, i: F.when(i < 8, F.lit(-100).cast("bigint"))
                                            .otherwise(x)))
     return nz.mask_prob(nz.draw_time(d, "doc_id", seed=1), "linear")
 
 
-SQL_BASE = f"""{SQL_SHORT(64)},
+SQL_BASE = f"""{SQL_DOCS},
 base AS (
   SELECT doc_id, ids, list_transform(ids, lambda x, i: CASE WHEN i <= 8 THEN -100 ELSE x END) AS labels,
          0.001::DOUBLE + 0.999::DOUBLE * {sql_uniform(1, "'t'", 'doc_id')} AS t
-  FROM short
+  FROM enc
 ),
 pm AS (SELECT *, 1.0::DOUBLE - (1.0::DOUBLE - t) AS p FROM base)"""
 
@@ -205,7 +205,7 @@ def bench_requests(spark, sf_dir):
 
 def mc_perturb_bench(spark, sf_dir):
     r = bench_requests(spark, sf_dir).where(F.col("target_len") > 0)
-    m = nz.mc_perturb(r, "item_id", "target_len", mc_num=16, batch=8, seed=6)
+    m = nz.mc_perturb(r, "item_id", "target_len", mc_num=128, batch=8, seed=6)
     return m.select("item_id", "loop", F.col("copy").cast("bigint").alias("copy"), "n_masked",
                     F.round("p", 9).alias("p"),
                     F.md5(F.array_join(F.transform("target_mask", lambda b: b.cast("int")), "")).alias("mask_md5"))
@@ -218,7 +218,7 @@ def _sql_mc() -> str:
 WITH r AS (
   SELECT item_id, len({TOK.sql_tokens("substr(text, length(split_part(text, '.', 1)) + 1)")}) AS L FROM benchmark
 ),
-l AS (SELECT item_id, L, loop FROM r, range(2) t(loop) WHERE L > 0),
+l AS (SELECT item_id, L, loop FROM r, range(16) t(loop) WHERE L > 0),
 k AS (SELECT *, {k} AS k FROM l),
 c AS (SELECT item_id, L, loop, copy, ((round_even(k + copy * (L / 8.0), 0)::BIGINT - 1) % L) + 1 AS x
       FROM k, range(8) t(copy)),
@@ -230,83 +230,3 @@ FROM d
 
 
 register("mc_perturb_bench", _sql_mc())(mc_perturb_bench)
-
-
-# ------------------------------------------------- N12 reveal plan
-
-def reveal_plan_docs(spark, sf_dir):
-    d = short_docs(spark, sf_dir, 1024).select("doc_id", F.size("input_ids").alias("n"))
-    return d.select("doc_id", F.col("n").cast("bigint").alias("n"),
-                    F.array_join(nz.reveal_plan(F.col("n"), 32, "linear"), ",").alias("plan_linear"),
-                    F.array_join(nz.reveal_plan(F.col("n"), 16, "cosine"), ",").alias("plan_cosine"))
-
-
-def _sql_plan(steps: str, kind: str, base: str, keys: str) -> str:
-    """Recursive CTE body: plan rows (keys..., j, rem, x) for n masked tokens."""
-    ratio = sql_reverse_transfer(f"(({steps}) - 1 - (p.j + 1))::DOUBLE / ({steps})",
-                                 f"(({steps}) - (p.j + 1))::DOUBLE / ({steps})", kind)
-    x = f"least(round_even(p.rem::DOUBLE * {ratio}, 0)::BIGINT, p.rem)"
-    kcols = ", ".join(f"p.{k}" for k in keys.split(", "))
-    return f"""
-  SELECT {keys}, {steps} AS S, -1 AS j, n::BIGINT AS rem, 0::BIGINT AS x FROM {base}
-  UNION ALL
-  SELECT {kcols}, p.S, p.j + 1, p.rem - {x}, {x} FROM p WHERE p.rem > 0 AND p.j + 1 < p.S"""
-
-
-def _sql_reveal_docs() -> str:
-    lin = _sql_plan("32", "linear", "b", "doc_id")
-    cos = _sql_plan("16", "cosine", "b", "doc_id").replace("FROM p WHERE", "FROM p2 p WHERE")
-    return f"""
-WITH RECURSIVE {SQL_SHORT(1024)},
-b AS (SELECT doc_id, len(ids) AS n FROM short),
-p AS ({lin}),
-p2 AS ({cos}),
-q1 AS (SELECT doc_id, coalesce(string_agg(x::VARCHAR, ',' ORDER BY j) FILTER (WHERE x > 0), '') AS s FROM p GROUP BY doc_id),
-q2 AS (SELECT doc_id, coalesce(string_agg(x::VARCHAR, ',' ORDER BY j) FILTER (WHERE x > 0), '') AS s FROM p2 GROUP BY doc_id)
-SELECT b.doc_id, b.n::BIGINT AS n, q1.s AS plan_linear, q2.s AS plan_cosine
-FROM b JOIN q1 USING (doc_id) JOIN q2 USING (doc_id)
-"""
-
-
-register("reveal_plan_docs", _sql_reveal_docs())(reveal_plan_docs)
-
-
-# -------------------------------------------- N13 stochastic (rows-only)
-
-def reveal_plan_stochastic_docs(spark, sf_dir):
-    d = short_docs(spark, sf_dir, 256).select("doc_id", F.size("input_ids").alias("n"))
-    plan = nz.reveal_plan(F.col("n"), 16, "linear", stochastic=True, seed=8, key=F.col("doc_id"))
-    return d.select("doc_id", F.col("n").cast("bigint").alias("n"), F.array_join(plan, ",").alias("plan"),
-                    F.aggregate(plan, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("revealed"))
-
-
-register("reveal_plan_stochastic_docs")(reveal_plan_stochastic_docs)
-
-
-# ------------------------------------------------ N14 inference cost
-
-def inference_cost_bench(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    b = b.withColumn("new_tokens", F.greatest(TOK.count(F.col("text")), F.lit(1)))
-    sch = nz.block_schedule(F.col("new_tokens"), 32, 64, "linear", cfg=True)
-    return b.select("item_id", F.col("new_tokens").cast("bigint").alias("new_tokens"),
-                    F.size(sch).cast("bigint").alias("n_blocks"),
-                    F.aggregate(sch, F.lit(0).cast("bigint"), lambda a, s: a + s["passes"]).alias("passes"))
-
-
-register("inference_cost_bench", f"""
-WITH RECURSIVE r AS (SELECT item_id, greatest(len({TOK.sql_tokens('text')}), 1) AS nt FROM benchmark),
-blk AS (SELECT item_id, nt, ceil(nt / 32.0)::BIGINT AS nb, blk FROM r, range(ceil(nt / 32.0)::BIGINT) t(blk)),
-b AS (SELECT item_id, blk, ceil(64.0 / nb)::BIGINT AS spb, least(32, nt - blk * 32) AS n FROM blk),
-p AS (
-  SELECT item_id, blk, spb AS S, -1 AS j, n::BIGINT AS rem, 0::BIGINT AS x FROM b
-  UNION ALL
-  SELECT p.item_id, p.blk, p.S, p.j + 1,
-         p.rem - least(round_even(p.rem::DOUBLE * {sql_reverse_transfer('((p.S) - 1 - (p.j + 1))::DOUBLE / (p.S)', '((p.S) - (p.j + 1))::DOUBLE / (p.S)', 'linear')}, 0)::BIGINT, p.rem),
-         least(round_even(p.rem::DOUBLE * {sql_reverse_transfer('((p.S) - 1 - (p.j + 1))::DOUBLE / (p.S)', '((p.S) - (p.j + 1))::DOUBLE / (p.S)', 'linear')}, 0)::BIGINT, p.rem)
-  FROM p WHERE p.rem > 0 AND p.j + 1 < p.S
-)
-SELECT r.item_id, r.nt::BIGINT AS new_tokens, ceil(r.nt / 32.0)::BIGINT AS n_blocks,
-       (2 * count(*) FILTER (WHERE p.x > 0))::BIGINT AS passes
-FROM r JOIN p USING (item_id) GROUP BY r.item_id, r.nt
-""")(inference_cost_bench)

@@ -15,14 +15,13 @@ from tidepool.sources.readers import table
 PAD, BOS, EOS, MASK = TOK.pad_token_id, TOK.bos_token_id, TOK.eos_token_id, TOK.mask_token_id
 
 
-def short_docs(spark, sf_dir, n: int = 64):
+def encoded_docs(spark, sf_dir):
+    """Whole documents as ids, with labels equal to them."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
-    enc = tk.clip(tk.encode_text(d, "text", TOK).drop("text"), n, "right")
-    return enc.withColumn("labels", F.col("input_ids"))
+    return tk.encode_text(d, "text", TOK).drop("text").withColumn("labels", F.col("input_ids"))
 
 
-def SQL_SHORT(n: int = 64) -> str:
-    return f"short AS (SELECT doc_id, lang, ({TOK.sql_encode('text')})[1:{n}] AS ids FROM documents)"
+SQL_DOCS = f"enc AS (SELECT doc_id, lang, {TOK.sql_encode('text')} AS ids FROM documents)"
 
 
 def sql_pad(arr: str, n: str, v) -> str:
@@ -36,7 +35,7 @@ def sql_md5_ids(arr: str) -> str:
 # -------------------------------------------------------- A8 collate
 
 def batch_collate_docs(spark, sf_dir):
-    b = bt.batch_collate(short_docs(spark, sf_dir), 8, "doc_id", seed=11, pad_id=PAD)
+    b = bt.batch_collate(encoded_docs(spark, sf_dir), 8, "doc_id", seed=11, pad_id=PAD)
     return b.select("doc_id", "batch_id", "row_in_batch",
                     F.size("input_ids").cast("bigint").alias("padded_len"),
                     md5_of_ids("input_ids").alias("ids_md5"), md5_of_ids("labels").alias("labels_md5"),
@@ -44,8 +43,8 @@ def batch_collate_docs(spark, sf_dir):
 
 
 register("batch_collate_docs", f"""
-WITH {SQL_SHORT()},
-r AS (SELECT doc_id, ids, row_number() OVER (ORDER BY {sql_hash52(11, 'doc_id')}, doc_id) - 1 AS rk FROM short),
+WITH {SQL_DOCS},
+r AS (SELECT doc_id, ids, row_number() OVER (ORDER BY {sql_hash52(11, 'doc_id')}, doc_id) - 1 AS rk FROM enc),
 b AS (SELECT doc_id, ids, rk // 8 AS batch_id, rk % 8 AS row_in_batch, max(len(ids)) OVER (PARTITION BY rk // 8) AS mx FROM r)
 SELECT doc_id, batch_id::BIGINT AS batch_id, row_in_batch::INTEGER AS row_in_batch, mx::BIGINT AS padded_len,
        {sql_md5_ids(sql_pad('ids', 'mx - len(ids)', PAD))} AS ids_md5,
@@ -58,15 +57,15 @@ FROM b
 # --------------------------------------------------- A10 length buckets
 
 def length_bucket_docs(spark, sf_dir):
-    b = bt.length_bucket(short_docs(spark, sf_dir), 4, "doc_id", seed=5, bucket_width=16, pad_id=PAD)
+    b = bt.length_bucket(encoded_docs(spark, sf_dir), 4, "doc_id", seed=5, bucket_width=16, pad_id=PAD)
     return b.select("doc_id", "length_bucket", "batch_id", "row_in_batch",
                     F.size("input_ids").cast("bigint").alias("padded_len"))
 
 
 register("length_bucket_docs", f"""
-WITH {SQL_SHORT()},
+WITH {SQL_DOCS},
 r AS (SELECT doc_id, ids, len(ids) // 16 AS bk,
-             row_number() OVER (ORDER BY len(ids) // 16, {sql_hash52(5, 'doc_id')} >> 12, doc_id) - 1 AS rk FROM short)
+             row_number() OVER (ORDER BY len(ids) // 16, {sql_hash52(5, 'doc_id')} >> 12, doc_id) - 1 AS rk FROM enc)
 SELECT doc_id, bk::BIGINT AS length_bucket, (rk // 4)::BIGINT AS batch_id, (rk % 4)::INTEGER AS row_in_batch,
        (max(len(ids)) OVER (PARTITION BY rk // 4))::BIGINT AS padded_len
 FROM r
@@ -76,10 +75,10 @@ FROM r
 # ------------------------------------- A9 align, A6 BOS rule, A7 truncation
 
 def block_bos_truncate_docs(spark, sf_dir):
-    d = short_docs(spark, sf_dir, 50)
+    d = encoded_docs(spark, sf_dir)
     # English documents get their first label ignored (a prompt-like prefix)
     d = d.withColumn("labels", F.when(F.col("lang") == "en", F.concat(
-        F.array(F.lit(-100).cast("bigint")), F.slice("labels", 2, 1000))).otherwise(F.col("labels")))
+        F.array(F.lit(-100).cast("bigint")), F.slice("labels", F.lit(2), F.greatest(F.size("labels") - 1, F.lit(0))))).otherwise(F.col("labels")))
     d = bt.align_block(d, 32, EOS)
     d = bt.assign_batches(d, 4, hash52(3, F.col("doc_id")), "doc_id")
     d = tk.prepend_bos(d, BOS, batch_key="batch_id")
@@ -95,8 +94,8 @@ def _sql_block_bos() -> str:
     u_hit = sql_uniform(9, "'trunc'", "batch_id")
     cut = sql_uniform_int(9, "1", "mx", "'len'", "batch_id")
     return f"""
-WITH {SQL_SHORT(50)},
-lab AS (SELECT doc_id, ids, CASE WHEN lang = 'en' THEN list_concat([-100::BIGINT], ids[2:]) ELSE ids END AS labels FROM short),
+WITH {SQL_DOCS},
+lab AS (SELECT doc_id, ids, CASE WHEN lang = 'en' THEN list_concat([-100::BIGINT], ids[2:]) ELSE ids END AS labels FROM enc),
 al AS (SELECT doc_id, {sql_pad('ids', '(32 - len(ids) % 32) % 32', EOS)} AS ids,
               {sql_pad('labels', '(32 - len(labels) % 32) % 32', EOS)} AS labels FROM lab),
 r AS (SELECT *, (row_number() OVER (ORDER BY {sql_hash52(3, 'doc_id')}, doc_id) - 1) // 4 AS batch_id FROM al),
@@ -165,17 +164,23 @@ register("clip_variants_chat", _sql_clip())(clip_variants_chat)
 # ---------------------------------------------------- V1 / V3 / F6 checks
 
 def sft_validation(spark, sf_dir):
-    enc = sft_encoded(spark, sf_dir)
-    aligned = bt.align_block(enc.select("conv_id", "input_ids", "labels"), 32, EOS)
-    al = aligned.select("conv_id", bt.label_violations(aligned).alias("v_al"))
-    j = enc.join(al, "conv_id")
-    rej = chat.sft_rejects(j).select("conv_id").withColumn("rej", F.lit(1))
-    j = j.join(rej, "conv_id", "left")
-    return j.agg(
-        F.sum(bt.label_violations(enc).cast("int")).cast("bigint").alias("v1_violations"),
-        F.sum(F.size(F.filter(tk.loss_eligible("labels"), lambda b: b))).cast("bigint").alias("eligible_tokens"),
-        F.sum(F.col("v_al").cast("int")).cast("bigint").alias("v1_aligned_violations"),
-        F.count("rej").cast("bigint").alias("v3_rejects"))
+    """V1 and V3 on encoded conversations, with faults planted in the labels
+    (a wrong label in every fifth conversation, a missing last label in every
+    seventh) and in the roles (a user's last turn in every third)."""
+    conv = nz.assemble_messages(table(spark, sf_dir, "conversations"))
+    size = F.size("messages")
+    cut = (F.col("conv_id") % 3 == 0) & (size > 1)
+    conv = conv.withColumn("messages", F.when(cut, F.slice("messages", F.lit(1), F.greatest(size - 1, F.lit(1)))).otherwise(F.col("messages")))
+    enc = chat.encode_sft(conv, TOK, "chatml")
+    n = F.size("labels")
+    faulty = (F.when(F.col("conv_id") % 7 == 0, F.slice("labels", F.lit(1), F.greatest(n - 1, F.lit(0))))
+              .when(F.col("conv_id") % 5 == 0, F.transform("labels", lambda y, i: F.when(i == n - 1, F.lit(7).cast("bigint")).otherwise(y)))
+              .otherwise(F.col("labels")))
+    enc = enc.withColumn("v3", chat.sft_reject_reason(enc).isNotNull()).withColumn("labels", faulty)
+    enc = enc.withColumn("eligible", F.size(F.filter(tk.loss_eligible("labels"), lambda b: b)))
+    enc = enc.withColumn("v1", bt.label_violations(enc))
+    return enc.agg(*(F.sum(F.col(c).cast("bigint")).alias(name) for c, name in (
+        ("v1", "v1_violations"), ("eligible", "eligible_tokens"), ("v3", "v3_rejects"))))
 
 
 def _sql_validation() -> str:
@@ -184,11 +189,15 @@ def _sql_validation() -> str:
     plen = f"len({TOK.sql_tokens(sql_chatml('messages[1:len(messages)-1]', True))})"
     return f"""
 WITH {CONV_SQL},
-enc AS (SELECT conv_id, messages, {ids} AS ids, {plen} AS pl FROM conv)
-SELECT 0::BIGINT AS v1_violations, sum(greatest(len(ids) - pl, 0))::BIGINT AS eligible_tokens,
-       0::BIGINT AS v1_aligned_violations,
+cut AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 AND len(messages) > 1 THEN messages[1:len(messages) - 1] ELSE messages END AS messages FROM conv),
+enc AS (SELECT conv_id, messages, {ids} AS ids, {plen} AS pl FROM cut),
+lab AS (SELECT *, list_transform(ids, lambda x, i: CASE WHEN i <= pl THEN -100 ELSE x END) AS y FROM enc),
+bad AS (SELECT *, CASE WHEN conv_id % 7 = 0 THEN y[1:len(y) - 1]
+                       WHEN conv_id % 5 = 0 THEN list_transform(y, lambda v, i: CASE WHEN i = len(y) THEN 7 ELSE v END) ELSE y END AS z FROM lab)
+SELECT count(*) FILTER (WHERE len(z) <> len(ids) OR len(list_filter(range(1, len(ids) + 1), lambda i: z[i] <> -100 AND z[i] <> ids[i])) > 0)::BIGINT AS v1_violations,
+       sum(len(list_filter(z, lambda v: v <> -100)))::BIGINT AS eligible_tokens,
        count(*) FILTER (WHERE messages[len(messages)].role <> 'assistant' OR pl > len(ids))::BIGINT AS v3_rejects
-FROM enc
+FROM bad
 """
 
 
@@ -198,7 +207,7 @@ register("sft_validation", _sql_validation())(sft_validation)
 # ------------------------------------------- A11 trim, A14 prompt batches
 
 def trim_generation_docs(spark, sf_dir):
-    d = short_docs(spark, sf_dir, 40)
+    d = encoded_docs(spark, sf_dir)
     pads = F.size("input_ids") % 4
     gen = F.concat(F.array_repeat(F.lit(PAD).cast("bigint"), pads),
                    F.transform("input_ids", lambda x, i: F.when(i == 20, F.lit(EOS).cast("bigint")).otherwise(x)))
@@ -209,8 +218,8 @@ def trim_generation_docs(spark, sf_dir):
 
 
 register("trim_generation_docs", f"""
-WITH {SQL_SHORT(40)},
-g AS (SELECT doc_id, list_transform(ids, lambda x, i: CASE WHEN i = 21 THEN {EOS}::BIGINT ELSE x END) AS ids FROM short),
+WITH {SQL_DOCS},
+g AS (SELECT doc_id, list_transform(ids, lambda x, i: CASE WHEN i = 21 THEN {EOS}::BIGINT ELSE x END) AS ids FROM enc),
 c AS (SELECT doc_id, ids[9:] AS rest FROM g),
 s AS (SELECT doc_id, rest, coalesce(list_position(list_transform(rest, lambda x: x IN ({EOS}, {TOK.eot_token_id})), true), len(rest) + 1) AS stop FROM c)
 SELECT doc_id, {sql_md5_ids('rest[1:stop - 1]')} AS trimmed_md5, (stop - 1)::BIGINT AS trimmed_len FROM s
@@ -219,17 +228,17 @@ SELECT doc_id, {sql_md5_ids('rest[1:stop - 1]')} AS trimmed_md5, (stop - 1)::BIG
 
 def prompt_batches(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    b = b.withColumn("prompt_ids", tk.clip_array(TOK.encode(F.substring_index("text", ".", 1)), 24))
+    b = b.withColumn("prompt_ids", TOK.encode(F.substring_index("text", ".", 1))).drop("text")
     b = bt.assign_batches(b, 4, F.col("item_id"), "item_id")
     r = bt.prompt_batch_right(b, 16, MASK, EOS)
-    r = r.select("item_id", "batch_id", md5_of_ids("canvas").alias("right_md5"),
-                 md5_of_ids("attention_mask").alias("right_att_md5"))
-    lft = bt.prompt_batch_left(b, 8, PAD).select("item_id", md5_of_ids("canvas").alias("left_md5"))
-    return r.join(lft, "item_id")
+    r = r.withColumnsRenamed({"canvas": "right", "attention_mask": "right_att"})
+    lft = bt.prompt_batch_left(r, 8, PAD)
+    return lft.select("item_id", "batch_id", md5_of_ids("right").alias("right_md5"), md5_of_ids("right_att").alias("right_att_md5"),
+                      md5_of_ids("canvas").alias("left_md5"))
 
 
 register("prompt_batches", f"""
-WITH p AS (SELECT item_id, ({TOK.sql_encode("split_part(text, '.', 1)")})[1:24] AS ids FROM benchmark),
+WITH p AS (SELECT item_id, {TOK.sql_encode("split_part(text, '.', 1)")} AS ids FROM benchmark),
 r AS (SELECT item_id, ids, (row_number() OVER (ORDER BY item_id) - 1) // 4 AS batch_id FROM p),
 m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS mx FROM r)
 SELECT item_id, batch_id::BIGINT AS batch_id,
@@ -247,13 +256,11 @@ def eval_requests_bench(spark, sf_dir):
     ctx = F.regexp_extract("text", r"^[^.]*\.[ ]*", 0)
     b = b.withColumn("context", ctx).withColumn("continuation", F.expr("substring(text, length(context) + 1)"))
     b = tk.split_pair(b, "context", "continuation", TOK)
-    rej = bt.length_rejects(b, 64).select("item_id", F.lit(1).alias("rejected"))
     b = tk.cut_at_stops(b, "continuation", [".", ",", ""], out="cut")
-    return (b.join(rej, "item_id", "left")
-            .select("item_id", F.md5("context").alias("context_md5"), F.md5("continuation").alias("continuation_md5"),
+    return (b.select("item_id", F.md5("context").alias("context_md5"), F.md5("continuation").alias("continuation_md5"),
                     F.size("context_ids").cast("bigint").alias("n_ctx"),
                     F.size("continuation_ids").cast("bigint").alias("n_cont"),
-                    F.coalesce("rejected", F.lit(0)).alias("rejected"), F.md5("cut").alias("cut_md5")))
+                     bt.too_long(32).cast("int").alias("rejected"), F.md5("cut").alias("cut_md5")))
 
 
 register("eval_requests_bench", f"""
@@ -264,7 +271,7 @@ e AS (SELECT *, len({TOK.sql_tokens('context')}) AS n_ctx,
              len({TOK.sql_tokens('context || continuation')}) AS n_all FROM p)
 SELECT item_id, md5(context) AS context_md5, md5(continuation) AS continuation_md5, n_ctx::BIGINT AS n_ctx,
        greatest(n_all - n_ctx, 0)::BIGINT AS n_cont,
-       CASE WHEN n_ctx + greatest(n_all - n_ctx, 0) > 64 THEN 1 ELSE 0 END AS rejected,
+       CASE WHEN n_ctx + greatest(n_all - n_ctx, 0) > 32 THEN 1 ELSE 0 END AS rejected,
        md5(split_part(split_part(continuation, '.', 1), ',', 1)) AS cut_md5
 FROM e
 """)(eval_requests_bench)
