@@ -14,11 +14,11 @@ tokenizers = pytest.importorskip("tokenizers")
 
 @pytest.fixture(scope="module")
 def tok_path(spark):
-    from tokenizers import Tokenizer, models, pre_tokenizers, trainers
+    from tokenizers import Tokenizer, models, pre_tokenizers
     texts = [r.text for r in table(spark, SF_SMALL, "documents").select("text").limit(50).collect()]
-    tok = Tokenizer(models.WordLevel(unk_token="[UNK]"))
+    words = sorted({w for t in texts for w in t.split()})
+    tok = Tokenizer(models.WordLevel({w: i for i, w in enumerate(["[PAD]", "[UNK]", "[EOS]", *words])}, unk_token="[UNK]"))
     tok.pre_tokenizer = pre_tokenizers.Whitespace()
-    tok.train_from_iterator(texts, trainers.WordLevelTrainer(special_tokens=["[PAD]", "[UNK]", "[EOS]"]))
     path = os.path.join(tempfile.mkdtemp(prefix="tidepool-tok-"), "tokenizer.json")
     tok.save(path)
     return path
@@ -41,3 +41,8 @@ def test_file_tokenizer_decode(spark, tok_path):
     dec = enc.select(ft.decode(F.col("ids")).alias("t")).collect()
     assert dec[1].t is None
     assert isinstance(dec[0].t, str)
+
+
+def test_mask_token_is_a_new_id(tok_path):
+    from tokenizers import Tokenizer
+    assert FileTokenizer(tok_path).mask_token_id == Tokenizer.from_file(tok_path).get_vocab_size()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import schedules as sch
 from tidepool.operators import noise as nz, pack as pk, scoring as sc, tokens as tk
-from tidepool.sources.spec import parse_part, split_parts
+from tidepool.sources import spec
 
 
 def test_curriculum_goldens(spark):
@@ -61,14 +61,20 @@ def test_mc_counts(spark, k, L, b, want):
     assert list(r.x) == want
 
 
-def test_spec_grammar():
-    assert parse_part("a/b") == ("a/b", {})
-    assert parse_part("a/b[train:5_000,lang:python]") == ("a/b", {"train": 5000, "lang": "python"})
-    with pytest.raises(ValueError):
-        parse_part("x[bad]")
-    assert parse_part("a=1,b=2") == (None, {"a": "1", "b": "2"})
-    assert parse_part("n=1[n:2]") == (None, {"n": 2})
-    assert split_parts("A[train:1] + B | C") == ["A[train:1]", "B", "C"]
+def test_specs_read_into_typed_sources():
+    parse = spec.parse
+    assert parse("a/b") == [spec.Source("a/b")]
+    assert parse("a/b[train:5_000, lang:python] + B|C") == [spec.Source("a/b", {"train": 5000}, {"lang": "python"}), spec.Source("B"), spec.Source("C")]
+    assert parse("x=1,y=2 | n=1[n:z]") == [spec.Source(None, {}, {"x": "1", "y": "2"}), spec.Source(None, {}, {"n": "z"})]
+    assert parse('"a+b/c"[train:3]') == [spec.Source("a+b/c", {"train": 3})]
+    assert parse(" + ") == [] and parse("a[train:5k]")[0].options == {"train": "5k"}
+    for bad in ("x[bad]", "x[a:1", "x]", "x[a:1]y", 'x"', "x[:1]", "a b[c:d:e]"):
+        with pytest.raises(spec.SpecError):
+            parse(bad)
+    registry = {"b": 1, "~corpus": 2}
+    assert spec.find_loader("a/b", registry) == 1 and spec.find_loader("my/corpus-x", registry) == 2
+    with pytest.raises(spec.SpecError):
+        spec.find_loader("a/bb", registry)
 
 
 def test_clip_goldens(spark):

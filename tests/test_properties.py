@@ -60,16 +60,6 @@ def test_reveal_plan_sums(spark):
     assert r.where(F.col("n") != F.col("s")).count() == 0
 
 
-def test_repartition_invariance(spark):
-    import __spark_entry__ as E
-    q = E.queries()["corpus_pack"]
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    a = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
-    b = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
-    assert a == b
-
-
 def test_collate_shapes(spark):
     d = tk.clip(_docs(spark), 32).withColumn("labels", F.col("input_ids"))
     b = bt.batch_collate(d, 4, "doc_id", seed=1, pad_id=0)
