@@ -47,10 +47,10 @@ ENOUGH = 2
 GAP = 2 * SHINGLE
 CONTEXT = 24
 
-WINDOW, LOCAL = 0, 1
-_REP = pa.struct([("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int64())])
-_ROWS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()), ("near", pa.int64()), ("more", pa.bool_()), ("rep", _REP)])
-_DDL = "kind byte, key long, id long, pos long, near long, more boolean, rep struct<key:long,id:long,pos:long>"
+_ROWS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()), ("near", pa.int64()), ("more", pa.bool_()), ("token", pa.int64()), ("source", pa.int64())])
+_DDL = "key long, id long, pos long, near long, more boolean, token long, source long"
+#: Shingles whose windows are looked for at a time (a longer text by itself).
+SLICE = 1 << 18
 SPANS = "doc_id long, first_word long, end_word long, source_id long, source_first long, source_end long, similarity double"
 
 
@@ -95,79 +95,108 @@ def extents(h: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -
     return left, right
 
 
+def _found(parts: list[np.ndarray], owner: list[int], width: int, hashes: int):
+    """Windows of some texts: arrays of key, id, pos (place, and how far the
+    window reaches to both sides) and near (hashes of both sides)."""
+    n = np.array([len(p) for p in parts])
+    s = np.concatenate(parts)
+    start, end = np.repeat(np.cumsum(n) - n, n), np.repeat(np.cumsum(n), n)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s)))
+    doc = np.repeat(np.arange(len(n)), n)
+    out = []
+    for k in range(hashes):
+        h = mix(s + np.uint64((k + 1) << 32))
+        at = pivots(h, start, end, width)
+        left, right = extents(h, at, start, end)
+        keep = right - left + 1 >= width
+        at, left, right = at[keep], left[keep], right[keep]
+        key = mix(s[at] ^ mix(np.full(len(at), k + 1, np.uint64)))
+        key = key & ~np.uint64(7) | np.uint64(k)  # the function can be read from the key
+        ahead = mix(total[np.minimum(at + CONTEXT, end[at])] - total[at])
+        behind = mix(total[at + 1] - total[np.maximum(at + 1 - CONTEXT, start[at])])
+        near = ahead >> np.uint64(32) << np.uint64(32) | behind >> np.uint64(32)
+        pos = at - start[at] << 32 | np.minimum(at - left, 65535) << 16 | np.minimum(right - at, 65535)
+        out.append((key, np.array(owner)[doc[at]], pos, near))
+    return map(np.concatenate, zip(*out))
+
+
 def windows(docs: DataFrame, shingle: int, passage: int, hashes: int) -> DataFrame:
+    """Windows by key.  Of those of a batch with one key the first is a row
+    under it (``more``: it has others); each other is a row under a key of its
+    own, with the ``token`` it shares and the ``source`` that is first."""
     width = passage - shingle + 1
 
-    def batch(kind, key, ids, pos, near, more, rep):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(ids), pa.array(pos),
-                                           pa.array(near.view(np.int64)), pa.array(more), rep], schema=_ROWS)
+    def rows(key, ids, pos, near, more, token, source):
+        none = lambda x: pa.nulls(len(key), pa.int64()) if x is None else pa.array(x)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(pos), pa.array(near.view(np.int64)),
+                                           pa.array(more), none(token), none(source)], schema=_ROWS)
 
     def run(batches):
         words = WordHashes()
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            parts, owner = [], []
+            parts, owner, size, found = [], [], 0, []
             for i in np.argsort(ids, kind="stable"):
                 w = words_of(b.column(1)[int(i)].as_py())
-                if len(w) >= passage:
-                    parts.append(words.shingles(w, shingle))
-                    owner.append(ids[i])
-            if not parts:
+                if len(w) < passage:
+                    continue
+                parts.append(words.shingles(w, shingle))
+                owner.append(ids[i])
+                size += len(w)
+                if size >= SLICE:
+                    found.append(tuple(_found(parts, owner, width, hashes)))
+                    parts, owner, size = [], [], 0
+            if parts:
+                found.append(tuple(_found(parts, owner, width, hashes)))
+            if not found:
                 continue
-            n = np.array([len(p) for p in parts])
-            s = np.concatenate(parts)
-            start, end = np.repeat(np.cumsum(n) - n, n), np.repeat(np.cumsum(n), n)
-            doc = np.repeat(np.array(owner), n)
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s)))
-            found = []
-            for k in range(hashes):
-                h = mix(s + np.uint64((k + 1) << 32))
-                at = pivots(h, start, end, width)
-                left, right = extents(h, at, start, end)
-                keep = right - left + 1 >= width
-                found.append((np.full(int(keep.sum()), k), at[keep], left[keep], right[keep]))
-            k, at, left, right = map(np.concatenate, zip(*found))
-            key = mix(s[at] ^ mix(k.astype(np.uint64) + np.uint64(1)))
-            key = key & ~np.uint64(7) | k.astype(np.uint64)  # the function can be read from the key
-            to = np.minimum(at + CONTEXT, end[at])
-            fro = np.maximum(at + 1 - CONTEXT, start[at])
-            ahead, behind = mix(total[to] - total[at]), mix(total[at + 1] - total[fro])
-            near = ahead >> np.uint64(32) << np.uint64(32) | behind >> np.uint64(32)
-            place = at - start[at]
-            pos = place << 32 | np.minimum(at - left, 65535) << 16 | np.minimum(right - at, 65535)
-            ids_at = doc[at]
-            order = np.lexsort((pos, ids_at, key))
-            key, ids_at, pos, near = key[order], ids_at[order], pos[order], near[order]
+            key, ids, pos, near = map(np.concatenate, zip(*found))
+            order = np.argsort(key, kind="stable")  # of one key, in the order of id and place
+            key, ids, pos, near = key[order], ids[order], pos[order], near[order]
             head = np.concatenate(([True], key[1:] != key[:-1]))
             group = np.cumsum(head) - 1
-            more = np.bincount(group) > 1
-            none = np.zeros(len(key), bool)
-            yield batch(WINDOW, key[head], ids_at[head], pos[head], near[head], more, pa.nulls(int(head.sum()), _REP))
+            yield rows(key[head], ids[head], pos[head], near[head], np.bincount(group) > 1, None, None)
             rest = ~head
             if rest.any():
-                rep = pa.StructArray.from_arrays([pa.array(key[rest].view(np.int64)), pa.array(ids_at[head][group][rest]),
-                                                  pa.array(pos[head][group][rest])], fields=list(_REP))
-                yield batch(LOCAL, mix(key[rest] ^ mix(ids_at[rest].view(np.uint64) + pos[rest].view(np.uint64))), ids_at[rest], pos[rest], near[rest], none[rest], rep)
+                own = mix(key[rest] ^ mix(ids[rest].view(np.uint64) + pos[rest].view(np.uint64)))
+                yield rows(own, ids[rest], pos[rest], near[rest], np.zeros(int(rest.sum()), bool), key[rest].view(np.int64), ids[head][group][rest])
 
     return docs.mapInArrow(run, _DDL)
 
 
+def _runs(a: np.ndarray, b: np.ndarray) -> list[list[int]]:
+    """Runs ``[from, to, from_b, to_b]`` of equal shingles, in the order of a."""
+    order = np.argsort(b, kind="stable")
+    sb = b[order]
+    lo = np.searchsorted(sb, a)
+    at = np.flatnonzero(sb[np.minimum(lo, len(sb) - 1)] == a) if len(sb) else np.zeros(0, np.int64)
+    if not len(at):
+        return []
+    lo = lo[at]
+    hi = np.searchsorted(sb, a[at], "right")
+    if (hi - lo == 1).all():  # each place of a has one place of b
+        to = order[lo]
+        cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(to) != 1))
+        first, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(at) - 1]))
+        return np.stack((at[first], at[last], to[first], to[last]), 1).tolist()
+    runs: list[list[int]] = []
+    for i, p, q in zip(at.tolist(), lo.tolist(), hi.tolist()):
+        if runs and runs[-1][1] == i - 1:
+            step = p + int(np.searchsorted(order[p:q], runs[-1][3] + 1)) if q - p > 1 else p
+            if step < q and order[step] == runs[-1][3] + 1:
+                runs[-1][1], runs[-1][3] = i, runs[-1][3] + 1
+                continue
+        after = p + int(np.searchsorted(order[p:q], runs[-1][3], "right")) if runs else p
+        j = int(order[after if after < q else p])
+        runs.append([i, i, j, j])
+    return runs
+
+
 def matching_spans(a: np.ndarray, b: np.ndarray, width: int, similarity: float, gap: int = GAP) -> list[tuple[int, int, int, int, float]]:
     """Passages ``(from, to, from_b, to_b, similarity)`` of two shingle
     sequences, ends included: chains of equal runs of at least ``width``."""
-    where: dict[int, list[int]] = {}
-    for j in np.flatnonzero(np.isin(b, a)).tolist():
-        where.setdefault(int(b[j]), []).append(j)
-    runs: list[list[int]] = []
-    for i in np.flatnonzero(np.isin(a, b)).tolist():
-        places = where[int(a[i])]
-        if runs and runs[-1][1] == i - 1 and runs[-1][3] + 1 in places:
-            runs[-1][1], runs[-1][3] = i, runs[-1][3] + 1
-            continue
-        last = runs[-1][3] if runs else -1
-        ahead = [j for j in places if j > last]
-        j = ahead[0] if ahead else places[0]
-        runs.append([i, i, j, j])
+    if len(a) == len(b) and (a == b).all():
+        return [(0, len(a) - 1, 0, len(a) - 1, 1.0)] if len(a) >= width else []
 
     def alike(r):
         x, y = set(a[r[0]:r[1] + 1].tolist()), set(b[r[2]:r[3] + 1].tolist())
@@ -175,7 +204,7 @@ def matching_spans(a: np.ndarray, b: np.ndarray, width: int, similarity: float,
         return both / (len(x) + len(y) - both)
 
     chains: list[list[list[int]]] = []
-    for r in runs:
+    for r in _runs(a, b):
         end = chains[-1][-1] if chains else None
         if end and r[0] - end[1] <= gap + 1 and 0 < r[2] - end[3] <= gap + 1:
             chains[-1].append(r)
@@ -189,10 +218,12 @@ def matching_spans(a: np.ndarray, b: np.ndarray, width: int, similarity: float,
     return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame, shingle: int, passage: int, similarity: float) -> DataFrame:
-    """Spans of ``pairs(doc, source)`` by the whole texts."""
+def verify(pairs: DataFrame, docs: DataFrame, shingle: int, passage: int, similarity: float) -> DataFrame | None:
+    """Spans of ``pairs(doc, source)`` by the whole texts; None without pairs."""
     width = passage - shingle + 1
     pairs = saved(pairs.select("doc", "source"), "pairs")
+    if pairs.isEmpty():
+        return None
     one = docs.join(small(pairs), F.col("doc_id") == F.col("doc")).select("source", "doc", F.col("text").alias("text_a"))
     two = docs.join(small(pairs.select("source").distinct()), F.col("doc_id") == F.col("source")).select("source", F.col("text").alias("text_b"))
 
@@ -234,31 +265,32 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
     ``doc_id``, its words from ``first_word`` to before ``end_word``, and the
     same of the earlier document."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    w = Window.partitionBy("kind", "key")
+    w = Window.partitionBy("key")
     rows = (windows(docs, shingle, passage, hashes)
-            .withColumn("first", F.min(F.struct("id", "pos")).over(w)).withColumn("n", F.count("*").over(w))
-            .where(f"kind = {LOCAL} or n > 1 or more"))
-    local = F.col("kind") == LOCAL
-    rows = saved(rows.select(F.when(local, F.col("rep.key")).otherwise(F.col("key")).alias("key"), "id", "pos", "near",
-                             F.when(local, F.col("rep.id")).otherwise(F.col("first.id")).alias("source")), "windows")
+            .withColumn("first", F.min("id").over(w)).withColumn("last", F.max("id").over(w))
+            .where("first < last or more or token is not null"))
+    rows = saved(rows.select(F.coalesce("token", "key").alias("key"), "id", "pos", "near", F.coalesce("source", "first").alias("source")), "windows")
     spans = verify(_pairs(rows, enough), docs, shingle, passage, similarity)
+    if spans is None:
+        spans = docs.sparkSession.createDataFrame([], SPANS)
 
+    # tokens with an occurrence that no confirmed passage covers
     place = F.shiftright("pos", 32)
-    inside = spans.select(F.col("doc_id").alias("id"), "first_word", "end_word")
-    met = rows.where("id <> source").select("key", "id", "pos").distinct()
-    covered = met.join(inside, "id").where((place >= F.col("first_word")) & (place < F.col("end_word"))).select("key", "id", "pos")
-    left = met.join(covered, ["key", "id", "pos"], "left_anti").select("key").distinct()
+    own = spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("first_word", "end_word")).alias("own"))
+    left = rows.where("id <> source").select("key", "id", place.alias("place")).join(own, "id", "left")
+    covered = F.exists("own", lambda x: (x["first_word"] <= F.col("place")) & (F.col("place") < x["end_word"]))
+    left = left.where(~F.coalesce(covered, F.lit(False))).select("key").distinct()
     # each side of the token is a key of its own
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("near", 32).alias("near")),
                               F.struct(F.lit(1).alias("side"), F.col("near").bitwiseAND(F.lit(0xFFFFFFFF)).alias("near"))))
-    again = rows.select("key", "id", "pos", "near", "source").join(left, "key").select("key", "id", "pos", "source", sides.alias("c"))
-    by = ["key", "c.side", "c.near"]
-    first = again.groupBy(*by).agg(F.min("id").alias("other")).select("key", "side", "near", "other")
-    tied = (again.select("key", "id", "pos", "source", "c.side", "c.near").join(first, ["key", "side", "near"])
-            .where("other <> id and other <> source").select("key", "id", "pos", F.col("other").alias("source")))
-    more = verify(_pairs(tied, 1).join(spans.select(F.col("doc_id").alias("doc"), F.col("source_id").alias("source")).distinct(),
-                                       ["doc", "source"], "left_anti"), docs, shingle, passage, similarity)
-    return spans.union(more)
+    again = rows.join(left, "key").select("key", "id", "pos", "source", sides.alias("c")).select("key", "id", "pos", "source", "c.side", "c.near")
+    again = saved(again, "sides")
+    first = again.groupBy("key", "side", "near").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other < last").drop("last")
+    tied = (again.join(first, ["key", "side", "near"]).where("other <> id and other <> source")
+            .select("key", "id", "pos", F.col("other").alias("source")))
+    known = spans.select(F.col("doc_id").alias("doc"), F.col("source_id").alias("source")).distinct()
+    more = verify(_pairs(tied, 1).join(known, ["doc", "source"], "left_anti"), docs, shingle, passage, similarity)
+    return spans if more is None else spans.union(more)
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
