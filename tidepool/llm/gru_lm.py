@@ -40,9 +40,9 @@ from tidepool.llm.hashing import words_of
 from tidepool.llm.langid import fold
 
 HEAD = 300_000
-TOPIC_WORDS, MARKERS, TOPICS, BANDS = 4096, 64, 8, 5
-INPUTS = 1024  # words with an input vector of their own
-HIDDEN = 24
+TOPIC_WORDS, MARKERS, TOPICS, BANDS = 4096, 64, 6, 4
+INPUTS = 512  # words with an input vector of their own
+HIDDEN = 16
 WINDOW, LANES = 12, 512
 ROUNDS = 2
 RATE = 0.01
@@ -82,6 +82,11 @@ def most_frequent(counts: DataFrame, head: int) -> tuple[list[bytes], list[int]]
     return [bytes(r.word) for r in rows], [r.c for r in rows]
 
 
+class _Index(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Vocabulary:
     """The head: index, counts and class of each of its words."""
 
@@ -89,7 +94,7 @@ class Vocabulary:
         self.words = [b"", *(w for w in words if w)]
         by_word = dict(zip(words, counts))
         c = np.array([by_word.get(w, 0) for w in self.words], np.float64)
-        self.index = {w: i for i, w in enumerate(self.words)}
+        self.index = _Index((w, i) for i, w in enumerate(self.words))
         self.total, self.distinct = total, distinct
         self.base = np.log10((c + 1) / (total + distinct + 1))
         self.known = c > 0
@@ -122,9 +127,9 @@ class Vocabulary:
         words = [words_of(t) for t in texts]
         n = np.array([len(w) + 1 for w in words])
         out = np.zeros(int(n.sum()), np.int64)
-        at, get = 0, self.index.get
+        at, get = 0, self.index.__getitem__
         for w in words:
-            out[at:at + len(w)] = np.fromiter((get(x, -1) for x in w), np.int64, len(w))
+            out[at:at + len(w)] = np.fromiter(map(get, w), np.int64, len(w))
             at += len(w) + 1
         return out, n, words
 
@@ -400,8 +405,8 @@ def score(docs: DataFrame, counts: DataFrame, broad, weights: dict[str, np.ndarr
                 none = pa.nulls(len(n), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(rows), b.column(0).slice(at, len(part)), pa.array(n.astype(np.int64)), none, *map(pa.array, sums)], names)
                 at += len(part)
-                tail = [(r, w, k) for r, own, f, m in zip(rows.tolist(), words, first, n) if (ids[f:f + m] < 0).any()
-                        for w, k in Counter(x for x, i in zip(own, ids[f:f + m].tolist()) if i < 0).items()]
+                tail = [(r, w, k) for r, own, f, m in zip(rows.tolist(), words, first, n)
+                        for w, k in Counter(own[j] for j in np.flatnonzero(ids[f:f + m] < 0).tolist()).items()]
                 if tail:
                     r, w, k = zip(*tail)
                     zero = pa.array(np.zeros(len(r)))
