@@ -19,11 +19,13 @@ Each task first joins the blocks of its own batch, so that of a block that
 many documents share one row a batch is shuffled.  A window over the block then
 ties every document to the smallest id.  These pairs are verified on the whole
 texts, first the one pair of each document that shares most blocks, then the
-pairs that are still in different components.  At last, in blocks whose
-documents are still in several components, every document outside the largest
-of these components is held against all others, filtered by size and by a
-1024-bit sketch, and what passes is verified.  So no link between different
-sets is lost, while a group of near copies costs its size, not its square.
+pairs that are still in different components.  In blocks whose documents are still in
+several components, each document outside the largest of these is verified
+against the nearest, by a 1024-bit sketch, of the members of that component that
+its blocks name, as long as this finds links.  At last every document that is
+still outside is held against all others of its block, filtered by size and
+sketch, and what passes is verified.  So no link between different sets is lost,
+while a group of near copies costs its size, not its square.
 
 Shingles are compared by 64-bit hashes, whole sets for equality by 128 bits.
 
@@ -149,11 +151,13 @@ def _batch(kind: int, key: np.ndarray, ids: np.ndarray, info) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(ids), info], schema=_ROWS)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are linked by their whole texts.  The
-    texts of ``a`` meet that of ``b`` in a join on ``b`` (which AQE splits
-    where one ``b`` has many)."""
+def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+    """Those of ``pairs(a, b)`` that are linked by their whole texts; None if
+    none is.  The texts of ``a`` meet that of ``b`` in a join on ``b`` (which
+    AQE splits where one ``b`` has many)."""
     pairs = saved(pairs.select("a", "b"), "pairs")
+    if pairs.isEmpty():
+        return None
     one = docs.join(small(pairs), F.col("doc_id") == F.col("a")).select("b", "a", F.col("text").alias("text_a"))
     two = docs.join(small(pairs.select("b").distinct()), F.col("doc_id") == F.col("b")).select("b", F.col("text").alias("text_b"))
 
@@ -169,7 +173,8 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
                 out.append(both > 0 and 100 * both >= percent * (len(s) + len(kept) - both))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-    return saved(one.join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "links")
+    linked = saved(one.join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "links")
+    return None if linked.isEmpty() else linked
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,56 +205,79 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
                   .withColumn(f"c_{c}", F.coalesce(f"c_{c}", c)))
         return df.where("c_x <> c_rep")
 
-    def parts(links):
-        return saved(components(copies.toDF("a", "b").union(links)), "parts")
+    links, part, joined = copies.toDF("a", "b"), copies.toDF("id", "component"), False
+
+    def join_links(pairs) -> bool:
+        """Verify pairs and bring the components up to date."""
+        nonlocal links, part, joined
+        new = verify(pairs, named, shingle, percent)
+        if new is not None:
+            links, joined = links.union(new), True
+            part = saved(components(links), "parts")
+        return new is not None
 
     pairs = saved(by_class(met.groupBy("x", "rep").agg(F.count("*").alias("shared")), "x", "rep").where("x <> rep")
                   .groupBy("x", "rep").agg(F.sum("shared").alias("shared")), "met")
     best = pairs.groupBy("x").agg(F.max_by("rep", F.struct("shared", -F.col("rep"))).alias("rep"))
-    tried = best.select(F.col("x").alias("a"), F.col("rep").alias("b"))
-    links = verify(tried, named, shingle, percent)
-    part = parts(links)
-
-    size = info.select("id", "n", "sketch").dropDuplicates(["id"])  # repeated ids: no filter is lost, see _fits
-    repeated = info.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count_distinct("h0", "h1").alias("sets"))
-    plain = size.join(repeated.where("sets = 1").select("id"), "id")
-
-    def fits(df):
-        """Pairs of which size and sketch allow a link; an id that stands for
-        several sets has neither, so its pairs pass."""
-        for c in ("a", "b"):
-            df = df.join(plain.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")), c, "left")
-        return df.where(F.coalesce(_fits(percent), F.lit(True)))
-
-    again = apart(pairs).select(F.greatest("x", "rep").alias("a"), F.least("x", "rep").alias("b")).distinct()
-    again = again.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    again = saved(again, "again")
-    more = verify(fits(again).select("a", "b"), named, shingle, percent)
-    tested = saved(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(again), "tested")
-    links = links.union(more)
-    part = parts(links)
-
-    still = saved(apart(by_class(met, "x", "rep").where("x <> rep")).select("key").distinct(), "still")
-    member = by_class(met.join(still, "key"), "x", "rep")
-    member = member.select("key", F.col("x").alias("id")).union(member.select("key", "rep")).distinct()
-    member = saved(member.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-                   .join(plain, "id", "left"), "member")
-    main = (member.groupBy("key", "component").agg(F.count("*").alias("k"))
-            .groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main")))
-    minor = member.join(main, "key").where("component <> main").drop("main")
-    cross = minor.toDF(*["key" if c == "key" else f"{c}_a" for c in minor.columns]).join(
-        member.toDF(*["key" if c == "key" else f"{c}_b" for c in member.columns]), "key")
-    rest = (cross.where("component_a <> component_b").where(F.coalesce(_fits(percent, "n_a", "n_b", "sketch_a", "sketch_b"), F.lit(True)))
-            .select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
-            .join(tested, ["a", "b"], "left_anti"))
-    part = parts(links.union(verify(rest, named, shingle, percent)))
+    tried = _pair(best, "x", "rep")
+    join_links(tried)
+
+    # an id that stands for several sets has no size and no sketch of its own
+    once = info.groupBy("id").agg(F.count_distinct("h0", "h1").alias("sets"), F.min("n").alias("n"), F.min_by("sketch", "n").alias("sketch"))
+    plain = saved(once.where("sets = 1").select("id", "n", "sketch"), "plain")
+    again = _pair(apart(pairs), "x", "rep").join(tried, ["a", "b"], "left_anti")
+    for c in ("a", "b"):
+        again = again.join(plain.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c, "left")
+    again = saved(again.where(_fits(percent)).select("a", "b"), "again")
+    join_links(again)
+
+    def still_open():
+        """Members of the blocks that are in several components, and of them
+        those outside the largest component of their block."""
+        keys = saved(apart(by_class(met, "x", "rep").where("x <> rep")).select("key").distinct(), "still")
+        member = by_class(met.join(keys, "key"), "x", "rep")
+        member = member.select("key", F.col("x").alias("id")).union(member.select("key", "rep")).distinct()
+        member = saved(member.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+                       .join(plain, "id", "left"), "member")
+        main = (member.groupBy("key", "component").agg(F.count("*").alias("k"), F.min_by("id", F.xxhash64("key", "id")).alias("one"))
+                .groupBy("key").agg(F.max_by(F.struct("component", "one"), F.struct("k", "component")).alias("m")).select("key", "m.*"))
+        main = main.withColumnsRenamed({"component": "main"})
+        return member, main, member.join(main.select("key", "main"), "key").where("component <> main").drop("main")
+
+    tested = tried.union(again)
+    while True:
+        member, main, minor = still_open()
+        ones = main.select("key", F.col("one").alias("id")).join(plain, "id", "left")
+        near = _side(minor, "a").join(_side(ones, "b"), "key").where(_fits(percent))
+        near = near.groupBy("id_a").agg(F.min_by("id_b", F.struct(F.coalesce(_distance(), F.lit(0)), "id_b")).alias("id_b"))
+        near = saved(_pair(near, "id_a", "id_b").join(tested, ["a", "b"], "left_anti"), "near")
+        tested = tested.union(near)
+        if not join_links(near):
+            break
+    cross = _side(minor, "a").join(_side(member, "b"), "key").where("component_a <> component_b").where(_fits(percent))
+    join_links(_pair(cross, "id_a", "id_b").join(tested, ["a", "b"], "left_anti"))
+    if not joined:
+        part = components(links)
     done = info.select("id", "n").join(part, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                                                                   F.coalesce("component", "id").alias("component_id"))
     nameless = signatures(docs.where("doc_id is null").withColumn("doc_id", F.lit(0).cast("long")), shingle, percent)
     return done.union(nameless.where(f"kind = {DOCUMENT}").select(F.lit(None).cast("long"), "info.n", F.lit(None).cast("long")))
 
 
-def _fits(percent: int, na="n_a", nb="n_b", sa="s_a", sb="s_b"):
-    apart = F.aggregate(F.zip_with(sa, sb, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
-    small_, large = F.least(na, nb), F.greatest(na, nb)
-    return (large * percent <= small_ * 100) & (apart <= F.floor((small_ + large) * (100 - percent) / (100 + percent)))
+def _pair(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+
+
+def _side(df: DataFrame, name: str) -> DataFrame:
+    return df.toDF(*(c if c == "key" else f"{c}_{name}" for c in df.columns))
+
+
+def _distance():
+    return F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
+
+
+def _fits(percent: int):
+    """Size and sketch allow a link; true where one of them is not known."""
+    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    both = (high * percent <= low * 100) & (_distance() <= F.floor((low + high) * (100 - percent) / (100 + percent)))
+    return F.coalesce(both, F.col("sketch_a").isNull() | F.col("sketch_b").isNull())
