@@ -29,13 +29,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.bpe_rank import byte_symbols, in_slices
+from tidepool.llm.bpe_rank import byte_symbols, text_slices
+from tidepool.llm.common import in_batches
 
 #: Fixed value: the pattern of the word-end file's pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Pre-tokens whose ids a worker keeps; beyond that it starts anew.
-CACHE = 300_000
+CACHE = 150_000
 
 
 def normalise(text: str) -> str:
@@ -149,15 +150,13 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     def run(batches):
         index = PairIndex(path)
         for b in batches:
-            at = 0
-            for part in in_slices(b.column(1).to_pylist()):
+            for at, part in text_slices(b.column(1)):
                 ids = index.encode(part)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(at, len(part)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
                     pa.array(list(map(index.decode, ids)), pa.string())], ["doc_id", "ids", "decoded"])
-                at += len(part)
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return in_batches(source).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -17,14 +17,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.common import in_batches
+
 #: Fixed value: the pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens whose counts a worker keeps; beyond that it starts anew.
-CACHE = 500_000
+CACHE = 200_000
 _NEVER = np.iinfo(np.int32).max
 
 
@@ -105,17 +108,16 @@ class RankMerger:
         return [c + sum(map(known, p)) for c, p in zip(counts, parts)]
 
 
-def in_slices(texts: list, chars: int = 4 << 20):
-    """``texts`` in runs of about ``chars`` characters, at least one each."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t or "")
-        if size >= chars:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+def text_slices(column, size: int = 2 << 20, rows: int = 4096):
+    """``(at, texts)`` for runs of about ``size`` bytes and at most ``rows``
+    rows of an Arrow column of texts, at least one row each, so that a batch is
+    never unpacked whole."""
+    n = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        end = min(at + rows, max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + size, "right"))))
+        yield at, column.slice(at, end - at).to_pylist()
+        at = end
 
 
 def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,10 +125,10 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     def run(batches):
         merger = RankMerger(path)
         for b in batches:
-            counts = [c for part in in_slices(b.column(1).to_pylist()) for c in merger.count_texts(part)]
+            counts = [c for _, part in text_slices(b.column(1)) for c in merger.count_texts(part)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64())],
                                              ["doc_id", "n_bytes", "n_tokens"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
                          F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    return source.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return in_batches(source).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")

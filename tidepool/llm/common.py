@@ -18,6 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+#: Texts that a Python worker gets in one Arrow batch.
+BATCH = "16m"
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's bound of an Arrow batch to
+    ``BATCH`` if it is above that: a worker holds a few batches at a time, and
+    Spark's own bound lets it grow to several hundred MB."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    now = size(spark.conf.get(key))
+    if now <= 0 or now > size(BATCH):
+        spark.conf.set(key, BATCH)
+    return df
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that
     later steps neither recompute it nor depend on a lost executor."""

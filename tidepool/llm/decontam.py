@@ -26,8 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.bpe_rank import text_slices
+from tidepool.llm.common import in_batches
+
 WINDOW = 10
 SHARD_BYTES = 8 << 20
+#: Text whose words a worker holds at a time (more where shards take turns).
+SLICE_BYTES = 2 << 20
 #: Pipeline: documents of which a greater share of the words is hit are
 #: dropped whole; of the others the hit spans are cut.
 MAX_COVERAGE = 0.5
@@ -212,21 +217,23 @@ def find_items(docs: DataFrame, bench: DataFrame, window: int = WINDOW, doc_id:
     """``doc_id, n_words, n_hit, spans`` (from, to in words) and ``items``
     (ids as strings) of each document; a map over the documents."""
     shards = item_shards(bench, item_id, item_text)
+    slice_bytes = SLICE_BYTES if len(shards) == 1 else 64 * SLICE_BYTES
 
     def run(batches):
         state = _Shards(shards, window)
         for b in batches:
-            docs_words = [words_of(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            hits, items = state.scan(docs_words)
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([len(w) for w in docs_words], pa.int64()),
-                pa.array([int(h.sum()) for h in hits], pa.int64()),
-                pa.array([[{"from": a, "to": z} for a, z in _runs(h)] for h in hits],
-                         pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
-                pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "spans", "items"])
+            for at, texts in text_slices(b.column(1).cast(pa.binary()), slice_bytes):
+                words = [words_of(t) for t in texts]
+                hits, items = state.scan(words)
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0).slice(at, len(texts)), pa.array([len(w) for w in words], pa.int64()),
+                    pa.array([int(h.sum()) for h in hits], pa.int64()),
+                    pa.array([[{"from": a, "to": z} for a, z in _runs(h)] for h in hits],
+                             pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
+                    pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "spans", "items"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_words long, n_hit long, spans array<struct<from:long,to:long>>, items array<string>")
+    return in_batches(source).mapInArrow(run, "doc_id long, n_words long, n_hit long, spans array<struct<from:long,to:long>>, items array<string>")
 
 
 def cut_spans(text: str, runs: list[tuple[int, int]]) -> str:
@@ -248,34 +255,38 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_c
     names = docs.columns
     ti, ni = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
+    slice_bytes = SLICE_BYTES if len(shards) == 1 else 64 * SLICE_BYTES
+
+    def clean(b, state, texts):
+        keep = np.ones(len(texts), bool)
+        todo, first, changed = list(range(len(texts))), True, set()
+        while todo:
+            hits, _ = state.scan([words_of((texts[i] or "").encode()) for i in todo])
+            again = []
+            for i, h in zip(todo, hits):
+                if not h.any():
+                    continue
+                if first and h.sum() > max_coverage * len(h):
+                    keep[i] = False
+                    continue
+                texts[i] = cut_spans(texts[i], _runs(h))
+                changed.add(i)
+                again.append(i)
+            todo, first = again, False
+        cols = b.columns
+        if changed:
+            cols[ti] = pa.array(texts, b.schema.field(ti).type)
+            if ni is not None:
+                n = b.column(ni).to_pylist()
+                for i in changed:
+                    n[i] = len(texts[i])
+                cols[ni] = pa.array(n, b.schema.field(ni).type)
+        return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
+
     def run(batches):
         state = _Shards(shards, window)
         for b in batches:
-            texts = b.column(ti).to_pylist()
-            keep = np.ones(len(texts), bool)
-            todo = list(range(len(texts)))
-            first, changed = True, set()
-            while todo:
-                hits, _ = state.scan([words_of((texts[i] or "").encode()) for i in todo])
-                nxt = []
-                for i, h in zip(todo, hits):
-                    if not h.any():
-                        continue
-                    if first and h.sum() > max_coverage * len(h):
-                        keep[i] = False
-                        continue
-                    texts[i] = cut_spans(texts[i], _runs(h))
-                    changed.add(i)
-                    nxt.append(i)
-                todo, first = nxt, False
-            cols = b.columns
-            if changed:
-                cols[ti] = pa.array(texts, b.schema.field(ti).type)
-                if ni is not None:
-                    n = b.column(ni).to_pylist()
-                    for i in changed:
-                        n[i] = len(texts[i])
-                    cols[ni] = pa.array(n, b.schema.field(ni).type)
-            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+            for at, texts in text_slices(b.column(ti), slice_bytes):
+                yield clean(b.slice(at, len(texts)), state, texts)
+
+    return in_batches(docs).mapInArrow(run, docs.schema)

@@ -35,7 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import saved
+from tidepool.llm.bpe_rank import text_slices
+from tidepool.llm.common import in_batches, saved
 from tidepool.llm.hashing import words_of
 from tidepool.llm.langid import fold
 
@@ -143,9 +144,8 @@ def shared_texts(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
     def run(batches):
         v, total = broad.value, np.zeros((rows, cols))
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for at in range(0, len(texts), 500):
-                ids, n, _ = v.indexes(texts[at:at + 500])
+            for _, texts in text_slices(b.column(0), 1 << 20, 500):
+                ids, n, _ = v.indexes(texts)
                 doc = np.repeat(np.arange(len(n)), n)
                 near = (ids > 0) & (ids < rows)
                 counts = np.bincount(doc[near] * rows + ids[near], minlength=len(n) * rows).reshape(len(n), rows).astype(np.float32)
@@ -324,19 +324,7 @@ class Unit:
             self.w[k] -= RATE * m / (np.sqrt(v) + 1e-8)
 
 
-def _slices(texts: list, chars: int):
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t or "") + 1
-        if size >= chars:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
-SLICE = 8 << 20  # characters whose lanes are in memory at a time
+SLICE = 8 << 20  # bytes of text whose lanes are in memory at a time
 
 
 def train_round(docs: DataFrame, broad, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -348,7 +336,7 @@ def train_round(docs: DataFrame, broad, weights: dict[str, np.ndarray]) -> dict[
     def run(batches):
         vocab, unit, tokens = broad.value, Unit(weights), 0
         for b in batches:
-            for part in _slices(b.column(0).to_pylist(), SLICE):
+            for _, part in text_slices(b.column(0), SLICE):
                 ids, n, _ = vocab.indexes(part)
                 unit.train(Lanes(vocab, ids, n))
                 tokens += len(ids)
@@ -391,8 +379,7 @@ def score(docs: DataFrame, counts: DataFrame, broad, weights: dict[str, np.ndarr
         vocab, unit = broad.value, Unit(weights)
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            at = 0
-            for part in _slices(b.column(1).to_pylist(), SLICE):
+            for at, part in text_slices(b.column(1), SLICE):
                 ids, n, words = vocab.indexes(part)
                 p = unit.score(Lanes(vocab, ids, n)) + vocab.share[ids]
                 first = np.cumsum(n) - n
@@ -404,7 +391,6 @@ def score(docs: DataFrame, counts: DataFrame, broad, weights: dict[str, np.ndarr
                 sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), base, p)]
                 none = pa.nulls(len(n), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(rows), b.column(0).slice(at, len(part)), pa.array(n.astype(np.int64)), none, *map(pa.array, sums)], names)
-                at += len(part)
                 tail = [(r, w, k) for r, own, f, m in zip(rows.tolist(), words, first, n)
                         for w, k in Counter(own[j] for j in np.flatnonzero(ids[f:f + m] < 0).tolist()).items()]
                 if tail:
@@ -430,7 +416,7 @@ def score(docs: DataFrame, counts: DataFrame, broad, weights: dict[str, np.ndarr
 def language_model_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Learn from the documents of which crc32 of the id modulo ``folds`` is
     not ``held``, and score all."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = in_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts, broad, weights = learn(docs.where(fold(F.col("doc_id"), folds) != held))
     out = score(docs, counts, broad, weights)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "n_tokens", "n_known",

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a worker keeps; beyond that it starts anew.
-CACHE = 1_000_000
+CACHE = 250_000
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

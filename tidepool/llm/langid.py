@@ -26,6 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.bpe_rank import text_slices
+from tidepool.llm.common import in_batches
+
 DIMENSIONS = 1024
 SEED = 20
 UNKNOWN = "und"
@@ -136,33 +139,24 @@ def pieces_of(text: str):
     yield text[at:]
 
 
-_KEPT: dict = {}
-
-
-def _profiles(dimensions: int, seed: int) -> Profiles:
-    if (dimensions, seed) not in _KEPT:
-        _KEPT.clear()
-        _KEPT[dimensions, seed] = Profiles(dimensions, seed)
-    return _KEPT[dimensions, seed]
-
-
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
     """A prototype for each language of ``labelled`` (rows with a null text
     or language are ignored).  What reaches the driver is one vector for each
     language."""
     def run(batches):
-        p, total = _profiles(dimensions, seed), {}
+        p, total = Profiles(dimensions, seed), {}
         for b in batches:
-            langs = b.column(1).to_pylist()
-            names = sorted(set(langs))
-            made = p.vectors_of(list(zip(map(names.index, langs), b.column(0).to_pylist())), len(names))
-            for name, v in zip(names, made):
-                total[name] = total.get(name, 0) + v
+            for at, texts in text_slices(b.column(0)):
+                langs = b.column(1).slice(at, len(texts)).to_pylist()
+                names = sorted(set(langs))
+                made = p.vectors_of(list(zip(map(names.index, langs), texts)), len(names))
+                for name, v in zip(names, made):
+                    total[name] = total.get(name, 0) + v
         for name, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions), pa.array(range(dimensions), pa.int32()), pa.array(v)],
                                              ["lang", "dimension", "value"])
 
-    rows = (labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang).cast("string"))
+    rows = (in_batches(labelled).where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang).cast("string"))
             .mapInArrow(run, "lang string, dimension int, value double")
             .groupBy("lang", "dimension").agg(F.sum("value").alias("value")).collect())
     out: dict[str, np.ndarray] = {}
@@ -179,21 +173,21 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     columns, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
-        p = _profiles(dimensions, seed)
+        p = Profiles(dimensions, seed)
         for b in batches:
-            texts = b.column(at).to_pylist()
-            made = p.vectors_of([(i, t) for i, t in enumerate(texts) if t], len(texts))
-            size = np.linalg.norm(made, axis=1)
-            cos = (made @ unit.T) / np.where(size, size, 1)[:, None] if names else np.zeros((len(texts), 1))
-            best = cos.argmax(axis=1) if len(texts) else []
-            known = [bool(s) and bool(names) for s in size]
-            yield pa.RecordBatch.from_arrays([
-                *b.columns, pa.array([names[k] if ok else UNKNOWN for k, ok in zip(best, known)], pa.string()),
-                pa.array([float(min(1.0, max(0.0, c[k]))) if ok else 0.0 for c, k, ok in zip(cos, best, known)], pa.float64())],
-                names=[*columns, "lang_pred", "score"])
+            for start, texts in text_slices(b.column(at), rows=256):
+                made = p.vectors_of([(i, t) for i, t in enumerate(texts) if t], len(texts))
+                size = np.linalg.norm(made, axis=1)
+                cos = (made @ unit.T) / np.where(size, size, 1)[:, None] if names else np.zeros((len(texts), 1))
+                best = cos.argmax(axis=1)
+                known = [bool(s) and bool(names) for s in size]
+                yield pa.RecordBatch.from_arrays([
+                    *b.slice(start, len(texts)).columns, pa.array([names[k] if ok else UNKNOWN for k, ok in zip(best, known)], pa.string()),
+                    pa.array([float(min(1.0, max(0.0, c[k]))) if ok else 0.0 for c, k, ok in zip(cos, best, known)], pa.float64())],
+                    names=[*columns, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return in_batches(docs).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

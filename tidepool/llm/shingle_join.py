@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import components, saved, small
+from tidepool.llm.common import components, in_batches, saved, small
 from tidepool.llm.hashing import WordHashes, mix, words_of
 
 SHINGLE = 4
@@ -140,7 +140,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                                                  pa.nulls(int(rest.sum()), pa.list_(pa.int64()))], fields=list(_INFO))
                 yield _batch(LOCAL, mix(key[rest] + own[rest].view(np.uint64)), own[rest], at)
 
-    return docs.mapInArrow(run, _DDL)
+    return in_batches(docs).mapInArrow(run, _DDL)
 
 
 def _signed(x: int) -> int:

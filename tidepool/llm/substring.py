@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import saved, small
+from tidepool.llm.bpe_rank import text_slices
+from tidepool.llm.common import in_batches, saved, small
 from tidepool.llm.hashing import WordHashes, mix, words_of
 
 SHINGLE = 5
@@ -161,7 +162,7 @@ def windows(docs: DataFrame, shingle: int, passage: int, hashes: int) -> DataFra
                 own = mix(key[rest] ^ mix(ids[rest].view(np.uint64) + pos[rest].view(np.uint64)))
                 yield rows(own, ids[rest], pos[rest], near[rest], np.zeros(int(rest.sum()), bool), key[rest].view(np.int64), ids[head][group][rest])
 
-    return docs.mapInArrow(run, _DDL)
+    return in_batches(docs).mapInArrow(run, _DDL)
 
 
 def _runs(a: np.ndarray, b: np.ndarray) -> list[list[int]]:
@@ -280,6 +281,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
     left = rows.where("id <> source").select("key", "id", place.alias("place")).join(own, "id", "left")
     covered = F.exists("own", lambda x: (x["first_word"] <= F.col("place")) & (F.col("place") < x["end_word"]))
     left = left.where(~F.coalesce(covered, F.lit(False))).select("key").distinct()
+    left = small(saved(left, "left"))  # few tokens; a hot one needs no shuffle of its rows
     # each side of the token is a key of its own
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("near", 32).alias("near")),
                               F.struct(F.lit(1).alias("side"), F.col("near").bitwiseAND(F.lit(0xFFFFFFFF)).alias("near"))))
@@ -319,23 +321,26 @@ def drop_repeats(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     ti, ni = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
+    def clean(b, texts):
+        cols, keep = b.columns[:-1], np.ones(len(texts), bool)
+        todo = [(i, c) for i, c in enumerate(b.column(len(names)).to_pylist()) if c]
+        if todo:
+            chars = cols[ni].to_pylist() if ni is not None else None
+            for i, spans in todo:
+                texts[i] = cut_words(texts[i], [(c["first_word"], c["end_word"]) for c in spans])
+                keep[i] = bool(_WORD.search(texts[i]))
+                if chars:
+                    chars[i] = len(texts[i])
+            cols[ti] = pa.array(texts, b.schema.field(ti).type)
+            if chars:
+                cols[ni] = pa.array(chars, b.schema.field(ni).type)
+        return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
+
     def run(batches):
         for b in batches:
-            cols, keep = b.columns[:-1], np.ones(b.num_rows, bool)
-            todo = [i for i, c in enumerate(b.column(len(names)).to_pylist()) if c]
-            if todo:
-                texts = cols[ti].to_pylist()
-                chars = cols[ni].to_pylist() if ni is not None else None
-                for i in todo:
-                    texts[i] = cut_words(texts[i], [(c["first_word"], c["end_word"]) for c in b.column(len(names))[i].as_py()])
-                    keep[i] = bool(_WORD.search(texts[i]))
-                    if chars:
-                        chars[i] = len(texts[i])
-                cols[ti] = pa.array(texts, b.schema.field(ti).type)
-                if chars:
-                    cols[ni] = pa.array(chars, b.schema.field(ni).type)
-            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
+            for at, texts in text_slices(b.column(ti)):
+                yield clean(b.slice(at, len(texts)), texts)
 
     cuts = saved(cuts, "cuts").select(F.col("doc_id").alias("_id"), "_cuts")
     joined = docs.join(small(cuts, 50_000), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    return joined.mapInArrow(run, docs.schema)
+    return in_batches(joined).mapInArrow(run, docs.schema)
