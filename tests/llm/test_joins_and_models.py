@@ -266,6 +266,25 @@ def test_unit_gradient_and_learning():
     assert unit.score(lanes).sum() > before
 
 
+def test_unit_keeps_its_size():
+    # a state, an input vector or a class fewer is a smaller model
+    assert gru_lm.HIDDEN >= 24
+    words, topic = [b"w%d" % i for i in range(3000)], np.arange(3001) % 8
+    vocab = gru_lm.Vocabulary([b"", *words], [20, *(4000 - i for i in range(3000))], 10 ** 7, 4000, topic)
+    assert len(set(vocab.input[:1024].tolist())) == 1024 and len(set(vocab.cls.tolist())) == 2 + 8 * 5 == vocab.classes
+    assert gru_lm.first_weights(vocab)["U"].shape == (gru_lm.HIDDEN, 3 * gru_lm.HIDDEN)
+
+
+def test_encoded_slices_hold_every_text():
+    n = np.array([3, 1, 9, 1, 4])
+    column = gru_lm.pa.array([np.arange(k, dtype=np.int32).tobytes() for k in n])
+    for col, want in ((column, n), (column.slice(1, 3), n[1:4])):
+        got = list(gru_lm.id_slices(col, 5, 2))
+        assert [at for at, _, _ in got] == [sum(len(x) for _, _, x in got[:k]) for k in range(len(got))]
+        assert np.concatenate([x for _, _, x in got]).tolist() == want.tolist()
+        assert np.concatenate([i for _, i, _ in got]).tolist() == [j for k in want for j in range(k)]
+
+
 def test_lanes_carry_the_state_over_whole_texts(monkeypatch):
     words = [b"w%d" % i for i in range(9)]
     vocab = gru_lm.Vocabulary([b"", *words], [5, *range(20, 11, -1)], 200, 10)

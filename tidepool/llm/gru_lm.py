@@ -27,6 +27,7 @@ each for itself.
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 
 import numpy as np
@@ -41,9 +42,9 @@ from tidepool.llm.hashing import words_of
 from tidepool.llm.langid import fold
 
 HEAD = 300_000
-TOPIC_WORDS, MARKERS, TOPICS, BANDS = 4096, 64, 6, 4
-INPUTS = 512  # words with an input vector of their own
-HIDDEN = 16
+TOPIC_WORDS, MARKERS, TOPICS, BANDS = 4096, 64, 8, 5
+INPUTS = 1024  # words with an input vector of their own
+HIDDEN = 24
 WINDOW, LANES = 12, 512
 ROUNDS = 2
 RATE = 0.01
@@ -93,6 +94,7 @@ class Vocabulary:
 
     def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, topic: np.ndarray | None = None):
         self.words = [b"", *(w for w in words if w)]
+        self._given = words, counts, total, distinct
         by_word = dict(zip(words, counts))
         c = np.array([by_word.get(w, 0) for w in self.words], np.float64)
         self.index = _Index((w, i) for i, w in enumerate(self.words))
@@ -122,6 +124,15 @@ class Vocabulary:
         far[-1] = True
         self.input[far] = INPUTS + self.cls[far]
 
+    def with_topics(self, topic: np.ndarray) -> Vocabulary:
+        return Vocabulary(*self._given, topic)
+
+    def without_words(self) -> Vocabulary:
+        """What tasks over encoded texts need of it."""
+        out = copy.copy(self)
+        out.words = out.index = out._given = None
+        return out
+
     def indexes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """Word indexes of all texts in a row (-1 in the tail), an end after
         each; the tokens of each text; the words of each."""
@@ -135,17 +146,58 @@ class Vocabulary:
         return out, n, words
 
 
-def shared_texts(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
+def encoded(docs: DataFrame, broad) -> DataFrame:
+    """``docs(doc_id, text)``, split and looked up once for all later passes: a
+    row a text (numbered in ``row``) with its ``n`` tokens, the sums of the base
+    over its head and its word indexes as int32 in ``ids``; and a row for each
+    distinct tail ``word`` of it, which stands there ``n`` times."""
+    names = ["row", "doc_id", "n", "word", "known", "base", "ids"]
+
+    def run(batches):
+        vocab = broad.value
+        known, base = np.append(vocab.known, False).astype(np.int64), np.append(vocab.base, 0)
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            for at, part in text_slices(b.column(1), SLICE):
+                ids, n, words = vocab.indexes(part)
+                first = np.cumsum(n) - n
+                rows = row + np.arange(len(n))
+                row += len(n)
+                data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(first, len(ids)).astype(np.int32) * np.int32(4)),
+                                                                   pa.py_buffer(ids.astype(np.int32))])
+                yield pa.RecordBatch.from_arrays([pa.array(rows), b.column(0).slice(at, len(part)), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.binary()),
+                                                  pa.array(np.add.reduceat(known[ids], first)), pa.array(np.add.reduceat(base[ids], first)), data], names)
+                tail = [(r, w, k) for r, own, f, m in zip(rows.tolist(), words, first, n)
+                        for w, k in Counter(own[j] for j in np.flatnonzero(ids[f:f + m] < 0).tolist()).items()]
+                if tail:
+                    r, w, k = zip(*tail)
+                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.nulls(len(r), pa.int64()), pa.array(k, pa.int64()), pa.array(w, pa.binary()),
+                                                      pa.array(np.zeros(len(r), np.int64)), pa.array(np.zeros(len(r))), pa.nulls(len(r), pa.binary())], names)
+
+    return saved(docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, word binary, known long, base double, ids binary"), "encoded")
+
+
+def id_slices(column, tokens: int, most: int | None = None):
+    """``(at, ids, n)`` of slices of a column of encoded texts, of about
+    ``tokens`` tokens and at most ``most`` texts."""
+    n = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]).astype(np.int64) // 4
+    at = 0
+    while at < len(n):
+        end = at + max(1, int(np.searchsorted(np.cumsum(n[at:]), tokens, "right")))
+        end = min(end, len(n), at + (most or len(n)))
+        yield at, np.frombuffer(b"".join(x.as_py() for x in column.slice(at, end - at)), np.int32).astype(np.int64), n[at:end]
+        at = end
+
+
+def shared_texts(coded: DataFrame, vocab: Vocabulary) -> np.ndarray:
     """How often each of the first ``TOPIC_WORDS`` words stands in a text with
     each of the first ``MARKERS`` words (a table of fixed size)."""
-    broad = docs.sparkSession.sparkContext.broadcast(vocab)
     rows, cols = min(TOPIC_WORDS, len(vocab.words)), min(MARKERS, len(vocab.words))
 
     def run(batches):
-        v, total = broad.value, np.zeros((rows, cols))
+        total = np.zeros((rows, cols))
         for b in batches:
-            for _, texts in text_slices(b.column(0), 1 << 20, 500):
-                ids, n, _ = v.indexes(texts)
+            for _, ids, n in id_slices(b.column(0), 1 << 18, 500):
                 doc = np.repeat(np.arange(len(n)), n)
                 near = (ids > 0) & (ids < rows)
                 counts = np.bincount(doc[near] * rows + ids[near], minlength=len(n) * rows).reshape(len(n), rows).astype(np.float32)
@@ -155,7 +207,7 @@ def shared_texts(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
 
     ddl = ", ".join(["w long", *(f"m{k} double" for k in range(cols))])
     out = np.zeros((rows, cols))
-    for r in docs.select("text").mapInArrow(run, ddl).groupBy("w").agg(*(F.sum(f"m{k}").alias(f"m{k}") for k in range(cols))).collect():
+    for r in coded.select("ids").mapInArrow(run, ddl).groupBy("w").agg(*(F.sum(f"m{k}").alias(f"m{k}") for k in range(cols))).collect():
         out[r[0]] = r[1:]
     return out
 
@@ -205,7 +257,9 @@ def first_weights(vocab: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    x = np.exp(-x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Lanes:
@@ -247,6 +301,10 @@ class Unit:
         self.v = {k: np.zeros_like(v) for k, v in self.w.items()}
         self.t = 0
 
+    def bound(self) -> float:
+        """What no logit exceeds."""
+        return float((np.abs(self.w["W"]).sum(0) + np.abs(self.w["b"])).max())
+
     def forward(self, lanes: Lanes, place: np.ndarray, h: np.ndarray, keep: bool):
         g, u, n = self.w["G"], self.w["U"], HIDDEN
         x = g[lanes.input[place]]
@@ -263,8 +321,10 @@ class Unit:
                 tape.append((h, z, r, c, a[:, 2 * n:]))
             h = c + z * (h - c)
             states[t] = h
-        logits = states.reshape(-1, n) @ self.w["W"] + self.w["b"]
-        logits -= logits.max(1, keepdims=True)
+        logits = states.reshape(-1, n) @ self.w["W"]
+        logits += self.w["b"]
+        if self.bound() > 60:  # states lie within -1 and 1: otherwise no exponential overflows
+            logits -= logits.max(1, keepdims=True)
         p = np.exp(logits)
         norm = p.sum(1, keepdims=True)
         return h, states, logits, p, norm, carry, tape
@@ -287,23 +347,30 @@ class Unit:
     def _learn(self, lanes: Lanes, place, mask, h):
         n, w = HIDDEN, self.w
         h, states, _, p, norm, carry, tape = self.forward(lanes, place, h, True)
-        d = p / norm
+        d = p
+        d /= norm
         d[np.arange(len(d)), lanes.target[place].ravel()] -= 1
         d *= (mask.ravel()[:, None] / max(1, int(mask.sum()))).astype(np.float32)
         grad = {"W": states.reshape(-1, n).T @ d, "b": d.sum(0)}
         out = (d @ w["W"].T).reshape(states.shape)
         dx = np.empty((*place.shape, 3 * n), np.float32)
-        grad["U"], back, ut = np.zeros_like(w["U"]), np.zeros_like(h), w["U"].T.copy()
+        back, ut = np.zeros_like(h), w["U"].T.copy()
+        past, dn = np.empty((*place.shape, n), np.float32), np.empty((*place.shape, n), np.float32)
         for t in range(len(place) - 1, -1, -1):
             prev, z, r, c, a = tape[t]
             dh = out[t] + back
-            dc = dh * (1 - z) * (1 - c * c)
-            da = np.concatenate((dh * (prev - c) * z * (1 - z), dc * a * r * (1 - r), dc * r), 1)
-            dx[t, :, :2 * n], dx[t, :, 2 * n:] = da[:, :2 * n], dc
-            grad["U"] += prev.T @ da
+            rest, da = 1 - z, dx[t]
+            dc = dh * rest * (1 - c * c)
+            dr = dc * r
+            da[:, :n] = dh * (prev - c) * z * rest
+            da[:, n:2 * n] = dr * a * (1 - r)
+            da[:, 2 * n:] = dr
+            past[t], dn[t] = prev, dc
             back = (dh * z + da @ ut) * carry[t]
+        grad["U"] = past.reshape(-1, n).T @ dx.reshape(-1, 3 * n)
+        dx[:, :, 2 * n:] = dn
         rows = lanes.input[place].ravel()
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16) if len(w["G"]) <= 1 << 16 else rows, kind="stable")  # of 16 bits by radix
         used = rows[order]
         head = np.flatnonzero(np.concatenate(([True], used[1:] != used[:-1])))
         grad["G"] = np.zeros_like(w["G"])
@@ -315,19 +382,27 @@ class Unit:
         """Adam with a bound on the length of the gradient."""
         self.t += 1
         length = float(np.sqrt(sum((g * g).sum() for g in grad.values())))
-        cut = min(1.0, 1.0 / max(length, 1e-9))
+        cut, root = min(1.0, 1.0 / max(length, 1e-9)), float(np.sqrt(1 - 0.999 ** self.t))
         for k, g in grad.items():
-            g = g * cut
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.001 * (g * g - self.v[k])
-            m, v = self.m[k] / (1 - 0.9 ** self.t), self.v[k] / (1 - 0.999 ** self.t)
-            self.w[k] -= RATE * m / (np.sqrt(v) + 1e-8)
+            m, v = self.m[k], self.v[k]
+            m *= 0.9
+            m += (0.1 * cut) * g
+            v *= 0.999
+            g *= g
+            g *= 0.001 * cut * cut
+            v += g
+            step = np.sqrt(v)
+            step += 1e-8 * root
+            np.divide(m, step, out=step)
+            step *= RATE * root / (1 - 0.9 ** self.t)
+            self.w[k] -= step
 
 
-SLICE = 8 << 20  # bytes of text whose lanes are in memory at a time
+SLICE = 8 << 20  # bytes of text that are unpacked at a time
+TOKENS = 1 << 21  # tokens whose lanes are in memory at a time
 
 
-def train_round(docs: DataFrame, broad, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def train_round(coded: DataFrame, broad, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The mean of the weights that each task reaches over its texts, weighted
     by their tokens; summed in Spark, so the driver gets one set."""
     shapes = {k: v.shape for k, v in weights.items()}
@@ -336,8 +411,7 @@ def train_round(docs: DataFrame, broad, weights: dict[str, np.ndarray]) -> dict[
     def run(batches):
         vocab, unit, tokens = broad.value, Unit(weights), 0
         for b in batches:
-            for _, part in text_slices(b.column(0), SLICE):
-                ids, n, _ = vocab.indexes(part)
+            for _, ids, n in id_slices(b.column(0), TOKENS):
                 unit.train(Lanes(vocab, ids, n))
                 tokens += len(ids)
         if tokens:
@@ -345,7 +419,7 @@ def train_round(docs: DataFrame, broad, weights: dict[str, np.ndarray]) -> dict[
             yield pa.RecordBatch.from_arrays([pa.array(range(size + 1), pa.int32()), pa.array(np.append(flat, tokens))], ["i", "x"])
 
     flat = np.zeros(size + 1)
-    for r in docs.select("text").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+    for r in coded.select("ids").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
         flat[r.i] = r.x
     if not flat[-1]:
         return weights
@@ -357,58 +431,60 @@ def train_round(docs: DataFrame, broad, weights: dict[str, np.ndarray]) -> dict[
     return out
 
 
+def counted(train: DataFrame, head: int) -> tuple[DataFrame, Vocabulary]:
+    """The counts of the texts of ``train``, and the head without topics."""
+    counts = saved(count_words(train), "counts")
+    total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
+    return counts, Vocabulary(*most_frequent(counts, head), total or 0, distinct)
+
+
+def fit(coded: DataFrame, vocab: Vocabulary, rounds: int) -> tuple[Vocabulary, dict[str, np.ndarray]]:
+    """``(vocabulary with topics, weights)`` by the texts of ``coded``."""
+    coded, sc = coded.where("ids is not null"), coded.sparkSession.sparkContext
+    vocab = vocab.with_topics(topics_of(vocab, shared_texts(coded, vocab)))
+    broad, weights = sc.broadcast(vocab.without_words()), first_weights(vocab)
+    for k in range(rounds):
+        weights = train_round(coded.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k), broad, weights)
+    return vocab, weights
+
+
 def learn(train: DataFrame, head: int = HEAD, rounds: int = ROUNDS):
     """``(counts, vocabulary, weights)`` of the texts in ``train(doc_id,
     text)``."""
     sc = train.sparkSession.sparkContext
-    counts = saved(count_words(train), "counts")
-    total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    words, c = most_frequent(counts, head)
-    vocab = Vocabulary(words, c, total or 0, distinct)
-    vocab = Vocabulary(words, c, total or 0, distinct, topics_of(vocab, shared_texts(train, vocab)))
-    broad, weights = sc.broadcast(vocab), first_weights(vocab)
-    for k in range(rounds):
-        weights = train_round(train.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k), broad, weights)
-    return counts, broad, weights
+    counts, vocab = counted(train, head)
+    vocab, weights = fit(encoded(train, sc.broadcast(vocab)), vocab, rounds)
+    return counts, sc.broadcast(vocab), weights
 
 
 def score(docs: DataFrame, counts: DataFrame, broad, weights: dict[str, np.ndarray]) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` of each row of
     ``docs(doc_id, text)``."""
+    return score_encoded(encoded(docs, broad), counts, broad.value, weights)
+
+
+def score_encoded(coded: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: dict[str, np.ndarray]) -> DataFrame:
+    """:func:`score` of texts that were encoded before."""
+    broad = coded.sparkSession.sparkContext.broadcast(vocab.without_words())
+
     def run(batches):
         vocab, unit = broad.value, Unit(weights)
-        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            for at, part in text_slices(b.column(1), SLICE):
-                ids, n, words = vocab.indexes(part)
-                p = unit.score(Lanes(vocab, ids, n)) + vocab.share[ids]
-                first = np.cumsum(n) - n
-                head = ids >= 0
-                base = np.where(head, np.append(vocab.base, 0)[ids], 0)
-                known = head & np.append(vocab.known, False)[ids]
-                rows = row + np.arange(len(n))
-                row += len(n)
-                sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), base, p)]
-                none = pa.nulls(len(n), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(rows), b.column(0).slice(at, len(part)), pa.array(n.astype(np.int64)), none, *map(pa.array, sums)], names)
-                tail = [(r, w, k) for r, own, f, m in zip(rows.tolist(), words, first, n)
-                        for w, k in Counter(own[j] for j in np.flatnonzero(ids[f:f + m] < 0).tolist()).items()]
-                if tail:
-                    r, w, k = zip(*tail)
-                    zero = pa.array(np.zeros(len(r)))
-                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.nulls(len(r), pa.int64()), pa.array(k, pa.int64()), pa.array(w, pa.binary()),
-                                                      pa.array(np.zeros(len(r), np.int64)), zero, zero], names)
-
-    names = ["row", "doc_id", "n", "word", "known", "base", "score"]
-    vocab = broad.value
-    rows = saved(docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, word binary, known long, base double, score double"), "scored")
+            for at, ids, n in id_slices(b.column(5), TOKENS):
+                p = np.add.reduceat(unit.score(Lanes(vocab, ids, n)) + vocab.share[ids], np.cumsum(n) - n)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, len(n)) for k in range(5)), pa.array(p)], names)
+
+    names = ["row", "doc_id", "n", "known", "base", "score"]
+    rows = (coded.where("ids is not null").select("row", "doc_id", "n", "known", "base", "ids")
+            .mapInArrow(run, "row long, doc_id long, n long, known long, base double, score double"))
+    rows = saved(rows, "scored")
     c = F.coalesce(F.col("c"), F.lit(0))
-    tail = (rows.where("word is not null").select("row", "n", "word").join(counts, "word", "left").groupBy("row").agg(
+    tail = (coded.where("word is not null").select("row", "n", "word").join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"),
         F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(vocab.total + vocab.distinct + 1)))).alias("tail_base"),
         F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(vocab.tail_mass)))).alias("tail_score")))
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    return rows.where("word is null").join(tail, "row", "left").select(
+    return rows.join(tail, "row", "left").select(
         "doc_id", F.col("n").alias("n_tokens"), (F.col("known") + zero("tail_known")).alias("n_known"),
         (F.col("base") + zero("tail_base")).alias("base_score"), (F.col("score") + zero("tail_score")).alias("score"))
 
@@ -417,7 +493,10 @@ def language_model_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id
     """Learn from the documents of which crc32 of the id modulo ``folds`` is
     not ``held``, and score all."""
     docs = in_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts, broad, weights = learn(docs.where(fold(F.col("doc_id"), folds) != held))
-    out = score(docs, counts, broad, weights)
+    train = fold(F.col("doc_id"), folds) != held
+    counts, vocab = counted(docs.where(train), HEAD)
+    coded = encoded(docs, docs.sparkSession.sparkContext.broadcast(vocab))
+    vocab, weights = fit(coded.where(train), vocab, ROUNDS)
+    out = score_encoded(coded, counts, vocab, weights)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
-                      F.lit(broad.value.total).cast("long").alias("train_tokens"), "base_score", "score")
+                      F.lit(vocab.total).cast("long").alias("train_tokens"), "base_score", "score")
