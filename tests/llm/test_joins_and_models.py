@@ -218,6 +218,35 @@ def test_repeated_passages(spark):
     assert sum(probe in (t or "") for t in kept.values()) == 1
 
 
+def _spans(a, b):
+    w = substring.WordHashes()
+    return substring.matching_spans(w.shingles(a, 5), w.shingles(b, 5), 46, 0.8)
+
+
+def test_spans_hold_every_exact_passage_of_texts_with_repeated_lines():
+    r = random.Random(8)
+    new = lambda n: [b"%d" % r.getrandbits(60) for _ in range(n)]
+    p = new(60)
+    assert _spans(new(9) + p + new(9), p[:15] + new(30) + p + new(5)) == [(9, 64, 45, 100, 1.0)]
+    for n, line in ((51, 6), (70, 30)):  # its head, and its tail, stand once more
+        for q in (p[:0] + new(n),):
+            for b in (q[:line] + new(20) + q, q + new(20) + q[-line:], q[:line] + q, q[-line:] + q):
+                assert any(i <= 7 and z >= 7 + n - 5 for i, z, *_ in _spans(new(7) + q + new(7), b))
+    edit = p[:30] + new(1) + p[31:]
+    assert _spans(edit, p[25:30] + new(3) + p + new(9) + p[33:38]) and _spans(p, edit)
+    lines = [new(12) for _ in range(4)]
+    for _ in range(60):
+        a, b = ([w for _ in range(14) for w in (r.choice(lines) if r.random() < 0.7 else new(r.randint(1, 9)))] for _ in range(2))
+        grams = {tuple(b[i:i + 50]) for i in range(len(b) - 49)}
+        got = _spans(a, b)
+        for i in range(len(a) - 49):
+            if tuple(a[i:i + 50]) in grams:
+                assert any(x <= i and i + 45 <= z for x, z, *_ in got)
+        for x, z, u, v, alike in got:
+            one, two = ({tuple(t[k:k + 5]) for k in range(f, l + 1)} for t, f, l in ((a, x, z), (b, u, v)))
+            assert z - x >= 45 and abs(len(one & two) / len(one | two) - alike) < 1e-9 and alike >= 0.8
+
+
 def test_repeated_passages_edges(spark):
     same = " ".join(f"w{i}" for i in range(60))
     rows = [(1, same + " " + same), (2, None), (3, ""), (4, "short one"), (None, same), (5, "Before " + same.upper() + " after"), (5, "x " + same)]

@@ -165,57 +165,114 @@ def windows(docs: DataFrame, shingle: int, passage: int, hashes: int) -> DataFra
     return in_batches(docs).mapInArrow(run, _DDL)
 
 
-def _runs(a: np.ndarray, b: np.ndarray) -> list[list[int]]:
-    """Runs ``[from, to, from_b, to_b]`` of equal shingles, in the order of a."""
-    order = np.argsort(b, kind="stable")
-    sb = b[order]
-    lo = np.searchsorted(sb, a)
-    at = np.flatnonzero(sb[np.minimum(lo, len(sb) - 1)] == a) if len(sb) else np.zeros(0, np.int64)
+def _reaching(at: np.ndarray, width: int, gap: int) -> np.ndarray:
+    """Those of the places ``at`` (ascending) that lie in stretches without a
+    step above ``gap + 1`` and at least ``width`` long; no passage has others."""
+    if not len(at):
+        return at
+    cut = np.flatnonzero(np.diff(at) > gap + 1)
+    first, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(at) - 1]))
+    return at[np.repeat(at[last] - at[first] + 1 >= width, last - first + 1)]
+
+
+def _runs(a: np.ndarray, b: np.ndarray, width: int, gap: int, step: int = 1 << 20) -> list[list[int]]:
+    """All longest runs ``[from, to, from_b, to_b]`` of equal shingles, on every
+    diagonal, in the order of a; without those that no passage can hold."""
+    at, to = _reaching(np.flatnonzero(np.isin(a, b)), width, gap), np.arange(len(b))
+    while len(at):
+        to = _reaching(np.flatnonzero(np.isin(b, a[at])), width, gap)
+        less = _reaching(at[np.isin(a[at], b[to])], width, gap) if len(to) else at[:0]
+        if len(less) == len(at):
+            break
+        at = less
     if not len(at):
         return []
-    lo = lo[at]
-    hi = np.searchsorted(sb, a[at], "right")
-    if (hi - lo == 1).all():  # each place of a has one place of b
-        to = order[lo]
-        cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(to) != 1))
-        first, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(at) - 1]))
-        return np.stack((at[first], at[last], to[first], to[last]), 1).tolist()
-    runs: list[list[int]] = []
-    for i, p, q in zip(at.tolist(), lo.tolist(), hi.tolist()):
-        if runs and runs[-1][1] == i - 1:
-            step = p + int(np.searchsorted(order[p:q], runs[-1][3] + 1)) if q - p > 1 else p
-            if step < q and order[step] == runs[-1][3] + 1:
-                runs[-1][1], runs[-1][3] = i, runs[-1][3] + 1
+    order = to[np.argsort(b[to], kind="stable")]
+    lo = np.searchsorted(b[order], a[at])
+    n = np.searchsorted(b[order], a[at], "right") - lo
+    total, found, i = np.cumsum(n), [], 0
+    while i < len(at):  # matches of about ``step`` at a time, by diagonal and place
+        z = max(i + 1, int(np.searchsorted(total, total[i] - n[i] + step, "right")))
+        m = n[i:z]
+        inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        x, y = np.repeat(at[i:z], m), order[np.repeat(lo[i:z], m) + inner]
+        key = np.sort((y - x + len(a)) << 32 | x)
+        cut = np.flatnonzero(np.diff(key) != 1)
+        found.append(np.stack((key[np.concatenate(([0], cut + 1))], key[np.concatenate((cut, [len(key) - 1]))]), 1))
+        i = z
+    runs = np.concatenate(found)
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    head = np.concatenate(([True], runs[1:, 0] != runs[:-1, 1] + 1))
+    first, last = runs[head, 0], runs[np.append(np.flatnonzero(head)[1:] - 1, len(runs) - 1), 1]
+    shift, low = (first >> 32) - len(a), (1 << 32) - 1
+    out = np.stack((first & low, last & low, (first & low) + shift, (last & low) + shift), 1)
+    return out[np.lexsort((out[:, 2], out[:, 0]))].tolist()
+
+
+def _chains(runs: list[list[int]], gap: int) -> list[list[list[int]]]:
+    """Chains of runs over gaps in both texts: each run goes on from the open
+    chain that holds most equal shingles.  Where two runs overlap, the second
+    is cut."""
+    score, back, part, used, live = [], [], [], [False] * len(runs), []
+    for k, (i, j, p, q) in enumerate(runs):
+        live = [x for x in live if runs[x][1] >= i - gap - 1]
+        best, prev, own = j - i + 1, -1, [i, j, p, q]
+        for x in live:
+            e, f = runs[x][1], runs[x][3]
+            cut = max(0, e + 1 - i, f + 1 - p)
+            if i + cut > j or i + cut - e > gap + 1 or p + cut - f > gap + 1:
                 continue
-        after = p + int(np.searchsorted(order[p:q], runs[-1][3], "right")) if runs else p
-        j = int(order[after if after < q else p])
-        runs.append([i, i, j, j])
-    return runs
+            if score[x] + j - i + 1 - cut > best:
+                best, prev, own = score[x] + j - i + 1 - cut, x, [i + cut, j, p + cut, q]
+        score.append(best)
+        back.append(prev)
+        part.append(own)
+        if prev >= 0:
+            used[prev] = True
+        live.append(k)
+    out = []
+    for k in range(len(runs)):
+        if not used[k]:
+            chain, x = [], k
+            while x >= 0:
+                chain.append(part[x] if back[x] >= 0 else runs[x])
+                x = back[x]
+            out.append(chain[::-1])
+    return out
 
 
 def matching_spans(a: np.ndarray, b: np.ndarray, width: int, similarity: float, gap: int = GAP) -> list[tuple[int, int, int, int, float]]:
     """Passages ``(from, to, from_b, to_b, similarity)`` of two shingle
-    sequences, ends included: chains of equal runs of at least ``width``."""
+    sequences, ends included: the longest parts of chains of equal runs that
+    have at least ``width`` and ``similarity``; none lies within another."""
     if len(a) == len(b) and (a == b).all():
         return [(0, len(a) - 1, 0, len(a) - 1, 1.0)] if len(a) >= width else []
-
-    def alike(r):
-        x, y = set(a[r[0]:r[1] + 1].tolist()), set(b[r[2]:r[3] + 1].tolist())
-        both = len(x & y)
-        return both / (len(x) + len(y) - both)
-
-    chains: list[list[list[int]]] = []
-    for r in _runs(a, b):
-        end = chains[-1][-1] if chains else None
-        if end and r[0] - end[1] <= gap + 1 and 0 < r[2] - end[3] <= gap + 1:
-            chains[-1].append(r)
-        else:
-            chains.append([r])
-    out = []
-    for chain in chains:
-        whole = [chain[0][0], chain[-1][1], chain[0][2], chain[-1][3]]
-        tries = [whole] if whole[1] - whole[0] + 1 >= width and alike(whole) >= similarity else chain
-        out += [(*r, alike(r)) for r in tries if r[1] - r[0] + 1 >= width and alike(r) >= similarity]
+    runs, found = _runs(a, b, width, gap), []
+    # a run of the length of a passage is one by itself, whatever it is chained to
+    for chain in [*_chains(runs, gap), *([r] for r in runs if r[1] - r[0] + 1 >= width)]:
+        reach = -1
+        for x in range(len(chain)):
+            if chain[-1][1] - chain[x][0] + 1 < width or reach == len(chain) - 1:
+                break
+            one, two, both, end = set(), set(), 0, None
+            for y in range(x, len(chain)):
+                i, p = (chain[y - 1][1] + 1, chain[y - 1][3] + 1) if y > x else (chain[x][0], chain[x][2])
+                for new, mine, others in ((a[i:chain[y][1] + 1], one, two), (b[p:chain[y][3] + 1], two, one)):
+                    for h in new.tolist():
+                        if h not in mine:
+                            mine.add(h)
+                            both += h in others
+                alike = both / (len(one) + len(two) - both)
+                if y > reach and chain[y][1] - chain[x][0] + 1 >= width and alike >= similarity:
+                    end = (y, alike)
+            if end:
+                reach = end[0]
+                found.append((chain[x][0], chain[reach][1], chain[x][2], chain[reach][3], end[1]))
+    out, far = [], -1
+    for r in sorted(found, key=lambda r: (r[0], -r[1], -r[4], r[2])):
+        if r[1] > far:
+            far = r[1]
+            out.append(r)
     return out
 
 
