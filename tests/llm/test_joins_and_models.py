@@ -247,6 +247,20 @@ def test_spans_hold_every_exact_passage_of_texts_with_repeated_lines():
             assert z - x >= 45 and abs(len(one & two) / len(one | two) - alike) < 1e-9 and alike >= 0.8
 
 
+def test_exact_passages_are_found_behind_partial_copies(spark):
+    r = random.Random(12)
+    new = lambda n: [f"n{r.getrandbits(50)}" for _ in range(n)]
+    rows, want = [], []
+    for g in range(12):  # two documents hold its first and last words, two the whole of it
+        p, at = new(60 if g % 2 else 50), 10 * g
+        for k, part in enumerate((p[:-1 if g % 2 == 0 else 49], p[1 if g % 2 == 0 else -49:], p, p)):
+            rows.append((at + k, " ".join(new(40) + part + new(40))))
+        want.append((at + 3, 40, 40 + len(p)))
+    spans = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    for i, a, z in want:
+        assert any(s.doc_id == i and s.first_word <= a and z <= s.end_word for s in spans)
+
+
 def test_repeated_passages_edges(spark):
     same = " ".join(f"w{i}" for i in range(60))
     rows = [(1, same + " " + same), (2, None), (3, ""), (4, "short one"), (None, same), (5, "Before " + same.upper() + " after"), (5, "x " + same)]

@@ -14,7 +14,9 @@ gaps, must reach the passage length and the Jaccard similarity.
 An occurrence that its earliest one does not confirm (a common line within two
 different passages) is tied a second time, by the token and the 24 shingles to
 its right, or to its left: of an exact passage of more than 50 words, one of
-the two lies within the passage.
+the two lies within the passage.  What is then not covered is tied by the hash
+of whole passages, so that every exact passage meets the earliest document that
+has it.
 
 Each task first ties the windows of its own batch, so that a token that many
 documents share is shuffled once a batch.  Pairs grow with the copies, not
@@ -277,9 +279,9 @@ def matching_spans(a: np.ndarray, b: np.ndarray, width: int, similarity: float,
 
 
 def verify(pairs: DataFrame, docs: DataFrame, shingle: int, passage: int, similarity: float) -> DataFrame | None:
-    """Spans of ``pairs(doc, source)`` by the whole texts; None without pairs."""
+    """Spans of ``pairs(doc, source)``, which are saved, by the whole texts;
+    None without pairs."""
     width = passage - shingle + 1
-    pairs = saved(pairs.select("doc", "source"), "pairs")
     if pairs.isEmpty():
         return None
     one = docs.join(small(pairs), F.col("doc_id") == F.col("doc")).select("source", "doc", F.col("text").alias("text_a"))
@@ -328,7 +330,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
             .withColumn("first", F.min("id").over(w)).withColumn("last", F.max("id").over(w))
             .where("first < last or more or token is not null"))
     rows = saved(rows.select(F.coalesce("token", "key").alias("key"), "id", "pos", "near", F.coalesce("source", "first").alias("source")), "windows")
-    spans = verify(_pairs(rows, enough), docs, shingle, passage, similarity)
+    tried = saved(_pairs(rows, enough), "pairs")
+    spans = verify(tried, docs, shingle, passage, similarity)
     if spans is None:
         spans = docs.sparkSession.createDataFrame([], SPANS)
 
@@ -345,13 +348,65 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
     again = rows.join(left, "key").select("key", "id", "pos", "source", sides.alias("c")).select("key", "id", "pos", "source", "c.side", "c.near")
     again = saved(again, "sides")
     first = again.groupBy("key", "side", "near").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other < last").drop("last")
-    tied = (again.join(first, ["key", "side", "near"]).where("other <> id and other <> source")
+    tied = (again.join(first, ["key", "side", "near"]).where("other <> id")
             .select("key", "id", "pos", F.col("other").alias("source")))
-    known = spans.select(F.col("doc_id").alias("doc"), F.col("source_id").alias("source")).distinct()
-    more = verify(_pairs(tied, 1).join(known, ["doc", "source"], "left_anti"), docs, shingle, passage, similarity)
+    again = saved(_pairs(tied, 1).join(tried, ["doc", "source"], "left_anti"), "pairs")
+    more = verify(again, docs, shingle, passage, similarity)
+    tried, spans = tried.union(again), spans if more is None else spans.union(more)
+
+    last = saved(exact_pairs(rows, spans, docs, shingle, passage).join(tried, ["doc", "source"], "left_anti"), "pairs")
+    more = verify(last, docs, shingle, passage, similarity)
     return spans if more is None else spans.union(more)
 
 
+def exact_pairs(rows: DataFrame, spans: DataFrame, docs: DataFrame, shingle: int, passage: int) -> DataFrame:
+    """``doc, source`` of documents that share a whole passage word for word
+    which no span covers; ``source`` is the smallest id that has it.
+
+    Copies of a passage share its token under the first function, and the
+    ``CONTEXT`` shingles on the side of the token that is longer within it.
+    Where a group of these holds an occurrence that is not covered as far as
+    its window reaches, every passage length around its members is hashed."""
+    width = passage - shingle + 1
+    assert width <= 2 * CONTEXT - 1
+    place = F.shiftright("pos", 32)
+    one = rows.where(F.col("key").bitwiseAND(F.lit(7)) == 0).select(
+        "key", "id", place.alias("place"), F.greatest(place - F.shiftright("pos", 16).bitwiseAND(F.lit(65535)), place - (width - 1)).alias("lo"),
+        F.least(place + F.col("pos").bitwiseAND(F.lit(65535)), place + (width - 1)).alias("hi"), "near")
+    # what a side's passages reach: at least CONTEXT shingles to that side
+    both = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("near", 32).alias("near"),
+                                      F.greatest("lo", F.col("place") + (CONTEXT - width)).alias("lo"), F.col("hi").alias("hi")),
+                             F.struct(F.lit(1).alias("side"), F.col("near").bitwiseAND(F.lit(0xFFFFFFFF)).alias("near"),
+                                      F.col("lo").alias("lo"), F.least("hi", F.col("place") + (width - CONTEXT)).alias("hi"))))
+    both = one.select("key", "id", "place", both.alias("c")).select("key", "id", "place", "c.*").where(F.col("hi") - F.col("lo") >= width - 1)
+    group = both.groupBy("key", "side", "near").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    both = saved(both.join(group, ["key", "side", "near"]), "contexts")
+    own = spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("first_word", "end_word")).alias("own"))
+    covered = F.exists("own", lambda x: (x["first_word"] <= F.col("lo")) & (F.col("hi") + shingle <= x["end_word"]))
+    open_ = both.where("id > first").join(own, "id", "left").where(~F.coalesce(covered, F.lit(False))).select("key", "side", "near").distinct()
+    look = both.join(small(saved(open_, "open")), ["key", "side", "near"]).groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("look"))
+    look = saved(look, "look")
+    texts = docs.join(small(look, 50_000), F.col("doc_id") == F.col("id")).select("id", "text", "look")
+
+    def run(batches):
+        words = WordHashes()
+        for b in batches:
+            for i, t, look in zip(*b.columns):
+                s = words.shingles(words_of(t.as_py()), shingle)
+                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s)))
+                start = np.zeros(len(s) + 1, bool)  # of rows that share an id, a text may be shorter
+                for x in look.as_py():
+                    start[x["lo"]:max(0, min(x["hi"] + 1, len(s)) - width + 1)] = True
+                at = np.flatnonzero(start)
+                if len(at):
+                    h = np.unique(mix(total[at + width] - total[at] ^ s[at])).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i.as_py(), np.int64))], ["h", "id"])
+
+    hashes = saved(in_batches(texts).mapInArrow(run, "h long, id long"), "exact")
+    first = hashes.groupBy("h").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").drop("last")
+    return hashes.join(first, "h").where("id <> source").select(F.col("id").alias("doc"), "source").distinct()
+
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
