@@ -121,6 +121,23 @@ def test_licence_rules(spark):
     assert got == {1: (["MIT"], 0), 2: (["MIT"], 0), 3: (["Apache-2.0"], 1), 4: ([], 0), 5: ([], 0), 6: (["MIT", "CC-BY-NC-4.0", "MIT"], 0), 7: ([], 1)}
 
 
+def test_standard_notices_are_recognised(spark):
+    tail = ("\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+            "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n")
+    gnu = ("This program is free software%s you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation%s either version %d of the License, or\n(at your option) any later version.")
+    rows = [("GPL-2.0-or-later", gnu % (";", ";", 2) + tail), ("GPL-3.0-or-later", gnu % (":", ",", 3) + tail), ("GPL-2.0-or-later", gnu % (";", ";", 2)),
+            ("GPL-3.0-or-later", gnu % (";", ";", 3) + tail),
+            ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\n"
+                        "file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+            ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n'
+                           "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law")]
+    rows += [(x, f"// SPDX-License-Identifier: {x}\n") for x in ("GPL-2.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.n_unmatched) for r in license.scan_licences(df).collect()}
+    assert got == {i: ([x], 0) for i, (x, _) in enumerate(rows)}
+
+
 def test_archives_give_back_every_page(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "SEGMENT_BYTES", 900)
     inner = warc.record(99, "u", b"inner payload", "d", None).decode() + "\r\n"

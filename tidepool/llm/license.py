@@ -53,11 +53,33 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BsdBinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdEndorse",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "MplRef",
+    # the sentences above as the boundaries cut them in the standard notices
+    "you may obtain a copy of the license at": "ApacheAt",
+    "http www apache org licenses license 2 0": "ApacheUrl",
+    "this program is free software": "GnuFree",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GnuTerms",
+    "either version 3 of the license or at your option any later version": "GnuV3Later",
+    "either version 2 of the license or at your option any later version": "GnuV2Later",
+    "this program is distributed in the hope that it will be useful but without any warranty": "GnuHope",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "GnuImplied",
+    "this source code form is subject to the terms of the mozilla public license v": "MplTerms",
+    "2 0": "MplVersion",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "MplCopy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "MplCopy",
+    "spdx license identifier gpl 2 0 or later": "SpdxGpl2Later",
+    "spdx license identifier bsd 2 clause": "SpdxBsd2",
+    "spdx license identifier bsd 3 clause": "SpdxBsd3",
+    "spdx license identifier mpl 2 0": "SpdxMpl",
+    "spdx license identifier cc by 4 0": "SpdxCcBy",
+    "spdx license identifier cc by sa 4 0": "SpdxCcBySa",
+    "spdx license identifier cc by nc 4 0": "SpdxCcByNc",
+    "spdx license identifier unlicense": "SpdxUnlicense",
     "this is free and unencumbered software released into the public domain": "Unlicense",
     "all rights reserved": "AllRights",
 }
 #: Licence rules in the order in which they are tried: name and identifiers.
 RULES = [
+    ("Apache-2.0", ["ApacheGrant", "ApacheComply", "ApacheAt", "ApacheUrl"]),
     ("Apache-2.0", ["ApacheGrant", "ApacheComply", "ApacheCopy"]),
     ("Apache-2.0", ["ApacheGrant", "ApacheComply"]),
     ("MIT", ["MitGrant", "MitNotice", "MitWarranty"]),
@@ -66,6 +88,12 @@ RULES = [
     ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
     ("GPL-3.0-or-later", ["Gpl3Later", "GnuWarranty", "GnuDetails"]),
     ("GPL-2.0-or-later", ["Gpl2Later", "GnuWarranty", "GnuDetails"]),
+    ("GPL-3.0-or-later", ["Gpl3Later", "GnuHope", "GnuImplied", "GnuDetails"]),
+    ("GPL-2.0-or-later", ["Gpl2Later", "GnuHope", "GnuImplied", "GnuDetails"]),
+    ("GPL-3.0-or-later", ["GnuFree", "GnuTerms", "GnuV3Later", "GnuHope", "GnuImplied", "GnuDetails"]),
+    ("GPL-2.0-or-later", ["GnuFree", "GnuTerms", "GnuV2Later", "GnuHope", "GnuImplied", "GnuDetails"]),
+    ("GPL-3.0-or-later", ["GnuFree", "GnuTerms", "GnuV3Later"]),
+    ("GPL-2.0-or-later", ["GnuFree", "GnuTerms", "GnuV2Later"]),
     ("GPL-3.0-or-later", ["Gpl3Later"]),
     ("GPL-2.0-or-later", ["Gpl2Later"]),
     ("Apache-2.0", ["ApacheRef"]),
@@ -80,7 +108,17 @@ RULES = [
     ("CC-BY-NC-4.0", ["CcByNcRef"]),
     ("CC-BY-SA-4.0", ["CcBySaRef"]),
     ("CC-BY-4.0", ["CcByRef"]),
+    ("MPL-2.0", ["MplTerms", "MplVersion", "MplCopy"]),
+    ("MPL-2.0", ["MplTerms", "MplVersion"]),
     ("MPL-2.0", ["MplRef"]),
+    ("GPL-2.0-or-later", ["SpdxGpl2Later"]),
+    ("BSD-2-Clause", ["SpdxBsd2"]),
+    ("BSD-3-Clause", ["SpdxBsd3"]),
+    ("MPL-2.0", ["SpdxMpl"]),
+    ("CC-BY-4.0", ["SpdxCcBy"]),
+    ("CC-BY-SA-4.0", ["SpdxCcBySa"]),
+    ("CC-BY-NC-4.0", ["SpdxCcByNc"]),
+    ("Unlicense", ["SpdxUnlicense"]),
     ("Unlicense", ["Unlicense"]),
 ]
 #: An SPDX tag ends with its line.
