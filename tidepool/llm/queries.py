@@ -123,4 +123,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-from tidepool.llm import join_queries  # noqa: E402,F401 - registers the other queries
+from tidepool.llm import corpus_queries, join_queries  # noqa: E402,F401 - register the other queries
