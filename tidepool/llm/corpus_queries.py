@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import merkle
-from tidepool.llm.common import table
+from tidepool.llm import align, merkle, sanitise
+from tidepool.llm.common import table, tokenizer_file
 from tidepool.llm.registry import register
 
 
@@ -70,3 +70,24 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = merkle.fold(F.coalesce(F.lower(F.hex("presented")), F.col("leaf")), F.col("path"))
     return (found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), again.alias("folded_root"))
             .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+@register("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+
+@register("op11_personal_data")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.sanitise(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda x: x["kind"].isin(*sanitise.KINDS))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, sanitise.KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

@@ -8,8 +8,8 @@ containers (by 16 bits of the key each) hold the counts before each child.  The
 rank of a key is the sum of these counts and of the bits before its own, so no
 leaf is sorted and no window is wider than 65,536 rows of a directory.
 
-*Levels.*  Leaves go by rank to slot arrays of ``3 ** 6`` leaves, keyed by group
-and block; a task takes an array up six levels at once.  The block digests are
+*Levels.*  Leaves go by rank to slot arrays of ``3 ** levels`` leaves, keyed by
+group and block; a task takes an array up that many levels at once.  The block digests are
 the leaves of the next round, until one is left in each group.  On the way back
 each block gets the path of its own digest and hands it on to its slots.
 
@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import in_batches, saved, small
 
 ARITY = 3
-#: Levels that one slot array takes, and the leaves that it holds.
+#: Levels that one slot array takes (729 leaves).
 LEVELS = 6
-BLOCK = ARITY ** LEVELS
 #: Paths (of at most a few KB each) that may be broadcast, if counted.
 PATHS = 10_000
 PATH = "array<struct<left: string, right: string>>"
@@ -145,10 +144,10 @@ def _height(n: int) -> int:
     return h
 
 
-def _up(nodes: list[str], total: int) -> list[list[str]]:
+def _up(nodes: list[str], total: int, levels: int) -> list[list[str]]:
     """The levels above some nodes of a group that has ``total`` of them."""
     out = [nodes]
-    for _ in range(min(LEVELS, _height(total))):
+    for _ in range(min(levels, _height(total))):
         low = out[-1]
         out.append([sha256("".join(low[i:i + ARITY]).encode()).hexdigest() for i in range(0, len(low), ARITY)])
     return out
@@ -160,35 +159,39 @@ def _slots(cell) -> tuple[np.ndarray, list[str]]:
     return order, [d.hex() for d in cell.field("digest").take(pa.array(order)).to_pylist()]
 
 
-def _roots(batches):
-    for b in batches:
-        slots, tops = b.column(3), []
-        for i, total in enumerate(b.column(2).to_pylist()):
-            tops.append(bytes.fromhex(_up(_slots(slots[i].values)[1], total)[-1][0]))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(tops, pa.binary())], ["g", "block", "total", "digest"])
+def _roots(levels: int):
+    """A map from blocks to their digests."""
+    def run(batches):
+        for b in batches:
+            slots, tops = b.column(3), []
+            for i, total in enumerate(b.column(2).to_pylist()):
+                tops.append(bytes.fromhex(_up(_slots(slots[i].values)[1], total, levels)[-1][0]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(tops, pa.binary())], ["g", "block", "total", "digest"])
+    return run
 
 
-def _blocks(rows: DataFrame, payload: list[str]) -> DataFrame:
+def _blocks(rows: DataFrame, payload: list[str], levels: int) -> DataFrame:
     """Slot arrays of ``rows(g, p, total, digest, payload…)``."""
-    slot = F.struct((F.col("p") % BLOCK).cast("int").alias("slot"), "digest", *payload)
-    return saved(rows.groupBy("g", F.expr(f"p div {BLOCK}").alias("block"))
+    size = ARITY ** levels
+    slot = F.struct((F.col("p") % size).cast("int").alias("slot"), "digest", *payload)
+    return saved(rows.groupBy("g", F.expr(f"p div {size}").alias("block"))
                  .agg(F.max("total").alias("total"), F.collect_list(slot).alias("slots")), "slots")
 
 
-def build(rows: DataFrame, payload: list[str]) -> tuple[list[DataFrame], DataFrame]:
+def build(rows: DataFrame, payload: list[str], levels: int) -> tuple[list[DataFrame], DataFrame]:
     """The slot arrays of every round, and ``g, digest``: the roots."""
-    stages = [_blocks(rows, payload)]
+    size, stages = ARITY ** levels, [_blocks(rows, payload, levels)]
     most = stages[0].agg(F.max("total")).first()[0] or 0
     while True:
-        nodes = saved(in_batches(stages[-1].select("g", "block", "total", "slots")).mapInArrow(_roots, "g string, block long, total long, digest binary"), "nodes")
-        if most <= BLOCK:
+        nodes = saved(in_batches(stages[-1].select("g", "block", "total", "slots")).mapInArrow(_roots(levels), "g string, block long, total long, digest binary"), "nodes")
+        if most <= size:
             return stages, nodes.select("g", "digest")
-        most = -(-most // BLOCK)
-        rows = nodes.select("g", F.col("block").alias("p"), F.expr(f"(total + {BLOCK - 1}) div {BLOCK}").alias("total"), "digest")
-        stages.append(_blocks(rows, []))
+        most = -(-most // size)
+        rows = nodes.select("g", F.col("block").alias("p"), F.expr(f"(total + {size - 1}) div {size}").alias("total"), "digest")
+        stages.append(_blocks(rows, [], levels))
 
 
-def _lengthen(schema, payload: list[str]):
+def _lengthen(schema, payload: list[str], levels: int):
     """A map from blocks with the path of their digest to their slots."""
     def run(batches):
         for b in batches:
@@ -197,7 +200,7 @@ def _lengthen(schema, payload: list[str]):
             for i in range(b.num_rows):
                 cell = slots[i].values
                 order, nodes = _slots(cell)
-                tree = _up(nodes, totals[i])
+                tree = _up(nodes, totals[i], levels)
                 up = ups[i].as_py()
                 above_left, above_right = [x["left"] for x in up], [x["right"] for x in up]
                 left, right = [], []
@@ -212,13 +215,13 @@ def _lengthen(schema, payload: list[str]):
                 ends = np.arange(len(order) + 1, dtype=np.int32) * (len(tree) - 1 + len(up))
                 path = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], ["left", "right"]))
                 take, n = pa.array(order), len(order)
-                cols = [pa.array([b.column(0)[i].as_py()] * n, pa.string()), pa.array(blocks[i] * BLOCK + np.arange(n)), cell.field("digest").take(take),
+                cols = [pa.array([b.column(0)[i].as_py()] * n, pa.string()), pa.array(blocks[i] * ARITY ** levels + np.arange(n)), cell.field("digest").take(take),
                         pa.array([b.column(4)[i].as_py()] * n, pa.binary()), *(cell.field(c).take(take) for c in payload), path]
                 yield pa.RecordBatch.from_arrays(cols, names=schema)
     return run
 
 
-def paths(stages: list[DataFrame], up: DataFrame, payload: list[str]) -> DataFrame:
+def paths(stages: list[DataFrame], up: DataFrame, payload: list[str], levels: int) -> DataFrame:
     """``g, p, digest, top, payload…, path`` of every leaf; ``up(g, top, path)``
     has each group's root and the path above it."""
     up = up.withColumn("p", F.lit(0).cast("long"))
@@ -229,7 +232,7 @@ def paths(stages: list[DataFrame], up: DataFrame, payload: list[str]) -> DataFra
         above = small(up.select(F.col("g"), F.col("p").alias("block"), "top", "path"), PATHS)
         blocks = stages[k].join(above, ["g", "block"]).select("g", "block", "total", "slots", "top", "path")
         names = ["g", "p", "digest", "top", *own, "path"]
-        up = in_batches(blocks).mapInArrow(_lengthen(names, own), schema)
+        up = in_batches(blocks).mapInArrow(_lengthen(names, own, levels), schema)
         if k:
             up = saved(up.select("g", "p", "top", "path"), "paths")
     return up
@@ -237,7 +240,7 @@ def paths(stages: list[DataFrame], up: DataFrame, payload: list[str]) -> DataFra
 
 # ---------------------------------------------------------------- manifest
 
-def manifest(leaves: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
+def manifest(leaves: DataFrame, payload: tuple[str, ...] = (), levels: int = LEVELS) -> DataFrame:
     """The manifest of ``leaves(grp string, key long, leaf hex string)`` and
     further columns that are kept as they are: ``grp, key, leaf, subroot, root``
     in hex, ``place`` in the group, and ``path``, the siblings to the left and
@@ -250,17 +253,17 @@ def manifest(leaves: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
                          *(F.col(c).alias(o) for c, o in zip(kept, own)))
     rows = saved(rows, "leaves")
     carried = ["key", *own]
-    stages, subroots = build(places(rows), carried)
+    stages, subroots = build(places(rows), carried, levels)
 
     # the groups are the leaves of one more tree
     order = saved(subroots.orderBy("g").select(F.lit("").alias("g"), F.col("g").alias("name"), "digest", F.monotonically_increasing_id().alias("at")), "groups")
     ranked = ranks(order, ["g"], "at")[0].select("g", "name", "digest", F.col("rank").alias("p"), "total")
-    above, root = build(ranked, ["name"])
+    above, root = build(ranked, ["name"], levels)
     top = root.first()
     root = F.lit(top["digest"].hex() if top else None).cast("string")
     start = root_path(leaves.sparkSession)
-    up = saved(paths(above, start, ["name"]).select(F.col("name").alias("g"), F.col("digest").alias("top"), "path"), "paths")
-    out = paths(stages, up, carried)
+    up = saved(paths(above, start, ["name"], levels).select(F.col("name").alias("g"), F.col("digest").alias("top"), "path"), "paths")
+    out = paths(stages, up, carried, levels)
     return out.select(F.expr("CASE WHEN g <> '-' THEN substring(g, 2) END").alias("grp"), "key", F.lower(F.hex("digest")).alias("leaf"),
                       F.lower(F.hex("top")).alias("subroot"), root.alias("root"), F.col("p").alias("place"), "path",
                       *(F.col(o).alias(c) for c, o in zip(kept, own)))

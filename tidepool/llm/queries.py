@@ -3,27 +3,15 @@ whole of its table."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import bpe_index, bpe_rank, decontam, license, warc
-from tidepool.llm.common import table
+from tidepool.llm.common import table, tokenizer_file
 from tidepool.llm.registry import register
 from tidepool.session import scratch_path
 
 
-def tokenizer_file(name: str) -> str:
-    """The place of a public tokenizer file (a folder of such files may be
-    named in TOKENIZER_DIR)."""
-    folder = os.environ.get("TOKENIZER_DIR")
-    if folder:
-        return os.path.join(folder, name)
-    import public_tokenizers
-    return public_tokenizers.path(name)
-
-
 def _text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
