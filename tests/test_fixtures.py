@@ -40,20 +40,6 @@ def test_schedule_registry_errors():
     assert sch._get(sch.ALPHA, "LinearAlphaScheduler") is sch.ALPHA["linear"]
 
 
-@pytest.mark.parametrize("n,steps,plan", [
-    (10, 4, [2, 3, 2, 3]),
-    (3, 8, [1, 1, 1]),
-    (32, 32, [1] * 32),
-    (19, 16, [1] * 10 + [2, 1, 2, 1, 2, 1]),
-    (100, 32, [3] * 24 + [4, 3, 4, 3, 4, 3, 4, 3]),
-    (0, 5, []),
-])
-def test_reveal_plan_goldens(spark, n, steps, plan):
-    r = spark.range(1).select(nz.reveal_plan(F.lit(n), steps, "linear").alias("p")).first()
-    assert list(r.p) == plan
-    assert sum(plan) == n
-
-
 @pytest.mark.parametrize("k,L,b,want", [
     (3, 10, 4, [3, 6, 8, 10]), (10, 10, 4, [10, 2, 5, 8]), (1, 5, 8, [1, 2, 2, 3, 4, 4, 5, 5])])
 def test_mc_counts(spark, k, L, b, want):

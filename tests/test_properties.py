@@ -53,13 +53,6 @@ def test_masks_respect_ignore(spark):
         assert bad.count() == 0, strat
 
 
-def test_reveal_plan_sums(spark):
-    d = spark.range(0, 300).withColumnRenamed("id", "n")
-    r = d.select("n", F.aggregate(nz.reveal_plan(F.col("n"), 16, "cosine"), F.lit(0).cast("bigint"),
-                                  lambda a, x: a + x).alias("s"))
-    assert r.where(F.col("n") != F.col("s")).count() == 0
-
-
 def test_collate_shapes(spark):
     d = tk.clip(_docs(spark), 32).withColumn("labels", F.col("input_ids"))
     b = bt.batch_collate(d, 4, "doc_id", seed=1, pad_id=0)

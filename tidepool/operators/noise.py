@@ -1,4 +1,4 @@
-"""Corruption operators: offline masked copies of a corpus.
+"""Corruption operators: offline masked copies of a corpus.
 
 Every random draw is ``uniform(seed, keys…)`` — a function of the row key,
 the position and a purpose tag — so masks are reproducible on any cluster
@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.functions.permute import domain, permuted, round_keys
 from tidepool.functions.rand import uniform, uniform_int
-from tidepool.functions.schedules import alpha, reverse_transfer
+from tidepool.functions.schedules import alpha
 
 IGNORE = -100
 EPS = 1e-3
@@ -144,10 +145,11 @@ def mc_perturb(df: DataFrame, key: str, target_len: str, mc_num: int, batch: int
                parts: int | None = None) -> DataFrame:
     """``max(1, mc_num // batch)`` loops × ``batch`` copies per request;
     per loop ``k ~ U{1..L}``; copy i masks ``x_i`` of the L target positions
-    uniformly without replacement (the x_i positions with the smallest
-    draws); ``p = x / L``.  Rows grow ×loops×batch: the loops are
-    dealt over ``parts`` partitions (default: the cluster's parallelism; an
-    explicit number, which AQE leaves alone) before the copies are made."""
+    uniformly without replacement: those that a permutation keyed by (request,
+    loop, copy) puts below ``x_i``; ``p = x / L``.  Rows grow ×loops×batch: the
+    loops are dealt over ``parts`` partitions (default: the cluster's
+    parallelism; an explicit number, which AQE leaves alone) before the copies
+    are made."""
     loops = max(1, mc_num // batch)
     L = F.col(target_len)
     rows = (df.withColumn("loop", F.explode(F.sequence(F.lit(0), F.lit(loops - 1))))
@@ -156,57 +158,8 @@ def mc_perturb(df: DataFrame, key: str, target_len: str, mc_num: int, batch: int
             .withColumn("_x", mc_counts(F.col("_k"), L, batch))
             .select("*", F.posexplode("_x").alias("copy", "n_masked"))
             .drop("_x", "_k"))
-    draws = F.transform(F.sequence(F.lit(0), L - 1),
-                        lambda q: uniform(seed, F.lit("pos"), F.col(key), F.col("loop"), F.col("copy"), q))
-    rows = rows.withColumn("_d", draws)
-    thr = F.get(F.array_sort("_d"), (F.col("n_masked") - 1).cast("int"))
-    return (rows.withColumn("target_mask", F.transform("_d", lambda d: d <= thr))
+    rows = rows.withColumn("_keys", round_keys(seed, F.lit("pos"), F.col(key), F.col("loop"), F.col("copy"))).withColumn("_size", domain(L))
+    place = F.transform(F.sequence(F.lit(0), L - 1), lambda q: permuted(q, F.col("_size"), F.col("_keys")))
+    return (rows.withColumn("target_mask", F.transform(place, lambda at: at < F.col("n_masked")))
             .withColumn("p", F.col("n_masked") / L)
-            .drop("_d"))
-
-
-# ------------------------------------------------------ reveal plan
-
-def reveal_plan(n: Column, steps: int | Column, kind: str = "linear", stochastic: bool = False,
-                seed: int = 0, key: Column | None = None) -> Column:
-    """Tokens revealed per step for ``n`` masked tokens.
-
-    Deterministic: ``min(rint(rem · ratio_j), rem)`` with the float32 ratio
-    of step j; stops at rem = 0; zero steps removed.  Stochastic: the count
-    of step j is an exact Binomial(rem, ratio_j) draw — the sum of ``rem``
-    Bernoulli draws ``U(seed, key, j, q) < ratio_j``.
-    """
-    S = steps if isinstance(steps, Column) else F.lit(int(steps))
-    ratios = F.transform(F.sequence(F.lit(0), S - 1), lambda j: F.struct(
-        j.alias("j"),
-        reverse_transfer((S - 1 - j) / S.cast("double"), (S - j) / S.cast("double"), kind).alias("r")))
-    init = F.struct(n.cast("bigint").alias("rem"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc, rj):
-        rem = acc["rem"]
-        if stochastic:
-            draws = F.filter(F.sequence(F.lit(0).cast("bigint"), F.greatest(rem - 1, F.lit(-1).cast("bigint"))),
-                             lambda q: uniform(seed, F.lit("binom"), key, rj["j"], q) < rj["r"])
-            x = F.when(rem > 0, F.size(draws).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        else:
-            x = F.least(F.rint(rem.cast("double") * rj["r"]).cast("bigint"), rem)
-        x = F.when(rem > 0, x).otherwise(F.lit(0).cast("bigint"))
-        return F.struct((rem - x).alias("rem"), F.concat(acc["out"], F.array(x)).alias("out"))
-
-    res = F.aggregate(ratios, init, step)
-    return F.filter(res["out"], lambda v: v > 0)
-
-
-def block_schedule(new_tokens: Column, block: int, steps: int, kind: str = "linear",
-                   cfg: bool = False) -> Column:
-    """``ceil(new/block)`` blocks of width ``block`` (the last short),
-    ``ceil(steps/blocks)`` steps each; passes = effective (non-zero) reveal
-    steps per block, doubled under classifier-free guidance.  Returns
-    array<struct<block, width, passes>>."""
-    nb = F.ceil(new_tokens / F.lit(float(block))).cast("int")
-    spb = F.ceil(F.lit(float(steps)) / nb).cast("int")
-    mult = 2 if cfg else 1
-    return F.transform(F.sequence(F.lit(0), nb - 1), lambda b: F.struct(
-        b.alias("block"),
-        F.least(F.lit(block), new_tokens - b * block).alias("width"),
-        (F.size(reveal_plan(F.least(F.lit(block), new_tokens - b * block), spb, kind)) * mult).alias("passes")))
+            .drop("_keys", "_size"))

@@ -1,109 +1,57 @@
 """Splits, limits, ordering and set operations.
 
-Exact "first n rows by an order key" without a global sort
------------------------------------------------------------
-A global ``row_number`` plans to ``Exchange SinglePartition`` and a large
-``orderBy().limit(n)`` funnels n rows through one task.  Instead
-``rank_cut`` finds the n-th smallest value of an integral order column by
-histogram refinement: each pass is one distributed aggregation returning at
-most ``BUCKETS`` (value-range bucket, count) rows to the driver, narrowing the
-range that holds the n-th value (at most ceil(63/16) passes for 64-bit keys,
-one pass when the key range is narrower than ``BUCKETS``).  Ties at the cut
-value are resolved by a unique tie-break column.  The final selection is a
-plain filter, so the selected rows never leave their partitions.
+Exact first-n selections are cuts (``cuts.py``): all ranks that an operator
+needs are found in shared passes, and the selection is a filter.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.functions.permute import domain, permuted, round_keys
 from tidepool.functions.rand import hash52
+from tidepool.operators.cuts import BUCKETS, Cuts, Part, rank_cut, row_hash
 
-BUCKETS = 1 << 16
-
-
-@dataclass(frozen=True)
-class Cut:
-    """Rows with ``value < value_cut`` or ``value == value_cut and
-    tiebreak <= tiebreak_cut`` are the first ``n`` rows."""
-
-    n: int
-    value_cut: int | None       # None: no row selected
-    tiebreak_cut: object = None
-    everything: bool = False    # n >= row count
-    nulls: bool = False         # every value, and null values up to the tiebreak
-
-    def predicate(self, value: Column, tiebreak: Column) -> Column:
-        if self.everything:
-            return F.lit(True)
-        if self.nulls:
-            return value.isNotNull() if self.tiebreak_cut is None else value.isNotNull() | (tiebreak <= F.lit(self.tiebreak_cut))
-        if self.value_cut is None:
-            return F.lit(False)
-        v = F.lit(self.value_cut)
-        within = value <= v if self.tiebreak_cut is None else (value < v) | ((value == v) & (tiebreak <= F.lit(self.tiebreak_cut)))
-        return F.coalesce(within, F.lit(False))
-
-
-def _nth(v: DataFrame, col: str, lo: int, hi: int, need: int) -> tuple[int, int]:
-    """``(x, rest)``: the ``need``-th smallest value of an integral column
-    within [lo, hi], and its place among equal values."""
-    while lo < hi:
-        width = -(-(hi - lo + 1) // BUCKETS)      # ceil division
-        hist = (v.where((F.col(col) >= lo) & (F.col(col) <= hi))
-                .groupBy(F.expr(f"({col} - ({lo})) div {width}").alias("b")).count().collect())
-        for bucket, n in sorted((r["b"], r["count"]) for r in hist):
-            if need <= n:
-                break
-            need -= n
-        lo, hi = lo + bucket * width, min(hi, lo + (bucket + 1) * width - 1)
-    return lo, need
-
-
-def rank_cut(df: DataFrame, value: Column, tiebreak: Column, n: int | None = None,
-             frac: float | None = None) -> Cut:
-    """Find the cut for the first ``n`` rows ordered by (value, tiebreak),
-    null values last.
-
-    ``value`` must be integral.  Cost: one aggregation for bounds plus one
-    bounded histogram per refinement pass.  Rows tied at the cut value are
-    resolved in the same way by an integral tiebreak (by the order of its
-    values otherwise).
-    """
-    v = df.select(value.cast("long").alias("_v"), tiebreak.alias("_t"))
-    lo, hi, some, total = v.agg(F.min("_v"), F.max("_v"), F.count("_v"), F.count(F.lit(1))).first()
-    if frac is not None:
-        n = math.ceil(frac * total)
-    if n <= 0:
-        return Cut(n, None)
-    if total == 0 or n >= total:
-        return Cut(n, None, everything=total > 0 and n >= total)
-    if n > some:
-        return Cut(n, None, _tie(v.where("_v is null"), n - some), nulls=True)
-    cut, need = _nth(v, "_v", lo, hi, n)
-    tied = v.where(F.col("_v") == cut)
-    return Cut(n, cut, _tie(tied, need))
-
-
-def _tie(tied: DataFrame, need: int):
-    """The ``need``-th smallest tiebreak; None if all rows are needed."""
-    kind = tied.schema["_t"].dataType.typeName()
-    if need >= tied.count():
-        return None
-    if kind in ("byte", "short", "integer", "long"):
-        t = tied.select(F.col("_t").cast("long").alias("_t"))
-        return _nth(t, "_t", *t.agg(F.min("_t"), F.max("_t")).first(), need)[0]
-    return tied.select("_t").orderBy("_t").offset(need - 1).limit(1).first()[0]
-
-
-def first_n(df: DataFrame, n: int, order_by: str) -> DataFrame:
-    """The first ``n`` rows by an integral, unique ``order_by`` column."""
-    cut = rank_cut(df, F.col(order_by), F.col(order_by), n)
-    return df.where(cut.predicate(F.col(order_by).cast("long"), F.col(order_by)))
+
+def first_n(df: DataFrame, n: int, order_by: str, *ties: str) -> DataFrame:
+    """The first ``n`` rows by an integral column.  Rows with one value
+    follow the tiebreaks, then a hash of the row."""
+    part, cut = rank_cut(df, F.col(order_by), *ties, row_hash(df), n=n)
+    return df.where(part.within(cut))
+
+
+@dataclass
+class Unsplit:
+    """Rows whose exact train/test split is still to be cut, so that a loader
+    of several sources finds all cuts together; ``then`` follows the split."""
+
+    df: DataFrame
+    key: str
+    test_size: float | int = 0.05
+    seed: int = 42
+    then: Callable[[DataFrame], DataFrame] = lambda df: df
+
+    def part(self) -> Part:
+        return Part(self.df, hash52(self.seed, F.col(self.key)), (F.col(self.key), row_hash(self.df)))
+
+    @property
+    def want(self) -> float | int:
+        return self.test_size if isinstance(self.test_size, float) else int(self.test_size)
+
+
+def split_all(frames: list[Unsplit], split_col: str = "split") -> list[DataFrame]:
+    """L1 for several sources in the same passes."""
+    parts = {str(k): u.part() for k, u in enumerate(frames)}
+    cuts = Cuts(parts).find({(str(k), ""): [u.want] for k, u in enumerate(frames)})
+    out = []
+    for k, u in enumerate(frames):
+        is_test = parts[str(k)].within(cuts[str(k), "", u.want])
+        out.append(u.then(u.df.withColumn(split_col, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))))
+    return out
 
 
 def split_exact(df: DataFrame, key: str, test_size: float = 0.05, seed: int = 42,
@@ -114,28 +62,49 @@ def split_exact(df: DataFrame, key: str, test_size: float = 0.05, seed: int = 42
     partitioning — and the lowest ranks form the test split.  Membership
     differs from the reference's RNG; size and determinism hold.
     """
-    h = hash52(seed, F.col(key))
-    if isinstance(test_size, float):
-        cut = rank_cut(df, h, F.col(key), frac=test_size)
-    else:
-        cut = rank_cut(df, h, F.col(key), n=int(test_size))
-    is_test = cut.predicate(h, F.col(key))
-    return df.withColumn(split_col, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+    return split_all([Unsplit(df, key, test_size, seed)], split_col)[0]
+
+
+def limit_all(frames: list[tuple[DataFrame, dict]], order_by: str, split_col: str = "split",
+              overlapping: bool = True) -> list[DataFrame]:
+    """L2 and L3 for several sources in the same passes: each frame with its
+    limits by split.  Of a frame with one split, every requested split is cut
+    from the start of the same rows (L3; not without ``overlapping``)."""
+    parts = {str(k): Part(df, F.col(order_by), (row_hash(df),), F.col(split_col)) for k, (df, limits) in enumerate(frames) if limits}
+    cuts = Cuts(parts)
+    splits = {k: [g for s, g in cuts.groups if s == k] for k in parts}
+    lone = {k: g[0] for k, g in splits.items() if overlapping and len(g) == 1}
+    wants = {}
+    for k in parts:
+        limits = frames[int(k)][1]
+        for name, n in limits.items():
+            if n is not None and not isinstance(n, int):
+                raise ValueError(f"split {name!r}: a row count is needed, not {n!r}")
+            if n is not None:
+                wants.setdefault((k, lone.get(k, name)), []).append(n)
+    found = cuts.find(wants)
+    out = []
+    for number, (df, limits) in enumerate(frames):
+        k = str(number)
+        limits = {name: n for name, n in limits.items() if n is not None}
+        if k not in parts or not limits:
+            out.append(df)
+        elif k in lone:
+            cut = [df.where(parts[k].within(found[k, lone[k], n])).withColumn(split_col, F.lit(name)) for name, n in limits.items()]
+            out.append(_union_all(cut, df))
+        else:
+            keep = ~F.coalesce(F.col(split_col).isin(list(limits)), F.lit(False))
+            for name, n in limits.items():
+                keep = keep | F.coalesce((F.col(split_col) == name) & parts[k].within(found[k, name, n]), F.lit(False))
+            out.append(df.where(keep))
+    return out
 
 
 def limit_split(df: DataFrame, limits: dict, order_by: str, split_col: str = "split") -> DataFrame:
     """L2: first-n per split (by ``order_by``); splits that are not named and
     rows without a split stay whole; limits naming absent splits do nothing;
     bigger n is harmless.  One filter over the rows as they lie."""
-    keep = ~F.coalesce(F.col(split_col).isin(list(limits)), F.lit(False))
-    key = F.col(order_by)
-    for name, n in limits.items():
-        if n is None:
-            keep = keep | F.coalesce(F.col(split_col) == name, F.lit(False))
-            continue
-        cut = rank_cut(df.where(F.col(split_col) == name), key, key, int(n))
-        keep = keep | F.coalesce((F.col(split_col) == name) & cut.predicate(key.cast("long"), key), F.lit(False))
-    return df.where(keep)
+    return limit_all([(df, limits)], order_by, split_col, overlapping=False)[0]
 
 
 def derive_splits_overlapping(df: DataFrame, limits: dict, order_by: str,
@@ -143,16 +112,7 @@ def derive_splits_overlapping(df: DataFrame, limits: dict, order_by: str,
     """L3 (batch, one-split source): every requested split is cut from the
     start of the same rows, so splits overlap — the reference's behaviour.
     Non-integer limits (leftover text options) are rejected."""
-    parts = []
-    for name, n in limits.items():
-        if n is None:
-            continue
-        if not isinstance(n, int):
-            raise ValueError(f"split {name!r}: a row count is needed, not {n!r}")
-        parts.append(first_n(df, n, order_by).withColumn(split_col, F.lit(name)))
-    if not parts:
-        return df.withColumn(split_col, F.lit("train"))
-    return _union_all(parts, df)
+    return limit_all([(df.withColumn(split_col, F.lit("train")), limits)], order_by, split_col)[0]
 
 
 def derive_splits_disjoint(df: DataFrame, n_train: int | None, n_test: int | None,
@@ -160,30 +120,31 @@ def derive_splits_disjoint(df: DataFrame, n_train: int | None, n_test: int | Non
     """L4 (the streaming loader's semantics, batch form): test = first
     ``n_test`` rows, train = the next ``n_train``; disjoint.  With one limit
     only, that split is taken from the start."""
-    key = F.col(order_by)
     if n_train is None and n_test is None:
         return df
+    part = Part(df, F.col(order_by), (row_hash(df),))
     if n_train is not None and n_test is not None:
-        c1 = rank_cut(df, key, key, n_test)
-        c2 = rank_cut(df, key, key, n_test + n_train)
-        p1, p2 = c1.predicate(key.cast("long"), key), c2.predicate(key.cast("long"), key)
-        return (df.where(p2).withColumn(split_col, F.when(p1, F.lit("test")).otherwise(F.lit("train"))))
+        found = Cuts({"": part}).find({("", ""): [n_test, n_test + n_train]})
+        first, both = part.within(found["", "", n_test]), part.within(found["", "", n_test + n_train])
+        return df.where(both).withColumn(split_col, F.when(first, F.lit("test")).otherwise(F.lit("train")))
     name, n = ("train", n_train) if n_train is not None else ("test", n_test)
-    return first_n(df, n, order_by).withColumn(split_col, F.lit(name))
+    return df.where(part.within(Cuts({"": part}).find({("", ""): [n]})["", "", n])).withColumn(split_col, F.lit(name))
 
 
 def derive_splits_named(df: DataFrame, n_train: int | None, n_test: int | None,
                         order_by: str, split_col: str = "split") -> DataFrame:
     """L4 for multi-split sources: the named split must exist (error)."""
-    out = []
-    for name, n in (("train", n_train), ("test", n_test)):
-        if n is None:
-            continue
-        part = df.where(F.col(split_col) == name)
-        if part.isEmpty():
+    part = Part(df, F.col(order_by), (row_hash(df),), F.col(split_col))
+    cuts = Cuts({"": part})
+    limits = {name: n for name, n in (("train", n_train), ("test", n_test)) if n is not None}
+    for name in limits:
+        if ("", name) not in cuts.groups:
             raise ValueError(f"the source has no {name!r} split to limit")
-        out.append(first_n(part, n, order_by))
-    return _union_all(out, df)
+    found = cuts.find({("", name): [n] for name, n in limits.items()})
+    keep = F.lit(False)
+    for name, n in limits.items():
+        keep = keep | F.coalesce((F.col(split_col) == name) & part.within(found["", name, n]), F.lit(False))
+    return df.where(keep)
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 42, epoch: int | Column = 0,
@@ -234,6 +195,17 @@ def with_epochs(df: DataFrame, n_epochs: int, epoch_col: str = "epoch") -> DataF
     return df.withColumn(epoch_col, F.explode(F.sequence(F.lit(0), F.lit(n_epochs - 1))))
 
 
+def epoch_positions(df: DataFrame, key: str, n_epochs: int, seed: int = 42, epoch_col: str = "epoch",
+                    out: str = "position") -> DataFrame:
+    """L6 + U4: each row once per epoch with its place in that epoch's order.
+    Rows are ranked once, by ``key``; an epoch's order is a permutation of the
+    ranks that is keyed by (seed, epoch), so no epoch is sorted."""
+    n = df.count()
+    ranked = global_rank(df, F.col(key), F.col(key), out="_rank").withColumn("_size", domain(F.lit(n)))
+    ranked = with_epochs(ranked, n_epochs, epoch_col).withColumn("_keys", round_keys(seed, F.col(epoch_col)))
+    return ranked.withColumn(out, permuted(F.col("_rank"), F.col("_size"), F.col("_keys"))).drop("_rank", "_size", "_keys")
+
+
 # ------------------------------------------------------------ global rank
 
 #: A bucket of more rows than this is cut again before rows are numbered.
@@ -278,25 +250,25 @@ def global_rank(df: DataFrame, value: Column, tiebreak: Column, out: str = "rank
             open_groups[g] = None
     live = {g: r for g, r in open_groups.items() if r is not None and g in counts}
     while live:
-        share = max(2, buckets // len(live))
-        table = [(g, a, max(1, -(-(b - a + 1) // share)), c == "_v") for g, (a, b, c) in live.items()]
-        at = spark.createDataFrame(table, "_g long, _lo long, _w long, _byv boolean")
+        share, width = max(2, buckets // len(live)), {}
+        for g, (a, b, _) in live.items():  # upper bits: no difference can overflow
+            width[g] = next(s for s in range(64) if (b >> s) - (a >> s) < share)
+        table = [(g, width[g], c == "_v") for g, (a, b, c) in live.items()]
+        at = spark.createDataFrame(table, "_g long, _w int, _byv boolean")
         v = (v.join(F.broadcast(at), "_g", "left")
-             .withColumn("_b", F.expr("CASE WHEN _w IS NOT NULL THEN ((CASE WHEN _byv THEN _v ELSE _o END) - _lo) DIV _w END")))
+             .withColumn("_b", F.expr("CASE WHEN _w IS NOT NULL THEN shiftright(CASE WHEN _byv THEN _v ELSE _o END, _w) END")))
         hist = (v.where("_b is not null").groupBy("_g", "_b")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("o1"), F.max("_o").alias("o2")).collect())
-        width = {g: w for g, _, w, _ in table}
         moves, nxt = [], {}
         for r in hist:
             g, b, n = r["_g"], r["_b"], r["n"]
             a, _, col = live[g]
             path[ids] = (*path[g], b)
             moves.append((g, b, ids))
-            first = a + b * width[g]
             if n <= limit:
                 final[ids] = n
-            elif width[g] > 1:
-                nxt[ids] = (first, min(live[g][1], first + width[g] - 1), col)
+            elif width[g] > 0:
+                nxt[ids] = (max(a, b << width[g]), min(live[g][1], ((b + 1) << width[g]) - 1), col)
             elif col == "_v" and exact and r["o1"] is not None and r["o1"] < r["o2"]:
                 nxt[ids] = (r["o1"], r["o2"], "_o")
             else:
@@ -304,7 +276,7 @@ def global_rank(df: DataFrame, value: Column, tiebreak: Column, out: str = "rank
             ids += 1
         move = spark.createDataFrame(moves, "_g long, _b long, _to long")
         v = (v.join(F.broadcast(move), ["_g", "_b"], "left").withColumn("_g", F.coalesce("_to", "_g"))
-             .drop("_lo", "_w", "_byv", "_b", "_to"))
+             .drop("_w", "_byv", "_b", "_to"))
         live = nxt
     rows, before = [], 0
     for g in sorted(final, key=path.__getitem__):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepool.functions.permute import sql_permuted, sql_round_keys
 from tidepool.functions.rand import sql_uniform, sql_uniform_int
 from tidepool.functions.schedules import alpha, kappa, loss_weight
 from tidepool.functions.text import md5_of_ids
@@ -211,20 +212,27 @@ def mc_perturb_bench(spark, sf_dir):
                     F.md5(F.array_join(F.transform("target_mask", lambda b: b.cast("int")), "")).alias("mask_md5"))
 
 
-def _sql_mc() -> str:
+def sql_mc_copies(cont: str) -> str:
+    """CTEs up to ``d``: the copies with the place of each target position."""
     k = sql_uniform_int(6, "1", "L", "'k'", "item_id", "loop")
-    draw = sql_uniform(6, "'pos'", "item_id", "loop", "copy", "q")
     return f"""
-WITH r AS (
-  SELECT item_id, len({TOK.sql_tokens("substr(text, length(split_part(text, '.', 1)) + 1)")}) AS L FROM benchmark
-),
+r AS (SELECT item_id, len({TOK.sql_tokens(cont)}) AS L FROM benchmark),
 l AS (SELECT item_id, L, loop FROM r, range(16) t(loop) WHERE L > 0),
 k AS (SELECT *, {k} AS k FROM l),
-c AS (SELECT item_id, L, loop, copy, ((round_even(k + copy * (L / 8.0), 0)::BIGINT - 1) % L) + 1 AS x
+c AS (SELECT item_id, L, loop, copy, ((round_even(k + copy * (L / 8.0), 0)::BIGINT - 1) % L) + 1 AS x,
+        {sql_round_keys(6, "'pos'", "item_id", "loop", "copy")} AS keys
       FROM k, range(8) t(copy)),
-d AS (SELECT *, list_transform(range(L), lambda q: {draw}) AS dr FROM c)
+q AS (SELECT item_id, loop, copy, L, keys, unnest(range(L)) AS q FROM c),
+pl AS (SELECT item_id, loop, copy, q, {sql_permuted("q", "L", "keys")} AS place FROM q),
+d AS (SELECT c.item_id, c.loop, c.copy, c.L, c.x, list(place ORDER BY q) AS dr FROM c JOIN pl USING (item_id, loop, copy)
+      GROUP BY c.item_id, c.loop, c.copy, c.L, c.x)"""
+
+
+def _sql_mc() -> str:
+    return f"""
+WITH {sql_mc_copies("substr(text, length(split_part(text, '.', 1)) + 1)")}
 SELECT item_id, loop::BIGINT AS loop, copy::BIGINT AS copy, x::BIGINT AS n_masked, round(x / L, 9) AS p,
-       md5(array_to_string(list_transform(dr, lambda v: (v <= list_sort(dr)[x])::INTEGER), '')) AS mask_md5
+       md5(array_to_string(list_transform(dr, lambda v: (v < x)::INTEGER), '')) AS mask_md5
 FROM d
 """
 

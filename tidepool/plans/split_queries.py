@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepool.functions.permute import sql_permuted, sql_round_keys
 from tidepool.functions.rand import hash52, sql_hash52
 from tidepool.functions.text import PY_SPACE_CLASS
 from tidepool.operators import normalise as nz, split as sp
@@ -62,16 +63,15 @@ FROM documents, range(2) t(e)
 
 
 def shuffle_positions_docs(spark, sf_dir):
-    """The place of every document in each epoch's order."""
-    d = sp.with_epochs(table(spark, sf_dir, "documents").select("doc_id"), 2)
-    d = sp.shuffle(d, "doc_id", seed=7, epoch=F.col("epoch"))
-    ranked = [sp.global_rank(d.where(F.col("epoch") == e), F.col("shuffle_key"), F.col("doc_id"), "position") for e in (0, 1)]
-    return ranked[0].unionByName(ranked[1]).select("doc_id", "epoch", "position")
+    """The place of every document in each epoch's order; one rank
+    serves all epochs."""
+    return sp.epoch_positions(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 3, seed=7).select("doc_id", "epoch", "position")
 
 
 register("shuffle_positions_docs", f"""
-SELECT doc_id, e::INTEGER AS epoch, row_number() OVER (PARTITION BY e ORDER BY {sql_hash52(7, 'e', 'doc_id')}, doc_id) - 1 AS position
-FROM documents, range(2) t(e)
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS x, count(*) OVER () AS n FROM documents),
+k AS (SELECT doc_id, x, n, e::INTEGER AS epoch, {sql_round_keys(7, 'e')} AS keys FROM r, range(3) t(e))
+SELECT doc_id, epoch, {sql_permuted('x', 'n', 'keys')} AS position FROM k
 """)(shuffle_positions_docs)
 
 
@@ -79,17 +79,17 @@ FROM documents, range(2) t(e)
 
 def _instructions(spark, root, opts):
     rows = nz.instruction_rows(table(spark, root, "conversations"))
-    msgs = nz.norm_instruction(rows, keep=("conv_id",))
-    return sp.split_exact(msgs, "conv_id", 0.05, seed=42).withColumnRenamed("conv_id", "key")
+    msgs = nz.norm_instruction(rows, keep=("conv_id",)).withColumnRenamed("conv_id", "key")
+    return sp.Unsplit(msgs, "key", 0.05, 42)
 
 
 def _pairs(spark, root, opts):
     rows = nz.instruction_rows(table(spark, root, "conversations"))
-    msgs = sp.split_exact(nz.norm_pair(rows, keep=("conv_id",)), "conv_id", 0.05, seed=42)
+    msgs = nz.norm_pair(rows, keep=("conv_id",)).withColumnRenamed("conv_id", "key")
     lang = opts.pop("lang", None)
-    if lang is not None:
-        msgs = nz.lang_in_answer(msgs, lang)          # after the split, as the reference
-    return msgs.withColumnRenamed("conv_id", "key")
+    if lang is None:
+        return sp.Unsplit(msgs, "key", 0.05, 42)
+    return sp.Unsplit(msgs, "key", 0.05, 42, then=lambda df: nz.lang_in_answer(df, lang))  # after the split
 
 
 def _chats(spark, root, opts):

@@ -41,45 +41,46 @@ def resolve(spark: SparkSession, name: str, base: str | None = None) -> str:
     return path.toString() if files.exists(path) else name
 
 
-def apply_limits(df: DataFrame, limits: dict[str, int], order_by: str) -> DataFrame:
-    if not limits:
-        return df
-    low, high = df.agg(F.min("split"), F.max("split")).first()
-    if low == high:
-        return sp.derive_splits_overlapping(df.drop("split"), limits, order_by)
-    return sp.limit_split(df, limits, order_by)
-
-
-def load_source(spark: SparkSession, source: Source, registry: dict, root: str) -> DataFrame:
-    """One source without its limits; options that its loader leaves raise."""
+def load_source(spark: SparkSession, source: Source, registry: dict, root: str, base: str | None = None) -> DataFrame | sp.Unsplit:
+    """One source without its limits.  The loader gets the options that the
+    spec gives it (``name``, a sub-config, like any other) and, as ``root``,
+    the place of the source under the base folder if it lies there.  Options
+    that it leaves raise."""
     options = dict(source.options)
-    df = find_loader(source.name, registry)(spark, root, options)
+    place = resolve(spark, source.name, base)
+    df = find_loader(source.name, registry)(spark, root if place == source.name else place, options)
     for key, value in options.items():
         raise SpecError(f"source {source.name!r} takes no option {key!r} (value {value!r}; a limit is a whole number)")
-    return nz.ensure_split(df)
+    return df if isinstance(df, sp.Unsplit) else nz.ensure_split(df)
 
 
 def _merged(spark, spec: str, key: str, load) -> DataFrame:
+    """The sources of a spec.  Splits that are still to be cut are cut
+    together, then all limits are applied together."""
     sources = parse(spec)
     if not sources:
         raise SpecError("the dataset spec names no source")
-    frames = []
     for s in sources:
         if s.name is None:
             raise SpecError(f"a source without a name in {spec!r}")
-        frames.append(apply_limits(load(s), s.limits, key).withColumn("source", F.lit(s.name)))
-    return sp.merge_splits(frames)
+    frames = [load(s) for s in sources]
+    unsplit = [k for k, df in enumerate(frames) if isinstance(df, sp.Unsplit)]
+    for k, df in zip(unsplit, sp.split_all([frames[k] for k in unsplit]) if unsplit else []):
+        frames[k] = df
+    limited = sp.limit_all([(df, s.limits) for df, s in zip(frames, sources)], key)
+    return sp.merge_splits([df.withColumn("source", F.lit(s.name)) for df, s in zip(limited, sources)])
 
 
-def load_mixture(spark: SparkSession, spec: str, registry: dict, root: str, key: str = "key") -> DataFrame:
+def load_mixture(spark: SparkSession, spec: str, registry: dict, root: str, key: str = "key", base: str | None = None) -> DataFrame:
     """Load, normalise, limit and merge the sources of ``spec``.  An
-    option ``name`` is the loader's sub-config."""
-    return _merged(spark, spec, key, lambda s: load_source(spark, s, registry, root))
+    option ``name`` is the loader's sub-config.  A loader may return rows
+    still to be split (``Unsplit``)."""
+    return _merged(spark, spec, key, lambda s: load_source(spark, s, registry, root, base))
 
 
-def load_corpus(spark: SparkSession, spec: str, registry: dict, root: str, key: str = "key") -> DataFrame:
+def load_corpus(spark: SparkSession, spec: str, registry: dict, root: str, key: str = "key", base: str | None = None) -> DataFrame:
     """S3: plain-text sources; the same rules, and no shuffle on this path."""
-    return load_mixture(spark, spec, registry, root, key)
+    return load_mixture(spark, spec, registry, root, key, base)
 
 
 def load_prepared(spark: SparkSession, spec: str, base: str | None = None, key: str = "key") -> DataFrame:
