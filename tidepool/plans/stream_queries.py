@@ -15,6 +15,7 @@ from tidepool.plans.registry import register
 from tidepool.session import scratch_path
 from tidepool.sources.readers import table
 from tidepool.streaming import streams as st
+from tidepool.streaming.state import CHUNKS
 
 EOS = TOK.eos_token_id
 
@@ -71,7 +72,7 @@ def stream_pack_stateful_docs(spark, sf_dir):
     s = s.withColumn("lane", F.floor(F.col("doc_id") / LANE_DOCS).cast("long"))
     out, ck = scratch_path(spark, "t2-out"), scratch_path(spark, "t2-ck")
     st.pack_lanes(s, out, ck, 128, eos_id=EOS)
-    return st.read_lanes(spark, out).select("lane", "chunk_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
+    return spark.read.schema(CHUNKS).parquet(out).select("lane", "chunk_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
                                             md5_of_ids("input_ids").alias("ids_md5"))
 
 
@@ -165,3 +166,83 @@ SELECT user_id, CASE WHEN event_type = 'error' THEN 'eval' ELSE 'train' END AS s
        round(avg(value), 6) AS mean, count(*)::BIGINT AS weight
 FROM events GROUP BY 1, 2
 """)(stream_running_metrics)
+
+
+# ------------------------------- G4 on a stream: reset at evaluation marks
+
+SLICES = 4
+
+
+def stream_interval_metrics(spark, sf_dir):
+    """The run log in four slices of time.  The stream reads two, one a
+    micro-batch, and stops; two more are added and it goes on from its
+    checkpoint.  Intervals run across slices and the restart."""
+    from tidepool.plans.metric_queries import MICROS, run_metrics
+    log = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.expr(MICROS).alias("at"))
+    src, out, ck = scratch_path(spark, "g4-log"), scratch_path(spark, "g4-out"), scratch_path(spark, "g4-ck")
+    edges = log.agg(F.percentile_approx("at", [k / SLICES for k in range(1, SLICES)]).alias("e")).first()["e"] or []
+    slice_ = sum(((F.col("at") > e).cast("int") for e in edges), F.lit(0))
+    stream = st.StreamTable(src, log.schema)
+    columns = dict(run="user_id", at=F.col("at"), tiebreak=F.col("event_id"), is_mark=F.col("event_type") == "signup",
+                   split=F.when(F.col("event_type") == "error", F.lit("eval")).otherwise(F.lit("train")))
+    for half in (range(SLICES // 2), range(SLICES // 2, SLICES)):
+        for k in half:
+            log.where(slice_ == k).coalesce(1).write.parquet(f"{src}/slice={k}")
+        st.interval_metrics(st.read_stream(spark, stream, files_per_trigger=1), run_metrics(), out, ck, **columns)
+    last = st.latest(spark, out, ["run", "eval_interval", "split", "metric"])
+    return run_metrics().logged(last).select(F.col("run").cast("long").alias("user_id"), "eval_interval", "key", "rows", F.round("value", 9).alias("value"))
+
+
+register("stream_interval_metrics", """
+WITH r AS (
+  SELECT *, count(*) FILTER (WHERE event_type = 'signup')
+            OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS eval_interval,
+         CASE WHEN event_type = 'error' THEN 'eval_' ELSE '' END AS pre
+  FROM events),
+g AS (SELECT user_id, eval_interval::BIGINT AS eval_interval, pre, count(value)::BIGINT AS rows, avg(value) AS m,
+        sum(value * (1 + event_id % 3)) / sum(CASE WHEN value IS NOT NULL THEN 1 + event_id % 3 END) AS w
+      FROM r WHERE event_type <> 'signup' GROUP BY ALL)
+SELECT user_id, eval_interval, pre || 'loss' AS key, rows, round(m, 9) AS value FROM g WHERE rows > 0
+UNION ALL SELECT user_id, eval_interval, pre || 'ppl', rows, round(exp(m / 1000), 9) FROM g WHERE rows > 0
+UNION ALL SELECT user_id, eval_interval, pre || 'weighted', rows, round(w, 9) FROM g WHERE rows > 0
+""")(stream_interval_metrics)
+
+
+# -------------------------------------- V2, F4 on a stream: reject counts
+
+def stream_audit_docs(spark, sf_dir):
+    """Documents of at most 512 ids pass; what does not is counted by reason
+    in the same scan, micro-batch by micro-batch."""
+    s = tk.encode_text(_docs(spark, sf_dir), "text", TOK).select("doc_id", "lang", "input_ids")
+    checks = {"no_ids": F.size("input_ids") == 0, "too_long": F.size("input_ids") > 512, "not_en": F.col("lang") != "en"}
+    out = scratch_path(spark, "v2-out")
+    reasons = st.write_audited(s, checks, out, scratch_path(spark, "v2-ck"))
+    rows = spark.read.parquet(out).select(F.lit("row").alias("kind"), "doc_id", F.size("input_ids").cast("bigint").alias("n"))
+    return rows.unionByName(reasons.select(F.col("reason").alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), "n"))
+
+
+register("stream_audit_docs", f"""
+WITH e AS (SELECT doc_id, lang, len({TOK.sql_tokens('text')}) AS n FROM documents),
+w AS (SELECT *, CASE WHEN n = 0 THEN 'no_ids' WHEN n > 512 THEN 'too_long' WHEN lang <> 'en' THEN 'not_en' ELSE 'kept' END AS kind FROM e)
+SELECT 'row' AS kind, doc_id, n::BIGINT AS n FROM w WHERE kind = 'kept'
+UNION ALL
+SELECT k.kind, NULL, count(w.doc_id)::BIGINT FROM (VALUES ('no_ids'), ('too_long'), ('not_en'), ('kept')) k(kind) LEFT JOIN w ON w.kind = k.kind GROUP BY k.kind
+""")(stream_audit_docs)
+
+
+# --------------------------------------- U3, S4: streams one after another
+
+def stream_concat_docs(spark, sf_dir):
+    """English documents, then the benchmark, then the French ones."""
+    streams, _ = st.stream_sources(spark, "local/documents[lang:en] + local/benchmark + local/documents[lang:fr]", STREAMS, sf_dir)
+    out = scratch_path(spark, "u3-out")
+    st.concat_streams([s.select("doc_id", "lang") for s in streams], out, scratch_path(spark, "u3-ck"), order_in_batch="doc_id")
+    return spark.read.parquet(out).select(F.col("source_rank").cast("bigint").alias("source_rank"), "doc_id", "lang", F.col("position").cast("bigint"))
+
+
+register("stream_concat_docs", """
+WITH u AS (SELECT 0 AS source_rank, doc_id, lang FROM documents WHERE lang = 'en'
+           UNION ALL SELECT 1, item_id, 'bench' FROM benchmark
+           UNION ALL SELECT 2, doc_id, lang FROM documents WHERE lang = 'fr')
+SELECT source_rank::BIGINT AS source_rank, doc_id, lang, (row_number() OVER (ORDER BY source_rank, doc_id) - 1)::BIGINT AS position FROM u
+""")(stream_concat_docs)

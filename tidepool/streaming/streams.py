@@ -3,17 +3,20 @@
 * ``stream_corpus`` — one file stream per source of a spec, read where the
   table lies, with a declared schema (no row probe, T3), combined by streaming
   ``union`` (U3).  How many files a trigger takes is the caller's choice.
+* ``concat_streams`` — U3 in the order of the sources, with positions.
 * ``stream_take`` — streaming ``limit`` (L5).
 * T1 — the batch operators (F4, F5, A4 …) are plain ``select``/``where`` and
   apply unchanged to streaming DataFrames.
 * ``pack_per_batch`` — T2 in the reference's shape: every micro-batch is packed
   on its own, in groups of rows (tails are lost per group).
-* ``pack_lanes`` — T2 exact: each lane's leftover ids are carried from one
-  micro-batch to the next in a small table, so chunk borders do not depend on
-  batch boundaries.
-* ``split_stream`` — L4 on a stream: positions by source, carried likewise.
+* ``pack_lanes`` — T2 exact: each lane's leftover ids stay in the state store,
+  so chunk borders do not depend on batch boundaries.
+* ``split_stream`` — L4 on a stream: positions by source, carried from one
+  micro-batch to the next in a small table.
 * ``running_metrics`` / ``write_updates`` — T4: streaming aggregation of the
   weighted means; each micro-batch writes the keys that changed.
+* ``interval_metrics`` — G4 on a stream: metric state per run that starts anew
+  at every evaluation mark.
 
 Writes of ``foreachBatch`` are named by the batch id and overwrite, so a batch
 that is run again after a failure replaces its own output.
@@ -23,14 +26,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidepool.operators import pack as pk
+from tidepool.operators.audit import Audit
+from tidepool.operators.metric_state import Metrics
 from tidepool.operators.split import global_rank
 from tidepool.sources.spec import Source, SpecError, find_loader, parse
+from tidepool.streaming.state import interval_states, lane_chunks, state_store
 
 
 @dataclass
@@ -53,6 +60,11 @@ def read_stream(spark: SparkSession, table: StreamTable, files_per_trigger: int
     return table.select(reader.parquet(table.path))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
@@ -64,18 +76,54 @@ def stream_corpus(spark: SparkSession, spec: str, registry: dict, root: str,
     column (Spark keeps no order across sources), and the sources, whose
     limits ``split_stream`` applies.  Loaders take their options from the
     mapping and return a ``StreamTable``; what they leave is an error."""
-    sources = parse(spec)
+    frames, sources = stream_sources(spark, spec, registry, root, files_per_trigger)
+    return reduce(DataFrame.union, (df.withColumn("source_rank", F.lit(k)) for k, df in enumerate(frames))), sources
+
+
+def stream_sources(spark: SparkSession, spec: str, registry: dict, root: str,
+                   files_per_trigger: int | None = None) -> tuple[list[DataFrame], list[Source]]:
+    """A stream for each source of ``spec``."""
+    sources, frames = parse(spec), []
     if not sources:
         raise SpecError("the dataset spec names no source")
-    out = None
-    for rank, s in enumerate(sources):
+    for s in sources:
         options = dict(s.options)
         table = find_loader(s.name, registry)(spark, root, options)
         for key in options:
             raise SpecError(f"stream source {s.name!r} takes no option {key!r}")
-        part = read_stream(spark, table, files_per_trigger).withColumn("source_rank", F.lit(rank))
-        out = part if out is None else out.union(part)
-    return out, sources
+        frames.append(read_stream(spark, table, files_per_trigger))
+    return frames, sources
+
+
+def concat_streams(streams: list[DataFrame], out: str, checkpoint: str, order_in_batch: str) -> None:
+    """Streams one after another.  Each is read until nothing is left
+    before the next one starts; ``position`` counts on within a source from
+    batch to batch, and from source to source.  The rows of each batch are
+    recorded with the batch, and a source that is used up with its total, so a
+    job that is started again goes on where the last one stopped, in the middle
+    of any source."""
+    spark, base = streams[0].sparkSession, 0
+    for k, stream in enumerate(streams):
+        place = f"{checkpoint.rstrip('/')}/source={k}"
+        done = f"{place}_done"
+        if not _exists(spark, done):
+            counts = f"{place}_counts"
+
+            def each(batch: DataFrame, batch_id: int, k=k, base=base, counts=counts) -> None:
+                before = _carried(batch.sparkSession, counts, batch_id, "n long").first()
+                before = before["n"] if before else 0
+                rows = global_rank(batch, F.col(order_in_batch), F.col(order_in_batch), out="position")
+                rows = rows.withColumn("position", F.col("position") + F.lit(base + before))
+                rows.write.mode("overwrite").parquet(f"{out}/source_rank={k}/batch_id={batch_id}")
+                n = batch.sparkSession.read.parquet(f"{out}/source_rank={k}/batch_id={batch_id}").count()
+                batch.sparkSession.createDataFrame([(before + n,)], "n long").write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
+
+            run_batches(stream, each, f"{place}_stream")
+            total = 0
+            if _exists(spark, counts):
+                total = spark.read.parquet(counts).agg(F.max("n")).first()[0] or 0
+            spark.createDataFrame([(total,)], "n long").write.mode("overwrite").parquet(done)
+        base += spark.read.parquet(done).first()["n"]
 
 
 def stream_take(df: DataFrame, n: int) -> DataFrame:
@@ -115,48 +163,24 @@ def pack_per_batch(df: DataFrame, out: str, checkpoint: str, seq_length: int, ke
     run_batches(df, each, checkpoint)
 
 
-CARRY = "lane long, next_chunk long, input_ids array<long>"
-
-
 def pack_lanes(df: DataFrame, out: str, checkpoint: str, seq_length: int, lane: str = "lane", key: str = "doc_id",
                ids: str = "input_ids", eos_id: int | None = None) -> None:
-    """T2 exact: chunks ``(lane, chunk_id, input_ids, labels)``.  A lane's rows
-    of a micro-batch follow the ids that the lane has left over, in key order;
-    fewer than ``seq_length`` ids are carried on.  The number of lanes, and so
-    of tasks, is the caller's: any number of keys in ``lane`` will do."""
-    carry = checkpoint.rstrip("/") + "_carry"
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        before = _carried(batch.sparkSession, carry, batch_id, CARRY)
-        if eos_id is not None:
-            from tidepool.operators.tokens import append_eos
-            batch = append_eos(batch, eos_id, ids)
-        rows = batch.select(F.col(lane).cast("long").alias("lane"), F.col(key).cast("long").alias("_key"), F.lit(1).alias("_late"), F.col(ids).alias("input_ids"))
-        rows = rows.union(before.select("lane", F.lit(None).cast("long"), F.lit(0), "input_ids"))
-        # carried ids come first in their lane: the order key is a struct
-        rows = rows.select("lane", F.struct("_late", "_key").alias("_at"), "input_ids")
-        chunks = pk.pack(rows, seq_length, key="_at", group_col="lane", drop_tail=False)
-        chunks = chunks.join(before.select("lane", "next_chunk"), "lane", "left")
-        chunks = chunks.withColumn("chunk_id", F.col("chunk_id") + F.coalesce("next_chunk", F.lit(0)))
-        path = f"{out}/batch_id={batch_id}"
-        chunks.select("lane", "chunk_id", "input_ids", "labels").write.mode("overwrite").parquet(path + "/all")
-        made = batch.sparkSession.read.parquet(path + "/all")
-        full = F.size("input_ids") == seq_length
-        made.where(full).write.mode("overwrite").parquet(path + "/full")
-        state = made.groupBy("lane").agg(
-            F.max(F.when(full, F.col("chunk_id"))).alias("last"), F.min("chunk_id").alias("low"),
-            F.first(F.when(~full, F.col("input_ids")), ignorenulls=True).alias("input_ids"))
-        state = state.select("lane", F.coalesce(F.col("last") + 1, F.col("low")).alias("next_chunk"),
-                             F.coalesce("input_ids", F.array().cast("array<long>")).alias("input_ids"))
-        quiet = before.join(state.select("lane"), "lane", "left_anti")
-        state.union(quiet).write.mode("overwrite").parquet(f"{carry}/batch={batch_id}")
-
-    run_batches(df, each, checkpoint)
+    """T2 exact: chunks ``(lane, chunk_id, input_ids, labels)``, written once by
+    the file sink; what a lane has left over is in the state store.  The
+    number of lanes, and so of tasks, is the caller's: any number of keys in
+    ``lane`` will do."""
+    if eos_id is not None:
+        from tidepool.operators.tokens import append_eos
+        df = append_eos(df, eos_id, ids)
+    with state_store(df.sparkSession):
+        run_to_parquet(lane_chunks(df, seq_length, lane, key, ids), out, checkpoint)
 
 
-def read_lanes(spark: SparkSession, out: str) -> DataFrame:
-    """The complete chunks that ``pack_lanes`` wrote."""
-    return spark.read.parquet(f"{out}/batch_id=*/full")
+def interval_metrics(df: DataFrame, metrics: Metrics, out: str, checkpoint: str, **columns) -> None:
+    """G4 on a stream: the states of the intervals that each micro-batch
+    touches (``interval_states``), written in update mode."""
+    with state_store(df.sparkSession):
+        write_updates(interval_states(df, metrics, **columns), out, checkpoint)
 
 
 COUNTS = "source_rank int, n long"
@@ -195,6 +219,21 @@ def split_stream(df: DataFrame, sources: list[Source], out: str, checkpoint: str
     run_batches(df, each, checkpoint)
 
 
+def write_audited(df: DataFrame, checks: dict, out: str, checkpoint: str) -> DataFrame:
+    """Writes the rows without a reject reason, and for each micro-batch the
+    counts of its own reasons, from the scan that writes the rows.  A batch that
+    runs again replaces both.  Returns ``(reason, n)`` over all batches."""
+    counts = checkpoint.rstrip("/") + "_reasons"
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        audit = Audit(checks)
+        audit.kept(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        audit.report(batch).coalesce(1).write.mode("overwrite").parquet(f"{counts}/batch_id={batch_id}")
+
+    run_batches(df, each, checkpoint)
+    return df.sparkSession.read.parquet(counts).groupBy("reason").agg(F.sum("n").alias("n"))
+
+
 def running_metrics(df: DataFrame, run: str, split: str, value: str, weight: str) -> DataFrame:
     """T4: running weighted mean per (run, split) as a streaming
     aggregation (partial aggregation per micro-batch, state per key)."""
