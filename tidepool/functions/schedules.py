@@ -55,7 +55,7 @@ KAPPA = {
 def _get(reg: dict, name: str) -> Schedule:
     key = name.lower().replace("alphascheduler", "").replace("kappascheduler", "")
     if key not in reg:
-        raise ValueError(f"Unknown scheduler {name!r}. Available: {sorted(reg)}")
+        raise ValueError(f"there is no schedule {name!r}, only {sorted(reg)}")
     return reg[key]
 
 
@@ -93,7 +93,7 @@ def alpha_f32(i: Column, kind: str = "linear") -> Column:
         return (one - i).cast("float")
     if kind == "cosine":
         return (one - F.cos(F.lit(HALF_PI).cast("float") * (one - i).cast("float")).cast("float")).cast("float")
-    raise ValueError(f"Unknown scheduler {kind!r}. Available: ['cosine', 'linear']")
+    raise ValueError(f"no single-precision schedule {kind!r}, only cosine and linear")
 
 
 def reverse_transfer(s: Column, t: Column, kind: str = "linear") -> Column:

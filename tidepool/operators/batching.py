@@ -138,10 +138,3 @@ def label_violations(df: DataFrame, ids: str = "input_ids", labels: str = "label
 def too_long(max_length: int, context: str = "context_ids", continuation: str = "continuation_ids") -> Column:
     """V2 predicate: context and continuation together exceed ``max_length``."""
     return F.size(context) + F.size(continuation) > max_length
-
-
-def length_rejects(df: DataFrame, max_length: int, context: str = "context_ids",
-                   continuation: str = "continuation_ids") -> DataFrame:
-    """V2: the requests that are too long, with their length."""
-    return (df.where(too_long(max_length, context, continuation))
-            .withColumn("total_len", F.size(context) + F.size(continuation)))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.operators.audit import Audit
 from tidepool.functions.text import py_strip
 from tidepool.functions.tokenizer import DEFAULT_TOKENIZER
 
@@ -113,12 +114,17 @@ def encode_sft(df: DataFrame, tokenizer=DEFAULT_TOKENIZER, template: str = "chat
             .withColumn("labels", mask_prefix(F.col("input_ids"), F.col("prompt_len"))))
 
 
-def sft_reject_reason(df: DataFrame, messages: str = "messages") -> Column:
-    """V3 as a column: why a row is unfit, null if it is fit."""
+def sft_checks(df: DataFrame, messages: str = "messages") -> dict[str, Column]:
+    """V3: why an encoded row is unfit, as predicates by reason."""
     last = F.coalesce(F.get(F.col(messages), F.size(messages) - 1)["role"], F.lit(""))
-    return (F.when(incomplete(F.col(messages)), F.lit("message_without_content"))
-            .when(F.col("prompt_len") > F.size("input_ids"), F.lit("prompt_longer_than_render"))
-            .when(last != "assistant", F.lit("last_role_not_assistant")))
+    return {"message_without_content": incomplete(F.col(messages)),
+            "prompt_longer_than_render": F.col("prompt_len") > F.size("input_ids"),
+            "last_role_not_assistant": last != "assistant"}
+
+
+def sft_reject_reason(df: DataFrame, messages: str = "messages") -> Column:
+    """V3 as a column: the first reason that holds, null if the row is fit."""
+    return Audit(sft_checks(df, messages)).reason()
 
 
 def sft_rejects(df: DataFrame, messages: str = "messages") -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.operators.audit import Audit
 from tidepool.functions.text import py_strip
 
 MESSAGE = "struct<role:string,content:string>"
@@ -86,21 +87,27 @@ def norm_pair(df: DataFrame, instruction="instruction", output="output", keep: t
                                     message("assistant", F.col(output))).alias("messages"))
 
 
-def norm_reasoning(df: DataFrame, keep: tuple = (), with_rejects: bool = False):
+def no_trace() -> Column:
+    """P3 predicate: a row has no reasoning trace to take."""
+    return ~F.coalesce(F.size("thinking_trajectories") > 0, F.lit(False))
+
+
+def norm_reasoning(df: DataFrame, keep: tuple = ()) -> DataFrame:
     """Question / first reasoning trace / attempt -> messages with
     ``reasoning_content``.  The reference raises on an empty trajectory list;
-    we drop such rows (returned separately when ``with_rejects``)."""
-    ok = F.size("thinking_trajectories") > 0
+    such rows are left out (``reasoning_audit`` counts them on the way)."""
     msgs = F.array(
         F.struct(F.lit("user").alias("role"), F.col("question").alias("content"),
                  F.lit(None).cast("string").alias("reasoning_content")),
         F.struct(F.lit("assistant").alias("role"), F.col("attempt").alias("content"),
                  F.get(F.col("thinking_trajectories"), 0).alias("reasoning_content")),
     )
-    good = df.where(ok).select(*keep, msgs.alias("messages"))
-    if with_rejects:
-        return good, df.where(~F.coalesce(ok, F.lit(False)))
-    return good
+    return df.where(~no_trace()).select(*keep, msgs.alias("messages"))
+
+
+def reasoning_audit() -> Audit:
+    """Counts of rows without a trace, a question or an attempt."""
+    return Audit({"no_trace": no_trace(), "no_question": F.col("question").isNull(), "no_attempt": F.col("attempt").isNull()})
 
 
 def first_exchange(df: DataFrame, messages="messages", keep: tuple = ()) -> DataFrame:

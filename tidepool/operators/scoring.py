@@ -1,5 +1,5 @@
 """Aggregations over scored tokens, run logs and evaluation outputs
-(G1–G9, W1, W2, L7).
+(G1–G7, G9, W1, W2, L7).
 
 Hot keys: a run (or any partition key) may hold a large share of the rows.
 Running counts and lags therefore use a two-level plan — a window inside
@@ -10,11 +10,14 @@ sums) stays inside the row as array expressions.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.rand import uniform
-from tidepool.operators.split import global_rank
+from tidepool.operators.metric_state import Metrics
+from tidepool.session import scratch_path
 
 IGNORE = -100
 
@@ -67,13 +70,46 @@ def normalise_loss(df: DataFrame, batch: str = "batch_id") -> DataFrame:
 
 # ------------------------------------------------ hot-key-safe windows
 
-def time_buckets(df: DataFrame, time: Column, tiebreak: str, rows: int = 100_000, out: str = "bucket") -> DataFrame:
-    """Adds a bucket number that grows with ``time`` (integral, for example
-    microseconds): the exact position of the row in the whole log divided by
-    ``rows``.  A (run, bucket) then holds at most that many rows, also where
-    one run logs most of them within a moment."""
-    ranked = global_rank(df, time, F.col(tiebreak), out="_at")
-    return ranked.withColumn(out, F.floor(F.col("_at") / rows).cast("long")).drop("_at")
+#: Spans of time, in microseconds, each a whole number of the next.
+SPANS = (3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
+
+
+def time_buckets(df: DataFrame, time: Column, tiebreak: str, run: str, rows: int = 100_000, out: str = "bucket") -> DataFrame:
+    """Adds a bucket that grows with ``time`` (integral microseconds), such
+    that a run has at most about ``rows`` rows in one: an hour, or where a run
+    logs more in it a minute of that hour, and so on; rows of one run and one
+    microsecond are told apart by the tiebreak.  Each span takes one
+    aggregation over the rows that the span before left too full, and most logs
+    stop after the first."""
+    df = df.withColumn("_time", time.cast("long"))
+    start = lambda span: F.col("_time") - F.pmod(F.col("_time"), F.lit(span))
+    level, full = F.lit(0), None
+    for k, span in enumerate(SPANS):
+        part = df if full is None else df.join(full, ["_run", "_start"], "left_semi")
+        part = part.withColumn("_run", F.col(run)).withColumn("_start", start(span))
+        counts = part.where("_run is not null and _time is not null").groupBy("_run", "_start").count().where(F.col("count") > rows).drop("count")
+        full = saved_keys(counts)
+        if full is None:
+            break
+        mark = full.withColumn(f"_l{k}", F.lit(1))
+        df = (df.withColumn("_run", F.col(run)).withColumn("_start", start(span)).join(mark, ["_run", "_start"], "left"))
+        level = level + F.coalesce(F.col(f"_l{k}"), F.lit(0))
+        df = df.withColumn("_level", level)
+    if "_level" not in df.columns:
+        return df.withColumn(out, F.struct(start(SPANS[0]).alias("start"), F.lit(0).cast("long").alias("part"))).drop("_time")
+    begin = F.coalesce(*(F.when(F.col("_level") == k, start(span)) for k, span in enumerate(SPANS)), F.col("_time"))
+    part = F.when(F.col("_level") == len(SPANS), F.call_function("div", F.col(tiebreak).cast("long"), F.lit(rows))).otherwise(F.lit(0).cast("long"))
+    extra = [c for c in df.columns if c in ("_run", "_start", "_level", "_time") or re.fullmatch(r"_l\d", c)]
+    return df.withColumn(out, F.struct(begin.alias("start"), part.alias("part"))).drop(*extra)
+
+
+def saved_keys(counts: DataFrame) -> DataFrame | None:
+    """The groups that are too full, written to the checkpoint folder (at most
+    one for every ``rows`` rows of the log); None if there is none."""
+    path = scratch_path(counts.sparkSession, "full")
+    counts.write.parquet(path)
+    kept = counts.sparkSession.read.schema(counts.schema).parquet(path)
+    return None if kept.isEmpty() else kept
 
 
 def running_count(df: DataFrame, key: str, order: list[str], flag: Column, bucket: Column,
@@ -119,23 +155,36 @@ def bucketed_lag(df: DataFrame, key: str, order: list[str], cols: list[str], buc
     return d.drop("_bk", "_first", "_plast")
 
 
-# --------------------------------------------------------- G4 intervals
+def as_of(df: DataFrame, settings: DataFrame, run: str, time: str, tiebreak: str, cols: list[str], rows: int = 100_000) -> DataFrame:
+    """``df`` with the settings ``cols`` that held for its run at its time:
+    those of the last row of ``settings`` that is not later (one with the same
+    time and tiebreak counts), null before the first.  Adds ``bucket``, as the
+    other windows need it.  A run's rows are never in one window: settings are
+    looked up within a bucket, and the last ones of each bucket carried on."""
+    here = df.select("*", F.lit(1).alias("_is_row"), *(F.lit(None).cast(settings.schema[c].dataType).alias(c) for c in cols))
+    given = settings.select(run, time, tiebreak, F.lit(0).alias("_is_row"), *cols)
+    both = time_buckets(here.unionByName(given, allowMissingColumns=True), F.col(time), tiebreak, run, rows)
+    both = both.withColumn("_set", F.when(F.col("_is_row") == 0, F.struct(*cols)))
+    order = [time, tiebreak, "_is_row"]
+    w = Window.partitionBy(run, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_now", F.last("_set", ignorenulls=True).over(w)).withColumn("_bk", F.col("bucket"))
+    last = both.groupBy(run, "_bk").agg(F.max_by("_set", F.when(F.col("_set").isNotNull(), F.struct(*order))).alias("_end"))
+    before = Window.partitionBy(run).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("_before", F.last("_end", ignorenulls=True).over(before))
+    found = _same_bucket(both.where("_is_row = 1").drop(*cols), last, run, "_before").withColumn("_now", F.coalesce("_now", "_before"))
+    return found.select("*", *(F.col("_now")[c].alias(c) for c in cols)).drop("_now", "_before", "_set", "_is_row", "_bk")
 
-def metric_key(split: Column, name: str) -> Column:
-    """Train keys bare, other splits prefixed (``eval_nll``)."""
-    return F.when(split == "train", F.lit(name)).otherwise(F.concat(split, F.lit("_" + name)))
 
+# --------------------------------------------------------- G4 intervals
 
 def metrics_by_interval(df: DataFrame, run: str, order: list[str], is_mark: Column, split: Column,
-                        value: Column, weight: Column, name: str, bucket: Column) -> DataFrame:
+                        metrics: Metrics, bucket: Column) -> DataFrame:
     """Metric state is reset at every evaluation mark, so a value covers
-    the interval since the previous mark: group by (run, split, interval)
-    where interval = running count of marks (hot-run safe)."""
+    the interval since the previous mark: the states of each (run, interval,
+    split), where interval = running count of marks (hot-run safe), finished
+    and with their names in the log."""
     d = running_count(df, run, order, is_mark, bucket, out="eval_interval", inclusive=True)
-    d = d.where(~is_mark)
-    return (d.groupBy(run, "eval_interval", split.alias("split"))
-            .agg((F.sum(value * weight) / F.sum(weight)).alias("value"))
-            .withColumn("key", metric_key(F.col("split"), name)))
+    return metrics.logged(metrics.states(d.where(~F.coalesce(is_mark, F.lit(False))), run, "eval_interval", split.alias("split")))
 
 
 # ------------------------------------------------------------- W1 throughput
@@ -199,27 +248,7 @@ def score_summary(results: DataFrame, compat: bool = False) -> DataFrame:
                        score.alias("score_value"))
 
 
-# ----------------------------------------------------- G8 / G9 histories
-
-def mask_progress(plan: Column, n_masked: Column) -> Column:
-    """Decoding history of a reveal plan — per step, the masks remaining
-    and ``int(100·step/max(total,1))`` (total = number of steps).  One pass
-    over the plan (``aggregate`` with a finish function)."""
-    init = F.struct(n_masked.cast("bigint").alias("rem"), F.lit(0).alias("i"),
-                    F.array().cast("array<struct<step:int,remaining:bigint>>").alias("out"))
-
-    def step(acc, x):
-        return F.struct((acc["rem"] - x).alias("rem"), (acc["i"] + 1).alias("i"),
-                        F.concat(acc["out"], F.array(F.struct(acc["i"].alias("step"),
-                                                              (acc["rem"] - x).alias("remaining")))).alias("out"))
-
-    def finish(acc):
-        return F.transform(acc["out"], lambda s: F.struct(
-            s["step"].alias("step"), s["remaining"].alias("remaining"),
-            F.floor(F.lit(100) * s["step"] / F.greatest(acc["i"], F.lit(1))).cast("int").alias("pct")))
-
-    return F.aggregate(plan, init, step, finish)
-
+# ------------------------------------------------------------ G9 histories
 
 def finished_block(blocks: Column, eos_id: int) -> Column:
     """G9 per sequence: index of the first block holding EOS (NULL if none)."""

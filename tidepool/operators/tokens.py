@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.session import scratch_path
 from tidepool.functions.text import TRAILING_SPACE_PATTERN, py_rstrip
 from tidepool.functions.tokenizer import DEFAULT_TOKENIZER
 
@@ -87,14 +88,21 @@ def clip(df: DataFrame, max_length: int, side: str = "right", cols=SEQ_COLS) ->
     return df
 
 
+#: What is done with rows that are too long, by mode: steps in their order.
+TRUNCATION = {
+    "filter": (filter_length,),
+    "right": (filter_prompt_fits, clip),
+}
+
+
 def post_process(df: DataFrame, max_length: int, truncation: str = "filter") -> DataFrame:
-    """The reference's post-processing switch: ``filter`` drops long rows;
-    ``right`` keeps prompts that fit, then right-clips."""
-    if truncation == "filter":
-        return filter_length(df, max_length)
-    if truncation == "right":
-        return clip(filter_prompt_fits(df, max_length), max_length, "right")
-    raise NotImplementedError(truncation)
+    """Drops rows that are too long (``filter``), or keeps those whose prompt
+    fits and cuts them at the end (``right``)."""
+    if truncation not in TRUNCATION:
+        raise ValueError(f"truncation is one of {sorted(TRUNCATION)}, not {truncation!r}")
+    for step in TRUNCATION[truncation]:
+        df = step(df, max_length)
+    return df
 
 
 def clip_keep_prompt(df: DataFrame, max_length: int, side: str = "right",
@@ -174,6 +182,21 @@ def trim_generation(df: DataFrame, pad_id: int, eos_id: int, eot_id: int | None
     return df.withColumn(out, F.slice(gen, 1, stop_at - 1))
 
 
+def trim_text(df: DataFrame, text: str, eos: str | None = None, eot: str | None = None, out: str = "trimmed") -> DataFrame:
+    """A11 after decoding: the text before the first EOS string, and of that
+    what stands before the first EOT string, where a tokenizer has these as
+    text only.  Null and empty strings cut nothing."""
+    return cut_at_stops(df, text, [s for s in (eos, eot) if s], out=out)
+
+
+def token_list(text: Column | str) -> Column:
+    """A list of ids given as text, ``[1;2;3]`` with or without the brackets;
+    null and empty texts give an empty list, what is no number raises."""
+    c = F.trim(F.col(text) if isinstance(text, str) else text)
+    bare = F.when(c.startswith("[") & c.endswith("]"), F.regexp_replace(c, r"^\[|\]$", "")).otherwise(c)
+    return F.transform(F.filter(F.transform(F.split(F.coalesce(bare, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: x.cast("bigint"))
+
+
 def cut_at_stops(df: DataFrame, text: str = "text", stops: str | list = "until",
                  out: str = "cut") -> DataFrame:
     """Cut text at each stop string in list order (``split(s)[0]``
@@ -214,57 +237,61 @@ def vocab_table(df: DataFrame, text: str = "text", tokenizer=DEFAULT_TOKENIZER)
             .agg(F.min("token").alias("token")))
 
 
-#: A vocabulary of at most this many bytes is sent to the tasks whole.
+#: Bytes of the vocabulary that are sent to the tasks at a time.
 VOCAB_BYTES = 64 << 20
 
 
 def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", skip_ids=(), out: str = "decoded") -> DataFrame:
     """Ids -> text (tokens joined by a space), skipping special ids;
-    unknown ids decode to ``<unk:ID>``, no ids to an empty text.
-
-    The vocabulary's size is measured.  Within ``VOCAB_BYTES`` it is broadcast
-    once as two Arrow arrays and every batch is decoded by array look-ups: no
-    row per token and no shuffle.  Beyond that it is joined by id."""
+    unknown ids decode to ``<unk:ID>``, no ids to an empty text.  Of the tokens
+    that a vocabulary has for one id, the smallest counts.
+
+    The vocabulary is sent as two Arrow arrays, in shards of ``VOCAB_BYTES``
+    (all real ones are one), and every batch is decoded by array look-ups: no
+    row per token and no shuffle.  What a shard does not hold waits for the
+    next; rows are written between shards, so a task never holds two."""
+    vocab = vocab.groupBy("id").agg(F.min("token").alias("token"))
     need = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 8), F.lit(0))).first()[0]
-    if need > VOCAB_BYTES:
-        return _decode_joined(df, vocab, ids, skip_ids, out)
-    known = df.sparkSession.sparkContext.broadcast(sorted((r["id"], r["token"]) for r in vocab.collect()))
-    skip, columns = [int(i) for i in skip_ids], df.columns
+    shards, spark = max(1, -(-need // VOCAB_BYTES)), df.sparkSession
+    rows, kept = df.withColumn("_tokens", F.lit(None).cast("array<string>")), [int(i) for i in skip_ids]
+    for shard in range(shards):
+        known = vocab if shards == 1 else vocab.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == shard)
+        rows = _decoded(rows, known, ids, kept, last=shard == shards - 1)
+        if shard < shards - 1:
+            path = scratch_path(spark, "decoded")
+            rows.write.parquet(path)
+            rows = spark.read.schema(rows.schema).parquet(path)
+    text = F.array_join(F.filter("_tokens", lambda t: t.isNotNull()), " ")
+    return rows.withColumn(out, F.coalesce(text, F.lit(""))).drop("_tokens")
+
+
+def _decoded(df: DataFrame, vocab: DataFrame, ids: str, skip: list[int], last: bool) -> DataFrame:
+    """``df`` with the tokens of one shard put in their places."""
+    pairs = vocab.toArrow().sort_by("id")
+    sent = df.sparkSession.sparkContext.broadcast((pairs["id"].to_numpy().astype("int64"), pairs["token"].combine_chunks()))
+    columns = df.columns
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
-        keys = np.array([i for i, _ in known.value], np.int64)
-        tokens = pa.array([t for _, t in known.value], pa.string())
+        keys, tokens = sent.value
         for b in batches:
-            lists = b.column(columns.index(ids))
+            lists, had = b.column(columns.index(ids)), b.column(columns.index("_tokens"))
             n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            keep = ~np.isin(flat, skip)
-            flat, row = flat[keep], row[keep]
-            at = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
-            found = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
-            text = pc.take(tokens, pa.array(np.where(found, at, 0), mask=~found)) if len(keys) else pa.nulls(len(flat), pa.string())
-            if not found.all():
-                text = pc.fill_null(text, "") if not len(flat) else pc.if_else(
-                    pa.array(found), text, pa.array([f"<unk:{i}>" for i in flat.tolist()]))
-            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(n))))).astype(np.int32)
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), text), " ")
-            yield pa.RecordBatch.from_arrays([*b.columns, joined], names=[*columns, out])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, `{out}` string")
-
-
-def _decode_joined(df: DataFrame, vocab: DataFrame, ids: str, skip_ids, out: str) -> DataFrame:
-    """The same by a join on the distinct ids of each row, for a vocabulary
-    that is too large to send."""
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
-    pairs = keyed.select("_row", F.explode(F.array_distinct(ids)).alias("id")).join(vocab, "id")
-    maps = pairs.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("id", "token"))).alias("_m"))
-    kept = F.filter(ids, lambda i: ~i.isin(*[int(x) for x in skip_ids])) if skip_ids else F.col(ids)
-    token = lambda i: F.coalesce(F.try_element_at("_m", i), F.concat(F.lit("<unk:"), i.cast("string"), F.lit(">")))
-    return (keyed.join(maps, "_row", "left").withColumn(out, F.coalesce(F.array_join(F.transform(kept, token), " "), F.lit("")))
-            .drop("_row", "_m"))
+            place = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
+            found = keys[place] == flat if len(keys) else np.zeros(len(flat), bool)
+            text = tokens.take(pa.array(np.where(found, place, 0), mask=~found)) if len(keys) else pa.nulls(len(flat), pa.string())
+            if had.null_count < len(had):  # of an earlier shard; the same rows have them
+                text = pc.coalesce(had.flatten(), text)
+            if last:
+                unknown = [f"<unk:{i}>" if t else None for i, t in zip(flat.tolist(), pc.is_null(text).to_pylist())]
+                text = pc.coalesce(text, pa.array(unknown, pa.string()))
+                text = pc.if_else(pa.array(np.isin(flat, skip)), pa.scalar(None, pa.string()), text)
+            ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+            cols = list(b.columns)
+            cols[columns.index("_tokens")] = pa.ListArray.from_arrays(pa.array(ends), text)
+            yield pa.RecordBatch.from_arrays(cols, names=columns)
+
+    return df.mapInArrow(run, df.schema)

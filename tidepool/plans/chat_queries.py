@@ -9,6 +9,7 @@ from tidepool.functions.text import checksum32
 from tidepool.functions.tokenizer import DEFAULT_TOKENIZER as TOK
 from tidepool.operators import chat, normalise as nz, split as sp, tokens as tk
 from tidepool.plans.registry import register
+from tidepool.session import scratch_path
 from tidepool.sources.readers import table
 
 MAX_LEN = 512
@@ -154,14 +155,17 @@ FROM x WHERE prompt <> '' AND response <> ''
 # ----------------------------------------------------------- P3 reasoning
 
 def reasoning_messages_chat(spark, sf_dir):
-    """Rows without a trace are reported, not lost."""
-    turns = table(spark, sf_dir, "conversations").where((F.col("conv_id") % 9 != 0) | (F.col("role") != "assistant"))
-    msgs, rejects = nz.norm_reasoning(nz.reasoning_rows(turns), keep=("conv_id",), with_rejects=True)
+    """The messages, and how many conversations were left out and why, from
+    one pass over the table."""
+    rows = nz.reasoning_rows(table(spark, sf_dir, "conversations"))
+    audit, path = nz.reasoning_audit(), scratch_path(spark, "reasoning")
+    nz.norm_reasoning(audit.kept(rows), keep=("conv_id",)).write.parquet(path)
     m = F.col("messages")
-    good = msgs.select("conv_id", F.md5(F.concat(
+    good = spark.read.parquet(path).select("conv_id", F.md5(F.concat(
         F.lit("user\x01"), m[0]["content"], F.lit("\x02assistant\x01"), m[1]["content"],
-        F.lit("\x01"), m[1]["reasoning_content"])).alias("messages_md5"), F.lit(0).alias("rejected"))
-    return good.unionByName(rejects.select("conv_id", F.lit(None).cast("string").alias("messages_md5"), F.lit(1).alias("rejected")))
+        F.lit("\x01"), m[1]["reasoning_content"])).alias("messages_md5"), F.lit(None).cast("string").alias("reason"), F.lit(1).cast("long").alias("n"))
+    none = F.lit(None)
+    return good.unionByName(audit.report(rows).select(none.cast("long").alias("conv_id"), none.cast("string").alias("messages_md5"), "reason", "n"))
 
 
 register("reasoning_messages_chat", """
@@ -169,9 +173,11 @@ WITH r AS (
   SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS question,
          list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS tr,
          arg_max(text, turn) FILTER (WHERE role = 'assistant') AS attempt
-  FROM conversations WHERE conv_id % 9 <> 0 OR role <> 'assistant' GROUP BY conv_id
-)
-SELECT conv_id, CASE WHEN len(tr) > 0 THEN md5('user' || chr(1) || question || chr(2) || 'assistant' || chr(1) || attempt || chr(1) || tr[1]) END AS messages_md5,
-  CASE WHEN len(tr) > 0 THEN 0 ELSE 1 END AS rejected
-FROM r
+  FROM conversations GROUP BY conv_id),
+w AS (SELECT *, CASE WHEN coalesce(len(tr), 0) = 0 THEN 'no_trace' WHEN question IS NULL THEN 'no_question' WHEN attempt IS NULL THEN 'no_attempt' ELSE 'kept' END AS reason FROM r)
+SELECT conv_id, md5('user' || chr(1) || question || chr(2) || 'assistant' || chr(1) || attempt || chr(1) || tr[1]) AS messages_md5, NULL AS reason, 1::BIGINT AS n
+FROM w WHERE reason = 'kept'
+UNION ALL
+SELECT NULL, NULL, k.reason, count(w.conv_id)::BIGINT FROM (VALUES ('no_trace'), ('no_question'), ('no_attempt'), ('kept')) k(reason)
+LEFT JOIN w ON w.reason = k.reason GROUP BY k.reason
 """)(reasoning_messages_chat)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from tidepool.functions.parallel import spread
 from tidepool.functions.text import checksum32, md5_of_ids
 from tidepool.functions.tokenizer import DEFAULT_TOKENIZER as TOK
+from tidepool import steps
 from tidepool.operators import normalise as nz, pack as pk, tokens as tk
 from tidepool.plans.registry import register
+from tidepool.session import scratch_path
 from tidepool.sources.readers import table
 
 EOS = TOK.eos_token_id
@@ -99,14 +101,20 @@ FROM enc GROUP BY source, lang
 # ------------------------------------------------------------------ decode
 
 def corpus_decode(spark, sf_dir):
-    """P12 + P11: decode stand-in ids back to text through the measured and
-    broadcast vocabulary, skipping special ids (EOS appended, then stripped)."""
+    """P12 + P11: decode stand-in ids back to text through the vocabulary of
+    the corpus, skipping special ids (EOS appended, then stripped).  The corpus
+    is tokenised once: tokens and ids are written, and both the vocabulary and
+    the decoding read them."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    vocab = tk.vocab_table(d, "text", TOK)
-    enc = tk.append_eos(tk.encode_text(d, "text", TOK).drop("text"), EOS)
-    stripped = tk.strip_special(enc, [TOK.pad_token_id, EOS, TOK.bos_token_id], out="clean_ids")
-    stripped = stripped.withColumn("n_clean", F.size("clean_ids").cast("bigint"))
-    dec = tk.decode(stripped.select("doc_id", "n_clean", "input_ids"), vocab, skip_ids=[TOK.pad_token_id, EOS, TOK.bos_token_id])
+    path, special = scratch_path(spark, "encoded"), [TOK.pad_token_id, EOS, TOK.bos_token_id]
+    tokens = d.select("doc_id", TOK.tokens(F.col("text")).alias("tokens"))
+    tokens.withColumn("input_ids", F.transform("tokens", TOK.token_id)).write.parquet(path)
+    enc = spark.read.parquet(path)
+    pair = F.explode(F.arrays_zip("input_ids", "tokens")).alias("p")
+    vocab = enc.select(pair).select(F.col("p.input_ids").alias("id"), F.col("p.tokens").alias("token"))
+    enc = tk.append_eos(enc.drop("tokens"), EOS)
+    stripped = tk.strip_special(enc, special, out="clean_ids").withColumn("n_clean", F.size("clean_ids").cast("bigint"))
+    dec = tk.decode(stripped.select("doc_id", "n_clean", "input_ids"), vocab, skip_ids=special)
     return dec.select("doc_id", F.md5("decoded").alias("decoded_md5"), "n_clean")
 
 
@@ -122,3 +130,28 @@ dec AS (
 SELECT d.doc_id, md5(coalesce(dec.decoded, '')) AS decoded_md5, coalesce(dec.n, 0)::BIGINT AS n_clean
 FROM documents d LEFT JOIN dec USING (doc_id)
 """)(corpus_decode)
+
+
+# ------------------------------------- steps by name, with a wrapper around
+
+CHAIN = """[
+  {"step": "encode_text"},
+  {"step": "append_eos"},
+  {"step": "truncate", "max_length": 512, "truncation": "filter"},
+  {"step": "keep_columns", "names": ["doc_id", "lang", "input_ids"]}
+]"""
+
+
+def steps_chain_docs(spark, sf_dir):
+    """A preparation job from text: every step is called by its name."""
+    run = steps.standard(TOK).chain(CHAIN, [steps.DropColumns("text")])
+    d = run(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id"))
+    return d.select("doc_id", "lang", F.size("input_ids").cast("bigint").alias("n"), md5_of_ids("input_ids").alias("ids_md5"))
+
+
+register("steps_chain_docs", f"""
+WITH e AS (SELECT doc_id, lang, {TOK.sql_encode('text')} AS ids FROM documents),
+x AS (SELECT doc_id, lang, CASE WHEN len(ids) > 0 AND ids[len(ids)] = {EOS} THEN ids ELSE list_append(ids, {EOS}::BIGINT) END AS ids FROM e),
+c AS (SELECT * FROM x WHERE len(ids) <= 512)
+SELECT doc_id, lang, len(ids)::BIGINT AS n, md5(array_to_string(ids, ',')) AS ids_md5 FROM c
+""")(steps_chain_docs)

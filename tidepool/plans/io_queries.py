@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidepool.functions.rand import sql_uniform, uniform
 from tidepool.functions.text import md5_of_ids
 from tidepool.functions.tokenizer import DEFAULT_TOKENIZER as TOK
-from tidepool.operators import normalise as nz, scoring as sc, split as sp, tokens as tk
+from tidepool.operators import metric_state as ms, normalise as nz, scoring as sc, split as sp, tokens as tk
 from tidepool.plans.chat_queries import sql_split
 from tidepool.plans.metric_queries import run_log
 from tidepool.plans.registry import register
@@ -107,13 +107,15 @@ SELECT run, task, round(coalesce(a, e), 6) AS score, round(coalesce(nullif(a, 0)
 # ------------------------------------------------------------ S9 run log
 
 def run_log_append(spark, sf_dir):
+    """The metrics of four jobs; two of them ran twice."""
     e = run_log(spark, sf_dir)
     mark = F.col("event_type") == "signup"
     split = F.when(F.col("event_type") == "error", F.lit("eval")).otherwise(F.lit("train"))
-    m = sc.metrics_by_interval(e, "user_id", ["ts", "event_id"], mark, split, F.col("value"), F.lit(1.0),
-                               "loss", F.col("bucket")).withColumnRenamed("user_id", "run")
+    m = sc.metrics_by_interval(e, "user_id", ["ts", "event_id"], mark, split, ms.Metrics({"loss": ms.Metric(F.col("value"))}), F.col("bucket"))
+    m = m.withColumnRenamed("user_id", "run").withColumn("job", F.col("run") % 4)
     path = scratch_path(spark, "runlog")
-    rd.append_run_log(m, path)
+    rd.append_run_log(m.where("job < 2"), path)
+    rd.append_run_log(m.where("job > 0"), path)
     back = spark.read.parquet(path)
     return back.groupBy(F.col("run").cast("bigint").alias("run")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("value"), 6).alias("value_sum"))
@@ -129,3 +131,27 @@ WITH r AS (
 g AS (SELECT user_id, k, split, avg(value) AS v FROM r WHERE event_type <> 'signup' GROUP BY user_id, k, split)
 SELECT user_id AS run, count(*)::BIGINT AS n_rows, round(sum(v), 6) AS value_sum FROM g GROUP BY user_id
 """)(run_log_append)
+
+
+# -------------------------------------------- S9 prompts and generations
+
+def generation_log_bench(spark, sf_dir):
+    """What each item's first sentence led to (the rest of the item stands for
+    it), logged at three steps; the second step is logged twice."""
+    b = rd.table(spark, sf_dir, "benchmark")
+    prompt = F.substring_index("text", ".", 1)
+    rows = b.select(F.lit("base").alias("run"), prompt.alias("prompt"), F.expr("substring(text, length(substring_index(text, '.', 1)) + 1)").alias("generation"),
+                    F.explode(F.array(*map(F.lit, (100, 200, 300)))).alias("step"))
+    path = scratch_path(spark, "generations")
+    for steps in ((100, 200), (200, 300)):
+        rd.log_generations(rows.where(F.col("step").isin(*steps)), path)
+    back = spark.read.parquet(path).select("run", F.col("step").cast("bigint").alias("step"), "prompt", "generation")
+    return back.groupBy("run", "step", F.md5("prompt").alias("prompt_md5")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.md5("generation")).alias("generation_md5"))
+
+
+register("generation_log_bench", """
+SELECT 'base' AS run, s::BIGINT AS step, md5(split_part(text, '.', 1)) AS prompt_md5, count(*)::BIGINT AS n,
+       max(md5(substr(text, length(split_part(text, '.', 1)) + 1))) AS generation_md5
+FROM benchmark, (VALUES (100), (200), (300)) t(s) GROUP BY ALL
+""")(generation_log_bench)

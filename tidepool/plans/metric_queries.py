@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tidepool.functions.rand import hash52, sql_hash52, sql_uniform
 from tidepool.functions.schedules import loss_weight, reverse_transfer
 from tidepool.functions.tokenizer import DEFAULT_TOKENIZER as TOK
-from tidepool.operators import batching as bt, noise as nz, scoring as sc, split as sp
+from tidepool.operators import batching as bt, metric_state as ms, noise as nz, scoring as sc, split as sp
 from tidepool.plans.chat_queries import sql_split
 from tidepool.plans.noise_queries import MASK, SQL_BASE, _sql_u, noised_base
 from tidepool.plans.registry import register
 from tidepool.plans.sequence_queries import SQL_DOCS, encoded_docs, sql_md5_ids
+from tidepool.session import scratch_path
 from tidepool.sources.readers import table
 
 
@@ -23,7 +24,7 @@ MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts
 def run_log(spark, sf_dir):
     """The events with a time bucket of bounded rows."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    return sc.time_buckets(e, F.expr(MICROS), "event_id")
+    return sc.time_buckets(e, F.expr(MICROS), "event_id", "user_id")
 
 
 def scored_rows(spark, sf_dir, strategy="random"):
@@ -109,8 +110,7 @@ def metrics_interval_events(spark, sf_dir):
     e = run_log(spark, sf_dir)
     mark = F.col("event_type") == "signup"
     split = F.when(F.col("event_type") == "error", F.lit("eval")).otherwise(F.lit("train"))
-    r = sc.metrics_by_interval(e, "user_id", ["ts", "event_id"], mark, split, F.col("value"), F.lit(1.0),
-                               "loss", F.col("bucket"))
+    r = sc.metrics_by_interval(e, "user_id", ["ts", "event_id"], mark, split, ms.Metrics({"loss": ms.Metric(F.col("value"))}), F.col("bucket"))
     return r.select("user_id", F.col("eval_interval").cast("bigint").alias("eval_interval"), "split", "key",
                     F.round("value", 6).alias("value"))
 
@@ -128,24 +128,68 @@ FROM r WHERE event_type <> 'signup' GROUP BY user_id, eval_interval, split
 """)(metrics_interval_events)
 
 
+# -------------------------------------- G4 collections, merged in two levels
+
+def run_metrics() -> ms.Metrics:
+    """The metrics of the run log; a value stands for a thousandth of a nat."""
+    return ms.Metrics({"loss": ms.Metric(F.col("value")),
+                       "ppl": ms.Metric(F.col("value") / 1000, finish=ms.perplexity),
+                       "weighted": ms.Metric(F.col("value"), 1 + F.col("event_id") % 3)})
+
+
+def metric_rollup_events(spark, sf_dir):
+    """States of each (run, day, split), kept by day as a job of each day would
+    leave them, rolled up to runs and from there to splits."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.to_date("ts").alias("day"))
+    e = e.withColumn("split", F.when(F.col("event_type") == "error", F.lit("eval")).otherwise(F.lit("train")))
+    m, path = run_metrics(), scratch_path(spark, "states")
+    daily = m.states(e, "user_id", "day", "split")
+    for part, rows in (("early", "day < DATE'2024-01-11'"), ("late", "day >= DATE'2024-01-11'"), ("late", "day >= DATE'2024-01-11'")):
+        ms.save_states(daily.where(rows), path, part)  # the second job ran twice
+    runs = m.merge(spark.read.parquet(path).drop("part"), "user_id", "split")
+    whole = m.merge(runs, "split").withColumn("user_id", F.lit(None).cast("long"))
+    out = m.logged(runs.unionByName(whole))
+    return out.select("user_id", "key", "rows", F.round("value", 9).alias("value"))
+
+
+register("metric_rollup_events", """
+WITH r AS (SELECT *, CASE WHEN event_type = 'error' THEN 'eval_' ELSE '' END AS pre FROM events),
+g AS (SELECT user_id, pre, count(value)::BIGINT AS rows, avg(value) AS m,
+        sum(value * (1 + event_id % 3)) / sum(CASE WHEN value IS NOT NULL THEN 1 + event_id % 3 END) AS w
+      FROM r GROUP BY GROUPING SETS ((user_id, pre), (pre)))
+SELECT user_id, pre || 'loss' AS key, rows, round(m, 9) AS value FROM g WHERE rows > 0
+UNION ALL SELECT user_id, pre || 'ppl', rows, round(exp(m / 1000), 9) FROM g WHERE rows > 0
+UNION ALL SELECT user_id, pre || 'weighted', rows, round(w, 9) FROM g WHERE rows > 0
+""")(metric_rollup_events)
+
+
 # ----------------------------------------------------------------- W1
 
 def throughput_events(spark, sf_dir):
-    e = run_log(spark, sf_dir).withColumn("t_sec", F.expr(MICROS) / 1e6)
+    """Batch settings change during a run: a purchase sets the rows a device
+    takes, a click the accumulation; they hold until the next."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type").withColumn("at", F.expr(MICROS))
+    given = e.where(F.col("event_type").isin("purchase", "view")).select(
+        "user_id", "at", "event_id", (1 + F.col("event_id") % 8).alias("per_device"), F.when(F.col("event_type") == "view", 2).otherwise(4).alias("accumulation"))
+    e = sc.as_of(e, given, "user_id", "at", "event_id", ["per_device", "accumulation"]).withColumn("t_sec", F.col("at") / 1e6)
     start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
                    "TIMESTAMP_NTZ'2024-01-01 00:00:00')") / 1e6
-    r = sc.throughput(e, "user_id", "event_id", "t_sec", start, F.lit(8 * 4 * 2), F.col("bucket"))
-    return r.select("user_id", "event_id", F.round("steps_per_sec", 6).alias("steps_per_sec"),
+    batch = F.coalesce("per_device", F.lit(8)) * F.coalesce("accumulation", F.lit(4)) * 2
+    r = sc.throughput(e, "user_id", "event_id", "t_sec", start, batch, F.col("bucket"))
+    return r.select("user_id", "event_id", "per_device", F.round("steps_per_sec", 6).alias("steps_per_sec"),
                     F.round("samples_per_sec", 6).alias("samples_per_sec"))
 
 
 register("throughput_events", """
-WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t FROM events WHERE event_id <> 0),
+WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) / 1e6 AS t,
+             last_value(CASE WHEN event_type IN ('purchase', 'view') THEN 1 + event_id % 8 END IGNORE NULLS) OVER r AS per_device,
+             last_value(CASE WHEN event_type = 'view' THEN 2 WHEN event_type = 'purchase' THEN 4 END IGNORE NULLS) OVER r AS accumulation
+           FROM events WINDOW r AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT *, coalesce(lag(t) OVER w, epoch_us(TIMESTAMP '2024-01-01 00:00:00') / 1e6) AS pt,
              coalesce(lag(event_id) OVER w, 0) AS ps
-      FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
-SELECT user_id, event_id, round((event_id - ps)::DOUBLE / (t - pt), 6) AS steps_per_sec,
-       round((event_id - ps)::DOUBLE / (t - pt) * 64, 6) AS samples_per_sec
+      FROM e WHERE event_id <> 0 WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
+SELECT user_id, event_id, per_device::BIGINT AS per_device, round((event_id - ps)::DOUBLE / (t - pt), 6) AS steps_per_sec,
+       round((event_id - ps)::DOUBLE / (t - pt) * (coalesce(per_device, 8) * coalesce(accumulation, 4) * 2), 6) AS samples_per_sec
 FROM l WHERE t - pt > 0 AND event_id - ps > 0
 """)(throughput_events)
 
@@ -170,23 +214,16 @@ def mc_loglik_bench(spark, sf_dir):
 
 
 def _sql_mc_ll() -> str:
-    from tidepool.functions.rand import sql_uniform_int
-    k = sql_uniform_int(6, "1", "L", "'k'", "item_id", "loop")
-    draw = sql_uniform(6, "'pos'", "item_id", "loop", "copy", "q")
+    from tidepool.plans.noise_queries import sql_mc_copies
     cont = "substr(text, length(split_part(text, '.', 1)) + 1)"
     nll = f"-ln(1.0 - {sql_uniform(14, chr(39) + 'nll' + chr(39), 'item_id', 'q')})"
     pred_diff = f"{sql_uniform(15, chr(39) + 'pred' + chr(39), 'item_id', 'q')} < 0.05"
     return f"""
-WITH r AS (SELECT item_id, len({TOK.sql_tokens(cont)}) AS L FROM benchmark),
-l AS (SELECT item_id, L, loop FROM r, range(16) t(loop) WHERE L > 0),
-k AS (SELECT *, {k} AS k FROM l),
-c AS (SELECT item_id, L, loop, copy, ((round_even(k + copy * (L / 8.0), 0)::BIGINT - 1) % L) + 1 AS x
-      FROM k, range(8) t(copy)),
-d AS (SELECT *, list_transform(range(L), lambda q: {draw}) AS dr FROM c),
+WITH {sql_mc_copies(cont)},
 v AS (SELECT item_id, loop, coalesce(list_sum(list_transform(range(L), lambda q:
-         CASE WHEN dr[q + 1] <= list_sort(dr)[x] THEN {nll} ELSE 0.0 END)), 0.0) / (x / L) AS cv FROM d),
-pl AS (SELECT item_id, loop, sum(cv) / 8.0 AS lv FROM v GROUP BY item_id, loop),
-ll AS (SELECT item_id, -avg(lv) AS loglikelihood, count(*) AS n_loops FROM pl GROUP BY item_id),
+         CASE WHEN dr[q + 1] < x THEN {nll} ELSE 0.0 END)), 0.0) / (x / L) AS cv FROM d),
+lo AS (SELECT item_id, loop, sum(cv) / 8.0 AS lv FROM v GROUP BY item_id, loop),
+ll AS (SELECT item_id, -avg(lv) AS loglikelihood, count(*) AS n_loops FROM lo GROUP BY item_id),
 g AS (SELECT item_id, CASE WHEN len(list_filter(range(len(ids)), lambda q: {pred_diff})) = 0 THEN 1 ELSE 0 END AS is_greedy
       FROM (SELECT item_id, {TOK.sql_encode(cont)} AS ids FROM benchmark))
 SELECT item_id, round(loglikelihood, 6) AS loglikelihood, n_loops::BIGINT AS n_loops, is_greedy::INTEGER AS is_greedy

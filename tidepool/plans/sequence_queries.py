@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepool.operators.audit import Audit
 from tidepool.functions.parallel import spread
 from tidepool.functions.rand import hash52, sql_hash52, sql_uniform, sql_uniform_int
 from tidepool.functions.text import md5_of_ids
 from tidepool.functions.tokenizer import DEFAULT_TOKENIZER as TOK
 from tidepool.operators import batching as bt, chat, normalise as nz, tokens as tk
 from tidepool.plans.registry import register
+from tidepool.session import scratch_path
 from tidepool.sources.readers import table
 
 PAD, BOS, EOS, MASK = TOK.pad_token_id, TOK.bos_token_id, TOK.eos_token_id, TOK.mask_token_id
@@ -163,24 +165,21 @@ register("clip_variants_chat", _sql_clip())(clip_variants_chat)
 
 # ---------------------------------------------------- V1 / V3 / F6 checks
 
+#: The longest conversation, in ids, that a training row may hold.
+SFT_LENGTH = 400
+
+
 def sft_validation(spark, sf_dir):
-    """V1 and V3 on encoded conversations, with faults planted in the labels
-    (a wrong label in every fifth conversation, a missing last label in every
-    seventh) and in the roles (a user's last turn in every third)."""
-    conv = nz.assemble_messages(table(spark, sf_dir, "conversations"))
-    size = F.size("messages")
-    cut = (F.col("conv_id") % 3 == 0) & (size > 1)
-    conv = conv.withColumn("messages", F.when(cut, F.slice("messages", F.lit(1), F.greatest(size - 1, F.lit(1)))).otherwise(F.col("messages")))
-    enc = chat.encode_sft(conv, TOK, "chatml")
-    n = F.size("labels")
-    faulty = (F.when(F.col("conv_id") % 7 == 0, F.slice("labels", F.lit(1), F.greatest(n - 1, F.lit(0))))
-              .when(F.col("conv_id") % 5 == 0, F.transform("labels", lambda y, i: F.when(i == n - 1, F.lit(7).cast("bigint")).otherwise(y)))
-              .otherwise(F.col("labels")))
-    enc = enc.withColumn("v3", chat.sft_reject_reason(enc).isNotNull()).withColumn("labels", faulty)
-    enc = enc.withColumn("eligible", F.size(F.filter(tk.loss_eligible("labels"), lambda b: b)))
-    enc = enc.withColumn("v1", bt.label_violations(enc))
-    return enc.agg(*(F.sum(F.col(c).cast("bigint")).alias(name) for c, name in (
-        ("v1", "v1_violations"), ("eligible", "eligible_tokens"), ("v3", "v3_rejects"))))
+    """V1–V3 on the conversations as they are: the rows that are fit, with
+    their ids and labels, and how many are not and why, from one pass."""
+    enc = chat.encode_sft(nz.assemble_messages(table(spark, sf_dir, "conversations")), TOK, "chatml")
+    audit = Audit({**chat.sft_checks(enc), "labels_wrong": bt.label_violations(enc), "too_long": F.size("input_ids") > SFT_LENGTH})
+    path = scratch_path(spark, "sft")
+    audit.kept(enc).select("conv_id", "input_ids", "labels").write.parquet(path)
+    eligible = F.size(F.filter(tk.loss_eligible("labels"), lambda b: b))
+    rows = spark.read.parquet(path).select("conv_id", F.lit("row").alias("kind"), F.size("input_ids").cast("bigint").alias("n"), eligible.cast("bigint").alias("eligible"))
+    none = F.lit(None).cast("bigint")
+    return rows.unionByName(audit.report(enc).select(none.alias("conv_id"), F.col("reason").alias("kind"), "n", none.alias("eligible")))
 
 
 def _sql_validation() -> str:
@@ -189,15 +188,14 @@ def _sql_validation() -> str:
     plen = f"len({TOK.sql_tokens(sql_chatml('messages[1:len(messages)-1]', True))})"
     return f"""
 WITH {CONV_SQL},
-cut AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 AND len(messages) > 1 THEN messages[1:len(messages) - 1] ELSE messages END AS messages FROM conv),
-enc AS (SELECT conv_id, messages, {ids} AS ids, {plen} AS pl FROM cut),
-lab AS (SELECT *, list_transform(ids, lambda x, i: CASE WHEN i <= pl THEN -100 ELSE x END) AS y FROM enc),
-bad AS (SELECT *, CASE WHEN conv_id % 7 = 0 THEN y[1:len(y) - 1]
-                       WHEN conv_id % 5 = 0 THEN list_transform(y, lambda v, i: CASE WHEN i = len(y) THEN 7 ELSE v END) ELSE y END AS z FROM lab)
-SELECT count(*) FILTER (WHERE len(z) <> len(ids) OR len(list_filter(range(1, len(ids) + 1), lambda i: z[i] <> -100 AND z[i] <> ids[i])) > 0)::BIGINT AS v1_violations,
-       sum(len(list_filter(z, lambda v: v <> -100)))::BIGINT AS eligible_tokens,
-       count(*) FILTER (WHERE messages[len(messages)].role <> 'assistant' OR pl > len(ids))::BIGINT AS v3_rejects
-FROM bad
+enc AS (SELECT conv_id, messages, {ids} AS ids, {plen} AS pl FROM conv),
+w AS (SELECT *, CASE WHEN pl > len(ids) THEN 'prompt_longer_than_render' WHEN messages[len(messages)].role <> 'assistant' THEN 'last_role_not_assistant'
+        WHEN len(ids) > {SFT_LENGTH} THEN 'too_long' ELSE 'kept' END AS kind FROM enc)
+SELECT conv_id, 'row' AS kind, len(ids)::BIGINT AS n, greatest(len(ids) - pl, 0)::BIGINT AS eligible FROM w WHERE kind = 'kept'
+UNION ALL
+SELECT NULL, k.kind, count(w.conv_id)::BIGINT, NULL
+FROM (VALUES ('message_without_content'), ('prompt_longer_than_render'), ('last_role_not_assistant'), ('labels_wrong'), ('too_long'), ('kept')) k(kind)
+LEFT JOIN w ON w.kind = k.kind GROUP BY k.kind
 """
 
 

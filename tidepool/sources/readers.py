@@ -35,7 +35,7 @@ def read_all_configs(spark: SparkSession, path: str, normaliser=None,
     recovers ``config``), or one named config; error when none exist."""
     df = spark.read.parquet(path)
     if "config" not in df.columns:
-        raise ValueError(f"No configs found for dataset: {path}")
+        raise ValueError(f"{path} is not partitioned by config")
     if config is not None:
         df = df.where(F.col("config") == config)
     return normaliser(df) if normaliser else df
@@ -108,9 +108,21 @@ def write_results(df: DataFrame, base: str, run_col: str = "run", task_col: str
     return base
 
 
-def append_run_log(df: DataFrame, path: str, key: str = "key") -> None:
-    """Append metric rows (or prompt/generation rows) to a log table
-    partitioned by ``key``, of which there are few (metric names, kinds of
-    log), not by run; rows are brought together by it before the write, so
-    each append adds one file a key and not one a task."""
-    df.repartition(key).write.mode("append").partitionBy(key).parquet(path)
+def append_run_log(df: DataFrame, path: str, key: str = "key", txn: tuple[str, ...] = ("job",)) -> None:
+    """Add rows to a log table that is partitioned by the columns of a
+    transaction (the job, or run and step) and by ``key``, of which there are
+    few (metric names, kinds of log).  The partitions that the rows belong to
+    are written as a whole, so the same transaction written again, by a job that
+    was retried, replaces itself and adds nothing; others stay as they are."""
+    missing = [c for c in (*txn, key) if c not in df.columns]
+    if missing or not txn:
+        raise ValueError(f"a log needs its transaction and key columns; {missing} not found")
+    df.repartition(*txn, key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*txn, key).parquet(path)
+
+
+GENERATIONS = ("run", "step", "prompt", "generation")
+
+
+def log_generations(df: DataFrame, path: str) -> None:
+    """Prompts with what was generated for them at a step of a run."""
+    append_run_log(df.select(*GENERATIONS, F.lit("generations").alias("key")), path, txn=("run", "step"))
