@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -57,10 +58,13 @@ def test_ids_and_decoded_equal_the_library(spark, odd, name):
 
 def test_caches_that_start_anew_change_nothing(monkeypatch):
     path, texts = queries.tokenizer_file("word_bpe_49k.json"), [t for t in _texts() if t][:60]
-    whole = [x.tolist() for x in bpe_index.PairIndex(path).encode(texts)]
+    ids, ends = bpe_index.PairIndex(path).encode(texts)
+    whole = [x.tolist() for x in np.split(ids, ends[1:-1])]
     monkeypatch.setattr(bpe_index, "CACHE", 5)
     index = bpe_index.PairIndex(path)
     assert [index.encode([t])[0].tolist() for t in texts] == whole
+    ids, ends = index.encode([None, "", *texts[:3], ""])
+    assert index.decode(ids, ends).to_pylist()[:2] == ["", ""] and len(ends) == 7
 
 
 def _plain_hits(text, items, window):

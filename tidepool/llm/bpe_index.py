@@ -12,7 +12,8 @@ case, white space dropped, ``</w>`` at the end of a pre-token, no decoder (a
 decoded text is its tokens joined by a space).
 
 Defined results: null and empty texts have no ids and decode to an empty
-string; strings of added tokens become their ids wherever they stand.
+string; strings of added tokens become their ids wherever they stand; null and
+repeated ids are rows like others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import heapq
 import json
 import re
 import unicodedata
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +38,8 @@ from tidepool.llm.common import in_batches
 #: Fixed value: the pattern of the word-end file's pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-#: Pre-tokens whose ids a worker keeps; beyond that it starts anew.
-CACHE = 150_000
+#: Pre-tokens whose ids a worker keeps; beyond that the older half goes.
+CACHE = 300_000
 
 
 def normalise(text: str) -> str:
@@ -56,41 +59,43 @@ class PairIndex:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         byte = byte_symbols()
-        self.inner = [vocab[c] for c in byte]
-        self.final = [vocab[c + WORD_END] for c in byte]
+        self.inner = np.array([vocab[c] for c in byte])
+        self.final = np.array([vocab[c + WORD_END] for c in byte])
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
-        self.rank = {(a << 32) | b: r for r, (a, b, _) in enumerate(self.merges)}
-        self.token = {i: t for t, i in vocab.items()}
+        self.rank = {a << 32 | b: r for r, (a, b, _) in enumerate(self.merges)}
+        codes = np.array(list(self.rank))
+        self.ranks = np.argsort(codes, kind="stable")
+        self.pairs = codes[self.ranks]
+        self.ranks = np.array(list(self.rank.values()))[self.ranks]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.token.update({i: t for t, i in self.special.items()})
+        token = {i: t for t, i in [*vocab.items(), *self.special.items()]}
+        self.tokens = pa.array([token.get(i) for i in range(max(token) + 1)], pa.string())
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.find = regex.compile(PATTERN).findall
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def merge_all(self, words: list[str]) -> list[tuple[int, ...]]:
         """The ids of each pre-token."""
-        sym: list[int] = []
-        heads, left, right = [], [], []
-        for w in words:
-            raw = w.encode()
-            at = len(sym)
-            heads.append(at)
-            sym.extend(map(self.inner.__getitem__, raw))
-            sym[-1] = self.final[raw[-1]]
-            left.extend(range(at - 1, len(sym) - 1))
-            left[at] = -1
-            right.extend(range(at + 1, len(sym) + 1))
-            right[-1] = -1
-        rank, where = self.rank, {}
-        for p, q in enumerate(right):
-            if q >= 0 and (r := rank.get((sym[p] << 32) | sym[q])) is not None:
-                where.setdefault(r, []).append(p)
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        n = np.array(list(map(len, raw)))
+        ends = np.cumsum(n)
+        heads, tails = ends - n, ends - 1
+        byte = np.frombuffer(b"".join(raw), np.uint8)
+        symbols = self.inner[byte]
+        symbols[tails] = self.final[byte[tails]]
+        left, right = np.arange(-1, len(byte) - 1), np.arange(1, len(byte) + 1)
+        left[heads], right[tails] = -1, -1
+        where = self._occurrences(symbols, tails)
+        sym, left, right = symbols.tolist(), left.tolist(), right.tolist()
+        rank, merges, push = self.rank.get, self.merges, heapq.heappush
         active = list(where)
         heapq.heapify(active)
         while active:
             r = heapq.heappop(active)
-            a, b, new = self.merges[r]
+            a, b, new = merges[r]
             for p in sorted(where.pop(r)):
                 q = right[p]
                 if q < 0 or sym[p] != a or sym[q] != b:
@@ -98,65 +103,84 @@ class PairIndex:
                 sym[p], sym[q] = new, -1
                 after, before = right[q], left[p]
                 right[p] = after
+                # the pairs that the merge makes, to both sides
                 if after >= 0:
                     left[after] = p
-                    self._note((new << 32) | sym[after], p, where, active)
+                    made = rank(new << 32 | sym[after])
+                    if made is not None:
+                        if made in where:
+                            where[made].append(p)
+                        else:
+                            where[made] = [p]
+                            push(active, made)
                 if before >= 0:
-                    self._note((sym[before] << 32) | new, before, where, active)
-        out = []
-        for p in heads:
-            ids = []
-            while p >= 0:
-                ids.append(sym[p])
-                p = right[p]
-            out.append(tuple(ids))
-        return out
-
-    def _note(self, pair: int, at: int, where: dict, active: list) -> None:
-        r = self.rank.get(pair)
-        if r is None:
-            return
-        if r in where:
-            where[r].append(at)
-        else:
-            where[r] = [at]
-            heapq.heappush(active, r)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+                    made = rank(sym[before] << 32 | new)
+                    if made is not None:
+                        if made in where:
+                            where[made].append(before)
+                        else:
+                            where[made] = [before]
+                            push(active, made)
+        done = np.array(sym)
+        stays = done >= 0
+        ids, cut = done[stays].tolist(), np.cumsum(np.add.reduceat(stays, heads)).tolist()
+        return [tuple(ids[i:z]) for i, z in zip([0, *cut], cut)]
+
+    def _occurrences(self, symbols: np.ndarray, tails: np.ndarray) -> dict[int, list[int]]:
+        """The index at the start: the places of each pair, by its rank."""
+        pair = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        known = self.pairs[at] == pair
+        known[tails[:-1]] = False
+        places = np.flatnonzero(known)
+        ranks = self.ranks[at[places]]
+        order = np.argsort(ranks, kind="stable")
+        places, ranks = places[order], ranks[order]
+        cut = np.flatnonzero(np.diff(ranks)) + 1
+        first = np.concatenate(([0], cut))[:len(ranks)]
+        return {r: p.tolist() for r, p in zip(ranks[first].tolist(), np.split(places, cut))} if len(ranks) else {}
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text ends
+        (with a leading 0)."""
         docs = []
         for t in texts:
-            parts = self.cut.split(t) if t and self.cut else [t or ""]
-            words = []
-            for k, p in enumerate(parts):
-                words.extend([p] if k % 2 else self.find(normalise(p)))
-            docs.append(words)
-        new = list({w for d in docs for w in d if w not in self.cache})
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {}
-            new = list({w for d in docs for w in d})
+            if t and self.cut and (parts := self.cut.split(t))[1:]:
+                docs.append([w for k, p in enumerate(parts) for w in ([p] if k % 2 else self.find(normalise(p)))])
+            else:
+                docs.append(self.find(normalise(t)) if t else [])
+        here = set().union(*docs)
+        if len(self.cache) + len(here) > CACHE:
+            self.cache = dict(islice(self.cache.items(), len(self.cache) // 2, None))
         # normalised text holds no string of an added token with its cut taken out
-        plain = [w for w in new if w not in self.special]
+        plain = [w for w in here if w not in self.cache and w not in self.special]
         self.cache.update(zip(plain, self.merge_all(plain)))
         self.cache.update((t, (i,)) for t, i in self.special.items())
-        ids = self.cache.__getitem__
-        return [np.fromiter(chain.from_iterable(map(ids, d)), np.int32) for d in docs]
+        words = [list(map(self.cache.__getitem__, d)) for d in docs]
+        ends = np.concatenate(([0], np.cumsum([sum(map(len, w)) for w in words])))
+        return np.fromiter(chain.from_iterable(chain.from_iterable(words)), np.int32, int(ends[-1])), ends
 
-    def decode(self, ids: np.ndarray) -> str:
-        return " ".join(map(self.token.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The text of each run of ids: its tokens joined by a space."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), self.tokens.take(pa.array(ids))), " ")
+
+
+@lru_cache(maxsize=2)
+def index_of(path: str) -> PairIndex:
+    """One index for each file in a worker process, kept between its tasks."""
+    return PairIndex(path)
 
 
 def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids, decoded`` of each row; a map over the documents."""
     def run(batches):
-        index = PairIndex(path)
+        index = index_of(path)
         for b in batches:
             for at, part in text_slices(b.column(1)):
-                ids = index.encode(part)
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                ids, ends = index.encode(part)
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(at, len(part)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
-                    pa.array(list(map(index.decode, ids)), pa.string())], ["doc_id", "ids", "decoded"])
+                    b.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
+                    index.decode(ids, ends)], ["doc_id", "ids", "decoded"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return in_batches(source).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
