@@ -31,17 +31,18 @@ import json
 import os
 from functools import lru_cache
 from hashlib import sha256
-from itertools import groupby
+from itertools import chain, groupby, islice
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.bpe_rank import byte_symbols, text_slices
+from tidepool.llm.bpe_rank import PATTERN, byte_symbols, text_slices
 from tidepool.llm.common import in_batches, saved
 
 #: Radix partitions of the A ids.
@@ -53,6 +54,8 @@ DOCS_BITS = 15
 LINKS = 1 << 20
 #: Segments that one heap merges, about.
 FAN = 32
+#: Pieces of texts whose ids a worker keeps.
+CACHE = 400_000
 #: Pairs of one chunk of a merged segment.
 CHUNK = 1 << 19
 
@@ -61,13 +64,20 @@ COUNTED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
 _RUNS = f"run long, radix int, part int, segment binary, postings binary, docs array<struct<{DOCS.replace(' ', ': ').replace(',:', ',')}>>"
 
 
+flat = chain.from_iterable
+
+
 class Pair:
-    """The two tokenizers, and the bytes of their tokens."""
+    """The two tokenizers, and the bytes of their tokens.
+
+    A never merges across the pieces that its pattern splits a text into, so
+    the library sees each piece once and ids are kept by piece; B gets whole
+    texts."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
@@ -85,21 +95,33 @@ class Pair:
         self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
         # ids with the sign that follows them in the text of groups
         self.names = [f"{i}{c}" for n, signs in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for c in signs for i in range(n)]
+        self.pieces, self.known = regex.compile(PATTERN).findall, {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
+    def _ids(self, pieces: set[str]) -> dict[str, tuple[int, ...] | None]:
+        """Ids of A by piece, None for one whose ids do not give its bytes."""
+        if len(self.known) > CACHE:
+            self.known = dict(islice(self.known.items(), CACHE // 2, None))  # the oldest half goes
+        new = [p for p in pieces if p not in self.known]
+        for piece, e in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False)):
+            same = b"".join(map(self.bytes_a.__getitem__, e.ids)) == piece.encode()
+            self.known[piece] = tuple(e.ids) if same else None
+        return self.known
+
     def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides; none where they do not give the text's bytes."""
-        full = [t or "" for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in full], add_special_tokens=False)]
-        b = self.b.encode(full, num_threads=1)
-        for k, t in enumerate(full):
-            raw = f" {t}".encode()
-            if not t or b"".join(map(self.bytes_a.__getitem__, a[k])) != raw or b"".join(map(self.bytes_b.__getitem__, b[k])) != raw:
-                a[k], b[k] = [], []
-        return a, b
+        pieces = [self.pieces(f" {t}") if t else [] for t in texts]
+        known, out = self._ids({p for own in pieces for p in own}), ([], [])
+        for t, own, b in zip(texts, pieces, self.b.encode([t or "" for t in texts], num_threads=1)):
+            a = list(map(known.__getitem__, own))
+            if not t or None in a or b"".join(map(self.bytes_b.__getitem__, b)) != f" {t}".encode():
+                a, b = [], []
+            out[0].append(list(flat(a)))
+            out[1].append(b)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -114,9 +136,11 @@ class Codes:
         self.size_b, self.each = size_b, -(-size_a // RADIX)
         self.span = self.each * size_b  # codes of one radix
         assert RADIX * self.span < 1 << (62 - DOCS_BITS)
+        a = np.arange(size_a)
+        self.side = (a % RADIX * self.each + a // RADIX) * size_b
 
     def code(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a % RADIX * self.each + a // RADIX) * self.size_b + b
+        return self.side[a] + b
 
     def ids(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         side = code // self.size_b
@@ -142,9 +166,8 @@ class Slice:
     def __init__(self, pair: Pair, texts: list[str | None]):
         a, b = pair.encode(texts)
         self.pair, self.n = pair, len(texts)
-        self.n_a, self.n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-        self.a = np.fromiter((i for x in a for i in x), np.int64, int(self.n_a.sum()))
-        self.b = np.fromiter((i for x in b for i in x), np.int64, int(self.n_b.sum()))
+        self.n_a, self.n_b = (np.array(list(map(len, side)), np.int64) for side in (a, b))
+        self.a, self.b = (np.fromiter(flat(side), np.int64, int(n.sum())) for side, n in ((a, self.n_a), (b, self.n_b)))
         end_a, end_b = np.cumsum(pair.len_a[self.a]), np.cumsum(pair.len_b[self.b])
         cut_a, cut_b = _within(end_a, end_b), _within(end_b, end_a)
         self.group_a, self.group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
@@ -173,7 +196,11 @@ class Slice:
     def links(self, codes: Codes, first: int):
         """Arrays of ``code << DOCS_BITS | document`` of about ``LINKS`` links
         each, with how often each stands (None: once an entry)."""
-        todo, per = np.flatnonzero(self.of_a * self.of_b <= LINKS), self.of_a * self.of_b
+        per = self.of_a * self.of_b
+        one = np.flatnonzero(per == 1)
+        if len(one):
+            yield codes.code(self.a[self.start_a[one]], self.b[self.start_b[one]]) << DOCS_BITS | self.doc[one] + first, None
+        todo = np.flatnonzero((per > 1) & (per <= LINKS))
         total, i = np.cumsum(per[todo]), 0
         while i < len(todo):
             z = max(i + 1, int(np.searchsorted(total, total[i] - per[todo[i]] + LINKS, "right")))
@@ -230,6 +257,11 @@ def _least(x: np.ndarray) -> np.ndarray:
     return x.astype("u1" if top < 1 << 8 else "u2" if top < 1 << 16 else "u4" if top < 1 << 32 else "u8")
 
 
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal values starts."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+
+
 class Run:
     """Records of pair and document, kept until the run is closed."""
 
@@ -237,7 +269,7 @@ class Run:
         self.parts, self.size, self.docs = [], 0, [[] for _ in range(6)]
 
     def add(self, keys: np.ndarray, times: np.ndarray | None) -> None:
-        self.parts.append((keys, np.ones(len(keys), np.int64) if times is None else times))
+        self.parts.append((keys, times))
         self.size += len(keys)
         if self.size > 2 * RECORDS:
             self.parts = [self.sorted()]
@@ -245,19 +277,22 @@ class Run:
 
     def sorted(self) -> tuple[np.ndarray, np.ndarray]:
         """Records by pair and document, equal ones added up."""
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, times = (np.concatenate(x) for x in zip(*self.parts))
+        keys = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in self.parts)])
+        if all(t is None for _, t in self.parts):  # each link by itself
+            keys.sort()
+            head = _heads(keys)
+            return keys[head], np.diff(np.append(head, len(keys)))
+        times = np.concatenate([np.ones(len(k), np.int64) if t is None else t for k, t in self.parts])
         order = np.argsort(keys, kind="stable")
         keys, times = keys[order], times[order]
-        head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        return keys[head], np.add.reduceat(times, head) if len(head) else times
+        head = _heads(keys)
+        return keys[head], np.add.reduceat(times, head)
 
     def rows(self, number: int, codes: Codes):
         """The run as record batches: its segments, then its postings."""
         keys, times = self.sorted()
         pair = keys >> DOCS_BITS
-        head = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
+        head = _heads(pair)
         each = np.diff(np.append(head, len(pair)))
         pair = pair[head]
         edge = np.searchsorted(pair, np.arange(RADIX + 1) * codes.span)
