@@ -10,39 +10,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import bpe_index, decontam, langid, shingle_join, substring
-from tidepool.llm.common import saved, small
+from tidepool.llm.common import free_name, saved, small, tokenizer_file
 from tidepool.llm.join_queries import FOLDS, HELD
-from tidepool.llm.queries import tokenizer_file
+from tidepool.operators.split import global_rank
 
-#: A text whose cosine with every learnt language is not above this is rejected.
-#: Texts of one or two words score 0.04 to 0.2, so more would cost clean ones.
-MIN_LANGUAGE_SCORE = 0.0
+#: A text whose cosine with every learnt language is not above this is
+#: rejected.  The cosine of unrelated text is noise of about 0.03, of clean text
+#: of 30 letters 0.2 and more; shorter texts have proportionally less to reach.
+MIN_LANGUAGE_SCORE = 0.1
+SURE_LETTERS = 30
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter, and those that
-    resemble none, go.  If nothing can be learnt, all texts with a letter
-    stay.  Learns from the labelled documents of the training folds."""
+    resemble none, go.  Letters of different words count, so that a word that
+    stands many times does not make a text long.  If nothing can be learnt, all
+    texts with a letter stay.  Learns from the labelled documents of the
+    training folds."""
     prototypes = langid.learn(docs.where(langid.fold(F.col("doc_id"), FOLDS) != HELD))
     if not prototypes:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.predict(docs, prototypes)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > MIN_LANGUAGE_SCORE)).select(docs.columns)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = langid.predict(docs, prototypes, lang_out=lang, score_out=score)
+    letters = F.length(F.array_join(F.array_distinct(F.split(F.lower("text"), r"\P{L}+")), ""))
+    enough = F.least(letters / SURE_LETTERS, F.lit(1.0)) * MIN_LANGUAGE_SCORE
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) > enough)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest
-    id; of rows that share an id, the one with the smallest text.  Documents
-    without words or with a null id stay."""
-    groups = saved(shingle_join.near_duplicates(docs).where("doc_id is not null"), "groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    docs = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
-    twice = small(saved(twice, "twice"))
-    once = docs.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
-    first = docs.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("*"), F.struct("text", *(
-        F.col(c).cast("string") for c in docs.columns))).alias("row")).select("row.*")
-    return once.union(first)
+    id (of rows that share an id, the first by a hash of the text).  Rows that
+    share an id are documents like others: different texts stay, equal ones are
+    near-duplicates.  Documents without words or with a null id stay."""
+    key, row = free_name(docs, "_key"), free_name(docs, "_row")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if twice.isEmpty():
+        ids, rows = "doc_id", docs
+    else:  # ids by which rows can be told apart, in the order of doc_id
+        ids = row
+        rows = saved(global_rank(docs, F.col("doc_id"), F.xxhash64("text"), out=row).withColumn(row, F.when(F.col("doc_id").isNotNull(), F.col(row))), "numbered")
+    groups = shingle_join.near_duplicates(rows, doc_id=ids).where("doc_id is not null")
+    gone = saved(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return rows.join(small(gone), F.col(ids) == F.col(key), "left_anti").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

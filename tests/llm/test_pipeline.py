@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from tidepool.llm.queries import tokenizer_file
+from tidepool.llm.common import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,6 +75,41 @@ def test_empty_and_repeated_rows(spark, folder):
     assert sorted(str(r.doc_id) for r in cp.drop_near_duplicates(spark, twice, folder).collect()) == ["0", "1", "None"]
 
 
+def test_language_stage_rejects_what_resembles_nothing(spark, folder):
+    rows, *_ = _corpus()
+    r = random.Random(4)
+    odd = ["Это русский текст о погоде и о людях, которые живут в городе и ходят на работу каждый день",
+           "これは日本語の文章です。天気がいいので散歩に行きましょう。今日はとても暖かいですね。明日も晴れるといいですね",
+           "3fa9 bc81 ff00 dead beef 0a1b cafe babe 9c8d e7f6 a5b4 c3d2 e1f0 abcd ef01 fade " * 3,
+           " ".join("".join(r.choice("qwxzjkvpfbmd") for _ in range(7)) for _ in range(12))]
+    short = ["thebaing", "thebaing thedoing", "schbäung"]
+    docs = spark.createDataFrame(rows + [(100 + k, t, None, "s", len(t)) for k, t in enumerate(odd + short)], SCHEMA)
+    kept = {x.doc_id for x in cp.identify_language(spark, docs, folder).collect()}
+    assert kept == set(range(47)) | {104, 105, 106}
+
+
+def test_different_texts_under_one_id_stay(spark, folder):
+    rows, *_ = _corpus()
+    a, b = rows[0][1], rows[1][1]
+    docs = spark.createDataFrame([(7, a, "en", "s", 1), (7, b, "en", "s", 2), (7, b, "en", "s", 2), (9, a, "en", "s", 3), (5, rows[2][1], "de", "s", 4),
+                                  (None, a, "en", "s", 5), (8, "", "en", "s", 0), (8, "", "en", "s", 0), (-2 ** 63, rows[3][1], "de", "s", 6), (2 ** 63 - 1, b, "en", "s", 7)], SCHEMA)
+    kept = sorted((x.doc_id if x.doc_id is not None else -1, x.text) for x in cp.drop_near_duplicates(spark, docs, folder).collect())
+    assert kept == sorted([(7, a), (7, b), (5, rows[2][1]), (-1, a), (8, ""), (8, ""), (-2 ** 63, rows[3][1])])
+
+
+def test_columns_that_clash_with_those_of_the_stages(spark, folder):
+    rows, *_ = _corpus()
+    names = ["score", "lang_pred", "_id", "_cuts", "_key", "_row", "id", "source_id", "words", "n"]
+    docs = spark.createDataFrame([(*x, *range(len(names))) for x in rows], SCHEMA + "".join(f", `{c}` int" for c in names))
+    plain = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in cp.STAGES:
+        got, want = stage(spark, docs, folder), stage(spark, plain, folder)
+        if name != "bpe_encoding":
+            assert got.columns == docs.columns
+            assert {tuple(x)[5:] for x in got.collect()} == {tuple(range(len(names)))}
+        assert sorted(x.doc_id for x in got.select("doc_id").collect()) == sorted(x.doc_id for x in want.select("doc_id").collect())
+
+
 def test_entry_without_the_optional_parts(tmp_path):
     """A copy of the repository without the two folders and the pipeline
     still registers the other queries."""

@@ -165,9 +165,14 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
     return {name: v for name, v in sorted(out.items()) if v.any()}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score`` (the cosine,
-    0 if below); a map over the documents."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED,
+            lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the language and the score (the cosine, 0
+    if below); a map over the documents.  ``docs`` may not have columns of the
+    two names yet."""
+    for c in (lang_out, score_out):
+        if c in docs.columns:
+            raise ValueError(f"the table has a column {c!r}; name another for the result")
     names = list(prototypes)
     unit = np.array([v / np.linalg.norm(v) for v in prototypes.values()]).reshape(len(names), dimensions)
     columns, at = docs.columns, docs.columns.index(text)
@@ -184,10 +189,10 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                 yield pa.RecordBatch.from_arrays([
                     *b.slice(start, len(texts)).columns, pa.array([names[k] if ok else UNKNOWN for k, ok in zip(best, known)], pa.string()),
                     pa.array([float(min(1.0, max(0.0, c[k]))) if ok else 0.0 for c, k, ok in zip(cos, best, known)], pa.float64())],
-                    names=[*columns, "lang_pred", "score"])
+                    names=[*columns, lang_out, score_out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return in_batches(docs).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return in_batches(docs).mapInArrow(run, f"{fields}, `{lang_out}` string, `{score_out}` double")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

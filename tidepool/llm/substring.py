@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe_rank import text_slices
-from tidepool.llm.common import in_batches, saved, small
+from tidepool.llm.common import free_name, in_batches, saved, small
 from tidepool.llm.hashing import WordHashes, mix, words_of
 
 SHINGLE = 5
@@ -49,6 +49,8 @@ ENOUGH = 2
 #: Unequal shingles between two runs of a passage.
 GAP = 2 * SHINGLE
 CONTEXT = 24
+#: Open runs that are looked at one by one, not as arrays.
+FEW = 12
 
 _ROWS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()), ("near", pa.int64()), ("more", pa.bool_()), ("token", pa.int64()), ("source", pa.int64())])
 _DDL = "key long, id long, pos long, near long, more boolean, token long, source long"
@@ -215,18 +217,29 @@ def _chains(runs: list[list[int]], gap: int) -> list[list[list[int]]]:
     """Chains of runs over gaps in both texts: each run goes on from the open
     chain that holds most equal shingles.  Where two runs overlap, the second
     is cut."""
-    score, back, part, used, live = [], [], [], [False] * len(runs), []
+    score, back, part, used, live = np.zeros(len(runs), np.int64), [], [], [False] * len(runs), []
+    ends, ends_b = np.array(runs, np.int64).reshape(-1, 4)[:, [1, 3]].T.copy()
     for k, (i, j, p, q) in enumerate(runs):
-        live = [x for x in live if runs[x][1] >= i - gap - 1]
         best, prev, own = j - i + 1, -1, [i, j, p, q]
-        for x in live:
-            e, f = runs[x][1], runs[x][3]
-            cut = max(0, e + 1 - i, f + 1 - p)
-            if i + cut > j or i + cut - e > gap + 1 or p + cut - f > gap + 1:
-                continue
-            if score[x] + j - i + 1 - cut > best:
-                best, prev, own = score[x] + j - i + 1 - cut, x, [i + cut, j, p + cut, q]
-        score.append(best)
+        if len(live) > FEW:  # all open runs at once; of equal ones the first counts
+            at = np.array(live)
+            e, f = ends[at], ends_b[at]
+            cut = np.maximum(np.maximum(e + 1 - i, f + 1 - p), 0)
+            fits = (cut <= j - i) & (cut <= gap + 1 + e - i) & (cut <= gap + 1 + f - p)
+            sums = np.where(fits, score[at] - cut, 0)
+            x = int(sums.argmax())
+            if sums[x] > 0:
+                best, prev, cut = best + int(sums[x]), live[x], int(cut[x])
+                own = [i + cut, j, p + cut, q]
+            live = at[e >= i - gap - 1].tolist()
+        else:
+            live = [x for x in live if runs[x][1] >= i - gap - 1]
+            for x in live:
+                e, f = runs[x][1], runs[x][3]
+                cut = max(0, e + 1 - i, f + 1 - p)
+                if i + cut <= j and i + cut - e <= gap + 1 and p + cut - f <= gap + 1 and score[x] + j - i + 1 - cut > best:
+                    best, prev, own = int(score[x]) + j - i + 1 - cut, x, [i + cut, j, p + cut, q]
+        score[k] = best
         back.append(prev)
         part.append(own)
         if prev >= 0:
@@ -252,24 +265,31 @@ def matching_spans(a: np.ndarray, b: np.ndarray, width: int, similarity: float,
     runs, found = _runs(a, b, width, gap), []
     # a run of the length of a passage is one by itself, whatever it is chained to
     for chain in [*_chains(runs, gap), *([r] for r in runs if r[1] - r[0] + 1 >= width)]:
-        reach = -1
+        if chain[-1][1] - chain[0][0] + 1 < width:
+            continue
+        if len(chain) == 1:  # equal throughout
+            found.append((*chain[0], 1.0))
+            continue
+        at, reach = np.array(chain), -1
+        _, codes = np.unique(np.concatenate((a[at[0, 0]:at[-1, 1] + 1], b[at[0, 2]:at[-1, 3] + 1])), return_inverse=True)
+        n = at[-1, 1] + 1 - at[0, 0]
+        one, two, none = codes[:n], codes[n:], len(chain)
         for x in range(len(chain)):
-            if chain[-1][1] - chain[x][0] + 1 < width or reach == len(chain) - 1:
+            if at[-1, 1] - at[x, 0] + 1 < width or reach == len(chain) - 1:
                 break
-            one, two, both, end = set(), set(), 0, None
-            for y in range(x, len(chain)):
-                i, p = (chain[y - 1][1] + 1, chain[y - 1][3] + 1) if y > x else (chain[x][0], chain[x][2])
-                for new, mine, others in ((a[i:chain[y][1] + 1], one, two), (b[p:chain[y][3] + 1], two, one)):
-                    for h in new.tolist():
-                        if h not in mine:
-                            mine.add(h)
-                            both += h in others
-                alike = both / (len(one) + len(two) - both)
-                if y > reach and chain[y][1] - chain[x][0] + 1 >= width and alike >= similarity:
-                    end = (y, alike)
-            if end:
-                reach = end[0]
-                found.append((chain[x][0], chain[reach][1], chain[x][2], chain[reach][3], end[1]))
+            # for each shingle, the first part of the chain that has it, in a and in b
+            seen = []
+            for side, own in ((0, one), (2, two)):
+                part = own[at[x, side] - at[0, side]:]
+                first = np.full(len(codes), len(part))
+                first[part[::-1]] = np.arange(len(part) - 1, -1, -1)
+                seen.append(np.searchsorted(at[x:, side + 1] - at[x, side], first))
+            count = [np.cumsum(np.bincount(y, minlength=none + 1))[:none - x] for y in (*seen, np.maximum(*seen))]
+            alike = count[2] / (count[0] + count[1] - count[2])
+            fits = np.flatnonzero((at[x:, 1] - at[x, 0] + 1 >= width) & (alike >= similarity))
+            if len(fits) and x + int(fits[-1]) > reach:
+                reach = x + int(fits[-1])
+                found.append((chain[x][0], chain[reach][1], chain[x][2], chain[reach][3], float(alike[fits[-1]])))
     out, far = [], -1
     for r in sorted(found, key=lambda r: (r[0], -r[1], -r[4], r[2])):
         if r[1] > far:
@@ -429,7 +449,8 @@ def drop_repeats(docs: DataFrame, **options) -> DataFrame:
     it stands first; ``n_chars``, if there, is set anew where text was cut.
     A document of which no word is left goes."""
     spans = repeated_passages(docs, **options)
-    cuts = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "end_word")).alias("_cuts"))
+    own, key = free_name(docs, "_cuts"), free_name(docs, "_id")
+    cuts = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("first_word", "end_word")).alias(own))
     names = docs.columns
     ti, ni = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
@@ -453,6 +474,6 @@ def drop_repeats(docs: DataFrame, **options) -> DataFrame:
             for at, texts in text_slices(b.column(ti)):
                 yield clean(b.slice(at, len(texts)), texts)
 
-    cuts = saved(cuts, "cuts").select(F.col("doc_id").alias("_id"), "_cuts")
-    joined = docs.join(small(cuts, 50_000), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    cuts = saved(cuts, "cuts")
+    joined = docs.join(small(cuts, 50_000), F.col("doc_id") == F.col(key), "left").drop(key)
     return in_batches(joined).mapInArrow(run, docs.schema)
