@@ -252,7 +252,7 @@ def _plain_sanitise(texts, contexts, threshold):
     n_t, n_c, both, signs, held = Counter(), Counter(), Counter(), defaultdict(set), []
     for t, spans in zip(texts, found):
         words = sanitise._terms(t or "", spans)
-        n_t.update({f for w, _, _ in words for f in (w, sanitise.general(w))})
+        n_t.update({f for w in re.findall(r"[^\W_]+", t or "") for f in (w.lower(), sanitise.general(w.lower()))})
         here = defaultdict(set)
         for kind, s, e in spans:
             c = (kind, t[s:e].lower() if kind == "email" else t[s:e] if kind == "ip" else re.sub("[^0-9]", "", t[s:e]))
@@ -268,7 +268,7 @@ def _plain_sanitise(texts, contexts, threshold):
         held.append((words, here))
     n = len(texts)
     bad = {(c, f) for (c, f), k in both.items() if len(signs[c, f]) >= contexts and n_c[c] < n
-           and math.log2(n * k / n_c[c] / n_t[f]) / math.log2(n / n_c[c]) >= threshold}
+           and math.log2(n * k / n_c[c] / max(k, n_t[f])) / math.log2(n / n_c[c]) >= threshold}
     out = []
     for spans, (words, here) in zip(found, held):
         gone = {f for c, fs in here.items() for f in fs if (c, f) in bad}

@@ -9,8 +9,8 @@ the whole corpus of N documents::
     PMI(c;t) = log2(N n(c,t) / (n(c) n(t)))      what the term tells of it
     disclosure = PMI(c;t) / IC(c)                1: the term gives it away
 
-with n(c), n(t) the documents that hold the entity and the term and n(c,t)
-those that hold the term within ``WINDOW`` terms of the entity.  A pair counts
+with n(c), n(t) the documents that hold the entity and the term anywhere and
+n(c,t) those that hold the term within ``WINDOW`` terms of the entity.  A pair counts
 only if it was seen in ``CONTEXTS`` different surroundings (told apart by the
 least hash of their terms, so that copies are one).  In a document, the terms
 whose disclosure of one of its entities reaches the threshold are generalised
@@ -47,8 +47,6 @@ CONTEXTS = 3
 THRESHOLD = 0.75
 #: Bits of the filter of terms that are counted.
 FILTER = 1 << 23
-#: Words whose forms a worker keeps; beyond that it starts anew.
-CACHE = 200_000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -116,16 +114,6 @@ def general(term: str) -> str:
     return term[:max(1, len(term) // 2)] + "*"
 
 
-def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """``text`` with the spans' characters made spaces."""
-    out, at = [], 0
-    for s, e in sorted((s, e) for _, s, e in spans):
-        if e > at:
-            out += [text[at:max(s, at)], " " * (e - max(s, at))]
-            at = e
-    return "".join([*out, text[at:]])
-
-
 def _terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """``(term, start, end)`` outside the spans, in lower case."""
     out, at = [], 0
@@ -177,24 +165,24 @@ def _find(batches):
                  pa.array(pairs, pa.list_(pair)), pa.array(kept, pa.string())], ["doc_id", "spans", "entities", "pairs", "text"])
 
 
-class _Wanted(dict):
-    """The hashes of a word's forms that pass the filter."""
-
-    def __init__(self, bits: np.ndarray):
-        super().__init__()
-        self.bits = bits
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE:
-            self.clear()
-        forms = (_hash(word.lower()), _hash(general(word.lower())))
-        out = self[word] = tuple(h for h in forms if int(self.bits[(h % FILTER) >> 6]) >> (h & 63) & 1)
-        return out
+def _passing(words: set[str], bits: np.ndarray) -> dict[str, tuple[int, ...]]:
+    """The hashes of those forms of each word that pass the filter; only
+    words that have one."""
+    low = [(w, w.lower()) for w in words]
+    forms = [[_hash(t) for _, t in low], [_hash(general(t)) for _, t in low]]
+    out: dict[str, tuple[int, ...]] = {}
+    for each in forms:
+        place = np.array(each, np.int64) & (FILTER - 1)
+        hit = np.flatnonzero(bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1))
+        for k in hit.tolist():
+            out[low[k][0]] = (*out.get(low[k][0], ()), each[k])
+    return out
 
 
 def document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``t, n``: how many of ``texts(text)`` hold each form ``wanted(t)``,
-    personal data left out.  Counted within a task's batches first."""
+    """``t, n``: how many of ``texts(text)`` hold each form ``wanted(t)``, and
+    some others that pass the filter by chance.  Words are hashed once for each
+    slice of texts, and counted within a task's batches first."""
     place = F.pmod("t", F.lit(FILTER))
     words = wanted.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(t & 63 AS INT))")).alias("b")).toPandas()
     bits = np.zeros(FILTER >> 6, np.uint64)
@@ -202,15 +190,14 @@ def document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches):
-        forms = _Wanted(sent.value)
         for b in batches:
             n: dict[int, int] = {}
             for _, part in text_slices(b.column(0)):
-                for t in part:
-                    if t:
-                        here = {h for w in set(_TERM.findall(masked(t, base_spans(t)))) for h in forms[w]}
-                        for h in here:
-                            n[h] = n.get(h, 0) + 1
+                own = [set(_TERM.findall(t)) for t in part if t]
+                forms = _passing(set().union(*own), sent.value)
+                for here in own:
+                    for h in {h for w in here & forms.keys() for h in forms[w]}:
+                        n[h] = n.get(h, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.int64()), pa.array(n.values(), pa.int64())], ["t", "n"])
 
     return in_batches(texts).mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
@@ -247,19 +234,17 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(span)), pa.array(texts, pa.string())], ["doc_id", "spans", "sanitised"])
 
 
-def revealing(found: DataFrame, texts: DataFrame, total: int, contexts: int = CONTEXTS, threshold: float = THRESHOLD) -> DataFrame | None:
-    """``c, t, disclosure`` of the pairs that reach the threshold; None if no
-    pair was seen in enough surroundings."""
+def revealing(found: DataFrame, texts: DataFrame, total: int, contexts: int = CONTEXTS, threshold: float = THRESHOLD) -> DataFrame:
+    """``c, t, disclosure`` of the pairs that reach the threshold."""
     pairs = found.select(F.explode("pairs").alias("p")).select("p.*")
     pairs = pairs.groupBy("c", "t", "sign").agg(F.sum("once").alias("n")).groupBy("c", "t").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("signs"))
     pairs = saved(pairs.where(F.col("signs") >= contexts).select("c", "t", "n_both"), "pairs")
-    if pairs.isEmpty():
-        return None
     wanted = saved(pairs.select("t").distinct(), "terms")
-    n_t = document_counts(texts, wanted).join(wanted, "t", "left_semi").withColumnRenamed("n", "n_t")
+    n_t = saved(document_counts(texts, wanted), "counts").join(wanted, "t", "left_semi").withColumnRenamed("n", "n_t")
     n_c = found.select(F.explode("entities").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_c"))
     known = pairs.join(n_t, "t").join(n_c, "c")
-    known = known.select("c", "t", disclosure(F.col("n_c"), F.col("n_t"), F.col("n_both"), total).alias("disclosure"))
+    n_t = F.greatest("n_t", "n_both")  # next to a value a term may be cut off from a longer word
+    known = known.select("c", "t", disclosure(F.col("n_c"), n_t, F.col("n_both"), total).alias("disclosure"))
     return saved(known.where(F.col("disclosure") >= threshold), "revealing")
 
 
@@ -271,10 +256,7 @@ def sanitise(docs: DataFrame, contexts: int = CONTEXTS, threshold: float = THRES
     found = in_batches(source).mapInArrow(_find, _FOUND).withColumn("uid", F.monotonically_increasing_id())
     found = saved(found, "entities")
     known = revealing(found, source.select("text"), found.count(), contexts, threshold)
-    if known is None:
-        rows = found.withColumn("terms", F.lit(None).cast("array<long>"))
-    else:
-        own = found.select("uid", F.explode("pairs").alias("p")).select("uid", "p.c", "p.t").join(small(known.select("c", "t")), ["c", "t"], "left_semi")
-        own = saved(own.groupBy("uid").agg(F.collect_set("t").alias("terms")), "gone")
-        rows = found.join(own, "uid", "left")
+    own = found.select("uid", F.explode("pairs").alias("p")).select("uid", "p.c", "p.t").join(small(known.select("c", "t")), ["c", "t"], "left_semi")
+    own = saved(own.groupBy("uid").agg(F.collect_set("t").alias("terms")), "gone")
+    rows = found.join(own, "uid", "left")
     return in_batches(rows.select("doc_id", "spans", "text", "terms")).mapInArrow(_apply, _RESULT)
