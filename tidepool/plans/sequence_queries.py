@@ -224,6 +224,34 @@ SELECT doc_id, {sql_md5_ids('rest[1:stop - 1]')} AS trimmed_md5, (stop - 1)::BIG
 """)(trim_generation_docs)
 
 
+def trim_text_docs(spark, sf_dir):
+    """A11 after decoding: each document up to its first EOS string (a full
+    stop stands for it here), and of that up to the first EOT string."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    t = tk.trim_text(d, "text", eos=". ", eot=", ")
+    return t.select("doc_id", F.length("trimmed").cast("bigint").alias("n_chars"), F.md5("trimmed").alias("trimmed_md5"))
+
+
+register("trim_text_docs", """
+SELECT doc_id, length(split_part(split_part(text, '. ', 1), ', ', 1))::BIGINT AS n_chars, md5(split_part(split_part(text, '. ', 1), ', ', 1)) AS trimmed_md5
+FROM documents
+""")(trim_text_docs)
+
+
+def token_lists_docs(spark, sf_dir):
+    """Lists of ids given as text, as options hold them, back to ids."""
+    d = encoded_docs(spark, sf_dir).select("doc_id", "input_ids")
+    text = F.concat(F.lit("["), F.array_join(F.col("input_ids").cast("array<string>"), "; "), F.lit(";]"))
+    d = d.withColumn("text", F.when(F.col("doc_id") % 2 == 0, text).otherwise(F.concat(F.lit(" "), F.array_join(F.col("input_ids").cast("array<string>"), ";"))))
+    return d.select("doc_id", md5_of_ids(tk.token_list("text")).alias("ids_md5"), F.size(tk.token_list("text")).cast("bigint").alias("n"))
+
+
+register("token_lists_docs", f"""
+WITH {SQL_DOCS}
+SELECT doc_id, {sql_md5_ids('ids')} AS ids_md5, len(ids)::BIGINT AS n FROM enc
+""")(token_lists_docs)
+
+
 def prompt_batches(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
     b = b.withColumn("prompt_ids", TOK.encode(F.substring_index("text", ".", 1))).drop("text")
