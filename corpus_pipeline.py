@@ -34,7 +34,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = langid.predict(docs, prototypes, lang_out=lang, score_out=score)
     letters = F.length(F.array_join(F.array_distinct(F.split(F.lower("text"), r"\P{L}+")), ""))
     enough = F.least(letters / SURE_LETTERS, F.lit(1.0)) * MIN_LANGUAGE_SCORE
-    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) > enough)).select(docs.columns)
+    # letters are looked at only where the score is low
+    alike = (F.col(score) > MIN_LANGUAGE_SCORE) | (F.col(score) > enough)
+    return found.where((F.col(lang) != langid.UNKNOWN) & alike).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
