@@ -37,6 +37,38 @@ def uniform(seed, *keys) -> Column:
     return hash52(seed, *keys).cast("double") / F.lit(TWO_52)
 
 
+def stem(seed, *keys) -> Column:
+    """What the draws ``uniform(seed, *keys, i)`` of a row have in common, to be
+    worked out once a row; see ``drawn_below``."""
+    return F.concat(seed_key(seed, *keys), F.lit(":"))
+
+
+def drawn(stem: Column, i: Column) -> Column:
+    """``uniform(seed, *keys, i)`` of the row's ``stem``."""
+    return F.conv(F.substring(F.md5(F.concat(stem, i.cast("string"))), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(TWO_52)
+
+
+def edge(p: Column) -> Column:
+    """``p`` as hex digits: a draw is below ``p`` where its digest is below
+    these.  Scaling by 2^52 is exact, so both comparisons agree."""
+    digits = F.lpad(F.lower(F.hex(F.ceil(p * F.lit(TWO_52)))), 13, "0")
+    return F.when(p * F.lit(TWO_52) > F.lit(TWO_52 - 1), F.lit("g")).when(p > 0, digits).when(p <= 0, F.lit(""))
+
+
+def drawn_below(stem: Column, i: Column, edge: Column) -> Column:
+    """``uniform(seed, *keys, i) < p``, without making a number of each draw."""
+    return F.md5(F.concat(stem, i.cast("string"))) < edge
+
+
+def once(values: dict[str, Column], body) -> Column:
+    """``body`` over a struct of ``values`` that are worked out once a row.  A
+    lambda is evaluated for each element with all that it holds, and Spark may
+    move a column's expression into it, so what does not depend on the element
+    is bound outside."""
+    row = F.array(F.struct(*(c.alias(name) for name, c in values.items())))
+    return F.get(F.transform(row, body), 0)
+
+
 def uniform_int(seed, lo: Column | int, hi: Column | int, *keys) -> Column:
     """Integer uniformly drawn from [lo, hi] inclusive."""
     lo_c = lo if isinstance(lo, Column) else F.lit(lo)

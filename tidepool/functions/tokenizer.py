@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from os.path import commonprefix
 
 import pandas as pd
 
@@ -88,7 +89,10 @@ class StandinTokenizer:
         for s, i in self.specials.items():
             expr = (F.when(tok == F.lit(s), F.lit(i).cast("bigint")) if expr is None
                     else expr.when(tok == F.lit(s), F.lit(i).cast("bigint")))
-        return expr.otherwise(ordinary)
+        if expr is None:
+            return ordinary
+        # what all special tokens begin with tells ordinary ones apart at once
+        return F.when(tok.startswith(commonprefix(list(self.specials))), expr.otherwise(ordinary)).otherwise(ordinary)
 
     def tokens(self, text: Column) -> Column:
         spaced = F.regexp_replace(text, SPECIAL_PATTERN, " $1 ")

@@ -3,7 +3,8 @@
 Every random draw is ``uniform(seed, keys…)`` — a function of the row key,
 the position and a purpose tag — so masks are reproducible on any cluster
 layout and after executor loss.  Masks are built with ``transform`` over the
-id array (no token explosion).
+id array (no token explosion); what is the same for all positions of a row is
+worked out once (``once``).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.permute import domain, permuted, round_keys
-from tidepool.functions.rand import uniform, uniform_int
+from tidepool.functions.rand import drawn_below, edge, once, stem, uniform, uniform_int
 from tidepool.functions.schedules import alpha
 
 IGNORE = -100
@@ -39,30 +40,33 @@ def _eligible(labels: Column, i: Column) -> Column:
     return F.get(labels, i) != F.lit(IGNORE)
 
 
-def _u(seed, key, tag, i) -> Column:
-    return uniform(seed, F.lit(tag), F.col(key), i)
+def _draws(seed, key, p: Column, labels: Column, **more: Column) -> dict[str, Column]:
+    """What the random mask of a row needs at every position."""
+    return {"stem": stem(seed, F.lit("m"), F.col(key)), "edge": edge(p), "labels": labels, **more}
+
+
+def _random(r: Column, i: Column) -> Column:
+    return drawn_below(r["stem"], i, r["edge"]) & _eligible(r["labels"], i)
 
 
 def random_mask_flags(seed, key, p: Column, labels: Column, ids: Column) -> Column:
     """N5 flags: u < p and label != -100."""
-    return F.transform(ids, lambda x, i: (_u(seed, key, "m", i) < p) & _eligible(labels, i))
+    return once(_draws(seed, key, p, labels), lambda r: F.transform(ids, lambda x, i: _random(r, i)))
 
 
 def prefix_safe_flags(seed, key, p: Column, labels: Column, ids: Column, prefix_len: Column | None = None) -> Column:
     """N6 flags: random mask only at positions >= prefix_len (default: half
     of the padded length)."""
     pl = prefix_len if prefix_len is not None else F.floor(F.size(ids) / 2)
-    return F.transform(ids, lambda x, i: (i >= pl) & (_u(seed, key, "m", i) < p) & _eligible(labels, i))
+    return once(_draws(seed, key, p, labels, start=pl), lambda r: F.transform(ids, lambda x, i: (i >= r["start"]) & _random(r, i)))
 
 
 def suffix_flags(seed, key, p: Column, labels: Column, ids: Column, max_ratio: float = 0.3) -> Column:
     """N7 flags: the last ``int(l * U(0, max_ratio))`` positions are masked
     even where label = -100; random mask (eligible only) elsewhere."""
     n = F.size(ids)
-    cut = F.floor(n * (uniform(seed, F.lit("suffix"), F.col(key)) * max_ratio)).cast("int")
-    start = n - cut
-    return F.transform(ids, lambda x, i: ((cut > 0) & (i >= start))
-                       | ((_u(seed, key, "m", i) < p) & _eligible(labels, i)))
+    start = n - F.floor(n * (uniform(seed, F.lit("suffix"), F.col(key)) * max_ratio)).cast("int")
+    return once(_draws(seed, key, p, labels, start=start), lambda r: F.transform(ids, lambda x, i: (i >= r["start"]) | _random(r, i)))
 
 
 def block_flags(seed, key, labels: Column, ids: Column, num_blocks: int = 3, lo: int = 10, hi: int = 50) -> Column:
@@ -73,10 +77,9 @@ def block_flags(seed, key, labels: Column, ids: Column, num_blocks: int = 3, lo:
     for j in range(num_blocks):
         size = uniform_int(seed, lo, hi, F.lit(f"bsize{j}"), F.col(key))
         start = uniform_int(seed, F.lit(0), F.greatest(n - size, F.lit(0)), F.lit(f"bstart{j}"), F.col(key))
-        spans.append(F.struct(start.alias("s"), size.alias("z")))
-    arr = F.array(*spans)
-    return F.transform(ids, lambda x, i: F.exists(arr, lambda sp: (i >= sp["s"]) & (i < sp["s"] + sp["z"]))
-                       & _eligible(labels, i))
+        spans.append(F.struct(start.alias("s"), (start + size).alias("e")))
+    return once({"spans": F.array(*spans), "labels": labels}, lambda r: F.transform(
+        ids, lambda x, i: F.exists(r["spans"], lambda sp: (i >= sp["s"]) & (i < sp["e"])) & _eligible(r["labels"], i)))
 
 
 STRATEGIES = ("random", "unmaskable_prefix", "truncated_suffix", "block_masking")

@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.functions.rand import uniform
+from tidepool.functions.rand import drawn, once, stem, uniform
 from tidepool.operators.metric_state import Metrics
 from tidepool.session import scratch_path
 
@@ -28,8 +28,8 @@ def pseudo_token_nll(seed, key: Column, n: Column) -> Column:
     """Deterministic stand-in for model token NLLs: -ln(1 - U) per position
     (exponential with mean 1); the model's real scores arrive as a table
     with the same shape."""
-    return F.transform(F.sequence(F.lit(0), n - 1),
-                       lambda i: -F.log(F.lit(1.0) - uniform(seed, F.lit("nll"), key, i)))
+    return once({"stem": stem(seed, F.lit("nll"), key)}, lambda r: F.transform(
+        F.sequence(F.lit(0), n - 1), lambda i: -F.log(F.lit(1.0) - drawn(r["stem"], i))))
 
 
 def weighted_token_values(df: DataFrame, nll: str = "token_nll", weight: str = "loss_weight",

@@ -69,10 +69,11 @@ def noise_strategies_docs(spark, sf_dir):
     pre = nz.prefix_safe_flags(2, "doc_id", p, lab, ids)
     suf = nz.suffix_flags(2, "doc_id", p, lab, ids)
     blk = nz.block_flags(2, "doc_id", lab, ids)
-    return d.select("doc_id", _n_true(pre).alias("n_prefix"), _n_true(suf).alias("n_suffix"),
-                    _n_true(blk).alias("n_block"),
-                    F.md5(F.array_join(F.transform(suf, lambda b: b.cast("int")), "")).alias("suffix_md5"),
-                    F.md5(F.array_join(F.transform(blk, lambda b: b.cast("int")), "")).alias("block_md5"))
+    d = d.select("doc_id", pre.alias("pre"), suf.alias("suf"), blk.alias("blk"))  # columns, as each is read twice
+    return d.select("doc_id", _n_true(F.col("pre")).alias("n_prefix"), _n_true(F.col("suf")).alias("n_suffix"),
+                    _n_true(F.col("blk")).alias("n_block"),
+                    F.md5(F.array_join(F.transform("suf", lambda b: b.cast("int")), "")).alias("suffix_md5"),
+                    F.md5(F.array_join(F.transform("blk", lambda b: b.cast("int")), "")).alias("block_md5"))
 
 
 def _sql_strategies() -> str:
