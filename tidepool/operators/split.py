@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidepool.functions.permute import domain, permuted, round_keys
 from tidepool.functions.rand import hash52
 from tidepool.operators.cuts import BUCKETS, Cuts, Part, rank_cut, row_hash
+from tidepool.session import scratch_path
 
 
 def first_n(df: DataFrame, n: int, order_by: str, *ties: str) -> DataFrame:
@@ -223,26 +224,31 @@ def global_rank(df: DataFrame, value: Column, tiebreak: Column, out: str = "rank
     one task; rows with one same value are cut by their tiebreak.  Each pass
     broadcasts a table bounded by ``buckets``; the window numbers the rows of
     one final bucket.  ``value`` must be integral; null values come last.
+
+    The passes read values and tiebreaks that are written once, so what ``df``
+    computes (tokens, say) is not computed again for each of them.
     """
     kind = df.select(tiebreak.alias("t")).schema["t"].dataType.typeName()
     order = tiebreak.cast("long") if kind in ("byte", "short", "integer", "long") else F.xxhash64(tiebreak)
     exact = kind in ("byte", "short", "integer", "long")
-    v = df.withColumn("_v", value.cast("long")).withColumn("_t", tiebreak)
-    lo, hi, total = v.agg(F.min("_v"), F.max("_v"), F.count(F.lit(1))).first()
+    first = F.when(F.col("_v").isNull(), 1).otherwise(0).cast("long")  # null values: a range of their own behind all others
+    v = df.withColumn("_v", value.cast("long")).withColumn("_t", tiebreak).withColumn("_g", first).withColumn("_o", order)
+    keys, kept = v.select("_v", "_g", "_o"), scratch_path(df.sparkSession, "rank")
+    keys.write.parquet(kept)
+    keys = df.sparkSession.read.schema(keys.schema).parquet(kept)
+    lo, hi, total = keys.agg(F.min("_v"), F.max("_v"), F.count(F.lit(1))).first()
     if not total:
-        return v.withColumn(out, F.lit(None).cast("long")).drop("_v", "_t")
+        return v.withColumn(out, F.lit(None).cast("long")).drop("_v", "_t", "_g", "_o")
     lo, hi = (0, 0) if lo is None else (lo, hi)
-    # null values form a range of their own behind all others
-    v = v.withColumn("_g", F.when(F.col("_v").isNull(), 1).otherwise(0).cast("long")).withColumn("_o", order)
     open_groups = {0: (lo, hi, "_v"), 1: None}
     limit = max(heavy, 8 * total // buckets)
     spark, ids = df.sparkSession, 2
     # order of groups: a path of bucket numbers
     path = {0: (0,), 1: (1,)}
-    counts = {r["_g"]: r["count"] for r in v.groupBy("_g").count().collect()}
+    counts = {r["_g"]: r["count"] for r in keys.groupBy("_g").count().collect()}
     final = {}
     if counts.get(1, 0) > limit and exact:
-        a, b = v.where("_g = 1").agg(F.min("_o"), F.max("_o")).first()
+        a, b = keys.where("_g = 1").agg(F.min("_o"), F.max("_o")).first()
         open_groups[1] = (a, b, "_o") if a is not None and a < b else None
     for g in (0, 1):
         if g in counts and (open_groups[g] is None or counts[g] <= limit):
@@ -255,9 +261,10 @@ def global_rank(df: DataFrame, value: Column, tiebreak: Column, out: str = "rank
             width[g] = next(s for s in range(64) if (b >> s) - (a >> s) < share)
         table = [(g, width[g], c == "_v") for g, (a, b, c) in live.items()]
         at = spark.createDataFrame(table, "_g long, _w int, _byv boolean")
-        v = (v.join(F.broadcast(at), "_g", "left")
-             .withColumn("_b", F.expr("CASE WHEN _w IS NOT NULL THEN shiftright(CASE WHEN _byv THEN _v ELSE _o END, _w) END")))
-        hist = (v.where("_b is not null").groupBy("_g", "_b")
+        v, keys = (d.join(F.broadcast(at), "_g", "left")
+                   .withColumn("_b", F.expr("CASE WHEN _w IS NOT NULL THEN shiftright(CASE WHEN _byv THEN _v ELSE _o END, _w) END"))
+                   for d in (v, keys))
+        hist = (keys.where("_b is not null").groupBy("_g", "_b")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("o1"), F.max("_o").alias("o2")).collect())
         moves, nxt = [], {}
         for r in hist:
@@ -275,8 +282,8 @@ def global_rank(df: DataFrame, value: Column, tiebreak: Column, out: str = "rank
                 final[ids] = n
             ids += 1
         move = spark.createDataFrame(moves, "_g long, _b long, _to long")
-        v = (v.join(F.broadcast(move), ["_g", "_b"], "left").withColumn("_g", F.coalesce("_to", "_g"))
-             .drop("_w", "_byv", "_b", "_to"))
+        v, keys = (d.join(F.broadcast(move), ["_g", "_b"], "left").withColumn("_g", F.coalesce("_to", "_g"))
+                   .drop("_w", "_byv", "_b", "_to") for d in (v, keys))
         live = nxt
     rows, before = [], 0
     for g in sorted(final, key=path.__getitem__):
