@@ -265,6 +265,23 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", skip_ids=(),
     return rows.withColumn(out, F.coalesce(text, F.lit(""))).drop("_tokens")
 
 
+#: Ids that are decoded at a time, whatever the number of rows in a batch.
+IDS_AT_A_TIME = 1 << 18
+
+
+def _pieces(batch, column: int, size: int | None = None):
+    """``batch`` in runs of rows of at most ``size`` ids together, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+    size, start = size or IDS_AT_A_TIME, 0
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _decoded(df: DataFrame, vocab: DataFrame, ids: str, skip: list[int], last: bool) -> DataFrame:
     """``df`` with the tokens of one shard put in their places."""
     pairs = vocab.toArrow().sort_by("id")
@@ -276,7 +293,7 @@ def _decoded(df: DataFrame, vocab: DataFrame, ids: str, skip: list[int], last: b
         import pyarrow as pa
         import pyarrow.compute as pc
         keys, tokens = sent.value
-        for b in batches:
+        for b in (piece for whole in batches for piece in _pieces(whole, columns.index(ids))):
             lists, had = b.column(columns.index(ids)), b.column(columns.index("_tokens"))
             n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -286,8 +303,9 @@ def _decoded(df: DataFrame, vocab: DataFrame, ids: str, skip: list[int], last: b
             if had.null_count < len(had):  # of an earlier shard; the same rows have them
                 text = pc.coalesce(had.flatten(), text)
             if last:
-                unknown = [f"<unk:{i}>" if t else None for i, t in zip(flat.tolist(), pc.is_null(text).to_pylist())]
-                text = pc.coalesce(text, pa.array(unknown, pa.string()))
+                unknown = pc.is_null(text)
+                if pc.any(unknown).as_py():
+                    text = pc.replace_with_mask(text, unknown, pa.array([f"<unk:{i}>" for i in flat[unknown.to_numpy(zero_copy_only=False)]], pa.string()))
                 text = pc.if_else(pa.array(np.isin(flat, skip)), pa.scalar(None, pa.string()), text)
             ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
             cols = list(b.columns)
