@@ -94,3 +94,19 @@ def test_ranking_computes_its_rows_twice_however_many_passes(spark):
     got = sp.global_rank(d, F.col("v"), F.col("id"), buckets=16, heavy=20).collect()
     assert sorted((r["rank"], r.id) for r in got) == [(k, k) for k in range(1000)]
     assert seen.value == 2000
+
+
+def test_length_buckets_make_the_ids_once(spark):
+    from tidepool.operators import batching as bt
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kind = "doc_id long, input_ids array<long>"
+    d = spark.createDataFrame([(k, list(range(k % 40))) for k in range(300)], kind).repartition(2).mapInArrow(count, kind)
+    rows = bt.length_bucket(d, 4, "doc_id", seed=5, bucket_width=16, pad_id=0).collect()
+    assert seen.value == 300 and len(rows) == 300
+    assert all(x.length_bucket <= y.length_bucket for x in rows for y in rows if x.batch_id < y.batch_id)

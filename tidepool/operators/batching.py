@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.rand import hash52, uniform, uniform_int
 from tidepool.operators.split import global_rank
+from tidepool.session import scratch_path
 
 IGNORE = -100
 
@@ -57,11 +58,15 @@ def batch_collate(df: DataFrame, batch_size: int, key: str, seed: int, pad_id: i
 def length_bucket(df: DataFrame, batch_size: int, key: str, seed: int, bucket_width: int,
                   pad_id: int, label_pad_id: int = IGNORE) -> DataFrame:
     """A10: length-grouped batching — bucket rows by ``size // width``,
-    order inside a bucket by hash, cut into batches, pad (A8)."""
+    order inside a bucket by hash, cut into batches, pad (A8).  The order needs
+    the lengths, and with them the ids, so rows are written once before they
+    are ranked."""
     bucket = F.floor(F.size("input_ids") / bucket_width).cast("long")
-    order = bucket * F.lit(1 << 40) + F.shiftright(hash52(seed, F.col(key)), 12)
-    b = assign_batches(df.withColumn("length_bucket", bucket), batch_size, order, key)
-    return collate(b, pad_id, label_pad_id)
+    order = F.col("length_bucket") * F.lit(1 << 40) + F.shiftright(hash52(seed, F.col(key)), 12)
+    rows, path = df.withColumn("length_bucket", bucket), scratch_path(df.sparkSession, "lengths")
+    rows.write.parquet(path)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(path)
+    return collate(assign_batches(rows, batch_size, order, key), pad_id, label_pad_id)
 
 
 def align_block(df: DataFrame, block_size: int, eos_id: int) -> DataFrame:
