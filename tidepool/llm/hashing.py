@@ -23,6 +23,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of a text that :func:`word_hashes` takes at a time.
+PIECE = 1 << 20
+_BLANK = np.array([c == 0x20 or 0x09 <= c <= 0x0D for c in range(256)])
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
+
+
+def _power(sign: int, n: int) -> np.ndarray:
+    """The powers of ``_ODD`` (of its inverse if ``sign`` is -1) from 0 on."""
+    if len(_powers[sign]) < n:
+        base = np.full(max(n, 2 * len(_powers[sign])), _ODD if sign > 0 else np.uint64(pow(int(_ODD), -1, 1 << 64)))
+        base[0] = 1
+        _powers[sign] = np.multiply.accumulate(base)
+    return _powers[sign]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each of :func:`words_of`, by polynomials over the whole
+    text at once (other values than those of :class:`WordHashes`)."""
+    out, data, at = [], text.encode().translate(_LOWER) if text else b"", 0
+    while at < len(data):
+        end = at + PIECE
+        while end < len(data) and not _BLANK[data[end]]:  # pieces end with a word
+            end += 1
+        x = np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)
+        gap = np.ones(len(x) + 2, np.int8)
+        gap[1:-1] = _BLANK[x]
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(_BYTE[x] * _power(1, len(x))[:len(x)], out=total[1:])
+        out.append(mix((total[edge[1::2]] - total[edge[::2]]) * _power(-1, len(x) + 1)[edge[::2]]))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each run of k of the hashes ``h`` in their order; the whole
+    sequence as one run if there are fewer, nothing if there are none."""
+    if not len(h):
+        return h
+    k = min(k, len(h))
+    n = len(h) - k + 1
+    s = np.full(n, np.uint64(k))
+    for j in range(k):
+        s = s * _ODD + h[j:j + n]
+    return mix(s)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept by word."""
 
@@ -36,17 +84,8 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
     def shingles(self, words: list[bytes], k: int) -> np.ndarray:
-        """A hash for each run of k words in their order; the whole sequence
-        as one run if there are fewer words, nothing if there are none."""
-        h = self.of(words)
-        if not len(h):
-            return h
-        k = min(k, len(h))
-        n = len(h) - k + 1
-        s = np.full(n, np.uint64(k))
-        for j in range(k):
-            s = s * _ODD + h[j:j + n]
-        return mix(s)
+        """:func:`shingle_hashes` of words."""
+        return shingle_hashes(self.of(words), k)
 
     def shingle_set(self, words: list[bytes], k: int) -> np.ndarray:
         return np.unique(self.shingles(words, k))

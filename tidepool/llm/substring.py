@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.bpe_rank import text_slices
 from tidepool.llm.common import free_name, in_batches, saved, small
-from tidepool.llm.hashing import WordHashes, mix, words_of
+from tidepool.llm.hashing import WordHashes, mix, shingle_hashes, word_hashes, words_of
 
 SHINGLE = 5
 PASSAGE = 50  # words
@@ -49,13 +49,11 @@ ENOUGH = 2
 #: Unequal shingles between two runs of a passage.
 GAP = 2 * SHINGLE
 CONTEXT = 24
-#: Open runs that are looked at one by one, not as arrays.
-FEW = 12
 
 _ROWS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()), ("near", pa.int64()), ("more", pa.bool_()), ("token", pa.int64()), ("source", pa.int64())])
 _DDL = "key long, id long, pos long, near long, more boolean, token long, source long"
 #: Shingles whose windows are looked for at a time (a longer text by itself).
-SLICE = 1 << 18
+SLICE = 1 << 16
 SPANS = "doc_id long, first_word long, end_word long, source_id long, source_first long, source_end long, similarity double"
 
 
@@ -86,18 +84,22 @@ def extents(h: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -
     """Left and right ends of the compact windows of the places ``at``, by the
     Cartesian tree of their values (a smaller value next to a pivot's window
     is a pivot itself, so no other place is needed)."""
-    left, right = start[at].copy(), end[at] - 1
-    values, doc, place = h[at].tolist(), start[at].tolist(), at.tolist()
-    stack: list[int] = []
-    for i, v in enumerate(values):
-        if stack and doc[stack[-1]] != doc[i]:
-            stack = []
-        while stack and values[stack[-1]] > v:
-            right[stack.pop()] = place[i] - 1
-        if stack:
-            left[i] = place[stack[-1]] + 1
-        stack.append(i)
-    return left, right
+    if not len(at):
+        return at, at
+    doc = start[at]
+    own = np.arange(len(at)) + np.cumsum(np.concatenate(([True], doc[1:] != doc[:-1])))
+    value, place = np.zeros(own[-1] + 2, h.dtype), np.full(own[-1] + 2, -1)  # a zero before each document and after the last
+    value[own], place[own] = h[at], at
+    value = value.tolist()
+    less, after = [0] * len(value), [0] * len(value)  # the next place to the left that is not above, to the right that is below
+    for i in range(1, len(value)):
+        v, j = value[i], i - 1
+        while value[j] > v:
+            after[j] = i
+            j = less[j]
+        less[i] = j
+    left, right = place[np.array(less)[own]], place[np.array(after)[own]]
+    return np.where(left < 0, doc, left + 1), np.where(right < 0, end[at], right) - 1
 
 
 def _found(parts: list[np.ndarray], owner: list[int], width: int, hashes: int):
@@ -182,18 +184,26 @@ def _reaching(at: np.ndarray, width: int, gap: int) -> np.ndarray:
 def _runs(a: np.ndarray, b: np.ndarray, width: int, gap: int, step: int = 1 << 20) -> list[list[int]]:
     """All longest runs ``[from, to, from_b, to_b]`` of equal shingles, on every
     diagonal, in the order of a; without those that no passage can hold."""
-    at, to = _reaching(np.flatnonzero(np.isin(a, b)), width, gap), np.arange(len(b))
+    _, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
+    one, two = codes[:len(a)], codes[len(a):]
+
+    def among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        has = np.zeros(len(codes), bool)
+        has[y] = True
+        return has[x]
+
+    at, to = _reaching(np.flatnonzero(among(one, two)), width, gap), np.arange(len(b))
     while len(at):
-        to = _reaching(np.flatnonzero(np.isin(b, a[at])), width, gap)
-        less = _reaching(at[np.isin(a[at], b[to])], width, gap) if len(to) else at[:0]
+        to = _reaching(np.flatnonzero(among(two, one[at])), width, gap)
+        less = _reaching(at[among(one[at], two[to])], width, gap) if len(to) else at[:0]
         if len(less) == len(at):
             break
         at = less
     if not len(at):
         return []
-    order = to[np.argsort(b[to], kind="stable")]
-    lo = np.searchsorted(b[order], a[at])
-    n = np.searchsorted(b[order], a[at], "right") - lo
+    order = to[np.argsort(two[to], kind="stable")]
+    count = np.bincount(two[to], minlength=len(codes))
+    lo, n = (np.cumsum(count) - count)[one[at]], count[one[at]]
     total, found, i = np.cumsum(n), [], 0
     while i < len(at):  # matches of about ``step`` at a time, by diagonal and place
         z = max(i + 1, int(np.searchsorted(total, total[i] - n[i] + step, "right")))
@@ -215,36 +225,37 @@ def _runs(a: np.ndarray, b: np.ndarray, width: int, gap: int, step: int = 1 << 2
 
 def _chains(runs: list[list[int]], gap: int) -> list[list[list[int]]]:
     """Chains of runs over gaps in both texts: each run goes on from the open
-    chain that holds most equal shingles.  Where two runs overlap, the second
-    is cut."""
-    score, back, part, used, live = np.zeros(len(runs), np.int64), [], [], [False] * len(runs), []
-    ends, ends_b = np.array(runs, np.int64).reshape(-1, 4)[:, [1, 3]].T.copy()
+    chain that holds most equal shingles, of equal ones the first.  Where two
+    runs overlap, the second is cut.  Diagonals of runs that follow each other
+    are at most ``gap`` apart, so open runs are kept by slices of diagonals."""
+    score, back, part, used, live = [], [], [], [False] * len(runs), {}
     for k, (i, j, p, q) in enumerate(runs):
-        best, prev, own = j - i + 1, -1, [i, j, p, q]
-        if len(live) > FEW:  # all open runs at once; of equal ones the first counts
-            at = np.array(live)
-            e, f = ends[at], ends_b[at]
-            cut = np.maximum(np.maximum(e + 1 - i, f + 1 - p), 0)
-            fits = (cut <= j - i) & (cut <= gap + 1 + e - i) & (cut <= gap + 1 + f - p)
-            sums = np.where(fits, score[at] - cut, 0)
-            x = int(sums.argmax())
-            if sums[x] > 0:
-                best, prev, cut = best + int(sums[x]), live[x], int(cut[x])
-                own = [i + cut, j, p + cut, q]
-            live = at[e >= i - gap - 1].tolist()
-        else:
-            live = [x for x in live if runs[x][1] >= i - gap - 1]
-            for x in live:
-                e, f = runs[x][1], runs[x][3]
-                cut = max(0, e + 1 - i, f + 1 - p)
-                if i + cut <= j and i + cut - e <= gap + 1 and p + cut - f <= gap + 1 and score[x] + j - i + 1 - cut > best:
-                    best, prev, own = int(score[x]) + j - i + 1 - cut, x, [i + cut, j, p + cut, q]
-        score[k] = best
+        n, since, slice_ = j - i + 1, i - gap - 1, (p - i) // (gap + 1)
+        best, prev, own = 0, -1, [i, j, p, q]
+        for s in (slice_ - 1, slice_, slice_ + 1):
+            near = live.get(s)
+            if not near:
+                continue
+            ended = False
+            for x in near:
+                _, e, _, f = runs[x]
+                if e < since:
+                    ended = True
+                    continue
+                cut = e + 1 - i if e - i > f - p else f + 1 - p
+                if cut < 0:
+                    cut = 0
+                held = score[x] - cut
+                if (held > best or held == best and x < prev) and cut < n and i + cut - e <= gap + 1 and p + cut - f <= gap + 1:
+                    best, prev, own = held, x, [i + cut, j, p + cut, q]
+            if ended:
+                live[s] = [x for x in near if runs[x][1] >= since]
+        score.append(best + n)
         back.append(prev)
         part.append(own)
         if prev >= 0:
             used[prev] = True
-        live.append(k)
+        live.setdefault(slice_, []).append(k)
     out = []
     for k in range(len(runs)):
         if not used[k]:
@@ -308,15 +319,15 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, passage: int, simila
     two = docs.join(small(pairs.select("source").distinct()), F.col("doc_id") == F.col("source")).select("source", F.col("text").alias("text_b"))
 
     def run(batches):
-        words, last, kept = WordHashes(), None, None
+        last, kept = None, None
         names = [c.split(" ")[0] for c in SPANS.split(", ")]
         types = [pa.float64() if c.endswith("double") else pa.int64() for c in SPANS.split(", ")]
         for x in batches:
             rows = []
             for doc, source, ta, tb in zip(*x.columns):
                 if (source.as_py(), tb) != last:
-                    last, kept = (source.as_py(), tb), words.shingles(words_of(tb.as_py()), shingle)
-                for i, j, p, q, alike in matching_spans(words.shingles(words_of(ta.as_py()), shingle), kept, width, similarity):
+                    last, kept = (source.as_py(), tb), shingle_hashes(word_hashes(tb.as_py()), shingle)
+                for i, j, p, q, alike in matching_spans(shingle_hashes(word_hashes(ta.as_py()), shingle), kept, width, similarity):
                     rows.append((doc.as_py(), i, j + shingle, source.as_py(), p, q + shingle, alike))
             cols = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
@@ -331,14 +342,29 @@ def _pairs(tied: DataFrame, enough: int) -> DataFrame:
     span = tied.where("id <> source").select(
         "id", "source", (F.col("key").bitwiseAND(F.lit(7))).alias("k"), (place - F.shiftright("pos", 16).bitwiseAND(F.lit(65535))).alias("lo"),
         (place + F.col("pos").bitwiseAND(F.lit(65535))).alias("hi"))
+    if enough == 1:
+        return span.select(F.col("id").alias("doc"), "source").distinct()
     # windows in the order of their left ends; one group as long as they overlap
     w = Window.partitionBy("id", "source").orderBy("lo", "hi")
     group = span.withColumn("new", (F.col("lo") > F.coalesce(F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
     group = group.withColumn("g", F.sum("new").over(w))
-    return (group.groupBy("id", "source", "g").agg(F.count_distinct("k").alias("n")).where(F.col("n") >= enough)
+    functions = F.bit_count(F.bit_or(F.expr("shiftleft(1, cast(k as int))")))
+    return (group.groupBy("id", "source", "g").agg(functions.alias("n")).where(F.col("n") >= enough)
             .select(F.col("id").alias("doc"), "source").distinct())
 
 
+def _uncovered(rows: DataFrame, spans: DataFrame, lo, end) -> DataFrame:
+    """Those of ``rows(id, ...)`` of which no span of the same document holds
+    the words from ``lo`` to before ``end``: of the spans that begin there or
+    before, none reaches as far."""
+    names = rows.columns
+    rows = rows.withColumns({"_lo": lo.cast("long"), "_end": end.cast("long"), "_span": F.lit(None).cast("long")})
+    more = spans.select(F.col("doc_id").alias("id"), F.col("first_word").alias("_lo"), F.col("end_word").alias("_span")).distinct()
+    w = Window.partitionBy("id").orderBy("_lo").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.unionByName(more, allowMissingColumns=True).withColumn("_far", F.max("_span").over(w))
+    return both.where("_span is null and (_far is null or _far < _end)").select(*names)
+
+
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIMILARITY, shingle: int = SHINGLE,
                       hashes: int = HASHES, enough: int = ENOUGH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each passage of a document that an earlier one has too:
@@ -357,10 +383,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
 
     # tokens with an occurrence that no confirmed passage covers
     place = F.shiftright("pos", 32)
-    own = spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("first_word", "end_word")).alias("own"))
-    left = rows.where("id <> source").select("key", "id", place.alias("place")).join(own, "id", "left")
-    covered = F.exists("own", lambda x: (x["first_word"] <= F.col("place")) & (F.col("place") < x["end_word"]))
-    left = left.where(~F.coalesce(covered, F.lit(False))).select("key").distinct()
+    left = rows.where("id <> source").select("key", "id", place.alias("place"))
+    left = _uncovered(left, spans, F.col("place"), F.col("place") + 1).select("key").distinct()
     left = small(saved(left, "left"))  # few tokens; a hot one needs no shuffle of its rows
     # each side of the token is a key of its own
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("near", 32).alias("near")),
@@ -401,9 +425,7 @@ def exact_pairs(rows: DataFrame, spans: DataFrame, docs: DataFrame, shingle: int
     both = one.select("key", "id", "place", both.alias("c")).select("key", "id", "place", "c.*").where(F.col("hi") - F.col("lo") >= width - 1)
     group = both.groupBy("key", "side", "near").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     both = saved(both.join(group, ["key", "side", "near"]), "contexts")
-    own = spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("first_word", "end_word")).alias("own"))
-    covered = F.exists("own", lambda x: (x["first_word"] <= F.col("lo")) & (F.col("hi") + shingle <= x["end_word"]))
-    open_ = both.where("id > first").join(own, "id", "left").where(~F.coalesce(covered, F.lit(False))).select("key", "side", "near").distinct()
+    open_ = _uncovered(both.where("id > first"), spans, F.col("lo"), F.col("hi") + shingle).select("key", "side", "near").distinct()
     look = both.join(small(saved(open_, "open")), ["key", "side", "near"]).groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("look"))
     look = saved(look, "look")
     texts = docs.join(small(look, 50_000), F.col("doc_id") == F.col("id")).select("id", "text", "look")
