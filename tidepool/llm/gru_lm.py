@@ -257,7 +257,8 @@ def first_weights(vocab: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x):
-    x = np.exp(-x)
+    """In place."""
+    np.exp(np.negative(x, out=x), out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -307,27 +308,31 @@ class Unit:
 
     def forward(self, lanes: Lanes, place: np.ndarray, h: np.ndarray, keep: bool):
         g, u, n = self.w["G"], self.w["U"], HIDDEN
-        x = g[lanes.input[place]]
-        carry = (~lanes.fresh[place]).astype(np.float32)[:, :, None]
+        x = g.take(lanes.input.take(place), 0)
+        fresh = lanes.fresh.take(place)
         states = np.empty((len(place), place.shape[1], n), np.float32)
         tape = []
         for t in range(len(place)):
-            h = h * carry[t]
+            if fresh[t].any():
+                h = np.where(fresh[t][:, None], np.float32(0), h)
             a = h @ u
-            zr = _sigmoid(x[t, :, :2 * n] + a[:, :2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(x[t, :, 2 * n:] + r * a[:, 2 * n:])
+            # each gate by itself: whole arrays take half the time of slices
+            z, r, s = _sigmoid(x[t, :, :n] + a[:, :n]), _sigmoid(x[t, :, n:2 * n] + a[:, n:2 * n]), a[:, 2 * n:].copy()
+            c = r * s
+            c += x[t, :, 2 * n:]
+            np.tanh(c, out=c)
             if keep:
-                tape.append((h, z, r, c, a[:, 2 * n:]))
-            h = c + z * (h - c)
-            states[t] = h
+                tape.append((h, z, r, c, s))
+            h = np.subtract(h, c, out=states[t])
+            h *= z
+            h += c
         logits = states.reshape(-1, n) @ self.w["W"]
         logits += self.w["b"]
         if self.bound() > 60:  # states lie within -1 and 1: otherwise no exponential overflows
             logits -= logits.max(1, keepdims=True)
         p = np.exp(logits)
         norm = p.sum(1, keepdims=True)
-        return h, states, logits, p, norm, carry, tape
+        return h, states, logits, p, norm, fresh, tape
 
     def score(self, lanes: Lanes) -> np.ndarray:
         """log10 of the class probability at each place."""
@@ -335,7 +340,7 @@ class Unit:
         h = np.zeros((len(lanes.start), HIDDEN), np.float32)
         for place, mask in lanes.windows():
             h, _, logits, _, norm, _, _ = self.forward(lanes, place, h[:place.shape[1]], False)
-            own = np.take_along_axis(logits, lanes.target[place].reshape(-1, 1), 1) - np.log(norm)
+            own = logits.ravel().take(lanes.target.take(place).ravel() + np.arange(0, logits.size, logits.shape[1])) - np.log(norm[:, 0])
             out[place[mask]] = own.reshape(place.shape)[mask] / np.log(10)
         return out
 
@@ -346,11 +351,11 @@ class Unit:
 
     def _learn(self, lanes: Lanes, place, mask, h):
         n, w = HIDDEN, self.w
-        h, states, _, p, norm, carry, tape = self.forward(lanes, place, h, True)
-        d = p
+        h, states, _, p, norm, fresh, tape = self.forward(lanes, place, h, True)
+        d, live = p, int(mask.sum())
         d /= norm
-        d[np.arange(len(d)), lanes.target[place].ravel()] -= 1
-        d *= (mask.ravel()[:, None] / max(1, int(mask.sum()))).astype(np.float32)
+        d.ravel()[lanes.target.take(place).ravel() + np.arange(0, d.size, d.shape[1])] -= 1
+        d *= np.float32(1 / live) if live == mask.size else (mask.ravel()[:, None] / max(1, live)).astype(np.float32)
         grad = {"W": states.reshape(-1, n).T @ d, "b": d.sum(0)}
         out = (d @ w["W"].T).reshape(states.shape)
         dx = np.empty((*place.shape, 3 * n), np.float32)
@@ -358,23 +363,33 @@ class Unit:
         past, dn = np.empty((*place.shape, n), np.float32), np.empty((*place.shape, n), np.float32)
         for t in range(len(place) - 1, -1, -1):
             prev, z, r, c, a = tape[t]
-            dh = out[t] + back
-            rest, da = 1 - z, dx[t]
-            dc = dh * rest * (1 - c * c)
+            dh, da = np.add(out[t], back, out=back), dx[t]
+            rest = 1 - z
+            dc = dn[t]
+            np.multiply(dh, rest, out=dc)
+            slope = c * c
+            dc *= np.subtract(1, slope, out=slope)
             dr = dc * r
-            da[:, :n] = dh * (prev - c) * z * rest
-            da[:, n:2 * n] = dr * a * (1 - r)
             da[:, 2 * n:] = dr
-            past[t], dn[t] = prev, dc
-            back = (dh * z + da @ ut) * carry[t]
+            dr *= a
+            np.multiply(dr, np.subtract(1, r, out=r), out=da[:, n:2 * n])
+            np.subtract(prev, c, out=c)
+            c *= dh
+            c *= z
+            np.multiply(c, rest, out=da[:, :n])
+            past[t] = prev
+            dh *= z
+            back = np.add(dh, da @ ut, out=dh)
+            if fresh[t].any():
+                back[fresh[t]] = 0
         grad["U"] = past.reshape(-1, n).T @ dx.reshape(-1, 3 * n)
         dx[:, :, 2 * n:] = dn
-        rows = lanes.input[place].ravel()
+        rows = lanes.input.take(place).ravel()
         order = np.argsort(rows.astype(np.uint16) if len(w["G"]) <= 1 << 16 else rows, kind="stable")  # of 16 bits by radix
         used = rows[order]
         head = np.flatnonzero(np.concatenate(([True], used[1:] != used[:-1])))
         grad["G"] = np.zeros_like(w["G"])
-        grad["G"][used[head]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], head)
+        grad["G"][used[head]] = np.add.reduceat(dx.reshape(-1, 3 * n).take(order, 0), head)
         self._step(grad)
         return h
 
