@@ -32,17 +32,24 @@ def tokenizer_file(name: str) -> str:
 
 #: Texts that a Python worker gets in one Arrow batch.
 BATCH = "16m"
+#: The same where a row depends on no other of its batch.
+SMALL_BATCH = "4m"
 
 
-def in_batches(df: DataFrame) -> DataFrame:
-    """``df``, after lowering the session's bound of an Arrow batch to
-    ``BATCH`` if it is above that: a worker holds a few batches at a time, and
-    Spark's own bound lets it grow to several hundred MB."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+def in_batches(df: DataFrame, most: str = BATCH) -> DataFrame:
+    """``df``, after lowering the session's bound of an Arrow batch to ``most``
+    if it is above that: a worker and the buffers that feed it hold a few
+    batches at a time, and Spark's own bound lets them grow to several hundred
+    MB.  Operators whose rows do not depend on their batches ask for less."""
+    spark, key, own = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", "spark.tidepool.arrow.bytes"
     size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
-    now = size(spark.conf.get(key))
-    if now <= 0 or now > size(BATCH):
-        spark.conf.set(key, BATCH)
+    now, seen = spark.conf.get(key), spark.conf.get(own, "").split(",")
+    if now != seen[-1]:  # what was not set here is the bound of the session
+        seen = [now]
+    bound = seen[0]
+    lower = most if size(bound) <= 0 or size(bound) > size(most) else bound
+    spark.conf.set(own, f"{bound},{lower}")
+    spark.conf.set(key, lower)
     return df
 
 

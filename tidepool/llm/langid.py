@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe_rank import text_slices
-from tidepool.llm.common import in_batches
+from tidepool.llm.common import SMALL_BATCH, in_batches
 
 DIMENSIONS = 1024
 SEED = 20
@@ -35,6 +35,8 @@ UNKNOWN = "und"
 PIECE = 1 << 18
 #: n-gram vectors that a worker holds at a time
 HELD = 16_384
+#: n-gram vectors that are made floats at a time (a byte each is held)
+CHUNK = 1024
 _NONE = np.uint16(65_535)
 
 
@@ -58,7 +60,7 @@ class Profiles:
         self.letters = [np.roll(letters, k, axis=1) for k in (2, 1, 0)]
         self.slots = _letter_slots()
         self.place = np.full(1 << 24, _NONE, np.uint16)
-        self.vectors = np.zeros((HELD, dimensions), np.float32)
+        self.vectors = np.zeros((HELD, dimensions), np.int8)
         self.held = np.zeros(0, np.int64)
 
     def _hold(self, grams: np.ndarray) -> None:
@@ -108,7 +110,9 @@ class Profiles:
     def _bundle(self, out, rows, row, gram) -> None:
         n = len(self.held)
         counts = np.bincount(row * n + self.place[gram], minlength=len(rows) * n)
-        out[rows] += counts.reshape(len(rows), n).astype(np.float32) @ self.vectors[:n]
+        counts = counts.reshape(len(rows), n).astype(np.float32)
+        for at in range(0, n, CHUNK):  # whole numbers: the order of the sums does not matter
+            out[rows] += counts[:, at:at + CHUNK] @ self.vectors[at:min(n, at + CHUNK)].astype(np.float32)
 
     def vectors_of(self, texts: list[tuple[int, str]], n: int) -> np.ndarray:
         """``n`` rows of text vectors; ``texts`` are (row, text)."""
@@ -156,7 +160,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
             yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions), pa.array(range(dimensions), pa.int32()), pa.array(v)],
                                              ["lang", "dimension", "value"])
 
-    rows = (in_batches(labelled).where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang).cast("string"))
+    rows = (in_batches(labelled, SMALL_BATCH).where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang).cast("string"))
             .mapInArrow(run, "lang string, dimension int, value double")
             .groupBy("lang", "dimension").agg(F.sum("value").alias("value")).collect())
     out: dict[str, np.ndarray] = {}
@@ -192,7 +196,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                     names=[*columns, lang_out, score_out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return in_batches(docs).mapInArrow(run, f"{fields}, `{lang_out}` string, `{score_out}` double")
+    return in_batches(docs, SMALL_BATCH).mapInArrow(run, f"{fields}, `{lang_out}` string, `{score_out}` double")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import components, in_batches, saved, small
-from tidepool.llm.hashing import WordHashes, mix, words_of
+from tidepool.llm.hashing import mix, shingle_hashes, word_hashes
 
 SHINGLE = 4
 #: Similarity as a fraction: 100 * intersection >= PERCENT * union.
@@ -102,6 +102,10 @@ def block_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(word_hashes(text), shingle))
+
+
 def _sketch(s: np.ndarray) -> np.ndarray:
     odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -112,13 +116,13 @@ def signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     key with the smallest id of a batch; a further id of the batch, with the
     block key and that smallest id in ``info``."""
     def run(batches):
-        hashes, bands = WordHashes(), Bands(percent)
+        bands = Bands(percent)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             texts = b.column(1)
             info, keys, owner, seen = [], [], [], set()
             for i in np.argsort(ids, kind="stable"):
-                s = hashes.shingle_set(words_of(texts[int(i)].as_py()), shingle)
+                s = _set(texts[int(i)].as_py(), shingle)
                 h = xxhash.xxh3_128_intdigest(s.tobytes())
                 info.append({"n": len(s), "h0": _signed(h >> 64), "h1": _signed(h & (1 << 64) - 1), "sketch": _sketch(s)})
                 if len(s) and h not in seen:
@@ -140,7 +144,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                                                  pa.nulls(int(rest.sum()), pa.list_(pa.int64()))], fields=list(_INFO))
                 yield _batch(LOCAL, mix(key[rest] + own[rest].view(np.uint64)), own[rest], at)
 
-    return in_batches(docs).mapInArrow(run, _DDL)
+    return in_batches(docs, "8m").mapInArrow(run, _DDL)
 
 
 def _signed(x: int) -> int:
@@ -162,13 +166,13 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     two = docs.join(small(pairs.select("b").distinct()), F.col("doc_id") == F.col("b")).select("b", F.col("text").alias("text_b"))
 
     def run(batches):
-        hashes, last, kept = WordHashes(), None, None
+        last, kept = None, None
         for x in batches:
             out = []
             for a, b, ta, tb in zip(*x.columns):
                 if (b.as_py(), tb) != last:
-                    last, kept = (b.as_py(), tb), hashes.shingle_set(words_of(tb.as_py()), shingle)
-                s = hashes.shingle_set(words_of(ta.as_py()), shingle)
+                    last, kept = (b.as_py(), tb), _set(tb.as_py(), shingle)
+                s = _set(ta.as_py(), shingle)
                 both = len(np.intersect1d(s, kept, assume_unique=True))
                 out.append(both > 0 and 100 * both >= percent * (len(s) + len(kept) - both))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(out, pa.bool_()))
