@@ -114,3 +114,20 @@ def test_gates_equal_the_plain_steps():
         c = np.tanh(x[:, 2 * n:] + r * a[:, 2 * n:])
         h = (1 - z) * c + z * h
         assert np.allclose(states[t], h, atol=1e-6)
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Stars are looked at once; paths and repeated edges give the same
+    components with and without broadcast tables."""
+    steps, saved = [], common.saved
+    monkeypatch.setattr(common, "saved", lambda df, name: steps.append(name) or saved(df, name))
+    stars = spark.createDataFrame([(2, 1), (1, 3), (9, 7), (2, 1)], "a long, b long")
+    assert {(r.id, r.component) for r in common.components(stars).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
+    assert steps == ["cc", "low"]
+    ids = random.Random(4).sample(range(100), 12)
+    path = spark.createDataFrame([*zip(ids, ids[1:]), *zip(ids[1:6], ids), (200, 201), (201, 200)], "a long, b long")
+    want = {(i, min(ids)) for i in ids} | {(200, 200), (201, 200)}
+    for few in (True, False):
+        monkeypatch.setattr(common, "fits", lambda df, few=few: few)
+        got = common.components(path).collect()
+        assert len(got) == len(want) and {(r.id, r.component) for r in got} == want

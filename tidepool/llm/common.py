@@ -70,10 +70,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df``, which is saved, holds at most ``limit`` rows."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it was counted to be within ``limit``
     rows; otherwise leave it to a shuffle join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -81,30 +86,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Returns ``(id, component)`` for every end of an edge, ``component`` being
     the smallest id that can be reached.  Alternates the two star steps of
-    Kiveris et al. (large star, small star) until the edge set is stable;
-    every step is a partial aggregation and a key join, written to the
-    checkpoint folder.  No component is ever gathered in one place.  Loops and
-    repeated edges are allowed; rows with a null end are ignored.
+    Kiveris et al. (large star, small star) until every node but the roots has
+    one neighbour, its root; every step is a partial aggregation and a key join
+    (of a broadcast table where the nodes are few), written to the checkpoint
+    folder.  No component is ever gathered in one place.  Loops and repeated
+    edges are allowed; rows with a null end are ignored.
     """
     e = (edges.where("a is not null and b is not null and a <> b")
-         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    e = saved(e, "cc")
-    mark = _mark(e)
-    while mark[0]:
+         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    e, few = saved(e, "cc"), None
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = saved(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top")), "low")
+        if low.where("m < u and top <> m").isEmpty():
+            return low.select(F.col("u").alias("id"), F.least("u", "m").alias("component"))
+        few = few or fits(low)  # no step adds a node
+        mark = F.broadcast if few else lambda df: df
+        big = both.where("v > u").join(mark(low.select("u", F.least("u", "m").alias("m"))), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = big if few else big.distinct()
         low = big.groupBy("u").agg(F.min("v").alias("m"))
-        e = saved(big.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                  .union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
-        now = _mark(e)
-        if now == mark:
-            break
-        mark = now
-    return (e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-            .union(e.select(F.col("v"), F.col("v"))).distinct())
-
-
-def _mark(e: DataFrame) -> tuple:
-    r = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
-    return (r[0], r[1])
+        e = (big.join(mark(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+             .union(low.select("u", F.col("m").alias("v"))))
+        e = saved(e if few else e.distinct(), "cc")  # an edge gives one edge: repeated ones need not go

@@ -45,13 +45,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import components, in_batches, saved, small
+from tidepool.llm.common import components, fits, in_batches, saved, small
 from tidepool.llm.hashing import mix, shingle_hashes, word_hashes
 
 SHINGLE = 4
 #: Similarity as a fraction: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 SKETCH = 1024
+#: Rows with a sketch (about 200 bytes each) that are broadcast.
+SKETCHES = 100_000
 
 _INFO = pa.struct([("n", pa.int64()), ("h0", pa.int64()), ("h1", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 _ROWS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("id", pa.int64()), ("info", _INFO)])
@@ -156,14 +158,15 @@ def _batch(kind: int, key: np.ndarray, ids: np.ndarray, info) -> pa.RecordBatch:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame | None:
-    """Those of ``pairs(a, b)`` that are linked by their whole texts; None if
-    none is.  The texts of ``a`` meet that of ``b`` in a join on ``b`` (which
-    AQE splits where one ``b`` has many)."""
-    pairs = saved(pairs.select("a", "b"), "pairs")
+    """Those of ``pairs(a, b)``, which are saved, that are linked by their
+    whole texts (a link may come twice); None if none is.  The texts of ``a``
+    meet that of ``b`` in a join on ``b`` (which AQE splits where one ``b`` has
+    many)."""
     if pairs.isEmpty():
         return None
-    one = docs.join(small(pairs), F.col("doc_id") == F.col("a")).select("b", "a", F.col("text").alias("text_a"))
-    two = docs.join(small(pairs.select("b").distinct()), F.col("doc_id") == F.col("b")).select("b", F.col("text").alias("text_b"))
+    pairs = small(pairs.select("a", "b"))
+    one = docs.join(pairs, F.col("doc_id") == F.col("a")).select("b", "a", F.col("text").alias("text_a"))
+    two = docs.join(pairs, F.col("doc_id") == F.col("b"), "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches):
         last, kept = None, None
@@ -177,7 +180,7 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
                 out.append(both > 0 and 100 * both >= percent * (len(s) + len(kept) - both))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-    linked = saved(one.join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "links")
+    linked = saved(one.join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
     return None if linked.isEmpty() else linked
 
 
@@ -193,12 +196,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
            .union(rows.where(f"kind = {LOCAL}").select("info.h0", "id", "info.h1")))
     # equal sets are one class, named by its smallest id
     equal = info.where("n > 0").groupBy("h0", "h1").agg(F.min("id").alias("cls"), F.max("id").alias("last"))
-    copies = info.join(equal.where("last > cls").select("h0", "h1", "cls"), ["h0", "h1"]).where("id <> cls").select("id", "cls").distinct()
-    copies = saved(copies, "copies")
+    equal = small(saved(equal.where("last > cls").select("h0", "h1", "cls"), "equal"))
+    copies = saved(info.join(equal, ["h0", "h1"]).where("id <> cls").select("id", "cls").distinct(), "copies")
+    few = fits(copies)
 
     def by_class(df, *cols):
         for c in cols:
-            df = (df.join(copies.select(F.col("id").alias(c), F.col("cls").alias("_cls")), c, "left")
+            cls = copies.select(F.col("id").alias(c), F.col("cls").alias("_cls"))
+            df = (df.join(F.broadcast(cls) if few else cls, c, "left")
                   .withColumn(c, F.coalesce("_cls", c)).drop("_cls"))
         return df
 
@@ -209,27 +214,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
                   .withColumn(f"c_{c}", F.coalesce(f"c_{c}", c)))
         return df.where("c_x <> c_rep")
 
-    links, part, joined = copies.toDF("a", "b"), copies.toDF("id", "component"), False
+    part = small(saved(components(copies.toDF("a", "b")), "parts"))
 
     def join_links(pairs) -> bool:
-        """Verify pairs and bring the components up to date."""
-        nonlocal links, part, joined
+        """Verify pairs and bring the components up to date: those that a link
+        joins are the nodes of a smaller graph."""
+        nonlocal part
         new = verify(pairs, named, shingle, percent)
         if new is not None:
-            links, joined = links.union(new), True
-            part = saved(components(links), "parts")
+            ends = apart(new.select(F.col("a").alias("x"), F.col("b").alias("rep")))
+            wider = small(saved(components(ends.select(F.col("c_x").alias("a"), F.col("c_rep").alias("b"))), "wider"))
+            old = (part.join(wider.select(F.col("id").alias("component"), F.col("component").alias("_wider")), "component", "left")
+                   .select("id", F.coalesce("_wider", "component").alias("component")))
+            part = small(saved(old.union(wider.join(part, "id", "left_anti")), "parts"))
         return new is not None
 
-    pairs = saved(by_class(met.groupBy("x", "rep").agg(F.count("*").alias("shared")), "x", "rep").where("x <> rep")
-                  .groupBy("x", "rep").agg(F.sum("shared").alias("shared")), "met")
-    best = pairs.groupBy("x").agg(F.max_by("rep", F.struct("shared", -F.col("rep"))).alias("rep"))
-    tried = _pair(best, "x", "rep")
+    # pairs of classes, the larger id as x
+    pairs = by_class(met, "x", "rep") if few else by_class(met.groupBy("x", "rep").agg(F.count("*").alias("shared")), "x", "rep")
+    pairs = saved(pairs.where("x <> rep").groupBy(F.greatest("x", "rep").alias("x"), F.least("x", "rep").alias("rep"))
+                  .agg((F.count("*") if few else F.sum("shared")).alias("shared")), "met")
+    tried = saved(pairs.groupBy(F.col("x").alias("a")).agg(F.max_by("rep", F.struct("shared", -F.col("rep"))).alias("b")), "pairs")
     join_links(tried)
 
     # an id that stands for several sets has no size and no sketch of its own
-    once = info.groupBy("id").agg(F.count_distinct("h0", "h1").alias("sets"), F.min("n").alias("n"), F.min_by("sketch", "n").alias("sketch"))
-    plain = saved(once.where("sets = 1").select("id", "n", "sketch"), "plain")
-    again = _pair(apart(pairs), "x", "rep").join(tried, ["a", "b"], "left_anti")
+    sets = F.struct("h0", "h1")
+    once = info.groupBy("id").agg(F.min(sets).alias("least"), F.max(sets).alias("most"), F.min("n").alias("n"), F.min_by("sketch", "n").alias("sketch"))
+    plain = small(saved(once.where("least = most").select("id", "n", "sketch"), "plain"), SKETCHES)
+    again = apart(pairs).select(F.col("x").alias("a"), F.col("rep").alias("b")).join(small(tried), ["a", "b"], "left_anti")
     for c in ("a", "b"):
         again = again.join(plain.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c, "left")
     again = saved(again.where(_fits(percent)).select("a", "b"), "again")
@@ -237,31 +248,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     def still_open():
         """Members of the blocks that are in several components, and of them
-        those outside the largest component of their block."""
-        keys = saved(apart(by_class(met, "x", "rep").where("x <> rep")).select("key").distinct(), "still")
+        those outside the largest component of their block, with the member
+        ``one`` of that component."""
+        keys = small(saved(apart(by_class(met, "x", "rep").where("x <> rep")).select("key").distinct(), "still"))
         member = by_class(met.join(keys, "key"), "x", "rep")
         member = member.select("key", F.col("x").alias("id")).union(member.select("key", "rep")).distinct()
         member = saved(member.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
                        .join(plain, "id", "left"), "member")
         main = (member.groupBy("key", "component").agg(F.count("*").alias("k"), F.min_by("id", F.xxhash64("key", "id")).alias("one"))
                 .groupBy("key").agg(F.max_by(F.struct("component", "one"), F.struct("k", "component")).alias("m")).select("key", "m.*"))
-        main = main.withColumnsRenamed({"component": "main"})
-        return member, main, member.join(main.select("key", "main"), "key").where("component <> main").drop("main")
+        main = small(saved(main.withColumnRenamed("component", "main"), "main"))
+        return member, member.join(main, "key").where("component <> main").drop("main")
 
     tested = tried.union(again)
     while True:
-        member, main, minor = still_open()
-        ones = main.select("key", F.col("one").alias("id")).join(plain, "id", "left")
-        near = _side(minor, "a").join(_side(ones, "b"), "key").where(_fits(percent))
+        member, minor = still_open()
+        ones = plain.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+        near = _side(minor, "a").withColumnRenamed("one_a", "id_b").join(ones, "id_b", "left").where(_fits(percent))
         near = near.groupBy("id_a").agg(F.min_by("id_b", F.struct(F.coalesce(_distance(), F.lit(0)), "id_b")).alias("id_b"))
-        near = saved(_pair(near, "id_a", "id_b").join(tested, ["a", "b"], "left_anti"), "near")
+        near = saved(_pair(near, "id_a", "id_b").join(small(tested), ["a", "b"], "left_anti"), "near")
         tested = tested.union(near)
         if not join_links(near):
             break
     cross = _side(minor, "a").join(_side(member, "b"), "key").where("component_a <> component_b").where(_fits(percent))
-    join_links(_pair(cross, "id_a", "id_b").join(tested, ["a", "b"], "left_anti"))
-    if not joined:
-        part = components(links)
+    join_links(saved(_pair(cross, "id_a", "id_b").join(small(tested), ["a", "b"], "left_anti"), "cross"))
     done = info.select("id", "n").join(part, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                                                                   F.coalesce("component", "id").alias("component_id"))
     nameless = signatures(docs.where("doc_id is null").withColumn("doc_id", F.lit(0).cast("long")), shingle, percent)
