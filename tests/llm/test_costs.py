@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tidepool.llm import common, gru_lm, hashing, langid, substring
+from tidepool.llm import bpe_index, common, gru_lm, hashing, langid, shingle_join, substring
 
 
 def test_language_vectors_take_a_byte_a_dimension():
@@ -131,3 +131,25 @@ def test_components_stop_at_stars(spark, monkeypatch):
         monkeypatch.setattr(common, "fits", lambda df, few=few: few)
         got = common.components(path).collect()
         assert len(got) == len(want) and {(r.id, r.component) for r in got} == want
+
+
+def test_workers_let_go_of_what_others_kept(monkeypatch):
+    monkeypatch.setattr(common, "_kept", [])
+    made = []
+    f = common.kept(lambda x: made.append(x) or [x])
+    assert f(1) is f(1) and made == [1]
+    common.let_go()
+    assert f(1) == [1] and made == [1, 1]
+
+
+def test_joins_let_go_of_what_the_encoder_kept(monkeypatch):
+    class Maps:
+        def mapInArrow(self, run, ddl):
+            self.run = run
+
+    maps, path = Maps(), common.tokenizer_file("word_bpe_49k.json")
+    for module, make in ((shingle_join, lambda: shingle_join.signatures(None, 4, 85)), (substring, lambda: substring.windows(None, 5, 50, 4))):
+        monkeypatch.setattr(module, "in_batches", lambda df, *most: maps)
+        make()
+        bpe_index.index_of(path)
+        assert list(maps.run(iter([]))) == [] and bpe_index.index_of.cache_info().currsize == 0

@@ -29,7 +29,6 @@ from __future__ import annotations
 import heapq
 import json
 import os
-from functools import lru_cache
 from hashlib import sha256
 from itertools import chain, groupby, islice
 from operator import itemgetter
@@ -43,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe_rank import PATTERN, byte_symbols, text_slices
-from tidepool.llm.common import in_batches, saved
+from tidepool.llm.common import in_batches, kept, saved
 
 #: Radix partitions of the A ids.
 RADIX = 64
@@ -124,7 +123,7 @@ class Pair:
         return out
 
 
-@lru_cache(maxsize=2)
+@kept
 def pair_of(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 

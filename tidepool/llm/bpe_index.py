@@ -22,7 +22,6 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe_rank import byte_symbols, text_slices
-from tidepool.llm.common import in_batches
+from tidepool.llm.common import in_batches, kept
 
 #: Fixed value: the pattern of the word-end file's pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -165,7 +164,7 @@ class PairIndex:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), self.tokens.take(pa.array(ids))), " ")
 
 
-@lru_cache(maxsize=2)
+@kept
 def index_of(path: str) -> PairIndex:
     """One index for each file in a worker process, kept between its tasks."""
     return PairIndex(path)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +57,30 @@ def in_batches(df: DataFrame, most: str = BATCH) -> DataFrame:
     return df
 
 
+_kept: list = []
+
+
+def kept(f):
+    """Results of ``f`` that a worker process keeps between its tasks, until
+    another operator calls :func:`let_go` there."""
+    f = lru_cache(maxsize=2)(f)
+    _kept.append(f)
+    return f
+
+
+def let_go() -> None:
+    """A worker that other operators used before gives back what they kept:
+    Spark hands workers on from one operator to the next."""
+    if any(f.cache_info().currsize for f in _kept):
+        for f in _kept:
+            f.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:  # of glibc
+            trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it if ``df`` has such a column."""
     taken = {c.lower() for c in df.columns}

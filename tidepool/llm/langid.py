@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe_rank import text_slices
-from tidepool.llm.common import SMALL_BATCH, in_batches
+from tidepool.llm.common import SMALL_BATCH, in_batches, let_go
 
 DIMENSIONS = 1024
 SEED = 20
@@ -148,6 +148,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
     or language are ignored).  What reaches the driver is one vector for each
     language."""
     def run(batches):
+        let_go()
         p, total = Profiles(dimensions, seed), {}
         for b in batches:
             for at, texts in text_slices(b.column(0)):
@@ -182,6 +183,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     columns, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
+        let_go()
         p = Profiles(dimensions, seed)
         for b in batches:
             for start, texts in text_slices(b.column(at), rows=256):

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import components, fits, in_batches, saved, small
+from tidepool.llm.common import components, fits, in_batches, let_go, saved, small
 from tidepool.llm.hashing import mix, shingle_hashes, word_hashes
 
 SHINGLE = 4
@@ -118,6 +118,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     key with the smallest id of a batch; a further id of the batch, with the
     block key and that smallest id in ``info``."""
     def run(batches):
+        let_go()
         bands = Bands(percent)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -169,6 +170,7 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     two = docs.join(pairs, F.col("doc_id") == F.col("b"), "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches):
+        let_go()
         last, kept = None, None
         for x in batches:
             out = []

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe_rank import text_slices
-from tidepool.llm.common import free_name, in_batches, saved, small
+from tidepool.llm.common import free_name, in_batches, let_go, saved, small
 from tidepool.llm.hashing import WordHashes, mix, shingle_hashes, word_hashes, words_of
 
 SHINGLE = 5
@@ -139,6 +139,7 @@ def windows(docs: DataFrame, shingle: int, passage: int, hashes: int) -> DataFra
                                            pa.array(more), none(token), none(source)], schema=_ROWS)
 
     def run(batches):
+        let_go()
         words = WordHashes()
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -319,6 +320,7 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, passage: int, simila
     two = docs.join(small(pairs.select("source").distinct()), F.col("doc_id") == F.col("source")).select("source", F.col("text").alias("text_b"))
 
     def run(batches):
+        let_go()
         last, kept = None, None
         names = [c.split(" ")[0] for c in SPANS.split(", ")]
         types = [pa.float64() if c.endswith("double") else pa.int64() for c in SPANS.split(", ")]
