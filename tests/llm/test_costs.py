@@ -1,8 +1,10 @@
 """Memory of workers, hashes of whole texts, alignment and interval tests
 against plain ones."""
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from tidepool.llm import bpe_index, common, gru_lm, hashing, langid, shingle_join, substring
 
@@ -35,6 +37,28 @@ def test_batches_follow_the_operator_and_the_session(spark):
         spark.conf.set(key, before)
 
 
+def _task(made, batch):
+    """What a task of ``made(docs)`` gives back for a batch."""
+    run = made(SimpleNamespace(mapInArrow=lambda f, ddl: f))
+    return list(run(iter([batch])))
+
+
+def test_workers_give_back_batches_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(substring, "in_batches", lambda df, *most: df)
+    monkeypatch.setattr(shingle_join, "in_batches", lambda df, *most: df)
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(40_000)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(12_000)]
+    texts += texts[:2000]  # rows of the second kind
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    for made in (lambda df: substring.windows(df, 5, 50, 4), lambda df: shingle_join.signatures(df, 4, 85)):
+        got = _task(made, batch)
+        assert sum(b.num_rows for b in got) > common.ROWS >= max(b.num_rows for b in got)
+    whole = pa.RecordBatch.from_arrays([pa.array(range(10))], ["x"])
+    assert [b.num_rows for b in common.pieces(whole, 4)] == [4, 4, 2]
+    assert pa.Table.from_batches(common.pieces(whole, 4)).column(0).to_pylist() == list(range(10))
+
+
 def test_word_hashes_tell_words_apart(monkeypatch):
     rng = random.Random(3)
     texts = ["", " \t\n", "One", " a b  a ", "ÄB äb  x", "a" * 50 + " " + "b" * 70]

@@ -57,6 +57,17 @@ def in_batches(df: DataFrame, most: str = BATCH) -> DataFrame:
     return df
 
 
+#: Rows of one batch that a Python worker gives back.
+ROWS = 1 << 16
+
+
+def pieces(batch: pa.RecordBatch, rows: int = ROWS):
+    """``batch`` in runs of at most ``rows`` rows: the executor holds a batch
+    that comes back whole, outside its heap, and keeps that room."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 _kept: list = []
 
 
@@ -69,16 +80,17 @@ def kept(f):
 
 
 def let_go() -> None:
-    """A worker that other operators used before gives back what they kept:
-    Spark hands workers on from one operator to the next."""
+    """A worker that other operators used before gives back what they kept, and
+    the room that it does not use: Spark hands workers on from one operator to
+    the next."""
     if any(f.cache_info().currsize for f in _kept):
         for f in _kept:
             f.cache_clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:  # of glibc
-            trim(0)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # of glibc
+        trim(0)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe_rank import text_slices
-from tidepool.llm.common import in_batches
+from tidepool.llm.common import SMALL_BATCH, in_batches, let_go
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -284,9 +284,10 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_c
         return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
 
     def run(batches):
+        let_go()
         state = _Shards(shards, window)
         for b in batches:
             for at, texts in text_slices(b.column(ti), slice_bytes):
                 yield clean(b.slice(at, len(texts)), state, texts)
 
-    return in_batches(docs).mapInArrow(run, docs.schema)
+    return in_batches(docs, SMALL_BATCH).mapInArrow(run, docs.schema)

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import components, fits, in_batches, let_go, saved, small
+from tidepool.llm.common import SMALL_BATCH, components, fits, in_batches, let_go, pieces, saved, small
 from tidepool.llm.hashing import mix, shingle_hashes, word_hashes
 
 SHINGLE = 4
@@ -133,19 +133,19 @@ def signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                     keys.append(block_keys(s, bands))
                     owner.append(np.full(len(keys[-1]), ids[i]))
             ids = np.sort(ids, kind="stable")
-            yield _batch(DOCUMENT, mix(ids.view(np.uint64) + np.arange(len(ids), dtype=np.uint64)), ids, pa.array(info, _INFO))
+            yield from pieces(_batch(DOCUMENT, mix(ids.view(np.uint64) + np.arange(len(ids), dtype=np.uint64)), ids, pa.array(info, _INFO)))
             if not any(map(len, keys)):
                 continue
             key, own = np.concatenate(keys), np.concatenate(owner)
             order = np.argsort(key, kind="stable")
             key, own = key[order], own[order]
             head = np.concatenate(([True], key[1:] != key[:-1]))
-            yield _batch(BLOCK, key[head], own[head], pa.nulls(int(head.sum()), _INFO))
+            yield from pieces(_batch(BLOCK, key[head], own[head], pa.nulls(int(head.sum()), _INFO)))
             rep, rest = own[head][np.cumsum(head) - 1], ~head
             if rest.any():
                 at = pa.StructArray.from_arrays([pa.nulls(int(rest.sum()), pa.int64()), pa.array(key[rest].view(np.int64)), pa.array(rep[rest]),
                                                  pa.nulls(int(rest.sum()), pa.list_(pa.int64()))], fields=list(_INFO))
-                yield _batch(LOCAL, mix(key[rest] + own[rest].view(np.uint64)), own[rest], at)
+                yield from pieces(_batch(LOCAL, mix(key[rest] + own[rest].view(np.uint64)), own[rest], at))
 
     return in_batches(docs, "8m").mapInArrow(run, _DDL)
 
@@ -182,7 +182,8 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
                 out.append(both > 0 and 100 * both >= percent * (len(s) + len(kept) - both))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-    linked = saved(one.join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    both = in_batches(one.join(two, "b").select("a", "b", "text_a", "text_b"), SMALL_BATCH)
+    linked = saved(both.mapInArrow(run, "a long, b long"), "links")
     return None if linked.isEmpty() else linked
 
 

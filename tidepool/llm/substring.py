@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe_rank import text_slices
-from tidepool.llm.common import free_name, in_batches, let_go, saved, small
+from tidepool.llm.common import SMALL_BATCH, free_name, in_batches, let_go, pieces, saved, small
 from tidepool.llm.hashing import WordHashes, mix, shingle_hashes, word_hashes, words_of
 
 SHINGLE = 5
@@ -163,13 +163,13 @@ def windows(docs: DataFrame, shingle: int, passage: int, hashes: int) -> DataFra
             key, ids, pos, near = key[order], ids[order], pos[order], near[order]
             head = np.concatenate(([True], key[1:] != key[:-1]))
             group = np.cumsum(head) - 1
-            yield rows(key[head], ids[head], pos[head], near[head], np.bincount(group) > 1, None, None)
+            yield from pieces(rows(key[head], ids[head], pos[head], near[head], np.bincount(group) > 1, None, None))
             rest = ~head
             if rest.any():
                 own = mix(key[rest] ^ mix(ids[rest].view(np.uint64) + pos[rest].view(np.uint64)))
-                yield rows(own, ids[rest], pos[rest], near[rest], np.zeros(int(rest.sum()), bool), key[rest].view(np.int64), ids[head][group][rest])
+                yield from pieces(rows(own, ids[rest], pos[rest], near[rest], np.zeros(int(rest.sum()), bool), key[rest].view(np.int64), ids[head][group][rest]))
 
-    return in_batches(docs).mapInArrow(run, _DDL)
+    return in_batches(docs, SMALL_BATCH).mapInArrow(run, _DDL)
 
 
 def _reaching(at: np.ndarray, width: int, gap: int) -> np.ndarray:
@@ -334,7 +334,8 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, passage: int, simila
             cols = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return saved(one.join(two, "source").select("doc", "source", "text_a", "text_b").mapInArrow(run, SPANS).distinct(), "spans")
+    both = in_batches(one.join(two, "source").select("doc", "source", "text_a", "text_b"), SMALL_BATCH)
+    return saved(both.mapInArrow(run, SPANS).distinct(), "spans")
 
 
 def _pairs(tied: DataFrame, enough: int) -> DataFrame:
@@ -446,7 +447,7 @@ def exact_pairs(rows: DataFrame, spans: DataFrame, docs: DataFrame, shingle: int
                     h = np.unique(mix(total[at + width] - total[at] ^ s[at])).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i.as_py(), np.int64))], ["h", "id"])
 
-    hashes = saved(in_batches(texts).mapInArrow(run, "h long, id long"), "exact")
+    hashes = saved(in_batches(texts, SMALL_BATCH).mapInArrow(run, "h long, id long"), "exact")
     first = hashes.groupBy("h").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").drop("last")
     return hashes.join(first, "h").where("id <> source").select(F.col("id").alias("doc"), "source").distinct()
 
@@ -500,4 +501,4 @@ def drop_repeats(docs: DataFrame, **options) -> DataFrame:
 
     cuts = saved(cuts, "cuts")
     joined = docs.join(small(cuts, 50_000), F.col("doc_id") == F.col(key), "left").drop(key)
-    return in_batches(joined).mapInArrow(run, docs.schema)
+    return in_batches(joined, SMALL_BATCH).mapInArrow(run, docs.schema)
