@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
-from tidepool.llm import bpe_index, common, gru_lm, hashing, langid, shingle_join, substring
+from tidepool.llm import align, bpe_index, common, gru_lm, hashing, langid, shingle_join, substring
 
 
 def test_language_vectors_take_a_byte_a_dimension():
@@ -59,6 +59,27 @@ def test_workers_give_back_batches_of_bounded_size(monkeypatch):
     assert pa.Table.from_batches(common.pieces(whole, 4)).column(0).to_pylist() == list(range(10))
 
 
+def test_alignment_keeps_ids_as_numbers_and_compares_bytes_only_where_it_must():
+    pair = align.pair_of(common.tokenizer_file("byte_bpe_50k.json"), common.tokenizer_file("piece_bpe_32k.model"))
+    assert pair.exact_b
+    rng = random.Random(12)
+    texts = [None, "", " ", "▁", "a▁b", "\x00 \t\r\n", "<s> </s> <unk> <0x41>", "ﬁ e\u0301 \xa0\u3000 🙂", "  x ", "|".join("ab" * 4000)]
+    texts += ["".join(rng.choices("ab 1.é\n▁日<>\r\u2003", k=rng.randint(1, 60))) for _ in range(400)]
+    made = []
+    for exact in (True, False):
+        pair.known, pair.exact_b = {}, exact
+        made.append(pair.encode(texts))
+        made.append(pair.encode(texts))  # the pieces are known now
+    pair.exact_b = True
+    assert all(m == made[0] for m in made[1:])
+    for t, a, b in zip(texts, *made[0]):
+        a = np.frombuffer(a, np.int32).tolist()
+        want_a, want_b = pair.a.encode(f" {t}", add_special_tokens=False).ids if t else [], pair.b.encode(t or "")
+        if not t or any(b"".join(map(of.__getitem__, ids)) != f" {t}".encode() for of, ids in ((pair.bytes_a, want_a), (pair.bytes_b, want_b))):
+            want_a, want_b = [], []
+        assert (a, b) == (want_a, want_b)
+
+
 def test_word_hashes_tell_words_apart(monkeypatch):
     rng = random.Random(3)
     texts = ["", " \t\n", "One", " a b  a ", "ÄB äb  x", "a" * 50 + " " + "b" * 70]

@@ -95,30 +95,57 @@ class Pair:
         # ids with the sign that follows them in the text of groups
         self.names = [f"{i}{c}" for n, signs in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for c in signs for i in range(n)]
         self.pieces, self.known = regex.compile(PATTERN).findall, {}
+        self.exact_b = self._exact_b()
+
+    def _exact_b(self) -> bool:
+        """Whether B's tokens give the bytes of every text without B's own mark
+        for a space: it alters nothing and has a token for each byte."""
+        from sentencepiece import sentencepiece_model_pb2
+        model = sentencepiece_model_pb2.ModelProto.FromString(self.b.serialized_model_proto())
+        how, trained, kind = model.normalizer_spec, model.trainer_spec, [p.type for p in model.pieces]
+        piece = model.SentencePiece
+        return (not how.precompiled_charsmap and how.add_dummy_prefix and how.escape_whitespaces and not how.remove_extra_whitespaces
+                and trained.byte_fallback and not trained.treat_whitespace_as_suffix and kind.count(piece.BYTE) == 256 and piece.USER_DEFINED not in kind)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _ids(self, pieces: set[str]) -> dict[str, tuple[int, ...] | None]:
-        """Ids of A by piece, None for one whose ids do not give its bytes."""
+    def _ids(self, pieces: set[str]) -> dict[str, bytes | None]:
+        """Ids of A by piece, as 32-bit numbers; None for one whose ids do not
+        give its bytes."""
         if len(self.known) > CACHE:
             self.known = dict(islice(self.known.items(), CACHE // 2, None))  # the oldest half goes
         new = [p for p in pieces if p not in self.known]
-        for piece, e in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False)):
-            same = b"".join(map(self.bytes_a.__getitem__, e.ids)) == piece.encode()
-            self.known[piece] = tuple(e.ids) if same else None
+        if not new:
+            return self.known
+        ids = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        every = list(flat(ids))
+        packed, end = np.array(every, np.int32).tobytes(), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        at = (4 * end).tolist()
+        self.known.update(zip(new, [packed[i:j] for i, j in zip([0, *at], at)]))
+        # the bytes of all tokens are those of all pieces, and end where a piece ends
+        made, raw = b"".join(map(self.bytes_a.__getitem__, every)), "".join(new).encode()
+        stop = np.cumsum(np.append(0, self.len_a[every]))[end]
+        if made != raw or (stop != np.cumsum([len(p.encode()) for p in new])).any():
+            cut = stop.tolist()
+            self.known.update((p, None) for p, i, j in zip(new, [0, *cut], cut) if made[i:j] != p.encode())
         return self.known
 
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides; none where they do not give the text's bytes."""
-        pieces = [self.pieces(f" {t}") if t else [] for t in texts]
-        known, out = self._ids({p for own in pieces for p in own}), ([], [])
-        for t, own, b in zip(texts, pieces, self.b.encode([t or "" for t in texts], num_threads=1)):
-            a = list(map(known.__getitem__, own))
-            if not t or None in a or b"".join(map(self.bytes_b.__getitem__, b)) != f" {t}".encode():
-                a, b = [], []
-            out[0].append(list(flat(a)))
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[list[int]]]:
+        """Ids of both sides, of A as 32-bit numbers; none where they do not
+        give the text's bytes."""
+        spaced = [f" {t}" if t else "" for t in texts]
+        pieces = list(map(self.pieces, spaced))
+        get, out = self._ids(set(flat(pieces))).__getitem__, ([], [])
+        for t, own, b in zip(spaced, pieces, self.b.encode([t[1:] for t in spaced], num_threads=1)):
+            try:
+                a = b"".join(map(get, own))
+            except TypeError:  # None
+                a = None
+            if a is None or ("▁" in t if self.exact_b else b"".join(map(self.bytes_b.__getitem__, b)) != t.encode()):
+                a, b = b"", []
+            out[0].append(a)
             out[1].append(b)
         return out
 
@@ -166,7 +193,8 @@ class Slice:
         a, b = pair.encode(texts)
         self.pair, self.n = pair, len(texts)
         self.n_a, self.n_b = (np.array(list(map(len, side)), np.int64) for side in (a, b))
-        self.a, self.b = (np.fromiter(flat(side), np.int64, int(n.sum())) for side, n in ((a, self.n_a), (b, self.n_b)))
+        self.n_a //= 4
+        self.a, self.b = np.frombuffer(b"".join(a), np.int32).astype(np.int64), np.fromiter(flat(b), np.int64, int(self.n_b.sum()))
         end_a, end_b = np.cumsum(pair.len_a[self.a]), np.cumsum(pair.len_b[self.b])
         cut_a, cut_b = _within(end_a, end_b), _within(end_b, end_a)
         self.group_a, self.group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
