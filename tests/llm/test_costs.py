@@ -198,3 +198,21 @@ def test_joins_let_go_of_what_the_encoder_kept(monkeypatch):
         make()
         bpe_index.index_of(path)
         assert list(maps.run(iter([]))) == [] and bpe_index.index_of.cache_info().currsize == 0
+
+
+def test_encoder_keeps_ids_as_bytes_and_works_on_small_slices(monkeypatch):
+    monkeypatch.setattr(bpe_index, "in_batches", lambda df, *most: df)
+    sizes, path = [], common.tokenizer_file("word_bpe_49k.json")
+    plain = bpe_index.PairIndex.encode
+    monkeypatch.setattr(bpe_index.PairIndex, "encode", lambda self, texts: sizes.append(sum(map(len, texts))) or plain(self, texts))
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefgh é.", k=50_000)) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(texts)], ["doc_id", "text"])
+    docs = SimpleNamespace(select=lambda *c: SimpleNamespace(mapInArrow=lambda f, ddl: f))
+    monkeypatch.setattr(bpe_index, "F", SimpleNamespace(col=lambda c: SimpleNamespace(cast=lambda t: SimpleNamespace(alias=lambda a: c), alias=lambda a: c)))
+    got = pa.Table.from_batches(bpe_index.encode_decode(docs, path)(iter([batch])))
+    assert len(sizes) > 1 and max(sizes) <= bpe_index.SLICE
+    index = bpe_index.index_of(path)
+    assert all(type(ids) is bytes for ids in index.cache.values())
+    ids, ends = plain(bpe_index.PairIndex(path), texts)  # all at once
+    assert got["ids"].to_pylist() == [ids[a:z].tolist() for a, z in zip(ends, ends[1:])]

@@ -22,7 +22,7 @@ import heapq
 import json
 import re
 import unicodedata
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe_rank import byte_symbols, text_slices
-from tidepool.llm.common import in_batches, kept
+from tidepool.llm.common import SMALL_BATCH, in_batches, kept, let_go, trim
 
 #: Fixed value: the pattern of the word-end file's pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Pre-tokens whose ids a worker keeps; beyond that the older half goes.
-CACHE = 300_000
+CACHE = 150_000
+#: Bytes of text whose new pre-tokens are merged at a time.
+SLICE = 1 << 18
 
 
 def normalise(text: str) -> str:
@@ -72,10 +74,10 @@ class PairIndex:
         self.tokens = pa.array([token.get(i) for i in range(max(token) + 1)], pa.string())
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.find = regex.compile(PATTERN).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
 
-    def merge_all(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each pre-token."""
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """The ids of each pre-token, as 32-bit numbers."""
         if not words:
             return []
         raw = [w.encode() for w in words]
@@ -122,8 +124,8 @@ class PairIndex:
                             push(active, made)
         done = np.array(sym)
         stays = done >= 0
-        ids, cut = done[stays].tolist(), np.cumsum(np.add.reduceat(stays, heads)).tolist()
-        return [tuple(ids[i:z]) for i, z in zip([0, *cut], cut)]
+        ids, cut = done[stays].astype(np.int32).tobytes(), (4 * np.cumsum(np.add.reduceat(stays, heads, dtype=np.int64))).tolist()
+        return [ids[i:z] for i, z in zip([0, *cut], cut)]
 
     def _occurrences(self, symbols: np.ndarray, tails: np.ndarray) -> dict[int, list[int]]:
         """The index at the start: the places of each pair, by its rank."""
@@ -154,10 +156,10 @@ class PairIndex:
         # normalised text holds no string of an added token with its cut taken out
         plain = [w for w in here if w not in self.cache and w not in self.special]
         self.cache.update(zip(plain, self.merge_all(plain)))
-        self.cache.update((t, (i,)) for t, i in self.special.items())
-        words = [list(map(self.cache.__getitem__, d)) for d in docs]
-        ends = np.concatenate(([0], np.cumsum([sum(map(len, w)) for w in words])))
-        return np.fromiter(chain.from_iterable(chain.from_iterable(words)), np.int32, int(ends[-1])), ends
+        self.cache.update((t, np.int32(i).tobytes()) for t, i in self.special.items())
+        ids = [b"".join(map(self.cache.__getitem__, d)) for d in docs]
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        return np.frombuffer(b"".join(ids), np.int32), ends
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """The text of each run of ids: its tokens joined by a space."""
@@ -167,19 +169,23 @@ class PairIndex:
 @kept
 def index_of(path: str) -> PairIndex:
     """One index for each file in a worker process, kept between its tasks."""
-    return PairIndex(path)
+    index = PairIndex(path)
+    trim()  # the parsed file
+    return index
 
 
 def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids, decoded`` of each row; a map over the documents."""
     def run(batches):
+        if not index_of.cache_info().currsize:
+            let_go()
         index = index_of(path)
         for b in batches:
-            for at, part in text_slices(b.column(1)):
+            for at, part in text_slices(b.column(1), SLICE):
                 ids, ends = index.encode(part)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
                     index.decode(ids, ends)], ["doc_id", "ids", "decoded"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return in_batches(source).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return in_batches(source, SMALL_BATCH).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -86,11 +86,16 @@ def let_go() -> None:
     if any(f.cache_info().currsize for f in _kept):
         for f in _kept:
             f.cache_clear()
-        gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give back the room that this process does not use."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:  # of glibc
-        trim(0)
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:  # of glibc
+        give(0)
 
 
 def free_name(df: DataFrame, name: str) -> str:
